@@ -63,6 +63,7 @@ def cut(df: DataFrame, what: str) -> DataFrame:
     costs a re-read, not a recomputation, and plans stay short."""
     path = shared_path(df.sparkSession, what)
     df.write.parquet(path)
+    df.sparkSession._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files that led here
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import dac, packing, pieces
+from tessera.llm import dac, minhash, packing, pieces, quality, winnow
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,14 +23,30 @@ def op3_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.token_output(_documents(spark, sf_dir))
 
 
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_documents(spark, sf_dir))
+
+
+def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.edited_likeness(_documents(spark, sf_dir))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_documents(_documents(spark, sf_dir))
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rate"]
+    return quality.judge(_documents(spark, sf_dir).select("doc_id", "source", "text")).select(*columns)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_token_codes": op3_token_codes,
+    "op4_minhash_near_dedup": op4_minhash_near_dedup,
+    "op7_document_fingerprints": op7_document_fingerprints,
     "op8_sentencepiece": op8_sentencepiece,
+    "op9_quality_rules": op9_quality_rules,
 }
 
 #: DuckDB SQL of the queries that SQL expresses; the others are tested against
