@@ -1,18 +1,76 @@
-"""From raw documents to packed sequences, a stage for each decision."""
+"""From raw documents to packed sequences, a decision a stage.
+
+Each stage takes (spark, docs, sf_dir) and all that its predecessor kept; all but
+the last return the columns of ``documents``."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm import minhash, packing, pii, quality, suffixes
+from tessera.llm.common import cut
+
+
+def _with_text(docs: DataFrame, text) -> DataFrame:
+    """*docs* with another text, and n_chars that says how long it is."""
+    out = docs.withColumn("text", text)
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules or their host's verdict reject go."""
+    key = F.xxhash64("doc_id", "source", "text")
+    verdicts = quality.judge(docs.select(key.alias("__key"), "source", "text"))
+    gone = verdicts.where("not kept").select("__key").distinct()
+    return docs.withColumn("__key", key).join(gone, "__key", "left_anti").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the smallest doc_id stays."""
+    gone = minhash.near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bytes of passages that start earlier in the corpus are cut out; a document
+    of nothing else keeps its row with an empty text. A character that loses a
+    byte goes."""
+    light, changed = suffixes.repeated_spans(docs)
+    removed = suffixes.remove_spans(changed).select("doc_id", "tkey", "kept_text")
+    copies = light.where("is_copy").where(F.col("n_bytes") >= suffixes.LENGTH).select("doc_id", "tkey", F.lit("").alias("kept_text")).distinct()
+    new = cut(removed.union(copies), "kept")
+    keyed = docs.withColumn("tkey", F.xxhash64(F.coalesce("text", F.lit(""))))
+    out = keyed.join(new, ["doc_id", "tkey"], "left")
+    return _with_text(out, F.coalesce("kept_text", "text")).select(*docs.columns)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Spans of personal data are replaced by their kind in brackets."""
+    return _with_text(pii.mask(pii.detect(docs)), F.col("text")).select(*docs.columns)
+
+
+def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Tokens of all documents in sequences of at most 2048."""
+    return packing.best_fit_pack(docs)
+
 
-STAGES: list = []
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
+    ("personal_data", personal_data),
+    ("packed_sequences", packed_sequences),
+]
 
-#: SQL cannot express the stages; tests/llm compares with brute force.
+#: SQL expresses neither the host prior's fit, the suffix order nor the tokens;
+#: tests/llm compares with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to ``documents``."""
+    """Applies the stages to ``documents``, each to what the one before has written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import dac, minhash, packing, pieces, pii, quality, suffixes, winnow
+from tessera.llm import dac, langid, minhash, packing, pieces, pii, quality, sharding, suffixes, winnow
+from tessera.llm.common import shared_path
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +36,10 @@ def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.summary(_documents(spark, sf_dir))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predicted(_documents(spark, sf_dir))
+
+
 def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.edited_likeness(_documents(spark, sf_dir))
 
@@ -48,17 +53,33 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_documents(spark, sf_dir).select("doc_id", "source", "text")).select(*columns)
 
 
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table as its newest manifest has it, and whether each row's shard keeps
+    to the target size."""
+    table = sharding.compacted(_documents(spark, sf_dir), shared_path(spark, "shards"))
+    return table.read().select(
+        "doc_id",
+        F.octet_length("text").cast("long").alias("n_bytes"),
+        F.sha2("text", 256).alias("text_sha256"),
+        (F.col("_metadata.file_size") <= 3 * table.target // 2).alias("shard_in_bounds"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_token_codes": op3_token_codes,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_personal_data": op5_personal_data,
+    "op6_language_id": op6_language_id,
     "op7_document_fingerprints": op7_document_fingerprints,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_quality_rules": op9_quality_rules,
+    "op10_sharding": op10_sharding,
 }
 
 #: DuckDB SQL of the queries that SQL expresses; the others are tested against
 #: brute force in tests/llm.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op10_sharding": "SELECT doc_id, CAST(strlen(text) AS BIGINT) AS n_bytes, sha256(text) AS text_sha256, TRUE AS shard_in_bounds FROM documents",
+}
