@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 
 def parsed(text, schema: str, on_error: str = "null", empty: Column | None = None) -> Column:
@@ -38,7 +39,7 @@ def joined_lines(values: Column) -> Column:
     return F.array_join(values, "\n")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def integer_keys(texts: pd.Series) -> pd.Series:
     """JSON text of one object, or a list of one, whose keys are digits: keys
     become integers, written as a Python literal. Other text stays."""
@@ -60,7 +61,7 @@ def integer_keys(texts: pd.Series) -> pd.Series:
     return texts.map(fix)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def literals(texts: pd.Series) -> pd.Series:
     """Each non-blank line of a text as the JSON of the Python literal that it is;
     null for a line that is none. Nothing is evaluated but literals."""
@@ -77,7 +78,7 @@ def literals(texts: pd.Series) -> pd.Series:
     return texts.map(lines)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def without_main(texts: pd.Series) -> pd.Series:
     """Program text without its ``if __name__ == "__main__"`` block: from that line
     to the next line that isn't blank and no deeper than it."""
