@@ -67,6 +67,17 @@ def cut(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def placed(df: DataFrame, what: str, *keys: str) -> DataFrame:
+    """Writes a frame once, dealt out by *keys*, as a table in the shared folder;
+    later joins on all the keys move only their other side."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"{what}_{uuid.uuid4().hex}"
+    df.repartition(n, *keys).write.format("parquet").option("path", shared_path(spark, what)).bucketBy(n, *keys).saveAsTable(name)
+    spark._jvm.System.gc()
+    return spark.table(name)
+
+
 def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", null_text: str | None = "") -> DataFrame:
     """Only (doc_id, text), under these names, so that no other column of the
     input can clash with what an operator makes. Null texts become *null_text*."""
@@ -125,7 +136,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 #: A 64-bit value for each byte, and an odd base: window hashes are taken of these.
 BYTE_CODES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 BASE = 0x5851F42D4C957F2D
-_INVERSE = pow(BASE, -1, 1 << 64)
+INVERSE = pow(BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -149,7 +160,7 @@ def prefix_hash(codes: np.ndarray) -> np.ndarray:
 
 def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A hash of each span [start, end) that depends on its content alone."""
-    return mix64((prefix[ends] - prefix[starts]) * powers(int(len(prefix)) + 1, _INVERSE)[starts] + (ends - starts).astype(np.uint64))
+    return mix64((prefix[ends] - prefix[starts]) * powers(int(len(prefix)) + 1, INVERSE)[starts] + (ends - starts).astype(np.uint64))
 
 
 def int64(x: np.ndarray) -> np.ndarray:
