@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import mix64, powers, prefix_hash, texts_of
+from tessera.llm.common import INVERSE, mix64, powers, prefix_hash, texts_of
 
 GRAM = 20
 WINDOW = 21
@@ -34,8 +34,8 @@ def fingerprint(chars: np.ndarray, gram: int = GRAM, window: int = WINDOW) -> tu
     gram = min(gram, n)
     prefix = prefix_hash(mix64(chars.astype(np.uint64) + np.uint64(1)))
     m = n - gram + 1
-    # every hash is brought to the same power of the base
-    hashes = mix64((prefix[gram:] - prefix[:m]) * powers(m)[::-1])
+    # each sum is brought back to the base's power 0, so that a hash names its characters alone
+    hashes = mix64((prefix[gram:] - prefix[:m]) * powers(m, INVERSE))
     if m <= 1:
         return hashes, np.zeros(m, np.int64)
     window = min(window, m)
