@@ -49,8 +49,10 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rate"]
-    return quality.judge(_documents(spark, sf_dir).select("doc_id", "source", "text")).select(*columns)
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    # rounded past the last bits, in which sums in another order differ
+    rate = F.round(F.col("host_rate") + 1e-11, 8).alias("host_rate")
+    return quality.judge(_documents(spark, sf_dir).select("doc_id", "source", "text")).select(*columns, rate)
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,5 +83,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 #: DuckDB SQL of the queries that SQL expresses; the others are tested against
 #: brute force in tests/llm.
 ORACLE_SQL: dict[str, str] = {
+    "op9_quality_rules": r"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+g AS (SELECT doc_id, i, w[i:i + 4] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d)),
+c AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g),
+r AS (SELECT doc_id, count(DISTINCT i + j) AS n_repeat_words FROM c, (SELECT unnest(range(5)) AS j) WHERE n > 1 GROUP BY doc_id),
+m AS (SELECT doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+    CAST(len(lines) AS BIGINT) AS n_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words FROM d LEFT JOIN r USING (doc_id)),
+f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+    CASE WHEN n_symbols > CAST(0.1 AS DOUBLE) * word_chars THEN 1 ELSE 0 END + CASE WHEN n_dup_lines > CAST(0.3 AS DOUBLE) * n_lines THEN 1 ELSE 0 END AS strikes FROM m),
+h AS (SELECT source, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (base_failed OR strikes > 0) AS DOUBLE) AS x FROM f WHERE source IS NOT NULL GROUP BY source),
+p AS (SELECT sum(x) / sum(n) AS mean, (sum(x * x / n) - sum(n) * (sum(x) / sum(n)) ** 2 - (count(*) - 1) * (sum(x) / sum(n)) * (1 - sum(x) / sum(n))) / nullif(sum(n) - sum(n * n) / sum(n), 0) AS between_hosts FROM h),
+q AS (SELECT mean, CASE WHEN between_hosts > 0 THEN least(greatest(mean * (1 - mean) / between_hosts - 1, 1), 1e9) ELSE 1e9 END AS weight FROM p),
+s AS (SELECT source, (x + mean * weight) / (n + weight) AS rate FROM h, q)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(rate + 1e-11, 8) AS host_rate,
+    NOT base_failed AND strikes <= CASE WHEN coalesce(rate > 0.5, FALSE) THEN 0 ELSE 1 END AS kept FROM f LEFT JOIN s USING (source)""",
     "op10_sharding": "SELECT doc_id, CAST(strlen(text) AS BIGINT) AS n_bytes, sha256(text) AS text_sha256, TRUE AS shard_in_bounds FROM documents",
 }
