@@ -58,6 +58,20 @@ def id_extents(df: DataFrame) -> DataFrame:
     return df.groupBy("problem_id").agg((F.max("trajectory_id") + 1).alias("num_trajectories"))
 
 
+def numbered(df: DataFrame, order: Sequence[str], name: str, parts: int | None = None) -> DataFrame:
+    """Adds the position of each row in a total order, from 0, without bringing
+    the rows to one task: ranges of the order are numbered apart, and start from
+    the sizes of those before them, a number for each range."""
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # a stated number of ranges is not coalesced, so both uses see the same ones
+    ranged = df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id())
+    sizes = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = sizes.withColumn("__before", F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).drop("__n")
+    within = ranged.withColumn("__row", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
+    joined = within.join(F.broadcast(before), "__part")
+    return joined.withColumn(name, (F.col("__before") + F.col("__row") - 1).cast("long")).drop("__part", "__row", "__before")
+
+
 def hardest(df: DataFrame, samples: int = 320, also_in: DataFrame | None = None, digits: int = 8) -> DataFrame:
     """Problems with at least *samples* samples (and rows in *also_in*), hardest
     first: rate of full rewards among the first samples, then id. rank is from 0."""
@@ -65,16 +79,15 @@ def hardest(df: DataFrame, samples: int = 320, also_in: DataFrame | None = None,
     rate = first.groupBy("problem_id").agg(rounded(F.avg(F.when(F.col("final_reward") == 1.0, 1.0).otherwise(0.0)), digits).alias("success_rate"))
     if also_in is not None:
         rate = restricted(rate, also_in.select("problem_id").distinct())
-    # a row for each problem, far fewer than samples
-    return rate.withColumn("rank", (F.row_number().over(Window.orderBy("success_rate", "problem_id")) - 1).cast("long"))
+    return numbered(rate, ["success_rate", "problem_id"], "rank")
 
 
 def hardest_rows(ranked: DataFrame, problems: DataFrame, x: int, index: str) -> DataFrame:
     """Rows of the x hardest, renumbered in rank order; ids that the table lacks
     go. Columns original_problem_id and problem_id are added."""
     top = ranked.where(F.col("rank") < x).select(F.col("problem_id").alias(index), "rank")
-    joined = problems.join(top, index)
-    return joined.withColumn("original_problem_id", F.col(index)).withColumn("problem_id", (F.row_number().over(Window.orderBy("rank")) - 1).cast("long")).drop("rank")
+    joined = problems.join(top, index).withColumn("original_problem_id", F.col(index))
+    return numbered(joined, ["rank"], "problem_id").drop("rank")
 
 
 def assert_hard(ranked: DataFrame, count: int = 300) -> None:
@@ -128,7 +141,7 @@ def seeded_subset(values: Column, n: int, *seed: Column) -> Column:
 
 def batches(df: DataFrame, order: str, size: int) -> DataFrame:
     """Adds a batch number, counted through the stated order."""
-    return df.withColumn("batch", F.floor((F.row_number().over(Window.orderBy(order)) - 1) / size).cast("long"))
+    return numbered(df, [order], "batch").withColumn("batch", F.floor(F.col("batch") / size).cast("long"))
 
 
 def seeded_rollouts(problems: DataFrame, samples: int) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.numbers import rounded
 from tessera.functions.text import interact_last_pair, last_fence
+from tessera.operators.datasets import numbered
 from tessera.operators.prefix import guarded, pass_at
 
 
@@ -60,23 +61,30 @@ def latency(df: DataFrame, value: str, by: list[str], slow: float = 4900.0, fail
     """Statistics of each group. Percentiles are the value at index n*p//100 of
     the sorted values, and 0 below 10 (p10, p90) or 100 (p99) of them; the
     deviation is the sample's, 0 for one. A timeout is a failure of *slow* or
-    more."""
+    more. Rows without a value don't count."""
     v = F.col(value)
-    n = F.count("*").over(Window.partitionBy(*by))
-    i = F.row_number().over(Window.partitionBy(*by).orderBy(value)) - 1
-    ranked = df.withColumns({"__n": n, "__i": i})
-    at = lambda p, least: F.coalesce(F.max(F.when((F.col("__n") >= least) & (F.col("__i") == F.floor(F.col("__n") * p / 100)), v)), F.lit(0.0))
+    # positions in one order over all groups: a group of most rows is dealt out too
+    placed = numbered(df.where(v.isNotNull()), [*by, value], "__pos")
+    groups = placed.groupBy(*by).agg(F.count("*").alias("__n"), F.min("__pos").alias("__first"))
+    same = None
+    for c in by:
+        groups = groups.withColumnRenamed(c, f"__by_{c}")
+        one = F.col(c).eqNullSafe(F.col(f"__by_{c}"))
+        same = one if same is None else same & one
+    ranked = placed.join(groups, same).withColumn("__i", F.col("__pos") - F.col("__first"))
+    at = lambda i, least=1: F.max(F.when((F.col("__n") >= least) & (F.col("__i") == F.floor(i)), v))
+    of = lambda p, least: F.coalesce(at(F.col("__n") * p / 100, least), F.lit(0.0))
     bad = failed if failed is not None else F.lit(True)
     return ranked.groupBy(*by).agg(
         F.count("*").alias("n"),
         rounded(F.avg(v), digits).alias("mean"),
-        rounded(F.median(v), digits).alias("median"),
+        rounded((at((F.col("__n") - 1) / 2) + at(F.col("__n") / 2)) / 2, digits).alias("median"),
         rounded(F.coalesce(F.stddev_samp(v), F.lit(0.0)), digits).alias("stdev"),
         F.min(v).alias("low"),
         F.max(v).alias("high"),
-        at(10, 10).alias("p10"),
-        at(90, 10).alias("p90"),
-        at(99, 100).alias("p99"),
+        of(10, 10).alias("p10"),
+        of(90, 10).alias("p90"),
+        of(99, 100).alias("p99"),
         F.count_if(bad & (v >= slow)).alias("timeouts"),
     )
 
@@ -118,10 +126,10 @@ def weighted(metrics: dict[str, Column], weights: dict[str, float]) -> Column:
 # --- losses ------------------------------------------------------------------
 
 
-def group_advantages(df: DataFrame, reward: str = "final_reward", by: list[str] | None = None) -> Column:
-    """(reward - mean) / (sample deviation + 1e-8), over the batch, or each group;
-    null where a lone sample has no deviation."""
-    w = Window.partitionBy(*(by or [F.lit(0)]))
+def group_advantages(by: list[str], reward: str = "final_reward") -> Column:
+    """(reward - mean) / (sample deviation + 1e-8) in each group; null where a lone
+    sample has no deviation."""
+    w = Window.partitionBy(*by)
     return (F.col(reward) - F.avg(reward).over(w)) / (F.stddev_samp(reward).over(w) + 1e-8)
 
 

@@ -314,7 +314,7 @@ def grpo_batch(spark, d):
 @query(f"{T} SELECT problem_id, trajectory_id, round((final_reward - avg(final_reward) OVER w) / (stddev_samp(final_reward) OVER w + 1e-8), 6) AS advantage FROM t WINDOW w AS (PARTITION BY problem_id)")
 def grpo_group(spark, d):
     t = trajectories(spark, d)
-    return t.select("problem_id", "trajectory_id", rounded(scores.group_advantages(t, by=["problem_id"]), 6).alias("advantage"))
+    return t.select("problem_id", "trajectory_id", rounded(scores.group_advantages(["problem_id"]), 6).alias("advantage"))
 
 
 _V = "WITH v AS (SELECT vec_id, [CAST(x AS DOUBLE) for x in embedding] AS a, list_reverse([CAST(x AS DOUBLE) for x in embedding]) AS b, CAST(label AS DOUBLE) - 4.5 AS adv FROM embeddings), i AS (SELECT vec_id, adv, unnest(a) AS x, unnest(b) AS y, unnest(range(len(a))) AS p FROM v)"
