@@ -103,11 +103,15 @@ def in_closed_range(c: Column, low: float, high: float, missing: float | None =
     return F.coalesce(c.between(low, high), F.lit(False))
 
 
-def contest_date(text: Column) -> Column:
+def contest_date(text: Column, literal: bool = False) -> Column:
     """A time from text in one of three formats, with T or a space; null if none
-    fits. What follows the seconds is ignored."""
+    fits. What follows the seconds is ignored.
+
+    *literal* cuts the text at the length of each format's own notation (17, 14
+    and 8), as one program does; then only unpadded dates can be read."""
     t = F.substring(F.replace(text, F.lit("T"), F.lit(" ")), 1, 19)
-    return F.coalesce(*[F.try_to_timestamp(F.substring(t, 1, n), F.lit(f)) for f, n in (("yyyy-MM-dd HH:mm:ss", 19), ("yyyy-MM-dd HH:mm", 16), ("yyyy-MM-dd", 10))])
+    formats = (("yyyy-M-d H:m:s", 17), ("yyyy-M-d H:m", 14), ("yyyy-M-d", 8)) if literal else (("yyyy-M-d H:m:s", 19), ("yyyy-M-d H:m", 16), ("yyyy-M-d", 10))
+    return F.coalesce(*[F.try_to_timestamp(F.substring(t, 1, n), F.lit(f)) for f, n in formats])
 
 
 def in_half_open(c: Column, start: str, end: str) -> Column:

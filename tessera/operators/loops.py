@@ -18,8 +18,9 @@ from tessera.functions.text import close_interact, framed_output
 from tessera.operators.datasets import seeded_rollouts, seeded_subset
 from tessera.operators.harness import interacted, scored
 from tessera.operators.scores import classified
-from tessera.sources.tables import load_metadata, save_metadata
+from tessera.operators.turns import aggregation_prompt, last_assistant
 from tessera.schemas import TESTS
+from tessera.sources.tables import load_metadata, save_metadata
 
 #: prompts and seeds to texts
 Generator = Callable[[pd.Series, pd.Series], pd.Series]
@@ -111,12 +112,21 @@ def multi_turn(spark: SparkSession, problems: DataFrame, root: str, generate: Ge
     return finished
 
 
+def reevaluated(completed: DataFrame, active: DataFrame, keys: list[str], seconds: float = 1.0, max_tests: int = 100, require_class: bool = True) -> DataFrame:
+    """A checkpoint's rollouts with rewards: completed ones keep theirs, active ones
+    are scored on their last assistant message and count as cut short; those
+    without such a message go. from_active tells them apart."""
+    told = active.withColumn("response", last_assistant()).where(F.coalesce(F.col("response"), F.lit("")) != "")
+    rows = classified(told.withColumn("fn_name", F.col("tests.fn_name")), require_class=require_class)
+    rewards = scored(rows, keys, seconds, max_tests).select(*keys, "final_reward")
+    late = active.drop("final_reward").join(rewards, keys).withColumns({"terminated": F.lit(False), "truncated": F.lit(True), "from_active": F.lit(True)})
+    return completed.withColumn("from_active", F.lit(False)).unionByName(late, allowMissingColumns=True)
+
+
 def aggregated(spark: SparkSession, problems: DataFrame, root: str, generate: Generator, score: Callable[[DataFrame], DataFrame], population: int = 4, k: int = 2, steps: int = 3, seed: int = 42) -> DataFrame:
     """Candidates of every step: (problem_id, rsa_step, candidate_id, response,
     final_reward, aggregated_from). After the first step each candidate comes
     from k of the step before, drawn by seed, problem, step and candidate."""
-    from tessera.operators.turns import aggregation_prompt
-
     rounds = Rounds(spark, root, population=population, k=k)
     everything = previous = None
     for step in range(1, steps + 1):

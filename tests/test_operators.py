@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera.functions import nested, text
-from tessera.operators import datasets, harness, loops, prefix, scores, turns
+from tessera.operators import datasets, harness, loops, prefix, problems, scores, turns
 from tessera.plans import programs
 from tessera.schemas import MESSAGES, TESTS, normalised
 from tessera.sources import tables
@@ -82,7 +82,7 @@ def test_files(spark, tmp_path):
     assert [tuple(r) for r in tables.key_values(spark, str(tmp_path / "kv")).collect()] == [("a", "1")]
     (tmp_path / "gpu").write_text("0, 3, [N/A]\n1, 50, 700\n")
     rows = tables.device_rows(spark, str(tmp_path / "gpu"))
-    assert [r["index"] for r in rows.where("utilisation <= 5 and memory <= 500").collect()] == [0]
+    assert tuple(problems.idle_devices(rows).first()) == (False, 1)
     assert tables.split_of("train-x") == "train" and tables.split_of("my-lcb-y") == "test" and tables.split_of("z") == "code"
     tables.save_metadata(spark, str(tmp_path / "m"), a=1)
     assert tables.load_metadata(spark, str(tmp_path / "m")) == {"a": 1}
@@ -240,6 +240,39 @@ def test_lineage_and_subsets(spark):
     assert json.dumps(programs.problems(spark, "/root/testdata/sf0.001", 2).first()["tests"]["inputs"])
 
 
+def test_dates_as_one_program_cuts_them(spark):
+    for t, ok in (("2025-02-01 10:20:30", False), ("2025-2-1", True), ("2025-2-1 1:2:3", True)):
+        assert (one(spark, datasets.contest_date(F.col("t"), literal=True), t=t) is not None) == ok
+
+
+def test_problem_sources(spark):
+    tests = json.dumps({"inputs": [str(i) for i in range(20)], "outputs": [str(i) for i in range(20)], "fn_name": "f"})
+    rows = spark.createDataFrame([("b", "Q1", tests, ["x"]), ("a", "Q2", "bad", ["```python\ny\n```"])], "k string, problem string, tests string, solutions array<string>")
+    got = problems.training_problems(rows, "taco", "k").orderBy("info.subset_idx").collect()
+    assert [r["answer"] for r in got] == ["```python\ny\n```", "```python\nx\n```"]
+    few = got[1]["info"]["tests"]
+    assert few["inputs"] == few["outputs"] and len(set(few["inputs"])) == 15 and few["fn_name"] == "f" and got[0]["info"]["tests"]["inputs"] is None
+    cases = json.dumps([{"input": "1", "output": "2", "testtype": "functional"}])
+    lcb = spark.createDataFrame([("a", "Q", cases, ("g",))], "k string, problem string, tests string, metadata struct<func_name:string>")
+    assert problems.training_problems(lcb, "lcbv5", "k").first()["info"]["fn_name"] == "g"
+    fares = spark.createDataFrame([("a", "Q", json.dumps({"tests": tests, "source": "s"}))], "k string, question string, info string")
+    r = problems.training_problems(fares, "fares", "k").first()
+    assert (r["info"]["source"], r["info"]["subset"], r["prompt"][0]["content"]) == ("s", "i3-code", "Q")
+    contest = spark.createDataFrame([("Q", "", cases, "eJx", "{}"), ("Q", "def f", cases, cases, '{"func_name": "h"}')], "question_content string, starter_code string, public_test_cases string, private_test_cases string, metadata string")
+    a, b = problems.benchmark_problems(contest, "t").collect()
+    assert a["refused"] and len(a["info"]["tests"]["inputs"]) == 1 and "stdin" in a["question"]
+    assert not b["refused"] and len(b["info"]["tests"]["inputs"]) == 2 and b["info"]["tests"]["fn_name"] == "h" and "starter" in b["question"]
+
+
+def test_reevaluation(spark):
+    schema = f"problem_id long, messages {MESSAGES}, tests {TESTS}"
+    answer = "```python\nprint(1)\n```"
+    active = spark.createDataFrame([(1, [("assistant", answer)], (["x"], ["1"], None)), (2, [("user", "hi")], None)], schema)
+    done = spark.createDataFrame([(3, [], None, 0.5, True, False)], schema + ", final_reward double, terminated boolean, truncated boolean")
+    got = {r["problem_id"]: (r["final_reward"], r["truncated"], r["from_active"]) for r in loops.reevaluated(done, active, ["problem_id"]).collect()}
+    assert got == {1: (1.0, True, True), 3: (0.5, False, False)}
+
+
 def test_budget_counts_extensions(spark, tmp_path):
     df = spark.createDataFrame([(1, "q")], "problem_id long, question string")
     r = loops.budget_forced(spark, df, str(tmp_path), lambda p, s: p.map(lambda x: "a b c"), 3, 4, shared_budget=True).first()
