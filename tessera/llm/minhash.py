@@ -8,10 +8,12 @@ COORDINATES - MATCHES + 1 pairs (the prefix), and the long lists are skipped:
 collisions in them are only counted for classes that have met.  What is
 retained is confirmed on the full shingle sets.
 
-No list is turned into all its pairs.  In rounds, each class is compared with
-one other of its lists, the smallest of another component, and links merge
-components; only classes of one list that still lie in different components are
-then compared with each other."""
+No list is turned into all its pairs.  Each class joins the family of its hub,
+the class of its lists that collides most often overall; only families that
+share a list are compared, in blocks of bounded size and in memory, where classes
+that are already linked aren't compared again and no more than one link for each
+merge leaves the task.
+"""
 
 from __future__ import annotations
 
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, mix64, steps, texts_of
+from tessera.llm.common import cut, mix64, ragged, steps, texts_of
 from tessera.llm.components import components
 from tessera.llm.words import windows, words_of
 
@@ -31,10 +33,10 @@ SIMILARITY = 75  # per cent
 COORDINATES = 48
 #: A pair at the similarity limit falls short of so many collisions once in a million.
 MATCHES = 20
-#: Comparisons with one class that one task makes; more are dealt to several.
-SHARE = 1000
-#: Rounds of one comparison a class before the rest is compared in full.
-ROUNDS = 2
+#: Times that a family joins its hub's own hub: fewer pairs of families to compare.
+HUB_STEPS = 2
+#: Bytes of shingle sets in one block of a family.
+BLOCK_BYTES = 8_000_000
 
 _FACTORS = mix64(np.arange(1, 4097, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
 
@@ -95,13 +97,26 @@ def postings(classes: DataFrame) -> DataFrame:
 
 
 def prefixes(classes: DataFrame, coordinates: int = COORDINATES, matches: int = MATCHES) -> DataFrame:
-    """(key, cid) of the prefix of every class that can have a partner. Pairs that
-    one class alone has come first in the order, so a class with fewer than
-    *matches* shared pairs has no prefix left."""
+    """(key, cid, weight) of the prefix of every class that can have a partner;
+    the weight is the length of all its lists. Pairs that one class alone has come
+    first in the order, so a class with fewer than *matches* shared pairs has no
+    prefix left."""
     posted = postings(classes)
     lists = posted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = posted.join(lists, "key").groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("pairs"))  # at most `coordinates` entries
-    return shared.where(F.size("pairs") >= matches).select("cid", F.explode(F.slice("pairs", 1, F.size("pairs") - matches + 1)).alias("p")).select("p.key", "cid")
+    shared = posted.join(lists, "key").groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("pairs"), F.sum("n").alias("weight"))  # at most `coordinates` entries
+    return shared.where(F.size("pairs") >= matches).select("cid", "weight", F.explode(F.slice("pairs", 1, F.size("pairs") - matches + 1)).alias("p")).select("p.key", "cid", "weight")
+
+
+def families(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((cid, hub) of all classes that share a list, (h1, h2) of hubs to compare)."""
+    best = lists.groupBy("key").agg(F.max(F.struct("weight", "cid")).alias("h"), F.count("*").alias("n")).where("n > 1")
+    hubs = cut(lists.join(best, "key").groupBy("cid").agg(F.max("h").alias("h")).select("cid", F.col("h.cid").alias("hub")), "hubs")
+    for _ in range(HUB_STEPS):
+        up = hubs.select(F.col("cid").alias("hub"), F.col("hub").alias("up"))
+        hubs = cut(hubs.join(up, "hub", "left").select("cid", F.coalesce("up", "hub").alias("hub")), "hubs")
+    of_key = lists.join(hubs, "cid").select("key", "hub").distinct()
+    pairs = of_key.select("key", F.col("hub").alias("h1")).join(of_key.select("key", F.col("hub").alias("h2")), "key").where("h1 <= h2").select("h1", "h2").distinct()
+    return hubs, cut(pairs, "hub_pairs")
 
 
 def sets_of(base: DataFrame, ids: DataFrame, size: int, coordinates: int) -> DataFrame:
@@ -117,73 +132,68 @@ def sets_of(base: DataFrame, ids: DataFrame, size: int, coordinates: int) -> Dat
     return base.join(ids, base.doc_id == ids.cid, "left_semi").mapInArrow(run, "cid long, keys binary, shingles binary")
 
 
-def confirm(pairs: DataFrame, sets: DataFrame, matches: int = MATCHES, similarity: int = SIMILARITY) -> DataFrame:
-    """The pairs (u, v) that collide often enough and whose full sets are alike.
-    Pairs of one v come to a task in shares, each with v's set once."""
-    many = pairs.groupBy("v").agg(F.count("*").alias("n"))
-    dealt = pairs.join(many, "v").select("u", "v", F.pmod(F.xxhash64("u"), 1 + F.floor(F.col("n") / SHARE)).alias("share"))
-    one = dealt.select("v", "share").distinct().join(sets, F.col("v") == F.col("cid")).select("v", "share", F.lit(None).cast("long").alias("u"), "keys", "shingles")
-    rest = dealt.join(sets, F.col("u") == F.col("cid")).select("v", "share", "u", "keys", "shingles")
-    both = one.union(rest).repartition("v", "share").sortWithinPartitions("v", "share", F.col("u").asc_nulls_first())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = shingles = None
-        for batch in batches:
-            us, vs = [], []
-            for v, u, k, s in zip(*(batch.column(c) for c in ("v", "u", "keys", "shingles"))):
-                k, s = np.frombuffer(k.as_buffer(), np.uint64), np.frombuffer(s.as_buffer(), np.uint64)
-                if not u.is_valid:
-                    keys, shingles = k.copy(), s.copy()
-                elif (k == keys).sum() >= matches and alike(s, shingles, similarity):
-                    us.append(u.as_py())
-                    vs.append(v.as_py())
-            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
-
-    return both.mapInArrow(run, "u long, v long")
-
-
-def alike(a: np.ndarray, b: np.ndarray, similarity: int = SIMILARITY) -> bool:
-    """Whether 100 * intersection >= similarity * union of two sorted sets."""
-    if 100 * min(len(a), len(b)) < similarity * max(len(a), len(b)):
-        return False
-    if len(a) > len(b):
-        a, b = b, a
-    both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
-    return 100 * both >= similarity * (len(a) + len(b) - both)
-
-
-def _across(members: DataFrame, sets: DataFrame, matches: int) -> DataFrame:
-    """Pairs of one list that lie in different components and collide often
-    enough; members has key, cid, component."""
-    rows = members.join(sets.select("cid", "keys"), "cid").select("key", "cid", "component", "keys").repartition("key").sortWithinPartitions("key", "cid")
+def compared(hubs: DataFrame, pairs: DataFrame, sets: DataFrame, matches: int = MATCHES, similarity: int = SIMILARITY, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Links (u, v) that connect what is alike among the classes of each pair of
+    hubs: every block of one is compared with every block of the other."""
+    member = hubs.join(sets.select("cid", F.octet_length("shingles").cast("long").alias("size")), "cid")
+    blocks = member.groupBy("hub").agg((1 + F.floor(F.sum("size") / block_bytes)).cast("int").alias("blocks"))
+    member = member.join(blocks, "hub").select("cid", "hub", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int").alias("block"))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    tasks = pairs.join(blocks.select(F.col("hub").alias("h1"), F.col("blocks").alias("n1")), "h1").join(blocks.select(F.col("hub").alias("h2"), F.col("blocks").alias("n2")), "h2")
+    tasks = tasks.withColumn("b1", each("n1")).withColumn("b2", each("n2")).where("h1 != h2 or b1 <= b2").select("h1", "b1", "h2", "b2")
+    left = tasks.select("h1", "b1", "h2", "b2", F.lit(0).alias("side"), F.col("h1").alias("hub"), F.col("b1").alias("block"))
+    right = tasks.where("h1 != h2 or b1 != b2").select("h1", "b1", "h2", "b2", F.lit(1).alias("side"), F.col("h2").alias("hub"), F.col("b2").alias("block"))
+    task = ["h1", "b1", "h2", "b2"]
+    rows = left.union(right).join(member, ["hub", "block"]).join(sets, "cid").select(*task, "side", "cid", "keys", "shingles")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(cid, comp, keys):
-            cid, comp, keys = np.array(cid), np.array(comp), np.stack(keys)
-            for i in range(len(cid) - 1):
-                at = i + 1 + np.flatnonzero(comp[i + 1 :] != comp[i])
-                for j in range(0, len(at), 4096):
-                    some = at[j : j + 4096]
-                    some = some[(keys[some] == keys[i]).sum(1) >= matches]
-                    if len(some):
-                        yield pa.RecordBatch.from_arrays([pa.array(cid[some]), pa.array(np.full(len(some), cid[i]))], ["u", "v"])
-
-        held, key = ([], [], []), None
+        held: list[tuple] = []
+        key = None
         for batch in batches:
-            for k, c, m, s in zip(batch.column("key").to_pylist(), batch.column("cid").to_pylist(), batch.column("component").to_pylist(), batch.column("keys").to_pylist()):
-                if k != key and held[0]:
-                    yield from pairs(*held)
-                    held = ([], [], [])
-                key = k
-                for x, y in zip(held, (c, m, np.frombuffer(s, np.uint64))):
-                    x.append(y)
-        if held[0]:
-            yield from pairs(*held)
-
-    return rows.mapInArrow(run, "u long, v long").distinct()
-
-
-def near_duplicates(docs: DataFrame, size: int = WORDS, similarity: int = SIMILARITY, coordinates: int = COORDINATES, matches: int = MATCHES, rounds: int = ROUNDS) -> DataFrame:
+            for *t, side, cid, k, s in zip(*(batch.column(c).to_pylist() for c in (*task, "side", "cid", "keys", "shingles"))):
+                if t != key and held:
+                    yield _links(held, matches, similarity)
+                    held = []
+                key = t
+                held.append((side, cid, np.frombuffer(k, np.uint64), np.frombuffer(s, np.uint64)))
+        if held:
+            yield _links(held, matches, similarity)
+
+    return rows.repartition(*task).sortWithinPartitions(*task, "side", "cid").mapInArrow(run, "u long, v long")
+
+
+def _links(rows: list[tuple], matches: int, similarity: int) -> pa.RecordBatch:
+    """The links that merge the classes of one task into its components."""
+    side, cid = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.int64)
+    keys = np.stack([r[2] for r in rows])
+    sizes = np.array([len(r[3]) for r in rows], np.int64)
+    starts = np.cumsum(sizes) - sizes
+    names, local = np.unique(np.concatenate([r[3] for r in rows]), return_inverse=True)
+    mark, label = np.zeros(len(names), bool), np.arange(len(rows))
+    two = bool(side[-1])
+    us, vs = [], []
+    for i in range(len(rows)):
+        if two and side[i]:
+            break
+        other = label != label[i]
+        other &= side == 1 if two else np.arange(len(rows)) > i
+        least = np.minimum(sizes, sizes[i]) * 100 >= similarity * np.maximum(sizes, sizes[i])
+        at = np.flatnonzero(other & least)
+        at = at[(keys[at] == keys[i]).sum(1) >= matches]
+        if not len(at):
+            continue
+        mark[local[starts[i] : starts[i] + sizes[i]]] = True
+        both = np.add.reduceat(mark[local[ragged(starts[at], sizes[at])]], np.cumsum(sizes[at]) - sizes[at], dtype=np.int64)
+        mark[local[starts[i] : starts[i] + sizes[i]]] = False
+        for j in at[100 * both >= similarity * (sizes[i] + sizes[at] - both)]:
+            if label[j] != label[i]:
+                us.append(cid[i])
+                vs.append(cid[j])
+                label[label == label[j]] = label[i]
+    return pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
+
+
+def near_duplicates(docs: DataFrame, size: int = WORDS, similarity: int = SIMILARITY, coordinates: int = COORDINATES, matches: int = MATCHES) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row.
 
     Null and empty texts and those without a word have an empty set, are linked
@@ -197,26 +207,9 @@ def near_duplicates(docs: DataFrame, size: int = WORDS, similarity: int = SIMILA
     classes = cut(signed.where("n_shingles > 0 and doc_id is not null").groupBy(*identity).agg(F.min("doc_id").alias("cid"), F.first("keys").alias("keys")), "classes")
     lists = cut(prefixes(classes, coordinates, matches), "lists")
     sets = cut(sets_of(base, lists.select("cid").distinct(), size, coordinates).dropDuplicates(["cid"]), "sets")
-    links = None
-    members = lists.withColumn("component", F.col("cid"))
-    tried = None
-    for turn in range(rounds + 1):
-        several = members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("cid").alias("first"), F.min(F.struct("component", "cid")).alias("lowest"), F.max(F.struct("component", "cid")).alias("highest")).where("low != high")
-        open_lists = members.join(several, "key")
-        if turn < rounds:
-            other = F.when(F.col("component") != F.col("low"), F.col("lowest.cid")).otherwise(F.when(F.lit(turn > 0), F.col("highest.cid")))
-            pairs = open_lists.select(F.col("cid").alias("u"), other.alias("v")).where("v is not null").groupBy("u").agg(F.min("v").alias("v"))
-        else:
-            pairs = _across(open_lists.select("key", "cid", "component"), sets, matches)
-        if tried is not None:
-            pairs = pairs.join(tried, ["u", "v"], "left_anti")
-        pairs = cut(pairs, "pairs")
-        tried = pairs if tried is None else tried.union(pairs)
-        found = cut(confirm(pairs, sets, matches, similarity), "links")
-        links = found if links is None else links.union(found)
-        label = cut(components(links), "components")
-        if turn < rounds:
-            members = cut(lists.join(label, lists.cid == label.id, "left").select("key", "cid", F.coalesce("component", "cid").alias("component")), "members")
+    hubs, pairs = families(lists)
+    links = cut(compared(hubs, pairs, sets, matches, similarity), "links")
+    label = cut(components(links), "components")
     of_class = classes.join(label, classes.cid == label.id, "left").select(*identity, F.coalesce("component", "cid").alias("component_id"))
     out = signed.join(of_class, identity, "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
