@@ -4,6 +4,7 @@ isolation, Arrow slicing and byte hashing."""
 from __future__ import annotations
 
 import atexit
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -14,9 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step looks at, unless one text is longer.
-STEP_BYTES = 4_000_000
+STEP_BYTES = 1_000_000
 #: The same for tokenisation, which gains from segments that recur.
-TOKEN_STEP = 8_000_000
+TOKEN_STEP = 4_000_000
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -87,6 +88,15 @@ def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", nu
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"))
 
 
+def trim() -> None:
+    """Gives freed memory back, as Spark keeps its Python workers for other stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        return
+
+
 def steps(batch: pa.RecordBatch, column: str = "text", limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose texts have about *limit* bytes together."""
     n = batch.num_rows
@@ -100,6 +110,7 @@ def steps(batch: pa.RecordBatch, column: str = "text", limit: int = STEP_BYTES)
         to = max(at + 1, int(np.searchsorted(ends, base + limit, side="right")))
         yield batch.slice(at, to - at)
         at = to
+    trim()
 
 
 def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from tessera.llm.common import ragged
 
 #: Segments that a worker keeps; beyond it the cache starts anew.
-CACHE_SEGMENTS = 800_000
+CACHE_SEGMENTS = 300_000
 
 _SPACE = re.compile(r"[\s\x1c-\x1f\x85]")
 #: Characters whose classes and case are the same in every Unicode version in use.
