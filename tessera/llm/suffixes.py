@@ -15,7 +15,8 @@ merged, and neighbours are compared over LENGTH bytes.
 
 Exact copies of documents, and of strings around one anchor, are reduced to
 their first occurrence before that.  Strings of an anchor with very many
-occurrences are dealt out again by the content of smaller parts of them."""
+occurrences are dealt out again by the content of smaller parts of them, which
+lie in the same way around the anchor in every document."""
 
 from __future__ import annotations
 
@@ -44,13 +45,13 @@ PART = 16
 
 class Anchors:
     """Anchors of all windows of some texts: runs of consecutive windows
-    (first to last, positions in *data*) that have one anchor."""
+    (first to last, positions in *data*) that have one anchor (at)."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, length: int = LENGTH):
         gram = min(GRAM, length)
-        self.length, self.offsets = length, offsets
+        self.length, self.gram, self.offsets = length, gram, offsets
         self.prefix = prefix_hash(BYTE_CODES[data])
-        self.first = self.last = self.doc = np.zeros(0, np.int64)
+        self.first = self.last = self.at = self.doc = np.zeros(0, np.int64)
         self.hash = np.zeros(0, np.uint64)
         n = len(data)
         if n < length:
@@ -73,7 +74,8 @@ class Anchors:
         same[1:-1] = (at[1:] == at[:-1]) & valid[1:-1] & valid[:-2]
         self.first = np.flatnonzero(valid[:-1] & ~same[:-1])
         self.last = np.flatnonzero(valid[:-1] & ~same[1:])
-        self.hash = hashes[at[self.first].astype(np.int64)]
+        self.at = at[self.first].astype(np.int64)
+        self.hash = hashes[self.at]
         self.doc = np.searchsorted(offsets, self.first, side="right") - 1
 
 
@@ -252,17 +254,19 @@ def _strings(hit: DataFrame, length: int) -> DataFrame:
                     own = found.hash[a:b].view(np.int64)
                     i = np.minimum(np.searchsorted(hs, own), len(hs) - 1)
                     ok = hs[i] == own
-                    first, last, key, many = found.first[a:b][ok], found.last[a:b][ok], own[ok], ns[i[ok]]
+                    first, last, at, key, many = found.first[a:b][ok], found.last[a:b][ok], found.at[a:b][ok], own[ok], ns[i[ok]]
                     if (many > HOT).any():
+                        # parts are blocks of distances from window to anchor, which a window alone decides
                         step = np.where(many > HOTTER, 1, np.where(many > HOT, PART, 1 << 40))
-                        pieces = -(-(last - first + 1) // step)
+                        pieces = (at - first) // step - (at - last) // step + 1
                         within = np.concatenate([np.arange(x) for x in pieces])
-                        first, last, key, step = (np.repeat(x, pieces) for x in (first, last, key, step))
-                        first = first + within * np.where(step < 1 << 40, step, 0)
-                        last = np.minimum(last, first + step - 1)
-                        # the bytes that all windows of a part share, and how many there are, name it
-                        core = span_hash(found.prefix, last, first + length)
-                        key = np.where(step < 1 << 40, mix64(core ^ key.view(np.uint64) + (last - first).astype(np.uint64)).view(np.int64), key)
+                        first, last, at, key, step = (np.repeat(x, pieces) for x in (first, last, at, key, step))
+                        block = (at - first) // step - within
+                        near, far = block * step, block * step + step - 1
+                        first, last = np.maximum(first, at - far), np.minimum(last, at - near)
+                        # the bytes that all windows of the block would share, and the block, name it
+                        core = span_hash(found.prefix, at - near, at - np.minimum(far, length - found.gram) + length)
+                        key = np.where(step < 1 << 40, mix64(core ^ key.view(np.uint64) + block.astype(np.uint64)).view(np.int64), key)
                     rows.append((np.full(len(first), d), key, span_hash(found.prefix, first, last + length), first, last))
                 d, key, c, first, last = (np.concatenate(x) for x in zip(*rows))
                 cols = [key, int64(c), doc_id[d], tkey[d], first - offsets[d], last - first + 1]
@@ -306,8 +310,8 @@ def _sorted_groups(strings: DataFrame, length: int) -> DataFrame:
             new = np.ones(len(pos), bool)
             new[1:] = (which[1:] != which[:-1]) | (pos[1:] != pos[:-1] + 1)
             a = np.flatnonzero(new)
-            b = np.append(a[1:], len(pos)) - 1
-            return pa.RecordBatch.from_arrays([pa.array(doc_id[which[a]]), pa.array(tkey[which[a]]), pa.array(pos[a]), pa.array(pos[b] + length if len(b) else pos[b])], ["doc_id", "tkey", "start", "end"])
+            b = np.append(a[1:], len(pos))[: len(a)] - 1  # none if no window is repeated
+            return pa.RecordBatch.from_arrays([pa.array(doc_id[which[a]]), pa.array(tkey[which[a]]), pa.array(pos[a]), pa.array(pos[b] + length)], ["doc_id", "tkey", "start", "end"])
 
         rows, size, key = [], 0, None
         for batch in batches:

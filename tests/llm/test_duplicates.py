@@ -46,6 +46,22 @@ def test_repeats_equal_brute_force(spark, monkeypatch, hot):
     assert removed(spark.createDataFrame(rows, "doc_id long, text string"), 10) == cases.without_repeats(rows, 10)
 
 
+@pytest.mark.parametrize("hotter", [8, 1_000_000])
+def test_hot_passages_in_other_contexts_equal_brute_force(spark, monkeypatch, hotter):
+    for name, value in (("HOT", 3), ("HOTTER", hotter)):
+        monkeypatch.setattr(suffixes, name, value)
+    rng = random.Random(6)
+    noise = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    passages = [noise(n) for n in (100, 101, 120, 170, 400)]
+    rows = []
+    for i in range(60):
+        p = passages[i % 5]
+        at = rng.randrange(len(p))
+        edited = p[:at] + noise(1) + p[at + 1 :] if i % 3 == 2 else p
+        rows.append((i, noise(rng.randrange(200)) + edited + noise(rng.randrange(200))))
+    assert removed(spark.createDataFrame(rows, "doc_id long, text string"), 100) == cases.without_repeats(rows, 100)
+
+
 def test_repeats_of_odd_tables(spark):
     rows = [(r[0], r[1]) for r in cases.odd_rows()]
     got = removed(cases.odd_docs(spark), 100)
