@@ -138,6 +138,13 @@ def run_snippet(code: str, seconds: float) -> tuple[bool, str, str]:
     return run.returncode == 0, run.stdout, error
 
 
+def _dealt(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows by key in a set number of tasks: by their few bytes alone, adaptive
+    execution would run all their programs in one."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *keys)
+
+
 def scored(df: DataFrame, keys: list[str], seconds: float = 1.0, max_tests: int = 15) -> DataFrame:
     """(keys, final_reward, n_passed, n_tests, n_timeouts) of rows with verdict,
     code, fn_name and tests. Only rows to execute reach Python; the others have
@@ -155,7 +162,7 @@ def scored(df: DataFrame, keys: list[str], seconds: float = 1.0, max_tests: int
     todo = df.where(F.col("verdict") == "execute").select(*keys, "code", "fn_name", F.col("tests.inputs").alias("inputs"), F.col("tests.outputs").alias("outputs"))
     zero = F.lit(0).cast("long")
     rest = df.where(F.col("verdict") != "execute").select(*keys, F.lit(0.0).alias("final_reward"), zero.alias("n_passed"), zero.alias("n_tests"), zero.alias("n_timeouts"))
-    return todo.repartition(*keys).mapInPandas(run, schema).unionByName(rest)
+    return _dealt(todo, keys).mapInPandas(run, schema).unionByName(rest)
 
 
 def interacted(df: DataFrame, keys: list[str], code: str = "interact_code", seconds: float = 5.0) -> DataFrame:
@@ -167,4 +174,4 @@ def interacted(df: DataFrame, keys: list[str], code: str = "interact_code", seco
             rows = [[*(r[k] for k in keys), *run_snippet(r[code], seconds)] for r in f.to_dict("records")]
             yield pd.DataFrame(rows, columns=schema.fieldNames())
 
-    return df.select(*keys, code).repartition(*keys).mapInPandas(run, schema)
+    return _dealt(df.select(*keys, code), keys).mapInPandas(run, schema)

@@ -21,10 +21,12 @@ def _workspace(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/tessera/{name}-{uuid.uuid4().hex}"
 
 
-def problems(spark: SparkSession, d: str, n: int = 12) -> DataFrame:
-    """Small tasks made of parts: add a part's size to a number, as a program or
-    as a function."""
-    p = table(spark, d, "part").orderBy("p_partkey").limit(n)
+def problems(spark: SparkSession, d: str, n: int | None = None) -> DataFrame:
+    """Small tasks made of parts, the first *n* or all: add a part's size to a
+    number, as a program or as a function."""
+    p = table(spark, d, "part")
+    if n is not None:
+        p = p.orderBy("p_partkey").limit(n)
     size = F.col("p_size")
     inputs = F.array(*[F.lit(str(x)) for x in (1, 5, 12)])
     outputs = F.array(*[(size + x).cast("string") for x in (1, 5, 12)])
@@ -59,7 +61,7 @@ def harness_score(spark, d):
 
 @query()
 def rollout_loop(spark, d):
-    return loops.multi_turn(spark, problems(spark, d, 6), _workspace(spark, "rollout"), scripted, 2, 3).drop("transcript")
+    return loops.multi_turn(spark, problems(spark, d), _workspace(spark, "rollout"), scripted, 2, 3).drop("transcript")
 
 
 @query()
@@ -67,19 +69,19 @@ def rsa_loop(spark, d):
     def score(df: DataFrame) -> DataFrame:
         return df.withColumn("final_reward", F.when(F.length("response") % 2 == 0, 1.0).otherwise(0.0))
 
-    return loops.aggregated(spark, problems(spark, d, 6), _workspace(spark, "aggregation"), scripted, score).drop("response")
+    return loops.aggregated(spark, problems(spark, d), _workspace(spark, "aggregation"), scripted, score).drop("response")
 
 
 @query()
 def budget_loop(spark, d):
-    return loops.budget_forced(spark, problems(spark, d, 6), _workspace(spark, "budget"), scripted, 3, 12)
+    return loops.budget_forced(spark, problems(spark, d), _workspace(spark, "budget"), scripted, 3, 12)
 
 
 @query("SELECT 0 AS n_different")
 def resume_equal(spark, d):
     """A run that is started again on its own phases gives the same table."""
     root = _workspace(spark, "resume")
-    first, second = (loops.multi_turn(spark, problems(spark, d, 4), root, scripted, 2, 3) for _ in range(2))
+    first, second = (loops.multi_turn(spark, problems(spark, d), root, scripted, 2, 3) for _ in range(2))
     return first.exceptAll(second).unionByName(second.exceptAll(first)).agg(F.count("*").cast("int").alias("n_different"))
 
 

@@ -31,6 +31,12 @@ def test_query_runs(spark, name):
     assert df.count() > 0 and len(set(df.columns)) == len(df.columns)
 
 
+@pytest.mark.parametrize("name", ["harness_score", "rollout_loop", "rsa_loop", "budget_loop"])
+def test_programs_take_every_part(spark, duck, name):
+    got = {r[0] for r in registry.QUERIES[name](spark, DATA).select("problem_id").distinct().collect()}
+    assert got == {r[0] for r in duck.sql("SELECT p_partkey FROM part").fetchall()}
+
+
 def test_entry_imports():
     import __spark_entry__ as e
 
