@@ -292,13 +292,19 @@ def summary(docs: DataFrame) -> DataFrame:
 
 
 def mask(found: DataFrame, text_col: str = "text") -> DataFrame:
-    """Replaces every span of ``spans`` in the text by its kind in brackets; of
-    spans that overlap, the first that starts. Drops ``spans``."""
+    """Replaces every span of ``spans`` in the text by its kind in brackets; spans
+    that overlap are replaced as a whole, by the kind of the first that starts.
+    Drops ``spans``."""
     merged = F.array_sort(F.col("spans"))
+    span = lambda s, end: F.struct(s["start"].alias("start"), end.alias("end"), s["kind"].alias("kind"))
+    grown = lambda kept, s: F.concat(F.slice(kept, F.lit(1), F.size(kept) - 1), F.array(span(F.element_at(kept, -1), F.greatest(F.element_at(kept, -1)["end"], s["end"]))))
     apart = F.aggregate(
         merged,
         F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<start:int,end:int,kind:string>>").alias("kept")),
-        lambda acc, s: F.when(s["start"] < acc["end"], acc).otherwise(F.struct(s["end"].alias("end"), F.array_append(acc["kept"], F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))).alias("kept"))),
+        lambda acc, s: F.struct(
+            F.greatest(acc["end"], s["end"]).alias("end"),
+            F.when(s["start"] < acc["end"], grown(acc["kept"], s)).otherwise(F.array_append(acc["kept"], span(s, s["end"]))).alias("kept"),
+        ),
     )["kept"]
     df = found.withColumn("__apart", apart)
     t, n = F.col(f"`{text_col}`"), F.size("__apart")

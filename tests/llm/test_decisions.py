@@ -53,6 +53,18 @@ def test_more_spans_and_masks(spark):
     assert "[PHONE]" in text[1] and "4567" not in text[1] and text[2] == "nothing here" and text[3] is None
 
 
+def test_masks_cover_overlapping_spans(spark):
+    kinds = "doc_id long, text string, spans array<struct<start:int,end:int,kind:string,base:boolean>>"
+    rows = [
+        (1, "+12345678901@x.com is it", [(0, 18, "email", True), (0, 12, "phone", True)]),
+        (2, "a 4111 1111 1111 1111.0.0.1 b", [(2, 21, "card", True), (17, 27, "ip", True)]),
+        (3, "abcdefghij", [(1, 8, "email", True), (2, 4, "ip", True), (7, 9, "phone", True), (9, 10, "card", True)]),
+        (4, "none", []),
+    ]
+    got = {r["doc_id"]: r["text"] for r in pii.mask(spark.createDataFrame(rows, kinds)).collect()}
+    assert got == {1: "[PHONE] is it", 2: "a [CARD] b", 3: "a[EMAIL][CARD]", 4: "none"}
+
+
 def test_reliabilities_trust_the_agreeing_labelers():
     counts = [("a", "1,1,1,1,1", 80), ("a", "-1,-1,-1,1,-1", 100), ("a", "1,1,1,-1,1", 60)]
     post = pii.reliabilities(counts)
