@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.numbers import rounded
 from tessera.operators.prefix import ordinals
+from tessera.storage import cut
 
 
 def common_problems(a: DataFrame, b: DataFrame, problem: str = "problem_id") -> DataFrame:
@@ -60,16 +61,21 @@ def id_extents(df: DataFrame) -> DataFrame:
 
 def numbered(df: DataFrame, order: Sequence[str], name: str, parts: int | None = None) -> DataFrame:
     """Adds the position of each row in a total order, from 0, without bringing
-    the rows to one task: ranges of the order are numbered apart, and start from
-    the sizes of those before them, a number for each range."""
+    the rows to one task.
+
+    Ranges of the order are sorted and written once, each row with its range and
+    its place there; what is read back alone decides, so ranges that another
+    sample would draw elsewhere can't mix. A range starts where the sizes of those
+    before it end, a number for each range. Rows that tie take any order among
+    themselves; an empty table gives an empty one."""
     parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # a stated number of ranges is not coalesced, so both uses see the same ones
-    ranged = df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id())
-    sizes = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
-    before = sizes.withColumn("__before", F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).drop("__n")
-    within = ranged.withColumn("__row", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
-    joined = within.join(F.broadcast(before), "__part")
-    return joined.withColumn(name, (F.col("__before") + F.col("__row") - 1).cast("long")).drop("__part", "__row", "__before")
+    # a stated number of ranges is not coalesced; the id holds the range above its 33rd bit
+    ranged = cut(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()), name)
+    part, row = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = ranged.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
+    before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
+    joined = ranged.withColumn("__part", part).join(F.broadcast(before), "__part")  # a row for each range
+    return joined.withColumn(name, (F.col("__before") + row).cast("long")).drop("__part", "__at", "__before")
 
 
 def hardest(df: DataFrame, samples: int = 320, also_in: DataFrame | None = None, digits: int = 8) -> DataFrame:
@@ -120,8 +126,8 @@ def in_half_open(c: Column, start: str, end: str) -> Column:
 
 def positional(df: DataFrame, order: str, start: int, count: int | None) -> DataFrame:
     """Rows start.. of a stated order, clipped to what is there."""
-    df = df.orderBy(order).offset(start)
-    return df if count is None else df.limit(count)
+    placed = numbered(df, [order], "__pos").where(F.col("__pos") >= start)
+    return (placed if count is None else placed.where(F.col("__pos") < start + count)).drop("__pos")
 
 
 def exactly_one(df: DataFrame, condition: Column) -> DataFrame:

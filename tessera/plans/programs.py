@@ -12,13 +12,13 @@ from tessera.operators import harness, loops, scores
 from tessera.plans.registry import query
 from tessera.schemas import TESTS
 from tessera.sources.tables import table
+from tessera.storage import shared_path
 from tessera.streaming import events
 
 
 def _workspace(spark: SparkSession, name: str) -> str:
     """A fresh folder that driver and executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    return f"{root.rstrip('/')}/tessera/{name}-{uuid.uuid4().hex}"
+    return shared_path(spark, name)
 
 
 def problems(spark: SparkSession, d: str, n: int | None = None) -> DataFrame:

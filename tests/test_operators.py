@@ -277,3 +277,16 @@ def test_budget_counts_extensions(spark, tmp_path):
     df = spark.createDataFrame([(1, "q")], "problem_id long, question string")
     r = loops.budget_forced(spark, df, str(tmp_path), lambda p, s: p.map(lambda x: "a b c"), 3, 4, shared_budget=True).first()
     assert (r["num_extensions"], r["total_tokens"], r["response"]) == (2, 4, "a b c Waita Wait")
+
+
+def test_positions_of_many_rows_as_written(spark, tmp_path):
+    """Extra columns, and far more rows than a range's sample has."""
+    rows = spark.range(400_000).select((F.col("id") * 7919 % 400_009).alias("k"), F.xxhash64("id").alias("other"), F.format_string("row %d", "id").alias("text"))
+    datasets.numbered(rows, ["k"], "pos", 64).write.parquet(str(tmp_path / "p"))
+    got = spark.read.parquet(str(tmp_path / "p"))
+    assert tuple(got.agg(F.count("*"), F.countDistinct("pos"), F.min("pos"), F.max("pos")).first()) == (400_000, 400_000, 0, 399_999)
+    by_key = got.where("k < 50").orderBy("k").collect()
+    assert [r["pos"] for r in by_key] == sorted(r["pos"] for r in by_key)
+    sizes = datasets.batches(rows.select("k", "text"), "k", 32).groupBy("batch").count()
+    assert sizes.where("count != 32").count() == 0 and sizes.count() == 12_500
+    assert datasets.numbered(rows.limit(0), ["k"], "pos").count() == 0
