@@ -1,9 +1,8 @@
-"""Helpers that the training-data operators share: shared storage, column
-isolation, Arrow slicing and byte hashing."""
+"""Helpers that the training-data operators share: frames in the shared folder,
+column isolation, Arrow slicing, names of contents and byte hashing."""
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import uuid
 from collections.abc import Iterator
@@ -11,72 +10,56 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.storage import cut, forget, hadoop_path, shared_path, shared_root, written
+
+__all__ = ["cut", "forget", "hadoop_path", "shared_path", "shared_root", "written"]
+
 #: Bytes of text that one vectorised step looks at, unless one text is longer.
 STEP_BYTES = 1_000_000
 #: The same for tokenisation, which gains from segments that recur.
 TOKEN_STEP = 4_000_000
 
-_written: list[tuple[SparkSession, str]] = []
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is the one that the cluster names in ``spark.checkpoint.dir``; only
-    where that is unset (local tests) a folder of our own is used."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "/tmp/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def shared_path(spark: SparkSession, what: str) -> str:
-    """A fresh path below the shared folder, removed when the driver ends."""
-    path = f"{shared_root(spark)}/tessera/{uuid.uuid4().hex}/{what}"
-    if not _written:
-        atexit.register(_clean)
-    _written.append((spark, path))
-    return path
-
 
-def hadoop_path(spark: SparkSession, path: str):
-    """(FileSystem, Path) of the cluster's own file layer."""
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+class Placed:
+    """A frame that is written once, dealt out by keys, as a table in the shared
+    folder; later joins on all the keys move only their other side."""
 
+    def __init__(self, df: DataFrame, what: str, *keys: str):
+        self.spark: SparkSession = df.sparkSession
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.name, self.path = f"{what}_{uuid.uuid4().hex}", shared_path(self.spark, what)
+        df.repartition(n, *keys).write.format("parquet").option("path", self.path).bucketBy(n, *keys).saveAsTable(self.name)
+        self.df = self.spark.table(self.name)
 
-def _clean() -> None:
-    for spark, path in _written:
-        try:
-            fs, p = hadoop_path(spark, path.rpartition("/")[0])
-            fs.delete(p, True)
-        except Exception:  # noqa: BLE001  the session has gone; the folder's owner cleans up
-            return
+    def drop(self) -> None:
+        """Takes the table off the catalog and deletes its files."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        forget(self.path)
 
 
-def cut(df: DataFrame, what: str) -> DataFrame:
-    """Writes a frame to the shared folder and reads it back: a lost executor
-    costs a re-read, not a recomputation, and plans stay short."""
-    path = shared_path(df.sparkSession, what)
-    df.write.parquet(path)
-    df.sparkSession._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files that led here
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def placed(df: DataFrame, what: str, *keys: str) -> DataFrame:
-    """Writes a frame once, dealt out by *keys*, as a table in the shared folder;
-    later joins on all the keys move only their other side."""
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows by keys in a set number of tasks: by their bytes alone, adaptive
+    execution would give few tasks all the work that is done on them."""
     spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name = f"{what}_{uuid.uuid4().hex}"
-    df.repartition(n, *keys).write.format("parquet").option("path", shared_path(spark, what)).bucketBy(n, *keys).saveAsTable(name)
-    spark._jvm.System.gc()
-    return spark.table(name)
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with as many underscores before each as keep them off the
+    frame's own columns (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", null_text: str | None = "") -> DataFrame:
@@ -144,7 +127,30 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-#: A 64-bit value for each byte, and an odd base: window hashes are taken of these.
+#: Bytes of a span that are hashed eight at a time; a longer one is hashed by itself.
+SHORT = 32
+
+
+def content_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the whole content of each span [start, end) of *data*."""
+    padded = np.concatenate([data, np.zeros(SHORT, np.uint8)])
+    words = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))  # eight bytes from each place
+    size = ends - starts
+    out = mix64(size.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    at = np.arange(len(size))
+    for k in range(0, SHORT, 8):
+        at = at[size[at] > k]
+        keep = np.minimum(size[at] - k, 8).astype(np.uint64)
+        out[at] = mix64(out[at] ^ words[starts[at] + k] & (~np.uint64(0) >> (np.uint64(64) - np.uint64(8) * keep)))
+    view = memoryview(padded)
+    for i in at[size[at] > SHORT].tolist():
+        out[i] = xxhash.xxh3_64_intdigest(view[starts[i] : ends[i]])
+    return out
+
+
+#: A 64-bit value for each byte, and an odd base: hashes of short windows are taken
+#: of these. Modulo a power of two, some long strings of two letters collide, so
+#: these hashes place and sample; none of them decides that contents are equal.
 BYTE_CODES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 BASE = 0x5851F42D4C957F2D
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -169,10 +175,5 @@ def prefix_hash(codes: np.ndarray) -> np.ndarray:
     return out
 
 
-def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of each span [start, end) that depends on its content alone."""
-    return mix64((prefix[ends] - prefix[starts]) * powers(int(len(prefix)) + 1, INVERSE)[starts] + (ends - starts).astype(np.uint64))
-
-
 def int64(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64)

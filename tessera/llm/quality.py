@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, span_hash, steps
+from tessera.llm.common import content_hashes, cut, steps
 from tessera.llm.words import within, windows, words_of
 
 SYMBOLS = b"#*$%&|<>"
@@ -51,7 +51,7 @@ def measure(texts: pa.Array) -> dict[str, np.ndarray]:
     doc = np.searchsorted(offsets, starts, side="right") - 1
     has = np.searchsorted(w.starts, starts) < np.searchsorted(w.starts, ends)
     starts, ends, doc = starts[has], ends[has], doc[has]
-    keys = within(span_hash(w.prefix, starts, ends), doc)
+    keys = within(content_hashes(data, starts, ends), doc)
     _, first = np.unique(keys, return_index=True)
     out["n_lines"] = np.bincount(doc, minlength=n)
     out["n_dup_lines"] = out["n_lines"] - np.bincount(doc[first], minlength=n)
@@ -105,7 +105,7 @@ def host_rates(measured: DataFrame, host: str = "source") -> DataFrame:
     shrunk. Without any such spread, a host has the common rate."""
     failed = (base_failed() | (strikes() > 0)).cast("long")
     hosts = measured.where(F.col(host).isNotNull()).groupBy(host).agg(F.count("*").alias("host_docs"), F.sum(failed).alias("host_failures"))
-    n, x = F.col("host_docs"), F.col("host_failures")
+    n, x = F.col("host_docs").cast("double"), F.col("host_failures").cast("double")
     m = hosts.agg(F.sum(n).alias("n"), F.sum(x).alias("x"), F.count("*").alias("k"), F.sum(n * n).alias("nn"), F.sum(x * x / n).alias("rx")).first()
     weight, mean = 0.0, 0.0
     if m["n"]:
@@ -129,7 +129,9 @@ def judge(docs: DataFrame, host: str = "source", text_col: str = "text", host_ra
     whatever its host."""
     made = ("base_failed", "strikes", "host_rate", "host_docs", "host_failures", "kept")
     measured = cut(with_measures(docs.drop(*[c for c in made if c in docs.columns]), text_col), "measures")
-    hosts = host_rates(measured, host).select(host, "host_rate")
+    # written, so that the join is planned on the size that hosts have: broadcast if
+    # they are few, else by sorting, where the parts of a large host are split
+    hosts = cut(host_rates(measured, host).select(host, "host_rate"), "hosts")
     joined = measured.join(hosts, host, "left")
     distrusted = F.coalesce(F.col("host_rate") > host_rate, F.lit(False))
     keep = [c for c in measured.columns]

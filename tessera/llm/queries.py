@@ -17,7 +17,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixes.suffix_dedup(_documents(spark, sf_dir)).drop("kept_text")
+    return suffixes.suffix_dedup(_documents(spark, sf_dir), with_text=False)
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

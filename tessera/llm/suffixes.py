@@ -13,8 +13,8 @@ sorted by recursion until they span LENGTH bytes, the remaining suffixes are
 sorted by their first byte and the name that follows, the two orders are
 merged, and neighbours are compared over LENGTH bytes.
 
-Exact copies of documents, and of strings around one anchor, are reduced to
-their first occurrence before that.  Strings of an anchor with very many
+Exact copies of documents (by SHA-256), and of strings around one anchor (by 128
+bits of their content), are reduced to their first occurrence before that.  Strings of an anchor with very many
 occurrences are dealt out again by the content of smaller parts of them, which
 lie in the same way around the anchor in every document."""
 
@@ -25,17 +25,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import BYTE_CODES, INVERSE, bytes_of, cut, int64, mix64, placed, powers, prefix_hash, span_hash, steps, texts_of
+from tessera.llm.common import BYTE_CODES, INVERSE, Placed, bytes_of, cut, dealt, int64, mix64, powers, prefix_hash, steps, texts_of
 
 LENGTH = 100
 GRAM = 32
 #: Symbols that one suffix sort takes, unless one anchor has more.
 BLOCK = 1_500_000
-#: Occurrences of an anchor beyond which its strings are dealt out in parts, and
-#: beyond which in single windows.
+#: Occurrences of an anchor beyond which its strings are dealt out in parts, so that
+#: no task gets them all, and beyond which in single windows, whose 128-bit names
+#: bring equal ones together without any group in memory.
 HOT, HOTTER = 20_000, 1_000_000
 PART = 16
 
@@ -228,19 +230,19 @@ def spans_of(starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     return a, starts[np.concatenate([gap - 1, [len(starts) - 1]])] + length
 
 
-_STRINGS = "key long, c long, doc_id long, tkey long, start long, windows long"
+_STRINGS = "key long, c long, e long, doc_id long, tkey long, start long, windows long"
 _SPANS = "doc_id long, tkey long, start long, end long"
 
 
 def _strings(hit: DataFrame, length: int) -> DataFrame:
-    """The strings around repeated anchors: where they lie, and their name (key
-    and hash of the content)."""
+    """The strings around repeated anchors: where they lie, and their name (key,
+    and c and e: 128 bits of their content)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in steps(batch):
                 data, offsets = bytes_of(part.column("text"))
-                found = Anchors(data, offsets, length)
+                found, view = Anchors(data, offsets, length), memoryview(data)
                 doc_id = part.column("doc_id").to_numpy(zero_copy_only=False)
                 tkey = part.column("tkey").to_numpy(zero_copy_only=False)
                 bounds = np.searchsorted(found.doc, np.arange(part.num_rows + 1))
@@ -265,11 +267,16 @@ def _strings(hit: DataFrame, length: int) -> DataFrame:
                         near, far = block * step, block * step + step - 1
                         first, last = np.maximum(first, at - far), np.minimum(last, at - near)
                         # the bytes that all windows of the block would share, and the block, name it
-                        core = span_hash(found.prefix, at - near, at - np.minimum(far, length - found.gram) + length)
-                        key = np.where(step < 1 << 40, mix64(core ^ key.view(np.uint64) + block.astype(np.uint64)).view(np.int64), key)
-                    rows.append((np.full(len(first), d), key, span_hash(found.prefix, first, last + length), first, last))
-                d, key, c, first, last = (np.concatenate(x) for x in zip(*rows))
-                cols = [key, int64(c), doc_id[d], tkey[d], first - offsets[d], last - first + 1]
+                        split = np.flatnonzero(step < 1 << 40)
+                        a, b = (at - near)[split], (at - np.minimum(far, length - found.gram) + length)[split]
+                        core = np.fromiter((xxhash.xxh3_64_intdigest(view[x:y]) for x, y in zip(a.tolist(), b.tolist())), np.uint64, len(split))
+                        key = key.copy()
+                        key[split] = mix64(core ^ key[split].view(np.uint64) + block[split].astype(np.uint64)).view(np.int64)
+                    rows.append((np.full(len(first), d), key, first, last))
+                d, key, first, last = (np.concatenate(x) for x in zip(*rows))
+                named = b"".join(xxhash.xxh3_128_digest(view[a:b]) for a, b in zip(first.tolist(), (last + length).tolist()))
+                c, e = np.frombuffer(named, "<i8").reshape(-1, 2).T
+                cols = [key, c, e, doc_id[d], tkey[d], first - offsets[d], last - first + 1]
                 yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in cols], [x.split()[0] for x in _STRINGS.split(", ")])
 
     return hit.mapInArrow(run, _STRINGS)
@@ -325,39 +332,57 @@ def _sorted_groups(strings: DataFrame, length: int) -> DataFrame:
         if rows:
             yield flush(rows)
 
-    dealt = strings.select("key", "doc_id", "tkey", "start", "content").repartition("key").sortWithinPartitions("key", "doc_id", "start")
-    return dealt.mapInArrow(run, _SPANS)
+    rows = dealt(strings.select("key", "doc_id", "tkey", "start", "content"), "key").sortWithinPartitions("key", "doc_id", "start")
+    return rows.mapInArrow(run, _SPANS)
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
-    """(light, changed): *light* has doc_id, tkey, n_bytes, sha256 and is_copy of
-    every row; *changed* has doc_id, tkey, text and spans (merged, of bytes) of
-    the documents with repeats that are not exact copies of earlier ones."""
+def _found(docs: DataFrame, length: int) -> tuple[DataFrame, Placed, DataFrame]:
+    """(light, the texts, the merged spans of documents with repeats)."""
     base = texts_of(docs).withColumn("tkey", F.xxhash64("text"))
     light = cut(base.select("doc_id", "tkey", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha256")), "light")
     # each text of a document once, where all later joins find it
-    texts = placed(base.dropDuplicates(["doc_id", "tkey"]) if light.count() > light.select("doc_id", "tkey").distinct().count() else base, "texts", "doc_id", "tkey")
-    first = light.groupBy("sha256").agg(F.min("doc_id").alias("first_id"))
+    texts = Placed(base.dropDuplicates(["doc_id", "tkey"]) if light.count() > light.select("doc_id", "tkey").distinct().count() else base, "texts", "doc_id", "tkey")
+    # what is joined with is written first: a join that has nothing but its inputs in
+    # its stage can be split where one key has very many rows
+    first = cut(light.groupBy("sha256").agg(F.min("doc_id").alias("first_id")), "first")
     light = cut(light.join(first, "sha256").withColumn("is_copy", F.coalesce(F.col("doc_id") > F.col("first_id"), F.lit(False))), "light")
-    anchors = anchor_hashes(base, length)
-    repeated = anchors.groupBy("hash").agg(F.count("*").alias("n"), F.min("tkey").alias("a"), F.max("tkey").alias("b"), F.max("times").alias("t")).where("a != b or t > 1").select("hash", "n")
+    anchors = cut(anchor_hashes(base, length), "anchors")
+    repeated = cut(anchors.groupBy("hash").agg(F.count("*").alias("n"), F.min("tkey").alias("a"), F.max("tkey").alias("b"), F.max("times").alias("t")).where("a != b or t > 1").select("hash", "n"), "repeated")
     originals = light.where("not is_copy").select("doc_id", "tkey").distinct()
     hits = anchors.join(repeated, "hash").select("tkey", "hash", "n").distinct().groupBy("tkey").agg(F.collect_list("hash").alias("hashes"), F.collect_list("n").alias("counts"))  # at most the anchors of one text
     hits = cut(hits, "hits").join(originals, "tkey")
     keys = ["doc_id", "tkey"]
-    strings = cut(_strings(texts.join(hits, keys), length), "strings")
-    name = ["key", "c"]
-    firsts = strings.groupBy(*name).agg(F.min(F.struct("doc_id", "start")).alias("f"))
+    strings = cut(_strings(texts.df.join(hits, keys), length), "strings")
+    name = ["key", "c", "e"]
+    firsts = cut(strings.groupBy(*name).agg(F.min(F.struct("doc_id", "start")).alias("f")), "firsts")
     marked = strings.join(firsts, name)
     here = (F.col("doc_id") == F.col("f.doc_id")) & (F.col("start") == F.col("f.start"))
     marked = cut(marked.select("key", *keys, "start", "windows", here.alias("here")), "marked")
     later = marked.where("not here").select(*keys, "start", (F.col("start") + F.col("windows") - 1 + length).alias("end"))
     distinct = marked.where("here")
-    several = distinct.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
+    several = cut(distinct.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key"), "several")
     wanted = distinct.join(several, "key", "left_semi").groupBy(*keys).agg(F.collect_list(F.struct("key", "start", "windows")).alias("strings"))  # at most the anchors of one text
-    spans = later.union(_sorted_groups(_contents(texts.join(wanted, keys), length), length))
+    spans = later.union(_sorted_groups(_contents(texts.df.join(wanted, keys), length), length))
     merged = spans.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))  # at most the anchors of one text
-    return light, texts.join(cut(merged, "spans"), keys)
+    return light, texts, cut(merged, "spans")
+
+
+def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
+    """(light, changed): *light* has doc_id, tkey, n_bytes, sha256 and is_copy of
+    every row; *changed* has doc_id, tkey, text and spans (merged, of bytes) of
+    the documents with repeats that are not exact copies of earlier ones."""
+    light, texts, spans = _found(docs, length)
+    return light, texts.df.join(spans, ["doc_id", "tkey"])
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(light, removed), both written: as repeated_spans and remove_spans give them;
+    the table of texts that they came from is gone."""
+    light, texts, spans = _found(docs, length)
+    removed = remove_spans(texts.df.join(spans, ["doc_id", "tkey"]))
+    removed = cut(removed if with_text else removed.drop("kept_text"), "removed")
+    texts.drop()
+    return light, removed
 
 
 def remove_spans(changed: DataFrame) -> DataFrame:
@@ -388,23 +413,23 @@ def remove_spans(changed: DataFrame) -> DataFrame:
     return changed.mapInArrow(run, "doc_id long, tkey long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
 
 
-def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row, and
-    kept_text where something but not all was removed (else null).
+def suffix_dedup(docs: DataFrame, length: int = LENGTH, with_text: bool = True) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row, and (with
+    *with_text*) kept_text where something but not all was removed (else null).
 
     Null and empty texts have no bytes. Texts are UTF-8 bytes, so a removed run
     may cut a character. Rows that repeat a doc_id are judged by their place in
     it: equal rows don't make each other repeats. Rows without a doc_id stay whole
-    and make nothing a repeat. An empty table gives an empty one."""
-    light, changed = repeated_spans(docs, length)
-    removed = remove_spans(changed)
+    and make nothing a repeat. An empty table gives an empty one; other columns
+    are ignored."""
+    light, removed = without_repeats(docs, length, with_text)
     out = light.join(removed, ["doc_id", "tkey"], "left")
     whole = F.col("is_copy") & (F.col("n_bytes") >= length)
-    return out.select(
+    made = [
         "doc_id",
         "n_bytes",
         F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(whole, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(whole, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", "sha256")).alias("kept_sha256"),
-        F.when(~whole, F.col("kept_text")).alias("kept_text"),
-    )
+    ]
+    return out.select(*made, *([F.when(~whole, F.col("kept_text")).alias("kept_text")] if with_text else []))

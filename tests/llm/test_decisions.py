@@ -3,12 +3,13 @@
 import hashlib
 import zlib
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import langid, minhash, pii, quality, sharding
+from tessera.llm import langid, minhash, pii, quality, segments, sharding
 from tests.llm import cases
 
 
@@ -137,13 +138,17 @@ def test_shards_of_nothing(spark, tmp_path):
 
 
 def test_pipeline_by_brute_force(spark):
-    docs = cases.odd_docs(spark).select("doc_id", "text", "lang", "source", "n_chars")
+    """With columns that have the names that operators use themselves."""
+    docs = cases.odd_docs(spark).withColumns({c: F.lit(f"own {c}") for c in ("__t", "kept_text", "tkey", "__key", "row", "a", "cid", "sequence_id")}).withColumn("key", F.col("doc_id"))
     columns, kept = docs.columns, {}
+    own = [c for c in columns if c not in ("text", "n_chars")]
+    before = {r["doc_id"]: tuple(r[c] for c in own) for r in docs.collect()}
     for name, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, "")
         kept[name] = docs.collect()
         if name != "packed_sequences":
             assert docs.columns == columns
+            assert all(tuple(r[c] for c in own) == before[r["doc_id"]] for r in kept[name])
     ids = lambda name: {r["doc_id"] for r in kept[name]}
     fails = {r[0] for r in cases.odd_rows() for m in [cases.measures(r[1])] if m[0] < 10 or 100 * m[4] > 20 * m[0]}
     assert ids("quality_rules") == {r[0] for r in cases.odd_rows()} - fails
@@ -154,7 +159,13 @@ def test_pipeline_by_brute_force(spark):
     assert {r["doc_id"]: len(r["text"].encode()) for r in kept["repeated_passages"]} == sizes
     masked = {r["doc_id"]: r["text"] for r in kept["personal_data"]}
     assert "me@home.org" not in masked.get(15, "") and all(r["n_chars"] == len(r["text"]) for r in kept["personal_data"])
-    assert ids("packed_sequences") == ids("personal_data")
+    lib = segments.BytePairs().library
+    ids_of = {d: lib.encode(t, add_special_tokens=False).ids + [0] for d, t in masked.items()}
+    packed = sorted(kept["packed_sequences"], key=lambda r: (r["doc_id"], r["piece"]))
+    assert ids("packed_sequences") == ids("personal_data") and all(r["length"] <= 2048 for r in packed)
+    for r in packed:
+        assert r["ids_crc32"] == zlib.crc32(np.array(ids_of[r["doc_id"]][r["start"] : r["start"] + r["length"]], "<u4"))
+    assert sum(r["length"] for r in packed) == sum(map(len, ids_of.values()))
 
 
 def test_pipeline_of_nothing(spark):
@@ -170,3 +181,56 @@ def test_near_duplicates_read_whole_texts(spark):
     rows = [(1, a), (2, b), (3, a + " x")]
     got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: 1, 2: 2, 3: 1}
+
+
+def thue_morse(n, a, b):
+    return "".join((a, b)[bin(i).count("1") % 2] for i in range(n))
+
+
+@pytest.mark.parametrize("n", [32, 1024, 2048, 4096])
+def test_words_of_two_letters_that_collide_modulo_a_power_of_two(spark, n):
+    """A word over a and b and its complement: equal by a polynomial hash modulo 2**64."""
+    x, y = thue_morse(n, "a", "b"), thue_morse(n, "b", "a")
+    assert quality.measure(pa.array([f"{x}\n{y}"]))["n_dup_lines"][0] == 0
+    got = minhash.near_duplicates(spark.createDataFrame([(1, x), (2, y)], "doc_id long, text string")).collect()
+    assert {r["component_id"] for r in got} == {1, 2}
+
+
+def test_rows_of_one_document_with_other_texts_are_one(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    rows = [(5, a), (5, b), (6, a + " x"), (7, b + " x"), (8, "alone"), (None, a), (5, "")]
+    got = [tuple(r) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "component_id").collect()]
+    assert sorted(got, key=str) == sorted([(5, 5), (5, 5), (6, 5), (7, 5), (8, 8), (None, None), (5, 5)], key=str)
+
+
+def test_languages_by_loss_to_every_codeword():
+    """The choice, ties by order, against a plain loop over languages and bits."""
+    rng = np.random.default_rng(3)
+    model = langid.Model(["a", "b", "c", "d"], rng.integers(0, 9, (4, langid.BUCKETS * 3)).astype(float))
+    texts = ["some words here", "más über", "x", "ein zwei drei vier " * 20]
+    names, score, _ = model.predict(pa.array(texts))
+    for t, got, s in zip(texts, names, score):
+        g, ends = langid.grams(pa.array([t]))
+        margin = model.weights[g].sum(0) * 4 / np.sqrt(len(g) / len(langid.ORDERS)) / len(langid.ORDERS) if ends[-1] == len(g) else None
+        margin = model.weights[g[: ends[-1]]].sum(0) * 4 / np.sqrt(max(int(ends[-1]), 1) / len(langid.ORDERS)) / len(langid.ORDERS)
+        loss = [sum(w * np.log1p(np.exp(-m * c)) for w, m, c in zip(model.loss_weight, margin, row)) for row in model.code]
+        assert got == model.languages[int(np.argmin(loss))]
+        assert s == pytest.approx(1 / np.exp(-(np.array(loss) - min(loss))).sum())
+
+
+def test_rare_labels_beyond_the_bound_are_not_learned(spark, monkeypatch):
+    monkeypatch.setattr(langid, "LABELS", 2)
+    rows = [(i, f"text {c} {c}{c} of {c}", c) for i, c in enumerate("aaabbbcc")]
+    assert langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string")).languages == ["a", "b"]
+
+
+def test_tiers_are_planned_in_parts_and_waves(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sharding, "PART", 3)
+    docs = cases.odd_docs(spark).repartition(9)
+    table = sharding.Shards(spark, str(tmp_path / "t"), target=60_000, fanout=2, wave=1)
+    table.append(docs, 1)
+    n = table.manifest().count()
+    table.compact()
+    assert table.manifest().count() < n and table.plan().count() == 0
+    table.vacuum()
+    assert table.read().exceptAll(docs).count() == 0 and table.read().count() == docs.count()

@@ -100,23 +100,55 @@ def test_near_duplicates_of_odd_tables(spark):
     assert [r["kept"] for r in minhash.near_duplicates(lone).collect()] == [True, True]
 
 
-def test_small_blocks_lose_no_link(spark):
+def test_small_blocks_lose_no_link(spark, monkeypatch):
+    """A family of near copies, and one whose members are just too far apart, in
+    many blocks; lists are merged one by one and at once."""
     rng = random.Random(3)
     rows = []
     for i in range(60):
         w = [f"w{j}" for j in range(100)]
-        w[rng.randrange(100)] = f"e{i}"
-        w[rng.randrange(100)] = f"f{i}"
+        for x in range(2 if i < 40 else 4):
+            w[rng.randrange(100)] = f"e{i}.{x}"
         rows.append((i, " ".join(w)))
-    signed = minhash.signatures(minhash.texts_of(spark.createDataFrame(rows, "doc_id long, text string"))).withColumnRenamed("doc_id", "cid")
-    lists = minhash.prefixes(signed)
-    hubs, pairs = minhash.families(lists)
-    base = spark.createDataFrame(rows, "doc_id long, text string")
-    sets = minhash.sets_of(base, lists.select("cid").distinct(), 5, minhash.COORDINATES)
-    links = minhash.compared(hubs, pairs, sets, block_bytes=5000)
-    label = {r["id"]: r["component"] for r in components.components(links).collect()}
     want = {d: c for d, (_, c) in cases.components(rows).items()}
-    assert {d: label.get(d, d) for d in want} == want
+    assert len(set(want.values())) > 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    blocks = minhash.in_blocks
+    for few in (0, 32):
+        monkeypatch.setattr(minhash, "FEW", few)
+        monkeypatch.setattr(minhash, "in_blocks", lambda m, b: blocks(m, b, 5000))
+        monkeypatch.setattr(minhash.hub_classes, "__defaults__", (minhash.MATCHES, minhash.SIMILARITY, 5000))
+        assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs).collect()} == want
+
+
+@pytest.mark.parametrize("n", [2, 5, 30])
+def test_merged_lists_count_collisions(monkeypatch, n):
+    rng = np.random.default_rng(n)
+    keys = (rng.integers(0, 3, (n, 12)) + np.arange(12) * 10).astype(np.uint64)
+    label = rng.integers(0, 4, n)
+    for side in (None, rng.random(n) < 0.5):
+        want = {(i, j) for i in range(n) for j in range(n) if label[i] != label[j] and (keys[i] == keys[j]).sum() >= 5 and (i < j if side is None else not side[i] and side[j])}
+        for few in (0, 32):
+            monkeypatch.setattr(minhash, "FEW", few)
+            assert {(i, int(j)) for i, x in minhash.colliding(keys, label, 5, side) for j in x} == want
+
+
+def rolled(text, gram, window):
+    """(hash, place) kept: the smallest of each window, the rightmost of equals."""
+    one = lambda x: int(winnow.fingerprint(winnow.code_points(x), len(x), 1)[0][0])
+    hashes = [one(text[i : i + gram]) for i in range(len(text) - gram + 1)] if len(text) >= gram else [one(text)] if text else []
+    w = min(window, len(hashes))
+    kept = {max(range(i, i + w), key=lambda j: (-hashes[j], j)) for i in range(len(hashes) - w + 1)} if hashes else set()
+    return [(hashes[j], j) for j in sorted(kept)]
+
+
+@pytest.mark.parametrize("gram,window", [(5, 4), (1, 3), (3, 1), (20, 21)])
+def test_fingerprints_equal_brute_force(gram, window):
+    rng = random.Random(gram)
+    for n in (0, 1, 2, 4, 5, 8, 9, 60, 300):
+        text = "".join(rng.choice("abé") for _ in range(n))
+        h, at = winnow.fingerprint(winnow.code_points(text), gram, window)
+        assert list(zip(h.tolist(), at.tolist())) == rolled(text, gram, window)
 
 
 def test_winnowing_keeps_rightmost_minima_and_its_promise():
@@ -142,6 +174,10 @@ def test_edited_texts(spark, ranges):
         edited = text[: len(text) - n] + rows[(i + 1) % len(rows)][1][:n]
         r = got[i]
         assert (r["doc_id"], r["n_chars"], r["edited_sha256"]) == (doc, len(text), hashlib.sha256(edited.encode()).hexdigest())
+        kept, new, after = ({h for h, _ in rolled(t, winnow.GRAM, winnow.WINDOW)} for t in (text[:3000], edited[:3000], rows[(i + 1) % len(rows)][1][:3000])) if len(text) < 3000 else (None, None, None)
+        if kept is not None and len(rows[(i + 1) % len(rows)][1]) < 3000:
+            like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+            assert (r["near_edited"], r["near_next"]) == (like(kept, new), like(kept, after))
         assert (r["fingerprint"] == r["edited_fingerprint"]) >= (text == edited)
     assert got[7]["fingerprint"] == got[9]["fingerprint"]
     assert winnow.edited_likeness(cases.empty_docs(spark), ranges=ranges).count() == 0
@@ -151,3 +187,12 @@ def test_edited_texts(spark, ranges):
 def test_a_lone_document_follows_itself(spark):
     r = winnow.edited_likeness(spark.createDataFrame([(1, "abcdefgh")], "doc_id long, text string")).first()
     assert r["edited_sha256"] == hashlib.sha256(b"abcdefab").hexdigest() and r["near_next"] == 1.0
+
+
+def test_a_document_of_very_many_rows_is_dealt_over_ranges(spark):
+    rows = [(None if i % 3 else 7, f"text {i} of a document") for i in range(90)] + [(9, "last")] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    parts = winnow.with_neighbours(winnow.texts_of(docs), 8).where("not extra").groupBy("bucket").count().collect()
+    assert len(parts) > 4 and max(r["count"] for r in parts) < 45
+    a, b = (sorted(map(tuple, winnow.edited_likeness(docs, ranges=n).collect()), key=str) for n in (1, 8))
+    assert a == b and len(a) == 95
