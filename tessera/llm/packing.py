@@ -32,6 +32,61 @@ def piece_bounds(n: int, capacity: int) -> list[tuple[int, int]]:
     return out + [(s, capacity) for s in range(first, n, capacity)]
 
 
+class Complements:
+    """Lengths that fill a gap exactly, found by their sum.
+
+    Singles are indexed by length, pairs by the sum of two lengths (the longer
+    ones in descending order), triples by the sum of a third length and of a pair
+    that is in the index. An entry is good while the counts have its lengths; as
+    counts only fall, one that has run out is passed over for good."""
+
+    def __init__(self, left: np.ndarray):
+        self.left = left
+        capacity = len(left) - 1
+        present = np.flatnonzero(left)[::-1]
+        there = left > 0
+        self.pairs: list[np.ndarray] = [np.zeros(0, np.int64)] * (capacity + 1)
+        for total in range(2, capacity + 1):
+            longer = present[(present < total) & (2 * present >= total)]
+            self.pairs[total] = longer[there[total - longer]]
+        self.first_pair = [0] * (capacity + 1)
+        self.triples: dict[int, np.ndarray] = {}
+        self.first_triple: dict[int, int] = {}
+
+    def _has(self, lengths: tuple[int, ...], used: tuple[int, ...] = ()) -> bool:
+        return all(self.left[x] >= lengths.count(x) + used.count(x) for x in set(lengths))
+
+    def single(self, gap: int, used: tuple[int, ...]) -> tuple[int, ...] | None:
+        return (gap,) if gap < len(self.left) and self._has((gap,), used) else None
+
+    def pair(self, gap: int, used: tuple[int, ...], most: int) -> tuple[int, ...] | None:
+        """The pair of this sum with the longest first length up to *most*."""
+        entries, at = self.pairs[gap], self.first_pair[gap]
+        while at < len(entries) and not self._has((int(entries[at]), int(gap - entries[at]))):
+            at += 1
+        self.first_pair[gap] = at
+        for a in entries[at:].tolist():
+            if a <= most and self._has((a, gap - a), used):
+                return a, gap - a
+        return None
+
+    def triple(self, gap: int, used: tuple[int, ...]) -> tuple[int, ...] | None:
+        """The triple of this sum with the longest third length."""
+        if gap not in self.triples:
+            third = np.flatnonzero(self.left)[::-1]
+            third = third[(third <= gap - 2) & (3 * third >= gap)]
+            self.triples[gap] = np.array([c for c in third if len(self.pairs[gap - c])], np.int64)
+            self.first_triple[gap] = 0
+        entries, at = self.triples[gap], self.first_triple[gap]
+        while at < len(entries) and not (self.left[entries[at]] and self.pair(int(gap - entries[at]), (), len(self.left))):
+            at += 1
+        self.first_triple[gap] = at
+        for c in entries[at:].tolist():
+            if self._has((c,), used) and (two := self.pair(gap - c, (*used, c), c)):
+                return c, *two
+        return None
+
+
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
     """Patterns (lengths, longest first, and how many sequences take them) that
     use up *counts*, the number of pieces of each length."""
@@ -40,44 +95,25 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[i
         if not 1 <= length <= capacity:
             raise ValueError(f"a piece of {length} tokens doesn't fit {capacity}")
         left[length] += n
+    index = Complements(left)
     out: list[tuple[tuple[int, ...], int]] = []
-
-    def take(pattern: tuple[int, ...]) -> None:
-        lengths, uses = np.unique(pattern, return_counts=True)
-        n = int((left[lengths] // uses).min())
-        left[lengths] -= n * uses
-        out.append((tuple(sorted(pattern, reverse=True)), n))
-
-    def pair(gap: int, used: tuple[int, ...], most: int) -> tuple[int, int] | None:
-        """The pair that sums to gap, with the longest first member up to most."""
-        if gap < 2:
-            return None
-        a = np.arange(min(gap - 1, most), (gap + 1) // 2 - 1, -1)
-        free = left.copy()
-        for x in used:
-            free[x] -= 1
-        ok = (free[a] > 0) & (free[gap - a] > (a == gap - a))
-        i = int(ok.argmax()) if len(a) else 0
-        return (int(a[i]), int(gap - a[i])) if len(a) and ok[i] else None
-
     residual: list[tuple[int, int]] = []
     for length in range(capacity, 0, -1):
         while left[length]:
-            gap = capacity - length
-            if gap == 0:
-                take((length,))
-            elif gap <= length and left[gap] > (gap == length):
-                take((length, gap))
-            elif two := pair(gap, (length,), length):
-                take((length, *two))
-            else:
-                for third in range(min(gap - 2, length), 0, -1):
-                    if left[third] > (third == length) and 3 * third >= gap and (two := pair(gap - third, (length, third), third)):
-                        take((length, third, *two))
-                        break
-                else:
-                    residual.append((length, int(left[length])))
-                    left[length] = 0
+            gap, used = capacity - length, (length,)
+            fill = () if not gap else index.single(gap, used) if gap <= length else None
+            if fill is None:
+                fill = index.pair(gap, used, length)
+            if fill is None:
+                fill = index.triple(gap, used)
+            if fill is None:
+                residual.append((length, int(left[length])))
+                left[length] = 0
+                continue
+            lengths, uses = np.unique(used + fill, return_counts=True)
+            n = int((left[lengths] // uses).min())
+            left[lengths] -= n * uses
+            out.append((tuple(sorted(used + fill, reverse=True)), n))
     out += _best_fit(residual, capacity)
     return out
 
