@@ -20,10 +20,10 @@ from urllib.parse import urlparse
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import TOKEN_STEP, cut, ragged, shared_path, steps, texts_of
+from tessera.llm.common import TOKEN_STEP, cut, dealt, hadoop_path, ragged, shared_path, steps, texts_of
 from tessera.llm.segments import WordPairs
 
 MAGIC = b"DAC1"
@@ -117,21 +117,45 @@ class Reader:
             out[at] |= self._at[f"chunk{level + 1}"].astype(np.uint32) << np.uint32(shift)
         return out
 
+    def slice(self, start: int, end: int) -> np.ndarray:
+        """Ids start to end of the file, without decoding any other: codes that go
+        on at a level lie together there, from the rank of the first bit on."""
+        if not 0 <= start <= end <= self.n_tokens:
+            raise IndexError((start, end))
+        out = self._at["chunk0"][start:end].astype(np.uint32)
+        at, shift = np.arange(len(out)), 0
+        for level, width in enumerate(self.widths[:-1]):
+            if not len(at):
+                break
+            shift += width
+            first = start // 8
+            more = np.unpackbits(self._at[f"bits{level}"][first : -(-end // 8)], bitorder="little")[start - 8 * first : end - 8 * first].view(bool)
+            at = at[more]
+            start = self.rank(level, start) if len(at) else 0
+            end = start + len(at)
+            out[at] |= self._at[f"chunk{level + 1}"][start:end].astype(np.uint32) << np.uint32(shift)
+        return out
+
     def document(self, k: int) -> np.ndarray:
         """Ids of the k-th document, by direct access."""
-        return np.array([self.token(i) for i in range(int(self.starts[k]), int(self.starts[k + 1]))], np.uint32)
+        return self.slice(int(self.starts[k]), int(self.starts[k + 1]))
 
 
 def _files(path: str):
-    """(pyarrow file system, path in it). Local paths and the stores that pyarrow
-    opens; another store needs a mount."""
+    """(pyarrow file system, path in it) of a path with a scheme."""
     from pyarrow import fs
 
-    if not urlparse(path).scheme:
-        return fs.LocalFileSystem(), path
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), urlparse(path).path
     return fs.FileSystem.from_uri(path)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme of the cluster's own file system, if it has none."""
+    files, p = hadoop_path(spark, path)
+    return files.makeQualified(p).toString()
+
+
 def _commit(path: str, data: bytes) -> None:
     """Writes under another name and renames, so that a file is whole or absent
     and a second attempt of the same task leaves the same file."""
@@ -148,6 +172,7 @@ def write_tokens(docs: DataFrame, folder: str, end_id: int | None = END_ID, voca
     one doc_id by text) to files below *folder*; gives the manifest, in which
     (part, shard) is the order. Null text is empty. Lazy: the files exist once
     the result has been computed; rows are dealt out by ranges of doc_id."""
+    folder = qualified(docs.sparkSession, folder)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordPairs(vocabulary_folder)
@@ -189,32 +214,28 @@ def write_tokens(docs: DataFrame, folder: str, end_id: int | None = END_ID, voca
 
 
 def read_tokens(spark: SparkSession, manifest: DataFrame, with_ids: bool = False) -> DataFrame:
-    """Reads the files of a manifest back: doc_id, start (ids of all documents
-    before it), n_tokens, ids_crc32 (and ids). The manifest has a row for each
-    file of millions of tokens; their sizes alone are summed on the driver."""
-    rows = manifest.orderBy("part", "shard").collect()
-    start, table = 0, []
-    for r in rows:
-        table.append((r["path"], start))
-        start += r["n_tokens"]
+    """Reads the files of a manifest back, each document by direct access: doc_id,
+    start (ids of all documents before it), n_tokens, ids_crc32 (and ids). The
+    sizes of files are summed in order over the manifest, a row for each file of
+    millions of tokens; none of it reaches the driver. No files, no rows."""
+    order = Window.orderBy("part", "shard")
+    files = manifest.select("path", (F.sum("n_tokens").over(order) - F.col("n_tokens")).alias("before"))
     names = ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: 4 + with_ids]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, before in zip(batch.column("path").to_pylist(), batch.column("before").to_pylist()):
-                files, at = _files(path)
-                with files.open_input_file(at) as f:
+                store, at = _files(path)
+                with store.open_input_file(at) as f:
                     reader = Reader(f.read())
-                ids, starts = reader.tokens().astype("<u4"), reader.starts
-                crc = [zlib.crc32(ids[a:b]) for a, b in zip(starts[:-1], starts[1:])]
-                cols = [pa.array(reader.doc_ids), pa.array(starts[:-1] + before), pa.array(np.diff(starts)), pa.array(crc, pa.int64())]
+                ids, starts = [reader.document(k).astype("<u4") for k in range(reader.n_docs)], reader.starts
+                cols = [pa.array(reader.doc_ids), pa.array(starts[:-1] + before), pa.array(np.diff(starts)), pa.array([zlib.crc32(x) for x in ids], pa.int64())]
                 if with_ids:
-                    cols.append(pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(ids.astype(np.int32))))
+                    cols.append(pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(cols, names)
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
-    files = spark.createDataFrame(table, "path string, before long")
-    return files.repartition(max(1, len(table))).mapInArrow(read, schema)
+    return dealt(files, "path").mapInArrow(read, schema)
 
 
 def token_output(docs: DataFrame, folder: str | None = None, **options) -> DataFrame:

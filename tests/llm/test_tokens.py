@@ -60,6 +60,9 @@ def test_codes_give_any_token_back(values):
     assert (r.tokens() == x).all() and r.n_docs == 1
     assert [r.token(i) for i in range(len(x))] == values
     assert (r.document(0) == x).all()
+    for a in range(0, len(x), 97):
+        for b in (a, a + 1, a + 513, len(x)):
+            assert r.slice(a, min(b, len(x))).tolist() == values[a : min(b, len(x))]
     with pytest.raises(IndexError):
         r.token(len(x))
 
@@ -152,29 +155,31 @@ test_spans_cover_the_text.model = pieces.Pieces()
 
 
 def compiled(entries: dict[bytes, bytes]) -> bytes:
-    """A double-array map of one- and two-byte keys, laid out by hand."""
+    """A character map in the library's form; each node of the trie has 256 places
+    of its own."""
+    trie: dict = {}
+    for key in entries:
+        node = trie
+        for byte in key:
+            node = node.setdefault(byte, {})
+        node[None] = key
     pool, at = b"", {}
-    for k, v in entries.items():
-        at[k] = len(pool)
-        pool += v + b"\0"
-    units = [0] * 4096
-    # root at 0, its children at 256 ^ label; children of those at a page of their own
-    units[0] = 256 << 10
-    page = 512
-    for k in sorted({x[:1] for x in entries}):
-        node = 256 ^ k[0]
-        has = k in entries
-        units[node] = k[0] | has << 8 | (node ^ page) << 10
-        if has:
-            units[page] = at[k] | 1 << 31
-        for full in entries:
-            if full[:1] == k and len(full) == 2:
-                child = page ^ full[1]
-                units[child] = full[1] | 1 << 8 | (child ^ (page + 256)) << 10
-                units[page + 256] = at[full] | 1 << 31
-                page += 256
-        page += 512
-    data = b"".join(u.to_bytes(4, "little") for u in units)
+    for key, new in entries.items():
+        at[key] = len(pool)
+        pool += new + b"\0"
+    units, todo, blocks = {0: 0}, [(0, trie)], 0
+    while todo:
+        place, node = todo.pop()
+        blocks += 1
+        base = 256 * blocks
+        units[place] |= (base ^ place) << 10 | (256 if None in node else 0)
+        for byte, child in node.items():
+            if byte is None:
+                units[base] = at[child] | 1 << 31
+            else:
+                units[base + byte] = byte
+                todo.append((base + byte, child))
+    data = b"".join(units.get(k, 0).to_bytes(4, "little") for k in range(256 * (blocks + 1)))
     return len(data).to_bytes(4, "little") + data + pool
 
 
@@ -183,3 +188,58 @@ def test_character_map_takes_the_longest_prefix():
     assert m.normalise("abacé") == ("yyxcé", pytest.approx(np.array([0, 0, 2, 3, 4, 5, 6])))
     assert m.normalise("q")[0] == ""
     assert pieces.CharacterMap().normalise("aé")[1].tolist() == [0, 1, 2, 3]
+
+
+def test_texts_are_normalised_by_the_longest_prefix(tmp_path):
+    """A model with a character map: ids as the library's, spans of original bytes."""
+    with open(segments.tokenizer_file("piece_bpe_32k.model"), "rb") as f:
+        data = f.read()
+    entries = {"ﬁ": "fi", "é": "e", "ab": "yy", "abc": "x", "①": "1", "½": "1/2"}
+    blob = compiled({k.encode(): v.encode() for k, v in entries.items()})
+    out = bytearray()
+    for field, kind, value, start, end in pieces._fields(data):
+        if field == 3 and kind == 2:
+            spec = b"".join(value[a:b] for f, _, _, a, b in pieces._fields(value) if f != 2) + b"\x12" + pieces._varint(len(blob)) + blob
+            out += b"\x1a" + pieces._varint(len(spec)) + spec
+        else:
+            out += data[start:end]
+    (tmp_path / "m.model").write_bytes(bytes(out))
+    model = pieces.Pieces(str(tmp_path), "m.model")
+    assert model.map.units is not None
+    for text in ("ﬁne café abc ab abd", "① ½ x", "plain", "", "aab\nabcé", "  two  ﬁ"):
+        ids, spans = model.encode_spans(text)
+        assert ids.tolist() == model.library.encode(text)
+        normal, align = model.map.normalise(text)
+        assert len(align) == len(normal.encode()) + 1
+        if len(ids):
+            assert spans[0, 0] == 0 and spans[-1, 1] == len(text.encode()) and (spans[1:, 0] == spans[:-1, 1]).all()
+    ids, spans = model.encode_spans("abcé")
+    assert model.map.normalise("abcé")[0] == "xe" and {tuple(x) for x in spans.tolist()} <= {(0, 0), (0, 3), (3, 5), (0, 5)}
+
+
+def test_longer_texts_than_a_step(spark, monkeypatch):
+    """Slices of one text, of several and of a part of a batch give what whole
+    batches give."""
+    from tessera.llm import common, quality
+
+    texts = [r[1] or "" for r in odd_rows()] + ["word " * 300_000]
+    assert len(texts[-1]) > common.STEP_BYTES
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    parts = list(common.steps(batch, limit=1000))
+    assert sum(p.num_rows for p in parts) == len(texts) and len(parts) > 3
+    whole = quality.measure(pa.array(texts))
+    for m in quality.MEASURES:
+        assert np.concatenate([quality.measure(p.column("text"))[m] for p in parts]).tolist() == whole[m].tolist()
+
+
+def test_entries_of_the_index_are_used_while_they_last():
+    left = np.zeros(65, np.int64)
+    left[[30, 20, 14, 10, 7, 3]] = [1, 2, 1, 1, 1, 1]
+    index = packing.Complements(left)
+    assert index.single(20, (44,)) == (20,) and index.single(21, (43,)) is None
+    assert index.pair(40, (24,), 64) == (30, 10) and index.pair(40, (30,), 64) == (20, 20)
+    assert index.triple(47, (17,)) == (30, 14, 3)
+    left[30] = 0
+    assert index.pair(40, (), 64) == (20, 20) and index.triple(47, ()) == (20, 20, 7)
+    left[20] = 1
+    assert index.pair(40, (), 64) is None
