@@ -12,14 +12,18 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import INVERSE, mix64, powers, prefix_hash, texts_of
 
 GRAM = 20
 WINDOW = 21
+#: Bytes of text in one range of documents, about.
+RANGE_BYTES = 64 << 20
+LOWEST = -(2**63)
 
 
 def code_points(text: str) -> np.ndarray:
@@ -80,26 +84,48 @@ def fingerprints(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> Dat
     return texts_of(docs).mapInArrow(run, "doc_id long, n_chars long, hashes array<long>, positions array<long>")
 
 
+def ranges_for(base: DataFrame) -> int:
+    """Ranges of about RANGE_BYTES of text, and one for each shuffle partition at
+    least."""
+    total = base.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    return max(1, int(base.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // RANGE_BYTES))
+
+
 def with_neighbours(docs: DataFrame, ranges: int) -> DataFrame:
-    """Deals the rows out by ranges of doc_id; the first rows of each range also
-    go to the range before it (those of the first to the last), marked *extra*.
-    Only the first id of each range is known to the driver, and the ids' sample
-    that sets the ranges."""
-    ids = docs.select("doc_id").where(F.col("doc_id").isNotNull())
-    marks = sorted(set(ids.stat.approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.1 / ranges))) if ranges > 1 else []
-    edges = F.array(*[F.lit(int(x)) for x in marks]) if marks else None
-    doc = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
-    bucket = F.size(F.filter(edges, lambda e: e < doc)) if marks else F.lit(0)
-    firsts = docs.select(bucket.alias("b"), doc.alias("d")).groupBy("b").agg(F.min("d").alias("d")).orderBy("b").collect()  # at most a row for each range
-    if not firsts:
-        return docs.select("doc_id", "text", F.lit(0).alias("bucket"), F.lit(False).alias("extra"))
-    before = {int(r["d"]): int(firsts[i - 1]["b"]) for i, r in enumerate(firsts)}
-    also = F.create_map(*[F.lit(x) for kv in before.items() for x in kv])
-    spread = docs.select("doc_id", "text", bucket.alias("own"), F.try_element_at(also, doc).alias("prior"))
-    rows = F.when(F.col("prior").isNull(), F.array(F.struct(F.col("own").alias("bucket"), F.lit(False).alias("extra")))).otherwise(
-        F.array(F.struct(F.col("own").alias("bucket"), F.lit(False).alias("extra")), F.struct(F.col("prior").alias("bucket"), F.lit(True).alias("extra")))
-    )
-    return spread.select("doc_id", "text", F.explode(rows).alias("r")).select("doc_id", "text", "r.bucket", "r.extra")
+    """Numbers the rows' ranges (bucket) in the order of doc_id, then hash (which
+    parts the rows of a doc_id that has very many); the first rows of each range
+    also go to the range before it (those of the first to the last), marked *extra*.
+    What reaches the driver is a number for each range: the quantiles that set the
+    ranges, and where each begins."""
+    docs = docs.select("text", F.coalesce(F.col("doc_id"), F.lit(LOWEST)).alias("d"), F.xxhash64("text").alias("h"), "doc_id")
+    marks = np.sort(np.array(docs.stat.approxQuantile("d", [i / ranges for i in range(1, ranges)], 0.5 / ranges) if ranges > 1 else [], np.float64))
+    marks = marks.clip(-(2.0**63), 2.0**63 - 1025).astype(np.int64)
+
+    @F.pandas_udf("int")
+    def bucket_of(d: pd.Series, h: pd.Series) -> pd.Series:
+        d, h = d.to_numpy(np.int64), h.to_numpy(np.int64)
+        low, high = np.searchsorted(marks, d, "left"), np.searchsorted(marks, d, "right")
+        part = ((h / 2.0**64 + 0.5) * (high - low + 1)).astype(np.int64)
+        return pd.Series((low + np.minimum(part, high - low)).astype(np.int32))
+
+    placed = docs.withColumn("own", bucket_of("d", "h"))
+    begins = placed.groupBy("own").agg(F.min(F.struct("d", "h")).alias("f")).orderBy("own").collect()  # at most a row for each range
+    if not begins:
+        return docs.select("doc_id", "h", "text", F.lit(0).alias("bucket"), F.lit(False).alias("extra"))
+    at = np.array([(r["f"]["d"], r["f"]["h"]) for r in begins], [("d", np.int64), ("h", np.int64)])
+    before = np.array([begins[i - 1]["own"] for i in range(len(begins))], np.int32)
+    own_of = {int(r["own"]): i for i, r in enumerate(begins)}
+
+    @F.pandas_udf("int")
+    def prior_of(own: pd.Series, d: pd.Series, h: pd.Series) -> pd.Series:
+        i = own.map(own_of).to_numpy(np.int64)
+        first = (at["d"][i] == d.to_numpy(np.int64)) & (at["h"][i] == h.to_numpy(np.int64))
+        return pd.Series(np.where(first, before[i], -1))
+
+    spread = placed.withColumn("prior", prior_of("own", "d", "h"))
+    one = F.struct(F.col("own").alias("bucket"), F.lit(False).alias("extra"))
+    rows = F.when(F.col("prior") < 0, F.array(one)).otherwise(F.array(one, F.struct(F.col("prior").alias("bucket"), F.lit(True).alias("extra"))))
+    return spread.select("doc_id", "h", "text", F.explode(rows).alias("r")).select("doc_id", "h", "text", "r.bucket", "r.extra")
 
 
 def edited_likeness(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, ranges: int | None = None) -> DataFrame:
@@ -107,13 +133,14 @@ def edited_likeness(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, ran
     likeness; and the likeness to the next document's fingerprint.
 
     The edited text has the last quarter (n_chars // 4 code points) replaced by
-    the first as many of the next document in ascending doc_id, text order; the
-    first follows the last. A lone document follows itself. Null doc_ids come
-    first, null texts are empty, repeated rows follow one another."""
+    the first as many of the next document in ascending doc_id; rows of one doc_id
+    go by a hash of their text, equal ones follow one another. The first follows
+    the last, a lone document itself. Null doc_ids come first, null texts are
+    empty; an empty table gives an empty one."""
     base = texts_of(docs)
-    spark = docs.sparkSession
-    ranges = ranges or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = with_neighbours(base, ranges).repartition(ranges, "bucket").sortWithinPartitions("bucket", "extra", "doc_id", "text")
+    ranges = ranges or ranges_for(base)
+    # a bucket is a task: its number is the partition's
+    dealt = with_neighbours(base, ranges).repartitionById(ranges, "bucket").sortWithinPartitions("bucket", "extra", F.col("doc_id").asc_nulls_first(), "h", "text")
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_kept long"
     names = [x.split()[0] for x in schema.split(", ")]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64()]
