@@ -137,28 +137,32 @@ class Pieces(Segments):
         with open(tokenizer_file(model, folder), "rb") as f:
             data = f.read()
         self.library = sentencepiece.SentencePieceProcessor(model_proto=data)
-        # the same model without the dummy prefix, for text after a line feed
-        plain, self.map = bytearray(), CharacterMap()
+        # the same model without its character map, which is applied here, and that
+        # without the dummy prefix too, for text after a line feed
+        self.map = CharacterMap()
+        mapless, bare = bytearray(), bytearray()
         for field, kind, value, start, end in _fields(data):
             if field == 3 and kind == 2:
                 spec = b""
                 for f, k, v, a, b in _fields(value):
-                    if f == 2 and v:
+                    if f == 2:
                         self.map = CharacterMap(v)
-                    if f == 3:
+                    elif f == 3:
                         self.dummy_prefix = bool(v)
                     elif f == 4 and v:
                         raise ValueError("models that remove extra spaces aren't supported")
-                    if f != 3:
+                    if f not in (2, 3):
                         spec += value[a:b]
-                spec += b"\x18\x00"
-                plain += b"\x1a" + _varint(len(spec)) + spec
+                for model, prefix in ((mapless, self.dummy_prefix), (bare, False)):
+                    own = spec + (b"\x18\x01" if prefix else b"\x18\x00")
+                    model += b"\x1a" + _varint(len(own)) + own
             else:
-                plain += data[start:end]
-        self.bare = sentencepiece.SentencePieceProcessor(model_proto=bytes(plain))
+                mapless += data[start:end]
+                bare += data[start:end]
+        self.mapless, self.bare = (sentencepiece.SentencePieceProcessor(model_proto=bytes(x)) for x in (mapless, bare))
         n = self.library.get_piece_size()
         names = [self.library.id_to_piece(i) for i in range(n)]
-        self.cuts = self.dummy_prefix and self.map.units is None and not any(MARK in x.lstrip(MARK) or "\n" in x or " " in x for x in names)
+        self.cuts = self.dummy_prefix and not any(MARK in x.lstrip(MARK) or "\n" in x or " " in x for x in names)
         self.newline = self.bare.encode("\n")
         #: Bytes of normalised text that a piece covers, with the mark as the space it stands for, and as itself.
         self.width = np.array([0 if self.library.is_control(i) else 1 if _BYTE.match(x) else len(x.replace(MARK, " ").encode()) for i, x in enumerate(names)], np.int64)
@@ -172,14 +176,17 @@ class Pieces(Segments):
         if not (body or line) or MARK in body or "\x00" in body:
             return None
         if not line:
-            return _little(self.library.encode(body))
+            return _little(self.mapless.encode(body))
         return _little(self.newline + self.bare.encode(body))
 
     def whole(self, text):
-        return self.library.encode(text)
+        return self.mapless.encode(text)
 
     def encode(self, texts):
-        """As the library encodes each text; an empty text has no ids."""
+        """As the library encodes each text: its longest-prefix normalisation is
+        encoded by the model without a map. An empty text has no ids."""
+        if self.map.units is not None:  # an empty map copies every character
+            texts = pa.array([self.map.normalise(t)[0] for t in texts.to_pylist()], pa.large_string())
         ids, ends = super().encode(texts)
         empty = pc.equal(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
         if not empty.any():
