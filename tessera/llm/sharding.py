@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tessera.llm.common import hadoop_path
+from tessera.llm.common import forget, hadoop_path, written
 
 TARGET = 128 << 20
 #: Shards of one tier that make a run worth merging.
@@ -29,6 +29,8 @@ FANOUT = 4
 ARRIVAL_ROWS = 4000
 #: Merged files that one job writes.
 WAVE = 256
+#: Shards of a tier that one task plans, about.
+PART = 50_000
 _COLUMNS = "path string, bytes long, n_rows long, added long"
 
 
@@ -85,29 +87,40 @@ class Shards:
         return self._commit(self.manifest().unionByName(self._described(folder, version)), version)
 
     def plan(self) -> DataFrame:
-        """The runs to merge: manifest rows with tier and run. Shards of half the
-        target or more are done. A run takes shards of one tier, by size, up to
-        the target; it is merged if it has *fanout* shards or fills half of it."""
+        """The runs to merge: manifest rows with tier, part and run. Shards of half
+        the target or more are done. A tier with very many shards is planned in parts
+        of about PART shards. A run takes shards of one part, by size, up to the
+        target; it is merged if it has *fanout* shards or fills half of it."""
         small = self.manifest().where(F.col("bytes") < self.target / 2)
         tier = F.floor(F.log(F.greatest(F.col("bytes"), F.lit(1)).cast("double")) / math.log(self.fanout))
-        order = Window.partitionBy("tier").orderBy("bytes", "path")
+        small = small.withColumn("tier", tier)
+        parts = small.groupBy("tier").agg((1 + F.floor(F.count("*") / PART)).alias("parts"))  # a row for each tier
+        dealt = small.join(F.broadcast(parts), "tier").withColumn("part", F.pmod(F.xxhash64("path"), F.col("parts")))
+        order = Window.partitionBy("tier", "part").orderBy("bytes", "path")
         before = F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, -1))
-        placed = small.withColumn("tier", tier).withColumn("run", F.floor(F.coalesce(before, F.lit(0)) / self.target))
-        run = Window.partitionBy("tier", "run")
+        placed = dealt.withColumn("run", F.floor(F.coalesce(before, F.lit(0)) / self.target))
+        run = Window.partitionBy("tier", "part", "run")
         sized = placed.withColumn("k", F.count("*").over(run)).withColumn("size", F.sum("bytes").over(run))
-        return sized.where((F.col("k") > 1) & ((F.col("k") >= self.fanout) | (F.col("size") >= self.target / 2))).select("path", "bytes", "n_rows", "added", "tier", "run")
+        return sized.where((F.col("k") > 1) & ((F.col("k") >= self.fanout) | (F.col("size") >= self.target / 2))).select("path", "bytes", "n_rows", "added", "tier", "part", "run")
 
     def compact(self) -> int:
-        """Merges until no run is left; returns the version."""
+        """Merges until no run is left; returns the version. The driver holds the
+        names of one wave's small files at a time."""
         while True:
-            runs: dict[tuple, list[str]] = {}
-            for r in self.plan().orderBy("tier", "run", "path").collect():  # names of small files, no rows of theirs
-                runs.setdefault((r["tier"], r["run"]), []).append(r["path"])
-            if not runs:
+            name = F.format_string("%06d-%012d-%012d", "tier", "part", "run").alias("name")
+            plan, path = written(self.plan().select(name, "path"), "plan")
+            runs = plan.select("name").distinct().orderBy("name")
+            done = ""
+            while keys := [r["name"] for r in runs.where(F.col("name") > done).limit(self.wave).collect()]:
+                wave = plan.where(F.col("name").between(keys[0], keys[-1]))
+                groups: dict[str, list[str]] = {}
+                for r in wave.orderBy("name", "path").collect():
+                    groups.setdefault(r["name"], []).append(r["path"])
+                self._merge(list(groups.values()))
+                done = keys[-1]
+            forget(path)
+            if not done:
                 return self.version()
-            groups = list(runs.values())
-            for i in range(0, len(groups), self.wave):
-                self._merge(groups[i : i + self.wave])
 
     def _merge(self, groups: list[list[str]]) -> None:
         version = self.version() + 1
@@ -137,11 +150,17 @@ class Shards:
         """Deletes shards and versions that the newest version doesn't need. Only
         safe once no reader uses an older one."""
         newest = self.version()
-        live = {r["path"] for r in self.manifest().select("path").collect()}
-        names = {p.rpartition("/")[2] for p in live}
+        folder = F.regexp_extract("path", "([^/]+)/[^/]+$", 1)
+        live = self.manifest().select(folder.alias("folder"), F.regexp_extract("path", "([^/]+)$", 1).alias("name"))
+        kept = {r["folder"] for r in live.select("folder").distinct().collect()}  # one for each version at most
         fs, data = hadoop_path(self.spark, f"{self.root}/data")
-        for folder in fs.listStatus(data) if fs.exists(data) else []:
-            for f in fs.listStatus(folder.getPath()):
+        for d in fs.listStatus(data) if fs.exists(data) else []:
+            own = d.getPath().getName()
+            if own not in kept:
+                fs.delete(d.getPath(), True)
+                continue
+            names = {r["name"] for r in live.where(F.col("folder") == own).select("name").collect()}  # of one folder
+            for f in fs.listStatus(d.getPath()):
                 if f.getPath().getName().endswith(".parquet") and f.getPath().getName() not in names:
                     fs.delete(f.getPath(), False)
         _, versions = hadoop_path(self.spark, f"{self.root}/manifest")
