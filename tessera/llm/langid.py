@@ -26,6 +26,8 @@ BUCKETS = 1 << 15
 #: Documents of each language that are learned from, about: rows are drawn by a
 #: hash at the rate that gives so many.
 SAMPLE = 3000
+#: Labels that are learned at most, the most frequent ones.
+LABELS = 256
 BITS = 31
 UNKNOWN = "und"
 #: Difference of normalised loss below which a choice is ambiguous.
@@ -139,9 +141,11 @@ class Model:
 
 def learn(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     """Fits to (doc_id, text, lang) rows; null texts and languages are left out.
-    What reaches the driver is a table of languages by buckets."""
+    Of more labels than LABELS, the most frequent are learned (ties by name): what
+    reaches the driver is a table of them by buckets."""
     rows = labelled.where("lang is not null and text is not null").select("doc_id", F.col("text").cast("string"), F.col("lang").cast("string"))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counted = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LABELS)
+    sizes = {r["lang"]: r["n"] for r in counted.collect()}
     languages = sorted(sizes)
     if not languages:
         return Model([], np.zeros((0, BUCKETS * len(ORDERS))))
