@@ -43,15 +43,14 @@ def messages(spark: SparkSession, folder: str) -> DataFrame:
 def responses(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, fn_name, response) with fences and tags around document texts."""
     d, n, f = table(spark, folder, "documents"), F.lit("\n"), F.lit(FENCE)
-    kind = F.col("doc_id") % 6
-    cut = lambda k: F.substring("text", 1, k)
-    lit = F.lit
+    kind, text, lit = F.col("doc_id") % 6, F.col("text"), F.lit
+    run = F.when(F.col("doc_id") % 12 == 2, F.concat(f, lit("Python"), n, lit("print(1)"), n, f)).otherwise(lit("print(1)"))
     response = (
-        F.when(kind == 0, F.concat(f, lit("python"), n, cut(40), n, f))
-        .when(kind == 1, F.concat(lit("Plan"), n, f, n, lit("first"), n, f, n, lit("then"), n, f, lit("py"), n, cut(20), n, f))
-        .when(kind == 2, F.concat(lit("<interact>print(1)</interact>"), n, f, lit("python"), n, lit("x"), n, f))
-        .when(kind == 3, F.concat(lit("<interact></interact>"), n, f, lit("python"), n, lit("class Solution: pass"), n, f))
-        .when(kind == 4, F.col("text"))
-        .otherwise(F.concat(f, lit("c++"), n, lit("int x;"), n, f, n, lit("after")))
+        F.when(kind == 0, F.concat(f, lit("python"), n, text, n, f))
+        .when(kind == 1, F.concat(lit("Plan"), n, f, n, lit("first"), n, f, n, lit("then"), n, f, lit("py"), n, text, n, f))
+        .when(kind == 2, F.concat(lit("<interact>"), run, lit("</interact>"), n, f, lit("python"), n, text, n, f))
+        .when(kind == 3, F.concat(lit("<interact></interact>"), n, f, lit("python"), n, lit("class Solution: pass"), n, text, n, f))
+        .when(kind == 4, text)
+        .otherwise(F.concat(f, lit("c++"), n, text, n, f, n, lit("after")))
     )
     return d.select("doc_id", F.when(F.col("doc_id") % 2 == 0, "solve").alias("fn_name"), response.alias("response"))

@@ -22,6 +22,24 @@ def parsed(text, schema: str, on_error: str = "null", empty: Column | None = Non
     return F.coalesce(value, empty) if on_error == "empty" else value
 
 
+def parsed_or_raw(text, schema: str) -> Column:
+    """(value, raw): JSON text as *schema*, or the text itself where it isn't JSON."""
+    c = F.col(text) if isinstance(text, str) else text
+    ok = F.try_parse_json(c).isNotNull()
+    return F.struct(F.when(ok, F.from_json(c, schema)).alias("value"), F.when(~ok, c).alias("raw"))
+
+
+def serialised(df, *columns: str):
+    """Nested columns as JSON text, as tables at rest have them."""
+    return df.withColumns({c: F.to_json(c) for c in columns})
+
+
+def mean_of_nested(rewards) -> Column:
+    """Mean over lists of lists, null without any entry."""
+    flat = F.flatten(F.col(rewards) if isinstance(rewards, str) else rewards)
+    return F.try_divide(F.aggregate(flat, F.lit(0.0), lambda a, x: a + x), F.size(flat))
+
+
 def test_cases(public, private) -> tuple[Column, Column]:
     """(inputs, outputs) of public then private cases, arrays of structs with
     input and output. Private cases must have been parsed from JSON: packed

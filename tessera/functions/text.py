@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 FENCED = r"(?s)```(?:\w+)?\n(.*?)```"
 INTERACT = r"(?is)<interact>(.*?)</interact>"
-INNER = r"(?s)```(?:python)?\n?(.*?)```"
+INNER = r"(?is)```(?:python)?\n?(.*?)```"
 
 
 def _col(x) -> Column:
@@ -16,7 +16,7 @@ def _col(x) -> Column:
 
 def strip(x) -> Column:
     """Without Unicode white space at either end."""
-    return F.regexp_replace(_col(x), r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(_col(x), r"(?U)^\s++|(?<!\s)\s++$", "")  # each run of white space is read once
 
 
 def _last(x: Column, pattern: str) -> Column:
@@ -51,11 +51,20 @@ def close_interact(x) -> Column:
     return F.when(x.contains("<interact>") & ~x.contains("</interact>"), F.concat(x, F.lit("</interact>"))).otherwise(x)
 
 
-def tail_tokens(x, limit: int, notice: str = "[Output truncated]\n") -> Column:
-    """The last *limit* white-space tokens behind a notice, or the text itself."""
+# What outputs say.
+TRUNCATED = "Output too long, showing only last {} tokens.\n"
+NO_OUTPUT = "(no output during interaction -- did you forget to print? did you enclose the code correctly in <interact></interact>?)"
+FAILED = "Error: execution failed."
+
+
+def tail_tokens(x, limit: int) -> Column:
+    """The last *limit* tokens (between single spaces) behind a notice, or the text
+    itself; a limit below 1 is none."""
+    if limit <= 0:
+        return _col(x)
     tokens = F.split(_col(x), " ", -1)
     kept = F.array_join(F.slice(tokens, -limit, limit), " ")
-    return F.when(F.size(tokens) > limit, F.concat(F.lit(notice), kept)).otherwise(_col(x))
+    return F.when(F.size(tokens) > limit, F.concat(F.lit(TRUNCATED.format(limit)), kept)).otherwise(_col(x))
 
 
 def tail_in_frame(x, limit: int) -> Column:
@@ -63,13 +72,16 @@ def tail_in_frame(x, limit: int) -> Column:
     x = _col(x)
     frame = r"(?s)^<output>\n(.*)</output>\s*$"
     inner = F.regexp_extract(x, frame, 1)
-    return F.when(x.rlike(frame), F.concat(F.lit("<output>\n"), tail_tokens(inner, limit), F.lit("</output>"))).otherwise(x)
+    longer = F.size(F.split(inner, " ", -1)) > limit
+    return F.when(x.rlike(frame) & longer & F.lit(limit > 0), F.concat(F.lit("<output>\n"), tail_tokens(inner, limit), F.lit("</output>"))).otherwise(x)
 
 
 def framed_output(stdout, stderr, ok) -> Column:
     """What a run shows: its output, a note that there was none, or the error."""
-    body = F.when(~_col(ok), F.concat(F.lit("Error: "), F.coalesce(_col(stderr), F.lit("")))).when(strip(stdout) == "", "(no output)").otherwise(_col(stdout))
-    return F.concat(F.lit("<output>\n"), body, F.lit("\n</output>"))
+    some = lambda c: F.nullif(_col(c), F.lit(""))
+    error = F.coalesce(F.concat(F.lit("Error:\n"), some(stderr)), F.lit(FAILED))
+    body = F.when(_col(ok), F.coalesce(some(stdout), F.lit(NO_OUTPUT))).otherwise(error)
+    return F.concat(F.lit("<output>\n"), body, F.lit("</output>"))
 
 
 def timed_out(stderr) -> Column:
@@ -108,9 +120,31 @@ def preview(x, size: int = 200) -> Column:
     return F.when(F.length(x) > size, F.concat(F.substring(x, F.lit(1), F.lit(size)), F.lit("..."))).otherwise(x)
 
 
-def resolved_channel(final, commentary, analysis, raw) -> Column:
-    """The first channel with content."""
-    return F.coalesce(*[F.nullif(_col(x), F.lit("")) for x in (final, commentary, analysis)], _col(raw))
+def resolved_channel(messages, raw) -> Column:
+    """(content, channel, analysis) of parsed messages (channel, content): the last
+    final text, else commentary, else analysis, else the raw text as unknown. A
+    message without a channel is final; analysis is told beside the others only."""
+    m = _col(messages)
+    last = lambda name: F.nullif(F.try_element_at(F.filter(m, lambda x: F.coalesce(F.nullif(x["channel"], F.lit("")), F.lit("final")) == name), F.lit(-1))["content"], F.lit(""))
+    final, comment, thought = last("final"), last("commentary"), last("analysis")
+    channel = F.when(final.isNotNull(), "final").when(comment.isNotNull(), "commentary").when(thought.isNotNull(), "analysis").otherwise("unknown")
+    beside = F.when(final.isNotNull() | comment.isNotNull(), thought)
+    return F.struct(F.coalesce(final, comment, thought, _col(raw), F.lit("")).alias("content"), channel.alias("channel"), beside.alias("analysis"))
+
+
+def of_family(name, family: str = "gpt-oss") -> Column:
+    """Whether a model's name says that it is of a family, in any case."""
+    return F.lower(_col(name)).contains(family)
+
+
+def plain_prompt(problem) -> Column:
+    """A problem for a model without a chat template."""
+    return F.concat(F.lit("Solve this problem step-by-step: "), _col(problem), F.lit("\n\n Put the final answer within \\boxed{}\n"))
+
+
+def backoff(base, attempt) -> Column:
+    """Seconds to wait before an attempt, doubled each time."""
+    return _col(base) * F.pow(F.lit(2.0), _col(attempt))
 
 
 def id_range(name) -> tuple[Column, Column]:
@@ -144,65 +178,64 @@ def sentence_count(x) -> Column:
     return F.size(F.filter(F.split(_col(x), "[.!?]+"), lambda s: s.rlike(r"(?U)\S")))
 
 
-def compared(n: Column, relation: str, bound: int) -> Column:
-    """Relations that verifiers know; any other is false."""
-    return {"at least": n >= bound, "at most": n <= bound, "less than": n < bound}.get(relation, F.lit(False))
+def compared(n: Column, relation: Column, bound: Column) -> Column:
+    """1 or 0 by a relation that verifiers know; any other is 0. Null without a
+    bound that a known one needs."""
+    ok = F.when(relation == "at least", n >= bound).when(relation == "at most", n <= bound).when(relation == "less than", n < bound).otherwise(F.lit(False))
+    return F.when(ok, 1.0).when(ok.isNotNull(), 0.0)
 
 
-def keyword_count(x, keyword: str) -> Column:
+def keyword_count(x, keyword) -> Column:
     """Non-overlapping occurrences in any case; of the empty word, one at each
     position."""
-    if keyword is None:
-        raise TypeError("no keyword")
-    if not keyword:
-        return F.length(_col(x)) + 1
-    return F.regexp_count(F.lower(_col(x)), F.lit("\\Q" + keyword.lower().replace("\\E", "\\E\\\\E\\Q") + "\\E"))
-
-
-#: What each known instruction asks of a text; settings come from its keywords.
-INSTRUCTIONS = {
-    "punctuation:no_comma": lambda x, k: has_no_comma(x),
-    "length_constraints:number_words": lambda x, k: compared(word_count(x), k["relation"], k["num_words"]),
-    "length_constraints:number_sentences": lambda x, k: compared(sentence_count(x), k["relation"], k["num_sentences"]),
-    "keywords:frequency": lambda x, k: keyword_count(x, k["keyword"]) >= k["frequency"],
-}
-
-
-def instruction_score(x, name: str, settings: dict | None) -> Column:
-    """1 or 0; 0.5 for an instruction that isn't known or lacks a setting."""
-    try:
-        ok = INSTRUCTIONS[name](x, settings or {})
-    except (KeyError, TypeError, AttributeError):
-        return F.lit(0.5)
-    return F.when(ok, 1.0).otherwise(0.0)
-
-
-def instruction_reward(x, names: list[str], settings: list[dict | None]) -> Column:
-    """Mean score: pairs up to the shorter list, over the number of names; 1
-    without names."""
-    if not names:
-        return F.lit(1.0)
-    scores = [instruction_score(x, n, s) for n, s in zip(names, settings)]
-    total = F.lit(0.0)
-    for s in scores:
-        total = total + s
-    return total / len(names)
+    word = F.lower(keyword if isinstance(keyword, Column) else F.lit(keyword))
+    quoted = F.concat(F.lit("\\Q"), F.replace(word, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    return F.when(word == "", F.length(_col(x)) + 1).otherwise(F.regexp_count(F.lower(_col(x)), quoted))
+
+
+def instruction_score(x, name: Column, settings: Column) -> Column:
+    """1 or 0; 0.5 for an instruction that isn't known or can't be judged. *settings*
+    is a map of texts: what is absent takes its default ('at least', 100 words, 3
+    sentences, the empty keyword, once); a null relation is none, another null
+    setting, or null settings, can't be judged."""
+    x = _col(x)
+    of = lambda key, default: F.when(F.map_contains_key(settings, F.lit(key)), F.try_element_at(settings, F.lit(key))).otherwise(F.lit(default))
+    relation = of("relation", "at least")
+    number = lambda key, default: of(key, default).try_cast("double")
+    seen = keyword_count(x, of("keyword", "")) >= number("frequency", "1")
+    score = (
+        F.when(name == "length_constraints:number_words", compared(word_count(x), relation, number("num_words", "100")))
+        .when(name == "length_constraints:number_sentences", compared(sentence_count(x), relation, number("num_sentences", "3")))
+        .when(name == "keywords:frequency", F.when(seen, 1.0).when(seen.isNotNull(), 0.0))
+    )
+    return F.when(name == "punctuation:no_comma", F.when(has_no_comma(x), 1.0).otherwise(0.0)).otherwise(F.coalesce(F.when(settings.isNotNull(), score), F.lit(0.5)))
+
+
+def instruction_reward(x, names: Column, settings: Column) -> Column:
+    """Mean score of arrays of names and settings: pairs up to the shorter array,
+    over the number of names; 1 without names."""
+    pairs = F.slice(F.arrays_zip(names.alias("n"), settings.alias("s")), F.lit(1), F.least(F.size(names), F.size(settings)))
+    total = F.aggregate(pairs, F.lit(0.0), lambda acc, p: acc + instruction_score(x, p["n"], p["s"]))
+    return F.when(F.coalesce(F.size(names), F.lit(0)) <= 0, 1.0).otherwise(total / F.size(names))
 
 
 # --- comparison of outputs ---------------------------------------------------
 
 
-def _lines(x: Column) -> Column:
-    return F.transform(F.split(strip(x), "\n"), strip)
+#: What ends a line.
+BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 
-def _tokens(x: Column) -> Column:
-    return F.filter(F.split(x, r"(?U)\s+"), lambda t: t != "")
+def _lines(x: Column) -> Column:
+    return F.filter(F.transform(F.split(strip(x), BREAK), strip), lambda line: line != "")
 
 
 def match_tier(expected, actual) -> Column:
-    """The first way in which two outputs agree: trimmed, lines, tokens; null if
-    none. Numbers within a tolerance are left to the scorer."""
+    """The first way in which two outputs agree: trimmed, the lines that aren't
+    blank, the tokens of each such line; null if none. Numbers within a tolerance
+    are left to the scorer."""
     a, b = _col(expected), _col(actual)
-    return F.when(strip(a) == strip(b), "trimmed").when(_lines(a) == _lines(b), "lines").when(_tokens(a) == _tokens(b), "tokens")
-
+    one = F.array(F.struct(a.alias("a"), b.alias("b"), _lines(a).alias("x"), _lines(b).alias("y")))  # each side once
+    tokens = lambda lines: F.transform(lines, lambda line: F.split(line, r"(?U)\s+"))
+    tier = lambda r: F.when(strip(r["a"]) == strip(r["b"]), "trimmed").when(r["x"] == r["y"], "lines").when(tokens(r["x"]) == tokens(r["y"]), "tokens")
+    return F.get(F.transform(one, tier), F.lit(0))

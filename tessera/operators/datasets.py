@@ -154,6 +154,52 @@ def batches(df: DataFrame, order: str, size: int) -> DataFrame:
     return numbered(df, [order], "batch").withColumn("batch", F.floor(F.col("batch") / size).cast("long"))
 
 
+def cycled(df: DataFrame, order: str, size: int, n_batches: int) -> DataFrame:
+    """*n_batches* batches of *size* rows through the stated order, which begins
+    anew at its end; adds batch. An empty table gives none."""
+    n = df.count()
+    placed = numbered(df, [order], "__pos")
+    wanted = n_batches * size
+    again = F.explode(F.sequence(F.col("__pos"), F.lit(wanted - 1).cast("long"), F.lit(max(n, 1)).cast("long")))
+    return placed.where(F.col("__pos") < wanted).withColumn("batch", again).withColumn("batch", F.floor(F.col("batch") / size).cast("long")).drop("__pos")
+
+
+def choices_by_prompt(choices: DataFrame, n: int, index: str = "index") -> DataFrame:
+    """(prompt_index, sequences): the answers of a completion call, *n* for each
+    prompt and numbered through, by prompt in order. Columns but the index are an
+    answer's."""
+    own = [c for c in choices.columns if c != index]
+    rows = choices.withColumn("prompt_index", F.floor(F.col(index) / n).cast("long"))
+    held = rows.groupBy("prompt_index").agg(F.array_sort(F.collect_list(F.struct(index, *own))).alias("s"))  # n entries
+    return held.select("prompt_index", F.transform("s", lambda x: F.struct(*[x[c].alias(c) for c in own])).alias("sequences"))
+
+
+def sharded(df: DataFrame, index: str, n: int) -> DataFrame:
+    """Round robin over *n* clients: adds client. Rows keep their index, by which
+    answers are put together again."""
+    return df.withColumn("client", F.pmod(F.col(index), F.lit(n)).cast("int"))
+
+
+def reassembled(asked: DataFrame, answered: DataFrame, index: str) -> DataFrame:
+    """Every question with its answer; raises if one has none."""
+    if not asked.join(answered, index, "left_anti").isEmpty():
+        raise RuntimeError("answers are incomplete")
+    return asked.join(answered, index)
+
+
+def interaction_codes(df: DataFrame, most: int | None = None, interactions: str = "interactions") -> DataFrame:
+    """(problem_id, trajectory_id, pos, code) of the interactions whose code isn't
+    blank; the first *most* in that order, if stated."""
+    rows = df.select("problem_id", "trajectory_id", F.posexplode(interactions).alias("pos", "i")).select("problem_id", "trajectory_id", "pos", F.col("i.code").alias("code"))
+    rows = rows.where(F.length(F.trim(F.regexp_replace(F.coalesce("code", F.lit("")), r"(?U)\s+", " "))) > 0)
+    return rows if most is None else rows.orderBy("problem_id", "trajectory_id", "pos").limit(most)
+
+
+def first_problems(df: DataFrame, n: int) -> DataFrame:
+    """All rows of the problems below *n*."""
+    return df.where(F.col("problem_id") < n)
+
+
 def seeded_rollouts(problems: DataFrame, samples: int) -> DataFrame:
     """A row for each problem and sample."""
     return problems.withColumn("sample_index", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))

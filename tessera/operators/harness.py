@@ -1,141 +1,93 @@
-"""Running candidate programs against tests, in limited child processes.
+"""Running candidate programs against tests, in limited processes.
 
-A fixed harness reads code and tests from its standard input, so no source is
-ever spliced; the Python worker itself runs none of it.  Rows travel with their
-keys, and a task's failure is retried by Spark."""
+Each task of Spark has one child interpreter (``candidate``), which forks for every
+program; the Python worker itself runs none of it, and no source is ever spliced.
+Rows travel with their keys, and a task's failure is retried by Spark."""
 
 from __future__ import annotations
 
-import ast
 import json
-import math
-import re
+import os
 import subprocess
 import sys
 from collections.abc import Iterator
-from decimal import Decimal, InvalidOperation
+from importlib.util import find_spec
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from tessera.operators.candidate import outputs_match, results_match  # noqa: F401
 
 MEMORY = 10 << 30
-TOLERANCE = 1e-3
-
-#: The child's program: code and cases on stdin, one JSON line of results on
-#: stdout. A case with a function name calls it with the arguments of its lines.
-_CHILD = r"""
-import io, json, resource, signal, sys
-task = json.loads(sys.stdin.read())
-resource.setrlimit(resource.RLIMIT_AS, (task["memory"], task["memory"]))
-out, real = [], sys.stdout
-class Late(BaseException):
-    pass
-def late(*_):
-    raise Late()
-signal.signal(signal.SIGALRM, late)
-code = compile(task["code"], "candidate", "exec")
-scope = {"__name__": "candidate"}
-if task["fn_name"]:
-    exec(code, scope)
-    holder = scope["Solution"]() if "Solution" in scope else None
-    call = getattr(holder, task["fn_name"]) if holder is not None else scope[task["fn_name"]]
-for case in task["cases"]:
-    sys.stdout, sys.stdin = io.StringIO(), io.StringIO(case if isinstance(case, str) else "")
-    signal.setitimer(signal.ITIMER_REAL, task["seconds"])
-    try:
-        if task["fn_name"]:
-            value = call(*case)
-            got = json.dumps(list(value) if isinstance(value, tuple) else value)
-        else:
-            exec(code, {"__name__": "__main__"})
-            got = sys.stdout.getvalue()
-        out.append(["ok", got])
-    except Late:
-        out.append(["late", ""])
-    except SystemExit:
-        out.append(["ok", sys.stdout.getvalue()])
-    except BaseException as e:
-        out.append(["error", type(e).__name__])
-    finally:
-        signal.setitimer(signal.ITIMER_REAL, 0)
-        sys.stdout = real
-print(json.dumps(out))
-"""
-
-
-def _number(token: str) -> Decimal | None:
-    try:
-        return Decimal(token.replace("_", ""))
-    except InvalidOperation:
+#: Seconds of a program as a whole where its tests have no limit, and beyond theirs.
+WHOLE, BEYOND = 60.0, 5.0
+
+# Fixed value: what a snippet that takes too long is told.
+TIMED_OUT = (
+    "Execution timed out\n\nMaybe you are doing lots of operations?\nMaybe you are accepting inputs from stdin in interact blocks? "
+    "(you need to hardcode inputs yourself when doing interactions)\n\nIf you are trying to submit the final answer, use only ```python``` blocks."
+)
+
+
+class Child:
+    """The interpreter that runs programs; a new one takes the place of one that
+    has gone."""
+
+    def __init__(self):
+        self.process = None
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        if self.process is not None:
+            self.process.kill()
+            self.process.wait()
+            self.process = None
+
+    def _start(self):
+        name = "tessera.operators.candidate"
+        source = find_spec(name).loader.get_source(name)  # also from an archive
+        env = {**os.environ, "OPENBLAS_NUM_THREADS": "1", "OMP_NUM_THREADS": "1"}
+        self.process = subprocess.Popen([sys.executable, "-I", "-c", source], stdin=subprocess.PIPE, stdout=subprocess.PIPE, stderr=subprocess.DEVNULL, text=True, env=env)
+
+    def run(self, task: dict) -> dict | None:
+        for _ in range(2):
+            if self.process is None or self.process.poll() is not None:
+                self._start()
+            try:
+                self.process.stdin.write(json.dumps(task) + "\n")
+                self.process.stdin.flush()
+                line = self.process.stdout.readline()
+            except BrokenPipeError:
+                line = ""
+            if line:
+                return json.loads(line)
+            self.__exit__()
         return None
 
 
-def outputs_match(expected: str, actual: str) -> bool:
-    """Trimmed, by lines, by tokens, by numbers within the tolerance, then as
-    booleans in any case."""
-    a, b = expected.strip(), actual.strip()
-    if len(a) > 1 and a[0] == a[-1] == '"' and a != b:
-        a = a[1:-1]
-    if a == b or [x.strip() for x in a.split("\n")] == [x.strip() for x in b.split("\n")]:
-        return True
-    x, y = a.split(), b.split()
-    if x == y:
-        return True
-    if x and len(x) == len(y):
-        pairs = [(_number(i), _number(j)) for i, j in zip(x, y)]
-        if all(i is not None and j is not None and i.is_finite() and j.is_finite() and abs(i - j) <= Decimal(TOLERANCE) for i, j in pairs):
-            return True
-    return a.lower() == b.lower() and a.lower() in ("true", "false")
-
-
-def results_match(expected: str, actual: str) -> bool:
-    """A function's result as JSON: equal, or equal to the only expected entry."""
-    try:
-        want, got = json.loads(expected), json.loads(actual)
-    except ValueError:
-        return outputs_match(expected, actual)
-    if want == got or isinstance(want, list) and want and want[0] == got:
-        return True
-    if isinstance(want, float) and isinstance(got, (int, float)):
-        return math.isclose(want, got, abs_tol=TOLERANCE)
-    return False
-
-
-def run_cases(code: str, inputs: list[str], outputs: list[str], fn_name: str | None, seconds: float, max_tests: int = 15) -> tuple[int, int, int, list[int]]:
-    """(passed, total, timeouts, indices of the late tests). The first tests are
-    taken; a child that fails or overruns as a whole passes none and counts no
-    timeout."""
-    inputs, outputs = inputs[:max_tests], outputs[:max_tests]
-    total = min(len(inputs), len(outputs))
-    if not total:
-        return 0, 0, 0, []
-    cases: list = inputs[:total]
-    if fn_name:
-        try:
-            cases = [[ast.literal_eval(x) for x in (c or "").split("\n") if x.strip()] for c in cases]
-        except (ValueError, SyntaxError):
-            return 0, total, 0, []
-    task = json.dumps({"code": code, "cases": cases, "fn_name": fn_name, "seconds": seconds, "memory": MEMORY})
-    try:
-        run = subprocess.run([sys.executable, "-I", "-c", _CHILD], input=task, capture_output=True, text=True, timeout=seconds * total + 5)
-        got = json.loads(run.stdout.strip().rpartition("\n")[2])
-    except (subprocess.TimeoutExpired, ValueError):
-        return 0, total, 0, []
-    same = results_match if fn_name else outputs_match
-    passed = sum(state == "ok" and same(want or "", value) for (state, value), want in zip(got, outputs))
-    late = [i for i, (state, _) in enumerate(got) if state == "late"]
-    return passed, total, len(late), late
-
-
-def run_snippet(code: str, seconds: float) -> tuple[bool, str, str]:
+def run_cases(child: Child, code: str, inputs: list, outputs: list, fn_name: str | None, seconds: float | None = 1.0, max_tests: int = 15) -> tuple[int, int, list[int]]:
+    """(passed, total, indices of the late tests). The first tests are taken; a
+    program that fails or overruns as a whole passes none and has no late test."""
+    inputs, outputs = ([x or "" for x in v[:max_tests]] for v in (inputs, outputs))
+    if not inputs or not outputs:
+        return 0, len(inputs), []
+    overall = seconds * len(inputs) + BEYOND if seconds and seconds > 0 else WHOLE
+    got = child.run({"kind": "tests", "code": code, "inputs": inputs, "outputs": outputs, "fn_name": fn_name, "seconds": seconds, "memory": MEMORY, "overall": overall})
+    if not isinstance(got, dict) or "passed" not in got:
+        return 0, len(inputs), []
+    return got["passed"], got["total"], got["late"]
+
+
+def run_snippet(child: Child, code: str, seconds: float | None) -> tuple[bool, str, str]:
     """(ok, output, error) of a program by itself."""
-    try:
-        run = subprocess.run([sys.executable, "-I", "-c", code], capture_output=True, text=True, timeout=seconds)
-    except subprocess.TimeoutExpired:
-        return False, "", f"timed out after {seconds:g} s; shorten the program\nor give it less to do\nand run it again"
-    error = "\n".join(x for x in run.stderr.split("\n") if x and not re.match(r'\s*File "<', x))
-    return run.returncode == 0, run.stdout, error
+    got = child.run({"kind": "snippet", "code": code, "memory": MEMORY, "overall": seconds or WHOLE})
+    if got and "ok" in got:
+        return got["ok"], got["stdout"], got["stderr"]
+    return False, "", TIMED_OUT if got and got.get("timed_out") else ""
 
 
 def _dealt(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -145,33 +97,38 @@ def _dealt(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *keys)
 
 
-def scored(df: DataFrame, keys: list[str], seconds: float = 1.0, max_tests: int = 15) -> DataFrame:
-    """(keys, final_reward, n_passed, n_tests, n_timeouts) of rows with verdict,
-    code, fn_name and tests. Only rows to execute reach Python; the others have
-    reward 0 at once. Rows are dealt out evenly, as their cost is in the run."""
-    schema = df.select(*keys).schema.add("final_reward", "double").add("n_passed", "long").add("n_tests", "long").add("n_timeouts", "long")
+def scored(df: DataFrame, keys: list[str], seconds: float | None = 1.0, max_tests: int = 15, late_tests: int = 0) -> DataFrame:
+    """(keys, final_reward, n_passed, n_tests, n_timeouts, late_tests) of rows with
+    verdict, code, fn_name and tests. Only rows to execute reach Python; the others
+    have reward 0 at once. Rows are dealt out evenly, as their cost is in the run.
+    late_tests are the indices of the first late tests, as many as are asked for."""
+    made = "final_reward double, n_passed long, n_tests long, n_timeouts long, late_tests array<int>"
+    schema = StructType([*df.select(*keys).schema.fields, *StructType.fromDDL(made).fields])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = []
-            for r in f.to_dict("records"):
-                passed, total, late, _ = run_cases(r["code"], list(r["inputs"]) if r["inputs"] is not None else [], list(r["outputs"]) if r["outputs"] is not None else [], r["fn_name"] or None, seconds, max_tests)
-                rows.append([*(r[k] for k in keys), passed / total if total else 0.0, passed, total, late])
-            yield pd.DataFrame(rows, columns=schema.fieldNames())
+        with Child() as child:
+            for f in frames:
+                rows = []
+                for r in f.to_dict("records"):
+                    inputs, outputs = ([] if r[c] is None else list(r[c]) for c in ("inputs", "outputs"))
+                    passed, total, late = run_cases(child, r["code"], inputs, outputs, r["fn_name"] or None, seconds, max_tests)
+                    rows.append([*(r[k] for k in keys), passed / total if total else 0.0, passed, total, len(late), late[:late_tests]])
+                yield pd.DataFrame(rows, columns=schema.fieldNames())
 
     todo = df.where(F.col("verdict") == "execute").select(*keys, "code", "fn_name", F.col("tests.inputs").alias("inputs"), F.col("tests.outputs").alias("outputs"))
     zero = F.lit(0).cast("long")
-    rest = df.where(F.col("verdict") != "execute").select(*keys, F.lit(0.0).alias("final_reward"), zero.alias("n_passed"), zero.alias("n_tests"), zero.alias("n_timeouts"))
+    rest = df.where(F.col("verdict") != "execute").select(*keys, F.lit(0.0).alias("final_reward"), zero.alias("n_passed"), zero.alias("n_tests"), zero.alias("n_timeouts"), F.array().cast("array<int>").alias("late_tests"))
     return _dealt(todo, keys).mapInPandas(run, schema).unionByName(rest)
 
 
-def interacted(df: DataFrame, keys: list[str], code: str = "interact_code", seconds: float = 5.0) -> DataFrame:
+def interacted(df: DataFrame, keys: list[str], code: str = "interact_code", seconds: float | None = 5.0) -> DataFrame:
     """(keys, ok, stdout, stderr) of each row's snippet."""
     schema = df.select(*keys).schema.add("ok", "boolean").add("stdout", "string").add("stderr", "string")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = [[*(r[k] for k in keys), *run_snippet(r[code], seconds)] for r in f.to_dict("records")]
-            yield pd.DataFrame(rows, columns=schema.fieldNames())
+        with Child() as child:
+            for f in frames:
+                rows = [[*(r[k] for k in keys), *run_snippet(child, r[code], seconds)] for r in f.to_dict("records")]
+                yield pd.DataFrame(rows, columns=schema.fieldNames())
 
     return _dealt(df.select(*keys, code), keys).mapInPandas(run, schema)

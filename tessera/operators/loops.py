@@ -14,12 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from tessera.functions.text import close_interact, framed_output
+from tessera.functions.text import close_interact, tail_in_frame
 from tessera.operators.datasets import seeded_rollouts, seeded_subset
-from tessera.operators.harness import interacted, scored
+from tessera.operators.environment import acted, first_observation, step
+from tessera.operators.harness import scored
 from tessera.operators.scores import classified
 from tessera.operators.turns import aggregation_prompt, last_assistant
-from tessera.schemas import TESTS
 from tessera.sources.tables import load_metadata, save_metadata
 
 #: prompts and seeds to texts
@@ -70,43 +70,43 @@ def generated(df: DataFrame, prompt: str, seed: str, generate: Generator, out: s
     return df.mapInPandas(run, schema)
 
 
-def multi_turn(spark: SparkSession, problems: DataFrame, root: str, generate: Generator, samples: int, max_turns: int = 5, seconds: float = 1.0) -> DataFrame:
-    """Rolls out every problem *samples* times: (problem_id, trajectory_id,
-    n_turns, final_reward, terminated, truncated, transcript).
+def multi_turn(spark: SparkSession, problems: DataFrame, root: str, generate: Generator, samples: int, max_turns: int = 5, seconds: float = 1.0, system: str = "", final_prompt: str = "This is the last turn.", tail: int = 0) -> DataFrame:
+    """Rolls out every problem *samples* times in the coding environment:
+    (problem_id, trajectory_id, n_turns, final_reward, terminated, truncated,
+    has_interacted, eval_timeouts, interaction_timeouts, transcript).
 
-    problems has problem_id, question, fn_name and tests. In each turn a text
-    that interacts gets the output of its snippet; one that answers is scored
-    and ends; one that does neither ends with 0. At the last turn an interaction
-    ends the rollout, cut short."""
+    problems has problem_id, question, fn_name and tests. A round lets every active
+    state speak and takes one step; at the last turn the prompt says so. With *tail*
+    long outputs keep their last tokens. A rollout ends when it is terminated or
+    truncated."""
     rounds = Rounds(spark, root, num_samples=samples)
-    seeds = seeded_rollouts(problems, samples).select("problem_id", F.col("sample_index").alias("trajectory_id"), F.col("question").alias("transcript"), "fn_name", "tests")
-    states = rounds.table("round=0", lambda: seeds)
-    finished = None
     keys = ["problem_id", "trajectory_id"]
+    zero = F.lit(0).cast("long")
+    seeds = seeded_rollouts(problems, samples).select("problem_id", F.col("sample_index").alias("trajectory_id"), first_observation(F.col("question"), system).alias("transcript"), "fn_name", "tests")
+    start = {"current_turn": F.lit(0), "max_turns": F.lit(max_turns), "has_interacted": F.lit(False), "eval_timeouts": zero, "interaction_timeouts": zero}
+    states = rounds.table("round=0", lambda: seeds.withColumns(start))
+    carried = states.columns
+    finished = None
     for turn in range(1, max_turns + 1):
-        last = turn == max_turns
-        seed = F.xxhash64(*keys, F.lit(turn))
-        prompt = F.concat("transcript", F.lit("\n\nThis is the last turn.")) if last else F.col("transcript")
-        spoken = rounds.table(
-            f"round={turn}-spoken",
-            lambda s=states, p=prompt, d=seed: classified(generated(s.withColumns({"prompt": p, "seed": d}), "prompt", "seed", generate).withColumn("text", close_interact("text")), "text").drop("prompt", "seed", "terminated", "truncated"),
-        )
-
-        def executed(spoken=spoken, last=last):
-            answer = spoken.where("verdict != 'interact'")
-            ended = answer.join(scored(answer, keys, seconds), keys).select(*keys, "final_reward", F.lit(True).alias("terminated"), (F.col("verdict") != "execute").alias("truncated"), F.concat_ws("\n\n", "transcript", "text").alias("transcript"), F.lit(None).cast("string").alias("fn_name"), F.lit(None).cast(TESTS).alias("tests"))
-            acting = spoken.where("verdict = 'interact'")
-            if last:
-                going = acting.select(*keys, F.lit(0.0).alias("final_reward"), F.lit(False).alias("terminated"), F.lit(True).alias("truncated"), F.concat_ws("\n\n", "transcript", "text").alias("transcript"), "fn_name", "tests")
-            else:
-                seen = acting.join(interacted(acting, keys), keys)
-                going = seen.select(*keys, F.lit(0.0).alias("final_reward"), F.lit(False).alias("terminated"), F.lit(False).alias("truncated"), F.concat_ws("\n\n", "transcript", "text", framed_output("stdout", "stderr", "ok")).alias("transcript"), "fn_name", "tests")
-            return ended.unionByName(going)
+        prompt = F.concat("transcript", F.lit(f"\n\n{final_prompt}")) if turn == max_turns else F.col("transcript")
+        asked = states.withColumns({"prompt": prompt, "seed": F.xxhash64(*keys, F.lit(turn))})
+        spoken = rounds.table(f"round={turn}-spoken", lambda asked=asked: acted(generated(asked, "prompt", "seed", generate).withColumn("action", close_interact("text")).drop("prompt", "seed", "text")))
+
+        def executed(spoken=spoken):
+            done = step(spoken, keys, seconds)
+            seen = tail_in_frame("observation", tail) if tail else F.col("observation")
+            return done.withColumns(
+                {
+                    "transcript": F.concat_ws("\n\n", "transcript", "action", F.nullif(seen, F.lit(""))),
+                    "eval_timeouts": F.col("eval_timeouts") + F.col("eval_timeout_count"),
+                    "interaction_timeouts": F.col("interaction_timeouts") + F.col("interaction_timed_out").cast("long"),
+                }
+            ).select(*carried, "final_reward", "terminated", "truncated")
 
         after = rounds.table(f"round={turn}", executed)
-        over = after.where("terminated or truncated").select(*keys, F.lit(turn).alias("n_turns"), "final_reward", "terminated", "truncated", "transcript")
+        over = after.where("terminated or truncated").select(*keys, F.col("current_turn").alias("n_turns"), "final_reward", "terminated", "truncated", "has_interacted", "eval_timeouts", "interaction_timeouts", "transcript")
         finished = over if finished is None else finished.unionByName(over)
-        states = after.where("not (terminated or truncated)").select(*keys, "transcript", "fn_name", "tests")
+        states = after.where("not (terminated or truncated)").select(*carried)
         if states.isEmpty():
             break
     return finished

@@ -118,3 +118,7 @@ def run_summary(df: DataFrame, success: str = PARTIAL, problem: str = "problem_i
 def completion(df: DataFrame, num_samples: int, problem: str = "problem_id") -> DataFrame:
     """Problems and whether all their samples are there."""
     return df.groupBy(problem).agg(F.count("*").alias("n_done")).withColumn("complete", F.col("n_done") >= num_samples)
+
+
+def mean_tokens(df: DataFrame, by: list[str], tokens: str = "total_tokens", digits: int = 8) -> DataFrame:
+    return df.groupBy(*by).agg(rounded(F.avg(tokens), digits).alias("mean_tokens"))

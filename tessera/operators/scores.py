@@ -52,9 +52,40 @@ def discrepancies(df: DataFrame, kind: str, tolerance: float = 0.001, digits: in
     return out.withColumn("match_rate", rounded(1 - guarded(F.col("improved") + F.col("degraded"), F.col("n_rows")), digits))
 
 
-def breakdown(df: DataFrame, kind: str) -> DataFrame:
-    """By kind, and over all: rows with any pass, full reward, cut short."""
-    return df.rollup(kind).agg(F.count("*").alias("n_rows"), F.count_if(F.col("final_reward") > 0).alias("any_pass"), F.count_if(F.col("final_reward") == 1.0).alias("perfect"), F.count_if("truncated").alias("n_truncated"))
+def parity(old: DataFrame, new: DataFrame, keys: list[str], tolerance: float = 0.001) -> DataFrame:
+    """Rows of two runs by key: both rewards, their difference and whether it is an
+    improvement or a degradation beyond the tolerance. Rows without an old reward
+    aren't compared."""
+    known = old.where(F.col("final_reward").isNotNull()).select(*keys, F.col("final_reward").alias("original_reward"))
+    both = known.join(new.select(*keys, F.col("final_reward").alias("new_reward")), keys).withColumn("diff", F.col("new_reward") - F.col("original_reward"))
+    return both.withColumn("change", F.when(F.col("diff") > tolerance, "improved").when(F.col("diff") < -tolerance, "degraded").otherwise("same"))
+
+
+def breakdown(df: DataFrame, kind: str, digits: int = 8) -> DataFrame:
+    """By kind, and over all (null kind): rows with any pass, full reward, cut short
+    or invalidated, and the mean reward."""
+    return df.rollup(kind).agg(
+        F.count("*").alias("n_rows"),
+        F.count_if(F.col("final_reward") > 0).alias("any_pass"),
+        F.count_if(F.col("final_reward") == 1.0).alias("perfect"),
+        F.count_if("truncated").alias("n_truncated"),
+        F.count_if("invalidated").alias("n_invalidated"),
+        rounded(F.avg("final_reward"), digits).alias("mean_reward"),
+    )
+
+
+def by_problem_type(df: DataFrame, fn_name: str = "fn_name") -> DataFrame:
+    """The breakdown by function-call and standard-input problems."""
+    kind = F.when(F.coalesce(F.col(fn_name), F.lit("")) != "", "function").otherwise("stdin")
+    return breakdown(df.withColumn("problem_type", kind), "problem_type")
+
+
+def interaction_rollup(runs: DataFrame, digits: int = 6) -> DataFrame:
+    """Of each trajectory's runs (problem_id, trajectory_id, ok, duration_ms): how
+    many, how many went well and not, and their time together."""
+    return runs.groupBy("problem_id", "trajectory_id").agg(
+        F.count("*").alias("num_interactions"), F.count_if("ok").alias("successes"), F.count_if(~F.col("ok")).alias("failures"), rounded(F.sum("duration_ms"), digits).alias("total_duration_ms")
+    )
 
 
 def latency(df: DataFrame, value: str, by: list[str], slow: float = 4900.0, failed: Column | None = None, digits: int = 6) -> DataFrame:
@@ -115,6 +146,11 @@ def rate_of_known(flag: Column) -> Column:
     return F.avg(F.when(flag, 1.0).when(~flag, 0.0))
 
 
+def all_passed(flag: Column) -> Column:
+    """Whether every known flag is true, and there is one."""
+    return F.coalesce(rate_of_known(flag) == 1.0, F.lit(False))
+
+
 def weighted(metrics: dict[str, Column], weights: dict[str, float]) -> Column:
     """Sum of metrics by weight; a metric without a weight counts nothing."""
     out = F.lit(0.0)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,12 +33,12 @@ def problems(spark: SparkSession, d: str, n: int | None = None) -> DataFrame:
 
 
 def scripted(prompts: pd.Series, seeds: pd.Series) -> pd.Series:
-    """A generator for tests: interacts first, then answers, rightly in two cases
-    of three; the seed decides."""
+    """A generator for tests: interacts or answers first, interacts where it is told
+    to, then answers, rightly in two cases of three; the seed decides."""
 
     def one(prompt: str, seed: int) -> str:
         size = prompt.split("Add ")[1].split()[0]
-        if "<interact>" not in prompt and seed % 2:
+        if "You must interact at least once before" in prompt.rpartition("<output>")[2] or "<output>" not in prompt and seed % 2:
             return f"<interact>print({size} + 1)"
         wrong = 0 if seed % 3 else 1
         body = f"class Solution:\n    def solve(self, x):\n        return x + {size} + {wrong}\nif __name__ == '__main__':\n    print(int(input()) + {size} + {wrong})"
@@ -50,13 +48,26 @@ def scripted(prompts: pd.Series, seeds: pd.Series) -> pd.Series:
 
 
 def _answers(spark: SparkSession, d: str) -> DataFrame:
-    told = loops.generated(problems(spark, d).withColumns({"prompt": F.concat("question", F.lit(" <interact>")), "seed": F.xxhash64("problem_id")}), "prompt", "seed", scripted)
+    told = loops.generated(problems(spark, d).withColumns({"prompt": F.concat("question", F.lit(" <output>")), "seed": F.xxhash64("problem_id")}), "prompt", "seed", scripted)
     return scores.classified(told, "text")
 
 
-@query()
+@query(
+    """SELECT p_partkey AS problem_id, CAST(CASE WHEN k = 0 THEN 1 ELSE 0 END AS DOUBLE) AS final_reward, CAST(CASE WHEN k = 0 THEN 3 ELSE 0 END AS BIGINT) AS n_passed, CAST(3 AS BIGINT) AS n_tests, CAST(CASE WHEN k = 2 THEN 1 ELSE 0 END AS BIGINT) AS n_timeouts
+    FROM (SELECT p_partkey, CASE WHEN p_partkey % 50 = 7 THEN 2 WHEN p_partkey % 3 = 0 THEN 1 ELSE 0 END AS k FROM part)"""
+)
 def harness_score(spark, d):
-    return harness.scored(_answers(spark, d), ["problem_id"])
+    """Programs that are right, wrong, or never end on the first test (and stop at
+    once on others)."""
+    p = problems(spark, d)
+    size = F.element_at(F.split("question", " "), -1)
+    wrong = F.when(F.col("problem_id") % 3 == 0, "1").otherwise("0")
+    slow = F.col("problem_id") % 50 == 7
+    answer = F.concat(F.lit("x + "), size, F.lit(" + "), wrong)
+    body = F.when(F.col("fn_name").isNotNull(), F.concat(F.lit("class Solution:\n    def solve(self, x: List[int]):\n        return "), answer)).otherwise(F.concat(F.lit("x = int(input())\nprint("), answer, F.lit(")")))
+    hung = F.when(F.col("fn_name").isNotNull(), F.lit("class Solution:\n    def solve(self, x):\n        while x == 1: pass")).otherwise(F.lit("x = int(input())\nwhile x == 1: pass"))
+    rows = p.withColumn("text", F.concat(F.lit("```python\n"), F.when(slow, hung).otherwise(body), F.lit("\n```")))
+    return harness.scored(scores.classified(rows, "text"), ["problem_id"], 0.3).drop("late_tests")
 
 
 @query()
@@ -64,6 +75,18 @@ def rollout_loop(spark, d):
     return loops.multi_turn(spark, problems(spark, d), _workspace(spark, "rollout"), scripted, 2, 3).drop("transcript")
 
 
+@query("SELECT 2 * count(*) AS n, 2 * count(DISTINCT p_partkey) AS n_pairs, TRUE AS turns_fit, TRUE AS scored_ones_interacted, TRUE AS ended_once FROM part")
+def rollout_rules(spark, d):
+    """Every rollout ends once, within its turns, and none is scored that hasn't
+    interacted."""
+    r = loops.multi_turn(spark, problems(spark, d), _workspace(spark, "rules"), scripted, 2, 3)
+    pair = F.struct("problem_id", "trajectory_id")
+    return r.agg(
+        F.count("*").alias("n"), F.countDistinct(pair).alias("n_pairs"), F.bool_and(F.col("n_turns").between(1, 3)).alias("turns_fit"),
+        F.bool_and(~F.col("terminated") | F.col("has_interacted")).alias("scored_ones_interacted"), F.bool_and(F.col("terminated") | F.col("truncated")).alias("ended_once"),
+    )
+
+
 @query()
 def rsa_loop(spark, d):
     def score(df: DataFrame) -> DataFrame:
@@ -88,19 +111,19 @@ def resume_equal(spark, d):
 @query("SELECT time_bucket(INTERVAL '1 day', ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")
 def stream_window_counts(spark, d):
     counts = events.window_counts(events.stream(spark, d), late="3650 days")
-    out = events.drained(counts, f"windows_{uuid.uuid4().hex}")
+    out = events.drained(counts, "windows")
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round(F.col("total") + 1e-9, 6).alias("total"))
 
 
 @query("SELECT DISTINCT user_id, event_type FROM events")
 def stream_dedup(spark, d):
     seen = events.first_seen(events.stream(spark, d), ["user_id", "event_type"], "3650 days")
-    return events.drained(seen.select("user_id", "event_type"), f"seen_{uuid.uuid4().hex}", "append")
+    return events.drained(seen.select("user_id", "event_type"), "seen", "append")
 
 
 @query("SELECT user_id, count(*) AS n, max(value) AS best FROM events GROUP BY user_id")
 def stream_running_best(spark, d):
-    return events.drained(events.running_best(events.stream(spark, d)), f"best_{uuid.uuid4().hex}", "update")
+    return events.drained(events.running_best(events.stream(spark, d)), "best")
 
 
 @query(

@@ -238,9 +238,78 @@ def parity_breakdown(spark, d):
     return scores.discrepancies(scores.rescored(trajectories(spark, d)), "mode")
 
 
-@query(f"{T} SELECT mode, count(*) AS n_rows, count(*) FILTER (final_reward > 0) AS any_pass, count(*) FILTER (final_reward = 1.0) AS perfect, count(*) FILTER (truncated) AS n_truncated FROM t GROUP BY ROLLUP (mode)")
+_BROKEN_DOWN = "count(*) AS n_rows, count(*) FILTER (final_reward > 0) AS any_pass, count(*) FILTER (final_reward = 1.0) AS perfect, count(*) FILTER (truncated) AS n_truncated, count(*) FILTER (num_turns = 1) AS n_invalidated, round(avg(final_reward), 8) AS mean_reward"
+
+
+@query(f"{T} SELECT mode, {_BROKEN_DOWN} FROM t GROUP BY ROLLUP (mode)")
 def evaluation_breakdown(spark, d):
-    return scores.breakdown(trajectories(spark, d), "mode")
+    return scores.breakdown(trajectories(spark, d).withColumn("invalidated", F.col("num_turns") == 1), "mode")
+
+
+@query(f"{T}, y AS (SELECT *, CASE WHEN event_id % 3 = 0 THEN 'function' ELSE 'stdin' END AS problem_type FROM t) SELECT problem_type, {_BROKEN_DOWN} FROM y GROUP BY ROLLUP (problem_type)")
+def problem_type_breakdown(spark, d):
+    t = trajectories(spark, d).withColumns({"invalidated": F.col("num_turns") == 1, "fn_name": F.when(F.col("event_id") % 3 == 0, "f").when(F.col("event_id") % 3 == 1, "")})
+    return scores.by_problem_type(t)
+
+
+@query(
+    f"""{T} SELECT problem_id, trajectory_id, final_reward AS original_reward, rescored_reward AS new_reward, rescored_reward - final_reward AS diff,
+    CASE WHEN rescored_reward - final_reward > 0.001 THEN 'improved' WHEN rescored_reward - final_reward < -0.001 THEN 'degraded' ELSE 'same' END AS change FROM t WHERE event_id % 4 <> 0"""
+)
+def parity_of_runs(spark, d):
+    t = trajectories(spark, d)
+    old = t.withColumn("final_reward", F.when(F.col("event_id") % 4 != 0, F.col("final_reward")))
+    return scores.parity(old, t.withColumn("final_reward", F.col("rescored_reward")), ["problem_id", "trajectory_id"])
+
+
+@query(f"{T} SELECT problem_id, trajectory_id, count(*) AS num_interactions, count(*) FILTER (k <> 1) AS successes, count(*) FILTER (k = 1) AS failures, round(sum(final_reward + k), 6) AS total_duration_ms FROM t, (SELECT unnest(range(3)) AS k) WHERE k < num_turns GROUP BY ALL")
+def interaction_rollup(spark, d):
+    runs = trajectories(spark, d).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(2)))).where("k < num_turns")
+    return scores.interaction_rollup(runs.select("problem_id", "trajectory_id", (F.col("k") != 1).alias("ok"), (F.col("final_reward") + F.col("k")).alias("duration_ms")))
+
+
+@query(f"{T} SELECT problem_id, trajectory_id, CAST(k AS INTEGER) AS pos, 'print(' || k || ')' AS code FROM t, (SELECT unnest([0, 2]) AS k) WHERE problem_id < 50")
+def interaction_codes(spark, d):
+    """Of three interactions the middle one is blank; problems below 50 alone, as
+    the operator takes the first ones."""
+    made = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: F.struct(F.when(k == 1, " \n\t").otherwise(F.concat(F.lit("print("), k.cast("string"), F.lit(")"))).alias("code")))
+    t = datasets.first_problems(trajectories(spark, d), 50).withColumn("interactions", made)
+    return datasets.interaction_codes(t)
+
+
+@query(f"{T} SELECT problem_id, list_aggregate(list(event_id ORDER BY trajectory_id)[1:4], 'string_agg', ',') AS answers FROM (SELECT * FROM t WHERE trajectory_id < 4) GROUP BY problem_id HAVING count(*) = 4")
+def choices_by_prompt(spark, d):
+    """Answers numbered through, four for each prompt, by prompt in order."""
+    t = trajectories(spark, d).where("trajectory_id < 4")
+    full = t.groupBy("problem_id").agg(F.count("*").alias("n")).where("n = 4").select("problem_id")
+    rows = t.join(full, "problem_id", "left_semi").select((F.col("problem_id") * 4 + F.col("trajectory_id")).alias("index"), "event_id")
+    out = datasets.choices_by_prompt(rows, 4)
+    return out.select(F.col("prompt_index").alias("problem_id"), F.array_join(F.transform("sequences", lambda x: x["event_id"].cast("string")), ",").alias("answers"))
+
+
+@query("SELECT event_id, CAST(event_id % 3 AS INTEGER) AS client, value * 2 AS answer FROM events")
+def shards_reassembled(spark, d):
+    asked = datasets.sharded(table(spark, d, "events").select("event_id", "value"), "event_id", 3)
+    answers = asked.select("event_id", (F.col("value") * 2).alias("answer"))
+    return datasets.reassembled(asked.select("event_id", "client"), answers, "event_id")
+
+
+@query("WITH p AS (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS pos, count(*) OVER () AS n FROM part) SELECT p_partkey, (pos + t * n) // 48 AS batch FROM p, (SELECT unnest(range(200)) AS t) WHERE pos + t * n < 48 * 50")
+def cycled_batches(spark, d):
+    return datasets.cycled(table(spark, d, "part").select("p_partkey"), "p_partkey", 48, 50)
+
+
+@query(f"{T}, g AS (SELECT problem_id, list([final_reward, rescored_reward] ORDER BY trajectory_id) AS r FROM t GROUP BY problem_id) SELECT problem_id, round(list_avg(flatten(r)), 8) AS mean_reward FROM g")
+def nested_reward_mean(spark, d):
+    from tessera.functions.nested import mean_of_nested
+
+    g = trajectories(spark, d).groupBy("problem_id").agg(F.collect_list(F.array("final_reward", "rescored_reward")).alias("r"))
+    return g.select("problem_id", rounded(mean_of_nested("r"), 8).alias("mean_reward"))
+
+
+@query(f"{T} SELECT mode, round(avg(num_turns * 100), 8) AS mean_tokens FROM t GROUP BY mode")
+def mean_tokens(spark, d):
+    return prefix.mean_tokens(trajectories(spark, d).withColumn("total_tokens", F.col("num_turns") * 100), ["mode"])
 
 
 @query(
@@ -354,11 +423,11 @@ def weighted_rubric(spark, d):
     return g.select("problem_id", rounded("known", 8).alias("known_rate"), rounded(scores.weighted({"passed": F.col("passed"), "turns": F.col("turns"), "other": F.lit(3.0)}, {"passed": 1.0, "turns": 0.5}), 8).alias("score"))
 
 
-@query("SELECT source, round(avg(CASE WHEN quality = 1 THEN 1.0 WHEN quality = 0 THEN 0.0 END), 8) AS pass_rate FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source")
+@query("SELECT source, round(avg(CASE WHEN quality = 1 THEN 1.0 WHEN quality = 0 THEN 0.0 END), 8) AS pass_rate, count(quality) > 0 AND count(*) FILTER (quality = 0) = 0 AS passed FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source")
 def sandbox_pass_rate(spark, d):
     """Tests without a result (here documents without a label) don't count."""
     joined = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left")
-    return joined.groupBy("source").agg(rounded(scores.rate_of_known(F.col("quality") == 1), 8).alias("pass_rate"))
+    return joined.groupBy("source").agg(rounded(scores.rate_of_known(F.col("quality") == 1), 8).alias("pass_rate"), scores.all_passed(F.col("quality") == 1).alias("passed"))
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -376,10 +445,9 @@ def row_status_counters(spark, d):
     return joined.groupBy(status.alias("status")).agg(F.count("*").alias("n"))
 
 
-@query(f"{T} SELECT source, list_aggregate(list_sort(list_distinct(list(problem_id))), 'string_agg', ',') AS problems FROM t WHERE problem_id < 20 GROUP BY source")
+@query(f"{T} SELECT DISTINCT source, problem_id FROM t")
 def problem_sets_by_type(spark, d):
-    t = trajectories(spark, d).where("problem_id < 20")
-    return t.groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_set("problem_id")), lambda x: x.cast("string")), ",").alias("problems"))
+    return trajectories(spark, d).select("source", "problem_id").distinct()
 
 
 @query("SELECT CAST(sum(CASE WHEN value >= 90 THEN 1 ELSE 0 END) AS BIGINT) AS timeouts, round(avg(CASE WHEN value >= 90 THEN 1.0 ELSE 0.0 END), 8) AS rate, count(DISTINCT user_id) FILTER (value >= 90) AS users FROM events")

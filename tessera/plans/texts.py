@@ -8,18 +8,20 @@ from pyspark.sql import functions as F
 from tessera.fixtures import messages, responses, trajectories
 from tessera.functions import nested, text
 from tessera.functions.numbers import rounded
-from tessera.operators import scores, turns
+from tessera.operators import environment, scores, turns
 from tessera.plans.registry import query
 from tessera.plans.rollouts import T
 from tessera.sources.tables import table
 
 M = "WITH m AS (SELECT conv_id, list({'role': role, 'content': text} ORDER BY turn) AS messages FROM conversations GROUP BY conv_id)"
 R = """WITH r AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'solve' END AS fn_name, CASE doc_id % 6
-    WHEN 0 THEN concat(f, 'python', n, substr(text, 1, 40), n, f) WHEN 1 THEN concat('Plan', n, f, n, 'first', n, f, n, 'then', n, f, 'py', n, substr(text, 1, 20), n, f)
-    WHEN 2 THEN concat('<interact>print(1)</interact>', n, f, 'python', n, 'x', n, f) WHEN 3 THEN concat('<interact></interact>', n, f, 'python', n, 'class Solution: pass', n, f)
-    WHEN 4 THEN text ELSE concat(f, 'c++', n, 'int x;', n, f, n, 'after') END AS response FROM (SELECT *, repeat(chr(96), 3) AS f, chr(10) AS n FROM documents))"""
+    WHEN 0 THEN concat(f, 'python', n, text, n, f) WHEN 1 THEN concat('Plan', n, f, n, 'first', n, f, n, 'then', n, f, 'py', n, text, n, f)
+    WHEN 2 THEN concat('<interact>', CASE WHEN doc_id % 12 = 2 THEN concat(f, 'Python', n, 'print(1)', n, f) ELSE 'print(1)' END, '</interact>', n, f, 'python', n, text, n, f)
+    WHEN 3 THEN concat('<interact></interact>', n, f, 'python', n, 'class Solution: pass', n, text, n, f)
+    WHEN 4 THEN text ELSE concat(f, 'c++', n, text, n, f, n, 'after') END AS response FROM (SELECT *, repeat(chr(96), 3) AS f, chr(10) AS n FROM documents))"""
 _FENCES = "regexp_extract_all(response, '(?s)' || repeat(chr(96), 3) || '(?:\\w+)?\\n(.*?)' || repeat(chr(96), 3), 1)"
 _TAGS = "regexp_extract_all(response, '(?is)<interact>(.*?)</interact>', 1)"
+_INNER = "coalesce(regexp_extract_all({0}, '(?is)' || repeat(chr(96), 3) || '(?:python)?\\n?(.*?)' || repeat(chr(96), 3), 1)[-1], {0})"
 _STRIP = "trim({}, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160))"
 
 
@@ -44,13 +46,13 @@ def turn_truncate(spark, d):
 
 
 @query(
-    f"""{T}, e AS (SELECT *, n AS requested_turn, num_turns <= n AS done FROM t, (SELECT unnest([1, 3, 5, 8]) AS n))
-    SELECT CAST(requested_turn AS INTEGER) AS requested_turn, count(*) AS n_rows, count(DISTINCT problem_id) AS n_problems, count(*) FILTER (done) AS n_complete, count(*) FILTER (NOT done) AS n_needs_inference,
-    count(*) FILTER (done AND final_reward > 0) AS n_complete_success, count(*) FILTER (NOT done AND final_reward > 0) AS n_later_success, round(avg(final_reward), 8) AS mean_reward,
-    round(coalesce(count(*) FILTER (done AND final_reward > 0) / nullif(count(*) FILTER (done), 0), 0), 8) AS complete_success_rate, round(avg(CASE WHEN done THEN final_reward ELSE 0 END), 8) AS reward_if_stopped FROM e GROUP BY requested_turn"""
+    f"""{T}, e AS (SELECT *, n AS requested_turn, num_turns <= n AS done, CASE WHEN num_turns <= n THEN final_reward ELSE rescored_reward END AS new FROM t, (SELECT unnest([1, 3, 5, 8]) AS n))
+    SELECT CAST(requested_turn AS INTEGER) AS requested_turn, count(*) AS total_trajectories, count(DISTINCT problem_id) AS unique_problems, count(*) FILTER (done) AS already_complete, count(*) FILTER (NOT done) AS needed_inference,
+    round(sum(final_reward) / count(*), 8) AS mean_reward_original, round(sum(new) / count(*), 8) AS mean_reward_new, count(*) FILTER (final_reward > 0) AS successes_original, count(*) FILTER (new > 0) AS successes_new,
+    count(*) FILTER (done AND new > 0) AS successes_already_complete, count(*) FILTER (NOT done AND new > 0) AS successes_terminated FROM e GROUP BY requested_turn"""
 )
 def early_term_metrics(spark, d):
-    return turns.early_termination(trajectories(spark, d), [1, 3, 5, 8])
+    return turns.early_termination(trajectories(spark, d), [1, 3, 5, 8], "rescored_reward")
 
 
 _CHANNEL = "CASE WHEN role = 'assistant' THEN CASE WHEN (conv_id + turn) % 3 = 0 THEN 'analysis' ELSE 'final' END END"
@@ -67,13 +69,16 @@ def drop_analysis_lookahead(spark, d):
 
 
 @query(
-    f"""{M}, q AS (SELECT conv_id, messages, messages[1].content AS q FROM m)
-    SELECT conv_id, concat('Question: ', CASE WHEN length(q) > 50 THEN substr(q, 1, 50) || '...' ELSE q END, chr(10), 'Reward: ', printf('%.2f', conv_id * 0.25), chr(10), chr(10),
-    array_to_string(list_transform(messages, lambda x: '[' || upper(x.role) || ']' || chr(10) || x.content), chr(10) || chr(10))) AS rendered FROM q"""
+    f"""{M}, q AS (SELECT conv_id, messages, messages[1].content AS q, repeat('=', 80) AS r, chr(10) AS n, repeat(chr(9472), 80) AS thin FROM m)
+    SELECT conv_id, concat(r, n, 'Question: ', CASE WHEN length(q) > 50 THEN substr(q, 1, 50) || '...' ELSE q END, n, 'Reward: ', printf('%.2f', conv_id % 3 * 0.25), ' | Turns: ', len(messages), ' | Terminated: ', CASE WHEN conv_id % 2 = 0 THEN 'True' ELSE 'False' END, ' | Truncated: False', n, r,
+    array_to_string(list_transform(messages, lambda x: concat(n, n, '[', upper(x.role), ']', n, x.content)), ''),
+    CASE WHEN conv_id % 2 = 0 THEN concat(n, n, thin, n, 'Code Interactions (1):', n, '  [1] Code:', n, 'print(1)', n, '  Output:', n, '1') ELSE '' END) AS rendered FROM q"""
 )
 def render_header(spark, d):
     m = messages(spark, d).withColumn("q", F.get("messages", F.lit(0))["content"])
-    return m.select("conv_id", turns.rendered("q", "messages", F.col("conv_id") * 0.25).alias("rendered"))
+    even = F.col("conv_id") % 2 == 0
+    runs = F.when(even, F.array(F.struct(F.lit("print(1)").alias("code"), F.lit("1").alias("output"))))
+    return m.select("conv_id", turns.rendered("q", "messages", runs, F.col("conv_id") % 3 * 0.25, F.size("messages"), even, F.lit(False)).alias("rendered"))
 
 
 @query(f"{R} SELECT doc_id, coalesce({_STRIP.format(f'({_FENCES})[-1]')}, '') AS code FROM r")
@@ -81,14 +86,14 @@ def extract_fence(spark, d):
     return responses(spark, d).select("doc_id", text.last_fence("response").alias("code"))
 
 
-@query(f"{R} SELECT doc_id, {_STRIP.format(f'({_TAGS})[-1]')} AS block FROM r")
+@query(f"{R} SELECT doc_id, {_STRIP.format(_INNER.format(f'({_TAGS})[-1]'))} AS block FROM r")
 def extract_interact(spark, d):
     return responses(spark, d).select("doc_id", text.interact_last_pair("response").alias("block"))
 
 
 @query(
     f"""{R}, s AS (SELECT doc_id, string_split(response, '<interact>') AS p FROM r)
-    SELECT doc_id, CASE WHEN len(p) > 1 AND contains(p[-1], '</interact>') THEN {_STRIP.format("string_split(p[-1], '</interact>')[1]")} END AS block FROM s"""
+    SELECT doc_id, CASE WHEN len(p) > 1 AND contains(p[-1], '</interact>') THEN {_STRIP.format(_INNER.format("string_split(p[-1], '</interact>')[1]"))} END AS block FROM s"""
 )
 def extract_interact_env(spark, d):
     return responses(spark, d).select("doc_id", text.interact_last_open("response").alias("block"))
@@ -122,26 +127,46 @@ def ifeval_keyword(spark, d):
     return _docs(spark, d).select("doc_id", text.keyword_count("text", "The").alias("n"))
 
 
+_WORDS = "len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''))"
+_SENTENCES = "len(list_filter(regexp_split_to_array(text, '[.!?]+'), lambda s: regexp_matches(s, '\\S')))"
+
+
 @query(
-    """SELECT doc_id, round((CASE WHEN contains(text, ',') THEN 0.0 ELSE 1.0 END + CASE WHEN len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) >= 100 THEN 1.0 ELSE 0.0 END + 0.5 + 0.5) / 5, 8) AS reward FROM documents"""
+    f"""WITH s AS (SELECT doc_id, CASE WHEN contains(text, ',') THEN 0.0 ELSE 1.0 END AS comma, {_WORDS} AS words, {_SENTENCES} AS sentences, (length(lower(text)) - length(replace(lower(text), 'the', ''))) // 3 AS seen FROM documents)
+    SELECT doc_id, round((comma + 0.5 + CASE doc_id % 4
+        WHEN 0 THEN CASE WHEN words >= 100 THEN 1.0 ELSE 0.0 END + CASE WHEN sentences >= 3 THEN 1.0 ELSE 0.0 END + 1.0
+        WHEN 1 THEN CASE WHEN words < 60 THEN 1.0 ELSE 0.0 END + CASE WHEN sentences <= 5 THEN 1.0 ELSE 0.0 END + CASE WHEN seen >= 2 THEN 1.0 ELSE 0.0 END
+        WHEN 2 THEN 0.0 + 0.5 + 0.5 ELSE 0.5 + 0.5 + 0.5 END) / 6, 8) AS reward FROM s"""
 )
 def ifeval_reward(spark, d):
-    names = ["punctuation:no_comma", "length_constraints:number_words", "unknown:one", "keywords:frequency", "punctuation:no_comma"]
-    settings = [{}, {"relation": "at least", "num_words": 100}, {}, {"keyword": None, "frequency": 2}]
-    return _docs(spark, d).select("doc_id", rounded(text.instruction_reward("text", names, settings), 8).alias("reward"))
+    """Settings absent, given, null or of an unknown relation, by row; one name more
+    than there are settings."""
+    names = F.array(*[F.lit(x) for x in ("punctuation:no_comma", "unknown:one", "length_constraints:number_words", "length_constraints:number_sentences", "keywords:frequency", "punctuation:no_comma")])
+    json = {
+        0: "[{}, {}, {}, {}, {}]",
+        1: '[{}, {}, {"relation": "less than", "num_words": "60"}, {"relation": "at most", "num_sentences": "5"}, {"keyword": "The", "frequency": "2"}]',
+        2: '[{}, {}, {"relation": "around", "num_words": null}, {"num_sentences": null}, {"keyword": null}]',
+        3: "[null, null, null, null, null]",
+    }
+    given = F.lit(json[3])
+    for k in (0, 1, 2):
+        given = F.when(F.col("doc_id") % 4 == k, json[k]).otherwise(given)
+    return _docs(spark, d).select("doc_id", rounded(text.instruction_reward("text", names, F.from_json(given, "array<map<string,string>>")), 8).alias("reward"))
 
 
-_OTHER = "CASE doc_id % 4 WHEN 0 THEN text || ' ' WHEN 1 THEN replace(text, chr(10), ' ' || chr(10) || ' ') WHEN 2 THEN replace(text, ' ', '  ') ELSE text || 'x' END"
+_OTHER = "CASE doc_id % 6 WHEN 0 THEN text || ' ' WHEN 1 THEN replace(text, chr(10), ' ' || chr(10) || ' ') WHEN 2 THEN replace(text, ' ', '  ') WHEN 3 THEN replace(text, chr(10), chr(10) || chr(10) || '  ' || chr(10)) WHEN 4 THEN replace(text, ' ', chr(10)) ELSE text || 'x' END"
+_NONBLANK = "list_filter(list_transform(regexp_split_to_array({0}, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]'), lambda x: {1}), lambda x: x <> '')"
 
 
 @query(
-    f"""WITH p AS (SELECT doc_id, text AS a, {_OTHER} AS b FROM documents)
-    SELECT doc_id, CASE WHEN {_STRIP.format('a')} = {_STRIP.format('b')} THEN 'trimmed'
-    WHEN list_transform(string_split({_STRIP.format('a')}, chr(10)), lambda x: {_STRIP.format('x')}) = list_transform(string_split({_STRIP.format('b')}, chr(10)), lambda x: {_STRIP.format('x')}) THEN 'lines'
-    WHEN list_filter(regexp_split_to_array(a, '\\s+'), lambda w: w <> '') = list_filter(regexp_split_to_array(b, '\\s+'), lambda w: w <> '') THEN 'tokens' END AS tier FROM p"""
+    f"""WITH p AS (SELECT doc_id, text AS a, {_OTHER} AS b FROM documents),
+    l AS (SELECT doc_id, a, b, {_NONBLANK.format('a', _STRIP.format('x'))} AS la, {_NONBLANK.format('b', _STRIP.format('x'))} AS lb FROM p)
+    SELECT doc_id, CASE WHEN {_STRIP.format('a')} = {_STRIP.format('b')} THEN 'trimmed' WHEN la = lb THEN 'lines'
+    WHEN list_transform(la, lambda x: regexp_split_to_array(x, '\\s+')) = list_transform(lb, lambda x: regexp_split_to_array(x, '\\s+')) THEN 'tokens' END AS tier FROM l"""
 )
 def compare_tiers(spark, d):
-    other = F.expr("CASE doc_id % 4 WHEN 0 THEN concat(text, ' ') WHEN 1 THEN replace(text, '\\n', ' \\n ') WHEN 2 THEN replace(text, ' ', '  ') ELSE concat(text, 'x') END")
+    """Blank lines don't count; tokens that move to another line do."""
+    other = F.expr("CASE doc_id % 6 WHEN 0 THEN concat(text, ' ') WHEN 1 THEN replace(text, '\\n', ' \\n ') WHEN 2 THEN replace(text, ' ', '  ') WHEN 3 THEN replace(text, '\\n', '\\n\\n  \\n') WHEN 4 THEN replace(text, ' ', '\\n') ELSE concat(text, 'x') END")
     return _docs(spark, d).select("doc_id", text.match_tier(F.col("text"), other).alias("tier"))
 
 
@@ -154,7 +179,7 @@ def normalise_contains(spark, d):
     return _docs(spark, d).select("doc_id", text.loosely_contains("text", F.substring("text", 5, 30)).alias("ok"), text.loosely_contains("text", F.lit("the Quick")).alias("odd"))
 
 
-@query("SELECT doc_id, CASE WHEN len(string_split(text, ' ')) > 20 THEN '[Output truncated]' || chr(10) || array_to_string(string_split(text, ' ')[-20:], ' ') ELSE text END AS shown FROM documents")
+@query("SELECT doc_id, CASE WHEN len(string_split(text, ' ')) > 20 THEN 'Output too long, showing only last 20 tokens.' || chr(10) || array_to_string(string_split(text, ' ')[-20:], ' ') ELSE text END AS shown FROM documents")
 def tail_truncate(spark, d):
     return _docs(spark, d).select("doc_id", text.tail_tokens("text", 20).alias("shown"))
 
@@ -183,8 +208,68 @@ def ranges_from_names(spark, d):
     return table(spark, d, "events").select("event_id", low.alias("low"), high.alias("high"))
 
 
-@query(f"{M} SELECT conv_id, 'Problem:' || chr(10) || messages[1].content || chr(10) || chr(10) || array_to_string(list_transform(messages[1:2], lambda x, i: 'Candidate ' || CAST(i AS VARCHAR) || ':' || chr(10) || x.content), chr(10) || chr(10)) || chr(10) || chr(10) || 'Combine them into a better solution.' AS prompt FROM m WHERE len(messages) >= 2")
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+@query(
+    f"""{M} SELECT conv_id, CASE WHEN len(messages) = 2 THEN concat({_quoted(turns.REFINE_HEAD)}, {_STRIP.format('messages[1].content')}, {_quoted(turns.REFINE_MIDDLE)}, {_STRIP.format('messages[2].content')}, {_quoted(turns.REFINE_TAIL)})
+    ELSE concat({_quoted(turns.COMBINE_HEAD)}, {_STRIP.format('messages[1].content')}, {_quoted(turns.COMBINE_MIDDLE)}, array_to_string(list_transform(messages[2:], lambda x, i: concat('---- Solution ', i, ' ----', chr(10), {_STRIP.format('x.content')})), chr(10)), {_quoted(turns.COMBINE_TAIL)}) END AS prompt
+    FROM m WHERE len(messages) >= 2"""
+)
 def aggregation_prompt(spark, d):
     m = messages(spark, d).where(F.size("messages") >= 2)
-    two = F.transform(F.slice("messages", 1, 2), lambda x: x["content"])
-    return m.select("conv_id", turns.aggregation_prompt(F.get("messages", F.lit(0))["content"], two).alias("prompt"))
+    rest = F.transform(F.expr("slice(messages, 2, size(messages))"), lambda x: x["content"])
+    return m.select("conv_id", turns.aggregation_prompt(F.get("messages", F.lit(0))["content"], rest).alias("prompt"))
+
+
+@query(
+    f"""{R}, x AS (SELECT doc_id, fn_name, doc_id % 4 < 2 AS has, 1 + doc_id % 3 AS turn, contains(response, '<interact>print') OR contains(response, '<interact>' || repeat(chr(96), 3)) AS runs,
+        coalesce({_STRIP.format(f'({_FENCES})[-1]')}, '') AS c FROM r),
+    k AS (SELECT *, CASE WHEN runs THEN 'interact' WHEN c = '' THEN 'invalid' WHEN has THEN 'final' WHEN turn >= 3 THEN 'no_interaction' ELSE 'must_interact' END AS kind FROM x)
+    SELECT doc_id, kind, kind = 'final' AS terminated, CASE WHEN kind = 'final' THEN fn_name IS NOT NULL AND NOT contains(c, 'class Solution') ELSE turn >= 3 END AS truncated,
+    CASE kind WHEN 'must_interact' THEN {_quoted(environment.MUST_INTERACT)} WHEN 'no_interaction' THEN '' WHEN 'invalid' THEN CASE WHEN has THEN {_quoted(environment.INVALID_LATER)} ELSE {_quoted(environment.INVALID_FIRST)} END END AS observation FROM k"""
+)
+def env_step(spark, d):
+    """The environment's decision on each response, at every turn of three, with and
+    without an interaction before."""
+    states = responses(spark, d).withColumns({"has_interacted": F.col("doc_id") % 4 < 2, "current_turn": (F.col("doc_id") % 3).cast("int"), "max_turns": F.lit(3)})
+    return environment.acted(states, "response").select("doc_id", "kind", "terminated", "truncated", "observation")
+
+
+@query("SELECT conv_id, 'NOTE: ' || 'x' AS note FROM conversations WHERE FALSE")
+def no_reminder_rows(spark, d):
+    """Every first observation ends in the reminder."""
+    m = messages(spark, d).select("conv_id", environment.first_observation(F.get("messages", F.lit(0))["content"]).alias("note"))
+    return m.where(~F.col("note").endswith(environment.REMINDER))
+
+
+@query(
+    f"""{M}, c AS (SELECT conv_id, list_transform(messages, lambda x: CASE x.role WHEN 'assistant' THEN 'analysis' WHEN 'system' THEN 'commentary' ELSE 'final' END) AS names, list_transform(messages, lambda x: CASE WHEN x.role = 'user' AND conv_id % 3 = 0 THEN '' ELSE x.content END) AS texts FROM m),
+    l AS (SELECT conv_id, nullif(list_filter(texts, lambda t, i: names[i] = 'final')[-1], '') AS f, nullif(list_filter(texts, lambda t, i: names[i] = 'commentary')[-1], '') AS k, nullif(list_filter(texts, lambda t, i: names[i] = 'analysis')[-1], '') AS a FROM c)
+    SELECT conv_id, coalesce(f, k, a, 'raw') AS content, CASE WHEN f IS NOT NULL THEN 'final' WHEN k IS NOT NULL THEN 'commentary' WHEN a IS NOT NULL THEN 'analysis' ELSE 'unknown' END AS channel, CASE WHEN coalesce(f, k) IS NOT NULL THEN a END AS analysis FROM l"""
+)
+def channel_resolution(spark, d):
+    named = F.transform("messages", lambda x: F.struct(F.when(x["role"] == "assistant", "analysis").when(x["role"] == "system", "commentary").alias("channel"), F.when((x["role"] == "user") & (F.col("conv_id") % 3 == 0), "").otherwise(x["content"]).alias("content")))
+    return messages(spark, d).select("conv_id", text.resolved_channel(named, F.lit("raw")).alias("r")).select("conv_id", "r.*")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE CAST(json_extract(props, '$.k') AS BIGINT) END AS k, CASE WHEN event_id % 5 = 0 THEN 'not ' || props END AS raw FROM events")
+def parsed_or_raw(spark, d):
+    e = table(spark, d, "events").withColumn("t", F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("not "), "props")).otherwise(F.col("props")))
+    return e.select("event_id", nested.parsed_or_raw("t", "k long").alias("r")).select("event_id", F.col("r.value.k").alias("k"), "r.raw")
+
+
+@query(f"{M} SELECT conv_id, CAST(len(messages) AS INTEGER) AS n, messages[1].content AS first FROM m")
+def serialised_round_trip(spark, d):
+    """Messages as JSON text, as tables at rest have them, and back."""
+    from tessera.schemas import normalised
+
+    back = normalised(nested.serialised(messages(spark, d), "messages"))
+    return back.select("conv_id", F.size("messages").alias("n"), F.get("messages", F.lit(0))["content"].alias("first"))
+
+
+@query("SELECT doc_id, contains(lower(source || '-GPT-OSS-' || lang), 'gpt-oss') AS family, 'Solve this problem step-by-step: ' || source || chr(10) || chr(10) || ' Put the final answer within ' || chr(92) || 'boxed{}' || chr(10) AS prompt FROM documents")
+def plain_prompts(spark, d):
+    docs = table(spark, d, "documents")
+    return docs.select("doc_id", text.of_family(F.concat_ws("-", "source", F.lit("GPT-OSS"), "lang")).alias("family"), text.plain_prompt("source").alias("prompt"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterable
+from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -11,8 +12,42 @@ from pyspark.sql import functions as F
 
 from tessera.schemas import normalised
 
-#: (pattern of a source's name, split to read); the first that matches holds.
+#: (pattern of a source's name, split to read); the first that matches holds. Programs
+#: differ: most read the train split of prefixed sets, the environment never a test
+#: split.
 ROUTES = (("train-", "train"), ("lcb", "test"), ("", "code"))
+ENVIRONMENT_ROUTES = (("train-", "train"), ("", "code"))
+
+
+@dataclass(frozen=True)
+class Catalog:
+    """Sources by name (of a difficulty, say) below a folder, and their versions,
+    each a folder of its own."""
+
+    root: str
+    names: dict[str, str]
+
+    def path(self, name: str, version: str | None = None) -> str:
+        """Where a source lies; a pinned version beside its newest state."""
+        if name not in self.names:
+            raise KeyError(f"{name}: not one of {sorted(self.names)}")
+        base = f"{self.root.rstrip('/')}/{self.names[name]}"
+        return f"{base}@{version}" if version else base
+
+    def read(self, spark: SparkSession, name: str, version: str | None = None) -> DataFrame:
+        return spark.read.parquet(self.path(name, version))
+
+
+#: Bytes that one file of a bundle may have, and the bundle.
+FILE_LIMIT, BUNDLE_LIMIT = 15 << 20, 30 << 20
+
+
+def check_bundle(files: DataFrame) -> None:
+    """Raises unless a bundle (path, text) keeps to the limits: no file is empty."""
+    size = F.octet_length("text")
+    r = files.agg(F.count_if(F.coalesce(size, F.lit(0)) == 0).alias("empty"), F.max(size).alias("most"), F.sum(size).alias("total")).first()
+    if r["empty"] or (r["most"] or 0) > FILE_LIMIT or (r["total"] or 0) > BUNDLE_LIMIT:
+        raise ValueError(f"{r['empty']} empty files, largest {r['most']} bytes, {r['total']} together")
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.storage import shared_path
+
 
 def stream(spark: SparkSession, folder: str) -> DataFrame:
     """Events as a stream with a zoned time, which watermarks need."""
@@ -33,22 +32,23 @@ def first_seen(events: DataFrame, key: list[str], late: str = "1 day") -> DataFr
 
 
 def running_best(events: DataFrame) -> DataFrame:
-    """After each batch, the samples so far and best value of each user: state
-    that grows with users, not events."""
-
-    def update(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        n, best = state.get if state.exists else (0, float("-inf"))
-        for f in frames:
-            n, best = n + len(f), max(best, float(f["value"].max()))
-        state.update((n, best))
-        yield pd.DataFrame({"user_id": [key[0]], "n": [n], "best": [best]})
-
-    return events.select("user_id", "value").groupBy("user_id").applyInPandasWithState(update, "user_id long, n long, best double", "n long, best double", "update", "NoTimeout")
+    """Samples so far and best value of each user: state that grows with users, not
+    events."""
+    return events.groupBy("user_id").agg(F.count("*").alias("n"), F.max("value").alias("best"))
 
 
 def drained(df: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Runs a stream over all that is there and gives the result as a table."""
+    """Runs a stream over all that is there and gives the result as a table.
+
+    Batches are written to the shared folder, each replacing what an earlier
+    attempt of it wrote. With mode complete the last batch is the table, with append
+    all of them are."""
     spark = df.sparkSession
-    query = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    root = shared_path(spark, name)
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/rows/batch={number if mode == 'append' else 0}")
+
+    query = df.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(df.schema).parquet(f"{root}/rows").select(*df.columns)

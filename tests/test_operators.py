@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera.functions import nested, text
-from tessera.operators import datasets, harness, loops, prefix, problems, scores, turns
+from tessera.operators import datasets, environment, harness, loops, prefix, problems, scores, turns
 from tessera.plans import programs
 from tessera.schemas import MESSAGES, TESTS, normalised
 from tessera.sources import tables
@@ -135,7 +135,8 @@ def test_classification_order(spark):
 
 
 def test_text_helpers(spark):
-    assert one(spark, text.tail_tokens("t", 2), t="a b c") == "[Output truncated]\nb c"
+    assert one(spark, text.tail_tokens("t", 2), t="a b c") == "Output too long, showing only last 2 tokens.\nb c"
+    assert one(spark, text.tail_tokens("t", 0), t="a b c") == "a b c"
     assert one(spark, text.tail_in_frame("t", 1), t="<output>\na b</output>\n").endswith("b</output>")
     assert one(spark, text.tail_in_frame("t", 1), t="a b") == "a b"
     assert one(spark, text.unquoted("t"), t=' "a" ') == "a"
@@ -143,8 +144,13 @@ def test_text_helpers(spark):
     assert one(spark, text.after_think("t"), t="<think>x</think> y") == "y"
     assert one(spark, text.fenced("t"), t="x") == "```python\nx\n```"
     assert one(spark, text.listed_numbers("t"), t="3, ,1") == [1, 3]
-    assert one(spark, text.resolved_channel("a", "b", "c", "d"), a="", b=None, c="x", d="y") == "x"
-    assert one(spark, text.framed_output("o", "e", F.lit(True)), o=" ", e="") == "<output>\n(no output)\n</output>"
+    assert one(spark, text.framed_output("o", "e", F.lit(True)), o=" ", e="") == "<output>\n </output>"
+    assert one(spark, text.framed_output("o", "e", F.lit(True)), o="", e="") == f"<output>\n{text.NO_OUTPUT}</output>"
+    assert one(spark, text.framed_output("o", "e", F.lit(False)), o="", e="") == "<output>\nError: execution failed.</output>"
+    assert one(spark, text.framed_output("o", "e", F.lit(False)), o="x", e="bad") == "<output>\nError:\nbad</output>"
+    assert one(spark, text.backoff(F.lit(0.5), F.lit(3)), t="") == 4.0
+    assert one(spark, text.strip("t"), t="\u2003 a " + " " * 5000 + "b \n") == "a " + " " * 5000 + "b"
+    assert one(spark, text.strip("t"), t=" \t ") == ""
     assert one(spark, text.timed_out("e"), e="it Timed Out") is True
 
 
@@ -153,19 +159,37 @@ def test_verifiers(spark):
     assert one(spark, text.word_count("t"), t=" a b\tc ") == 3
     assert one(spark, text.keyword_count("t", ""), t="abc") == 4
     assert one(spark, text.keyword_count("t", "a.B"), t="A.b axb") == 1
-    assert one(spark, text.instruction_score("t", "what", {}), t="x") == 0.5
-    assert one(spark, text.instruction_score("t", "length_constraints:number_words", {"relation": "around", "num_words": 1}), t="x") == 0.0
-    assert one(spark, text.instruction_reward("t", [], []), t="x") == 1.0
-    assert one(spark, text.instruction_reward("t", ["punctuation:no_comma"] * 2, [{}]), t="x") == 0.5
+    told = lambda x: F.from_json(F.lit(x), "map<string,string>") if x else F.lit(None).cast("map<string,string>")
+    words, sentences, seen = "length_constraints:number_words", "length_constraints:number_sentences", "keywords:frequency"
+    for name, settings, want in (
+        ("what", "{}", 0.5),
+        (words, '{"relation": "around", "num_words": "1"}', 0.0),
+        (words, "{}", 0.0),
+        (words, '{"num_words": "2"}', 1.0),
+        (words, '{"num_words": null}', 0.5),
+        (words, '{"relation": null}', 0.0),
+        (words, None, 0.5),
+        (sentences, '{"relation": "less than"}', 1.0),
+        (seen, "{}", 1.0),
+        (seen, '{"keyword": "A", "frequency": "2"}', 0.0),
+        (seen, '{"keyword": null}', 0.5),
+        ("punctuation:no_comma", None, 1.0),
+    ):
+        assert one(spark, text.instruction_score("t", F.lit(name), told(settings)), t="a b") == want, (name, settings)
+    reward = lambda names, n: text.instruction_reward("t", F.array(*map(F.lit, names)).cast("array<string>"), F.array(*[told("{}")] * n).cast("array<map<string,string>>"))
+    assert one(spark, reward([], 0), t="x") == 1.0
+    assert one(spark, reward(["punctuation:no_comma"] * 2, 1), t="x") == 0.5
 
 
 def test_match_tiers(spark):
-    for a, b, want in (("x ", "x", "trimmed"), ("a \nb", "a\n b", "lines"), ("a  b", "a b", "tokens"), ("1", "2", None)):
+    for a, b, want in (("x ", "x", "trimmed"), ("a \nb", "a\n b", "lines"), ("a  b", "a b", "tokens"), ("a\n\n b", "a\nb", "lines"), ("a\nb", "a b", None), ("1", "2", None)):
         assert one(spark, text.match_tier("a", "b"), a=a, b=b) == want
 
 
 def test_json(spark):
-    assert one(spark, nested.parsed("t", "a int"), t="{bad") is None or True
+    assert one(spark, nested.parsed("t", "a int")["a"], t="{bad") is None
+    assert [tuple(one(spark, nested.parsed_or_raw("t", "array<int>"), t=t)) for t in ("[1]", "{bad")] == [([1], None), (None, "{bad")]
+    assert one(spark, nested.mean_of_nested(F.array(F.array(F.lit(1.0)), F.array(F.lit(0.0), F.lit(0.5)))), t="") == 0.5
     assert one(spark, nested.parsed("t", "array<int>", "empty", F.array().cast("array<int>")), t="bad") == []
     assert one(spark, nested.integer_keys("t"), t='[{"1": 2}]') == "[{1: 2}]"
     assert one(spark, nested.integer_keys("t"), t="[1]") == "[1]"
@@ -180,11 +204,11 @@ def test_turns(spark):
     df = spark.createDataFrame([(1, m, 3, 1.0)], f"conv_id long, messages {MESSAGES}, num_turns long, final_reward double").withColumn("problem_id", F.lit(1))
     assert df.select(turns.last_assistant().alias("x")).first()["x"] == "a2"
     assert df.select(F.size(turns.first_turns("messages", 1)).alias("x")).first()["x"] == 4
-    got = {r["requested_turn"]: r["n_complete"] for r in turns.early_termination(df.unionByName(df.withColumn("num_turns", F.lit(None).cast("long"))), [2, 3, 4]).collect()}
+    got = {r["requested_turn"]: r["already_complete"] for r in turns.early_termination(df.unionByName(df.withColumn("num_turns", F.lit(None).cast("long"))), [2, 3, 4]).collect()}
     assert got == {2: 0, 3: 1, 4: 1}
     with pytest.raises(ValueError):
         turns.early_termination(df, [0])
-    assert df.select(turns.aggregation_prompt(F.lit("q"), F.array(F.lit("c"))).alias("x")).first()["x"].endswith("Refine it.")
+    assert df.select(turns.aggregation_prompt(F.lit("q"), F.array(F.lit("c"))).alias("x")).first()["x"] == f"{turns.REFINE_HEAD}q{turns.REFINE_MIDDLE}c{turns.REFINE_TAIL}"
 
 
 @pytest.mark.parametrize("n,p10,p99", [(9, 0.0, 0.0), (10, 1.0, 0.0), (99, 9.0, 0.0), (100, 10.0, 99.0)])
@@ -202,21 +226,70 @@ def test_losses(spark):
     assert (x["x"], x["p"], x["m"]) == (0.0, [1, 0, 0], [0.0, 0.0, 1.0])
 
 
-@pytest.mark.parametrize("a,b,same", [("1.0001", "1.0", True), ("1.1", "1", False), ("True", "true", True), ("nan", "nan ", True), ("nan 1", "nan 2", False), ("", "x", False), ("1e1", "10", True)])
+@pytest.mark.parametrize("a,b,same", [("1.0001", "1.0", True), ("1.1", "1", False), ("True", "true", True), ("nan", "nan ", True), ("nan 1", "nan 2", False), ("a\n\nb", "a\n b ", True), ("a\nb", "a b", False), ('"x"', "x", True), ("1 2", "1\n2.0001", True), ("", "x", False), ("1e1", "10", True)])
 def test_outputs_match(a, b, same):
     assert harness.outputs_match(a, b) == same
 
 
+@pytest.mark.parametrize(
+    "want,value,same",
+    [("0.5", 0.5004, False), ("abc", "abc", True), ("[3]", 3, True), ("[[1, 2]]", (1, 2), True), ("[[1, 2]]", [(1, 2)], True), ("[1, 2]", (1, 2), True), ("1", 1.0, True), ("None", None, True), ("null", None, True)],
+)
+def test_results_match(want, value, same):
+    assert harness.results_match(want, value) == same
+
+
 def test_harness():
-    good = "class Solution:\n    def f(self, x, y):\n        return [x, y]"
-    assert harness.run_cases(good, ["1\n2"], ["[[1, 2]]"], "f", 1)[0] == 1
-    assert harness.run_cases("print(int(input()) + 1)", ["1", "2"], ["2", "9"], None, 1)[:3] == (1, 2, 0)
-    assert harness.run_cases("while True: pass", ["1"], ["2"], None, 0.2)[:3] == (0, 1, 1)
-    assert harness.run_cases("import os; os._exit(3)", ["1"], ["2"], None, 0.2) == (0, 1, 0, [])
-    assert harness.run_cases("x", [], [], None, 1) == (0, 0, 0, [])
-    assert harness.run_cases(good, ["open('x')"], ["1"], "f", 1)[0] == 0
-    ok, out, err = harness.run_snippet("import time; time.sleep(9)", 0.3)
-    assert not ok and "timed out" in err
+    good = "class Solution:\n    def f(self, x: List[int], y):\n        return [x, y]"
+    fresh = "class Solution:\n    def __init__(self):\n        self.n = 0\n    def f(self, x):\n        self.n += 1\n        return self.n"
+    with harness.Child() as child:
+        run = lambda *a: harness.run_cases(child, *a)
+        assert run(good, ["1\n2"], ["[[1, 2]]"], "f", 1)[0] == 1
+        assert run(fresh, ["1", "1"], ["1", "1"], "f", 1)[0] == 2
+        assert run("print(int(input()) + 1)", ["1", "2"], ["2", "9"], None, 1) == (1, 2, [])
+        assert run("print(gcd(4, 6))", [""], ["2"], None, 1)[0] == 1
+        assert run("def f(x): return x", ["'a'"], ["a"], "f", 1)[0] == 1
+        assert run("import sys; print(sys.stdin.read())", ["7"], ["7"], "f", 1)[0] == 1  # no such function: a script
+        assert run("while True: pass", ["1"], ["2"], None, 0.2) == (0, 1, [0])
+        assert run("import os; os._exit(3)", ["1"], ["2"], None, 0.2) == (0, 1, [])
+        assert run("print(1); exit()", ["1"], ["1"], None, 0.2)[0] == 1
+        assert run("def f(x): exit()", ["1"], ["1"], "f", 0.2)[0] == 0
+        assert run("import os, signal; os.kill(os.getpid(), signal.SIGKILL)", ["1"], ["2"], None, 0.2) == (0, 1, [])
+        assert run("x", [], [], None, 1) == (0, 0, [])
+        assert run(good, ["bad(", "1\n2"], ["1", "[[1, 2]]"], "f", 1)[:2] == (1, 2)
+        ok, out, err = harness.run_snippet(child, "import time; time.sleep(9)", 0.3)
+        assert not ok and "timed out" in err
+        assert harness.run_snippet(child, "print(1)\n1 / 0", 1)[:2] == (False, "1\n")
+
+
+def test_environment(spark, tmp_path):
+    """Interacts first; warned, told and cut short at the last turn; scored once."""
+    says = ["```python\nprint(int(input()))\n```", "nothing", "<interact>print(3)</interact>", "```python\nprint(int(input()))\n```"]
+    tests = spark.createDataFrame([(1, "q", None, (["4"], ["4"], None))], f"problem_id long, question string, fn_name string, tests {TESTS}")
+
+    def speak(prompts, seeds):
+        return prompts.map(lambda p: says[p.count("<output>")])
+
+    r = loops.multi_turn(spark, tests, str(tmp_path / "a"), speak, 1, 5).first()
+    assert (r["n_turns"], r["final_reward"], r["terminated"], r["truncated"]) == (4, 1.0, True, False)
+    assert environment.MUST_INTERACT in r["transcript"] and environment.INVALID_FIRST in r["transcript"] and "<output>\n3\n</output>" in r["transcript"]
+    r = loops.multi_turn(spark, tests, str(tmp_path / "b"), speak, 1, 2).first()
+    assert (r["n_turns"], r["final_reward"], r["terminated"], r["truncated"]) == (2, 0.0, False, True)
+    r = loops.multi_turn(spark, tests, str(tmp_path / "c"), lambda p, s: p.map(lambda _: says[0]), 1, 1).first()
+    assert (r["terminated"], r["truncated"], r["has_interacted"]) == (False, True, False)
+
+
+def test_catalog_and_bundles(spark):
+    c = tables.Catalog("/x/", {"easy": "set_easy"})
+    assert c.path("easy") == "/x/set_easy" and c.path("easy", "3") == "/x/set_easy@3"
+    with pytest.raises(KeyError):
+        c.path("hard")
+    files = spark.createDataFrame([("a", "x"), ("b", "")], "path string, text string")
+    tables.check_bundle(files.where("path = 'a'"))
+    with pytest.raises(ValueError):
+        tables.check_bundle(files)
+    with pytest.raises(RuntimeError):
+        datasets.reassembled(spark.range(3), spark.range(2), "id")
 
 
 def test_scoring_keeps_every_row(spark):
