@@ -3,12 +3,14 @@ the whole table and derives the digest columns from the operator's output."""
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import dac, langid, minhash, packing, pieces, pii, quality, sharding, suffixes, winnow
+from tessera.llm import dac, langid, lines, minhash, packing, pieces, pii, quality, runs, sharding, suffixes, wand, winnow
 from tessera.llm.common import shared_path
 
 
@@ -67,6 +69,42 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wand.ranked(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def planted_repeats(doc_ids: list, first: np.ndarray) -> np.ndarray:
+    """The word at each place, once a tenth of the documents (by the crc32 of their
+    id) repeat words up to their ends. Rows without an id repeat none."""
+    place = np.arange(first[-1])
+    for doc, a, b in zip(doc_ids, first[:-1].tolist(), first[1:].tolist()):
+        h, n = zlib.crc32(str(doc).encode()), b - a
+        if doc is not None and n and h % 10 == 0:
+            g = h // 10
+            begin = g % n
+            period = 1 + (n - begin) // (3 + g % 8)
+            place[a + begin : b] = a + begin + np.arange(n - begin) % period
+    return place
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.periodic_runs(_documents(spark, sf_dir), planted_repeats)
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    listed = F.concat(F.concat_ws("\n", F.transform("runs", line)), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *[F.col(f"strongest.{c}").alias(c) for c in ("start", "length", "period")],
+        F.expr("1000 * strongest.length div strongest.period").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"),
+        F.sha2("text", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_dedup(_documents(spark, sf_dir)).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -78,6 +116,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_quality_rules": op9_quality_rules,
     "op10_sharding": op10_sharding,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_line_dedup": op13_line_dedup,
 }
 
 #: DuckDB SQL of the queries that SQL expresses; the others are tested against
@@ -101,4 +142,20 @@ s AS (SELECT source, (x + mean * weight) / (n + weight) AS rate FROM h, q)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(rate + 1e-11, 8) AS host_rate,
     NOT base_failed AND strikes <= CASE WHEN coalesce(rate > 0.5, FALSE) THEN 0 ELSE 1 END AS kept FROM f LEFT JOIN s USING (source)""",
     "op10_sharding": "SELECT doc_id, CAST(strlen(text) AS BIGINT) AS n_bytes, sha256(text) AS text_sha256, TRUE AS shard_in_bounds FROM documents",
+    "op11_ranked_search": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+c AS (SELECT count(*) AS n_docs, sum(len(w)) AS n_terms FROM d WHERE len(w) > 0),
+p AS (SELECT doc_id, t, CAST(count(*) AS BIGINT) AS tf, any_value(n) AS n FROM (SELECT doc_id, unnest(w) AS t, CAST(len(w) AS BIGINT) AS n FROM d) GROUP BY doc_id, t),
+f AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * any_value(n_docs) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM p, c GROUP BY t),
+q AS (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark),
+s AS (SELECT item_id, doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // CAST(n_terms AS BIGINT))))) AS BIGINT) AS score
+    FROM q JOIN f USING (t) JOIN p USING (t), c GROUP BY item_id, doc_id),
+r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT * FROM r WHERE rank <= 10""",
+    "op13_line_dedup": r"""
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents),
+k AS (SELECT doc_id, pos, line, translate(regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+g AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+SELECT doc_id, count(*) AS n_lines, count(g.key) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (g.key IS NULL), '')) AS kept_sha256
+FROM k LEFT JOIN g ON k.key = g.key GROUP BY doc_id""",
 }
