@@ -53,19 +53,23 @@ class Child:
         env = {**os.environ, "OPENBLAS_NUM_THREADS": "1", "OMP_NUM_THREADS": "1"}
         self.process = subprocess.Popen([sys.executable, "-I", "-c", source], stdin=subprocess.PIPE, stdout=subprocess.PIPE, stderr=subprocess.DEVNULL, text=True, env=env)
 
+    def lines(self, task: dict) -> Iterator[dict]:
+        """What the child says of a task, until it says no more or has gone."""
+        if self.process is None or self.process.poll() is not None:
+            self._start()
+        try:
+            self.process.stdin.write(json.dumps(task) + "\n")
+            self.process.stdin.flush()
+            while line := self.process.stdout.readline():
+                yield json.loads(line)
+        except (BrokenPipeError, ValueError):  # it went in the middle of a line
+            pass
+        self.__exit__()
+
     def run(self, task: dict) -> dict | None:
         for _ in range(2):
-            if self.process is None or self.process.poll() is not None:
-                self._start()
-            try:
-                self.process.stdin.write(json.dumps(task) + "\n")
-                self.process.stdin.flush()
-                line = self.process.stdout.readline()
-            except BrokenPipeError:
-                line = ""
-            if line:
-                return json.loads(line)
-            self.__exit__()
+            for answer in self.lines(task):
+                return answer
         return None
 
 
@@ -90,7 +94,7 @@ def run_snippet(child: Child, code: str, seconds: float | None) -> tuple[bool, s
     return False, "", TIMED_OUT if got and got.get("timed_out") else ""
 
 
-def _dealt(df: DataFrame, keys: list[str]) -> DataFrame:
+def dealt(df: DataFrame, keys: list[str]) -> DataFrame:
     """Rows by key in a set number of tasks: by their few bytes alone, adaptive
     execution would run all their programs in one."""
     spark = df.sparkSession
@@ -118,7 +122,7 @@ def scored(df: DataFrame, keys: list[str], seconds: float | None = 1.0, max_test
     todo = df.where(F.col("verdict") == "execute").select(*keys, "code", "fn_name", F.col("tests.inputs").alias("inputs"), F.col("tests.outputs").alias("outputs"))
     zero = F.lit(0).cast("long")
     rest = df.where(F.col("verdict") != "execute").select(*keys, F.lit(0.0).alias("final_reward"), zero.alias("n_passed"), zero.alias("n_tests"), zero.alias("n_timeouts"), F.array().cast("array<int>").alias("late_tests"))
-    return _dealt(todo, keys).mapInPandas(run, schema).unionByName(rest)
+    return dealt(todo, keys).mapInPandas(run, schema).unionByName(rest)
 
 
 def interacted(df: DataFrame, keys: list[str], code: str = "interact_code", seconds: float | None = 5.0) -> DataFrame:
@@ -131,4 +135,4 @@ def interacted(df: DataFrame, keys: list[str], code: str = "interact_code", seco
                 rows = [[*(r[k] for k in keys), *run_snippet(child, r[code], seconds)] for r in f.to_dict("records")]
                 yield pd.DataFrame(rows, columns=schema.fieldNames())
 
-    return _dealt(df.select(*keys, code), keys).mapInPandas(run, schema)
+    return dealt(df.select(*keys, code), keys).mapInPandas(run, schema)

@@ -6,11 +6,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import harness, loops, scores
+from tessera.operators import harness, loops, sandbox, scores
 from tessera.plans.registry import query
 from tessera.schemas import TESTS
 from tessera.sources.tables import table
-from tessera.storage import shared_path
+from tessera.storage import cut, shared_path
 from tessera.streaming import events
 
 
@@ -70,6 +70,74 @@ def harness_score(spark, d):
     return harness.scored(scores.classified(rows, "text"), ["problem_id"], 0.3).drop("late_tests")
 
 
+def _programs(spark: SparkSession, d: str) -> DataFrame:
+    """Programs by part: right, wrong (a third of them), endless on the first test
+    (7 of 250), ending their sandbox on the last test, once the others are through
+    (11 of 500), or on every test (3 of 500)."""
+    p = problems(spark, d)
+    key, size = F.col("problem_id"), F.element_at(F.split("question", " "), -1)
+    called = F.col("fn_name").isNotNull()
+    answer = F.concat(F.lit("x + "), size, F.when(key % 3 == 0, " + 1").otherwise(""))
+    first = (
+        F.when(key % 250 == 7, "while x == 1: pass")
+        .when(key % 500 == 11, "if x == 12: import time; time.sleep(1.2); os.kill(os.getppid(), 9)")
+        .when(key % 500 == 3, "os.kill(os.getppid(), 9)")
+        .otherwise("pass")
+    )
+    script = F.concat(F.lit("x = int(input())\n"), first, F.lit("\nprint("), answer, F.lit(")"))
+    function = F.concat(F.lit("class Solution:\n    def solve(self, x):\n        "), first, F.lit("\n        return "), answer)
+    return p.withColumn("code", F.when(called, function).otherwise(script))
+
+
+def _runs(spark: SparkSession, d: str) -> DataFrame:
+    return sandbox.test_runs(_programs(spark, d), ["problem_id"], 2.0)
+
+
+_RUNS = """SELECT p_partkey AS problem_id, CAST(test AS INTEGER) AS test,
+    CASE WHEN p_partkey % 500 = 3 OR p_partkey % 500 = 11 AND test = 2 THEN NULL WHEN p_partkey % 250 = 7 AND test = 0 THEN FALSE ELSE p_partkey % 3 <> 0 END AS verdict,
+    p_partkey % 250 = 7 AND test = 0 AS late, CASE WHEN p_partkey % 500 = 3 OR p_partkey % 500 = 11 AND test = 2 THEN 'sandbox' END AS error,
+    CAST(CASE WHEN p_partkey % 500 = 3 THEN 3 ELSE 1 END AS INTEGER) AS attempts FROM part, (SELECT unnest(range(3)) AS test)"""
+
+
+@query(_RUNS)
+def test_verdicts(spark, d):
+    """A row a test: true, false (wrong or late) or null, where the sandbox went."""
+    return _runs(spark, d).drop("milliseconds")
+
+
+@query(
+    f"""WITH r AS ({_RUNS})
+    SELECT problem_id, count(*) AS n_tests, count(verdict) AS n_verdicts, count(*) FILTER (verdict) AS n_passed, CASE WHEN count(verdict) > 0 THEN CAST(count(*) FILTER (verdict) AS DOUBLE) / count(verdict) ELSE CAST(0 AS DOUBLE) END AS pass_rate,
+    count(verdict) > 0 AND count(verdict) = count(*) FILTER (verdict) AS passed, count(*) FILTER (late) AS n_late, coalesce(list(test ORDER BY test) FILTER (late), CAST([] AS INTEGER[])) AS late_tests, count(verdict) = 0 AS sandbox_error
+    FROM r GROUP BY problem_id"""
+)
+def verdict_means(spark, d):
+    return sandbox.verdict_means(_runs(spark, d), ["problem_id"], 2)
+
+
+@query(
+    f"""WITH r AS ({_RUNS})
+    SELECT count(DISTINCT problem_id) AS n_programs, count(*) AS n_tests, count(*) FILTER (late) AS n_late, CAST(count(*) FILTER (late) AS DOUBLE) / count(*) AS late_rate, count(DISTINCT problem_id) FILTER (late) AS programs_late FROM r"""
+)
+def late_report(spark, d):
+    """Late tests of all programs, from their runs."""
+    return sandbox.late_report(sandbox.verdict_means(_runs(spark, d), ["problem_id"]))
+
+
+@query(
+    f"""WITH r AS ({_RUNS})
+    SELECT CASE WHEN p.p_partkey % 2 = 0 THEN 'function' ELSE 'stdin' END AS kind, count(*) AS n, TRUE AS ordered, count(*) FILTER (late) AS timeouts
+    FROM r JOIN part p ON r.problem_id = p.p_partkey WHERE error IS NULL GROUP BY ALL"""
+)
+def run_latency(spark, d):
+    """Milliseconds of the tests that were run, by kind: as many as have a verdict,
+    their statistics in order, and as many of 1.9 seconds or more as were late."""
+    kind = F.when(F.col("problem_id") % 2 == 0, "function").otherwise("stdin").alias("kind")
+    times = cut(_runs(spark, d), "runs").where("error is null").select(kind, F.col("milliseconds").cast("double").alias("ms"), "late")
+    stats = scores.latency(times, "ms", ["kind"], 1900.0, F.col("late"))
+    return stats.select("kind", "n", (F.col("low") <= F.col("median")).alias("ordered") & (F.col("median") <= F.col("high")), "timeouts").toDF("kind", "n", "ordered", "timeouts")
+
+
 @query()
 def rollout_loop(spark, d):
     return loops.multi_turn(spark, problems(spark, d), _workspace(spark, "rollout"), scripted, 2, 3).drop("transcript")

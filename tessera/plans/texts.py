@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.fixtures import messages, responses, trajectories
-from tessera.functions import nested, text
+from tessera.functions import answers, channels, nested, text, tokens
 from tessera.functions.numbers import rounded
 from tessera.operators import environment, scores, turns
 from tessera.plans.registry import query
@@ -273,3 +273,99 @@ def serialised_round_trip(spark, d):
 def plain_prompts(spark, d):
     docs = table(spark, d, "documents")
     return docs.select("doc_id", text.of_family(F.concat_ws("-", "source", F.lit("GPT-OSS"), "lang")).alias("family"), text.plain_prompt("source").alias("prompt"))
+
+
+_TAIL = "CASE WHEN length({0}) > {1} THEN concat('Output too long, showing only last {1} tokens.', chr(10), right({0}, {1})) ELSE {0} END"
+
+
+@query(f"""SELECT doc_id, {_TAIL.format('text', 200)} AS tail, concat('<output>', chr(10), {_TAIL.format('text', 300)}, '</output>', CASE WHEN length(text) <= 300 THEN chr(10) ELSE '' END) AS framed,
+    concat(text, ' x') AS unframed, CAST(length(text) AS BIGINT) AS n_tokens FROM documents""")
+def token_tail(spark, d):
+    """Tails by ids of a vocabulary, here of characters, alone and in frames."""
+    t = F.col("text")
+    framed = F.concat(F.lit("<output>\n"), t, F.lit("</output>\n"))
+    return _docs(spark, d).select(
+        "doc_id", tokens.tail_by_ids(t, 200).alias("tail"), tokens.tail_in_frame_by_ids(framed, 300).alias("framed"),
+        tokens.tail_in_frame_by_ids(F.concat(t, F.lit(" x")), 5).alias("unframed"), tokens.token_count(t).alias("n_tokens"),
+    )
+
+
+@query(
+    f"""{M}, p AS (SELECT conv_id, (SELECT string_agg(concat('<|', x.role, '|>', chr(10), x.content, '<|end|>', chr(10)), '') FROM (SELECT unnest(messages) AS x)) AS said, messages[-1].content AS seen, len(messages) AS n FROM m)
+    SELECT conv_id, concat(said, '<|user|>', chr(10), CASE WHEN n % 3 = 0 THEN concat(seen, chr(10), chr(10), 'Answer now.') WHEN n % 3 = 1 THEN 'Answer now.' ELSE seen END, '<|end|>', chr(10), '<|assistant|>', chr(10)) AS prompt,
+    CAST(length(said) + 31 + CASE WHEN n % 3 = 0 THEN length(seen) + 13 WHEN n % 3 = 1 THEN 11 ELSE length(seen) END AS BIGINT) AS n_tokens FROM p"""
+)
+def chat_prompts(spark, d):
+    """Conversations as prompts: what was seen last is said again, on the last turn
+    (here if the messages' number divides by three or leaves one) with the final
+    prompt, which stands alone after an empty observation."""
+    m = messages(spark, d)
+    n = F.size("messages") % 3
+    seen = F.when(n != 1, F.try_element_at("messages", F.lit(-1))["content"]).otherwise("")
+    last = F.when(n < 2, 4).otherwise(0)
+    prompt = tokens.rendered_chat(tokens.turn_messages("messages", seen, last, F.lit(5), "Answer now."))
+    return m.select("conv_id", prompt.alias("prompt")).withColumn("n_tokens", tokens.token_count("prompt"))
+
+
+@query(
+    """SELECT doc_id, 'plain' AS kind, 0 AS pos, 'system' AS role, 'Be brief.' AS content FROM documents UNION ALL SELECT doc_id, 'plain', 1, 'user', text FROM documents
+    UNION ALL SELECT doc_id, 'noted', 0, 'system', '[Harmony format] Reasoning effort: high' FROM documents UNION ALL SELECT doc_id, 'noted', 1, 'developer', 'Use tools.' FROM documents UNION ALL SELECT doc_id, 'noted', 2, 'user', text FROM documents"""
+)
+def opening_chat(spark, d):
+    """The first messages of a record, with a system row, and with developer rows."""
+    kinds = {"plain": tokens.opening_messages("text", "Be brief."), "noted": tokens.opening_messages("text", "", "Use tools.", "high")}
+    rows = [_docs(spark, d).select("doc_id", F.lit(k).alias("kind"), F.posexplode(m).alias("pos", "m")) for k, m in kinds.items()]
+    return rows[0].union(rows[1]).select("doc_id", "kind", "pos", "m.role", "m.content")
+
+
+_SAID = "(SELECT conv_id, turn, role, text AS t, (conv_id + turn) % 10 AS k FROM conversations)"
+
+
+@query(
+    f"""SELECT conv_id, turn, k IN (6, 5, 0) AS parse_error, CASE WHEN k IN (6, 5, 0) THEN 0 WHEN k IN (1, 2, 7) THEN 2 WHEN k = 3 THEN 3 ELSE 1 END AS n_messages,
+    CASE k WHEN 0 THEN t WHEN 5 THEN concat('<|channel|>analysis<|message|>hm<|end|><|start|>assistant<|channel|>fin') WHEN 6 THEN concat('<|channel|>final<|message|>', t, '<|end|> and more')
+        WHEN 3 THEN concat(t, ' again') WHEN 4 THEN t WHEN 8 THEN t WHEN 9 THEN concat('f(', t, ')') ELSE t END AS content,
+    CASE k WHEN 0 THEN 'parse_error' WHEN 5 THEN 'parse_error' WHEN 6 THEN 'parse_error' WHEN 4 THEN 'analysis' WHEN 9 THEN 'commentary' ELSE 'final' END AS channel,
+    CASE WHEN k IN (1, 2, 7) THEN 'thinking' WHEN k = 3 THEN 'first' END AS analysis, CASE WHEN k = 9 THEN 'functions.f' END AS recipient FROM {_SAID}"""
+)
+def channel_markup(spark, d):
+    """Marked-up answers read: plain, thoughts before an answer, without an end or a
+    start, a repeated channel, broken and cut headers, text after the end, a call."""
+    t, k = F.col("text"), (F.col("conv_id") + F.col("turn")) % 10
+    opened, thought = F.lit("<|channel|>final<|message|>"), F.lit("<|channel|>analysis<|message|>thinking")
+    forms = [
+        t,
+        F.concat(thought, F.lit("<|end|><|start|>assistant"), opened, t, F.lit("<|return|>")),
+        F.concat(thought, F.lit("<|end|>"), opened, t),  # the start is missing
+        F.concat(F.lit("<|channel|>analysis<|message|>first<|end|><|start|>assistant"), opened, t, F.lit("<|end|><|start|>assistant"), opened, t, F.lit(" again<|return|>")),
+        F.concat(F.lit("<|channel|>analysis<|message|>"), t),  # cut within the thought
+        F.lit("<|channel|>analysis<|message|>hm<|end|><|start|>assistant<|channel|>fin"),  # cut within a header
+        F.concat(opened, t, F.lit("<|end|> and more")),
+        F.concat(F.lit("<|start|>assistant"), thought, opened, t, F.lit("<|end|>\n")),  # the thought's end and a start are missing
+        F.concat(F.lit("<|start|>robot<|message|>"), t, F.lit("<|end|>")),  # neither role nor channel
+        F.concat(F.lit("<|start|>assistant to=functions.f<|channel|>commentary <|constrain|>json<|message|>f("), t, F.lit(")<|call|>")),
+    ]
+    marked = F.get(F.array(*forms), k)
+    rows = table(spark, d, "conversations").select("conv_id", "turn", marked.alias("marked"))
+    read, answer = channels.parsed_markup("marked"), channels.read_answer("marked")
+    return rows.select("conv_id", "turn", read.alias("r"), answer.alias("a")).select("conv_id", "turn", "r.parse_error", F.size("r.messages").alias("n_messages"), "a.content", "a.channel", "a.analysis", F.get("r.messages", F.lit(0))["recipient"].alias("recipient"))
+
+
+@query(
+    """WITH a AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) AS a, l_linenumber AS b, l_partkey % 3 AS off, l_suppkey % 5 AS k FROM lineitem)
+    SELECT l_orderkey, l_linenumber, CASE k WHEN 4 THEN off = 0 ELSE a * (2 * b + off) = b * 2 * a END AS agrees,
+    CASE k WHEN 0 THEN concat(chr(92), 'frac{', a, '}{', b, '}') WHEN 1 THEN concat(a, '/', b) WHEN 2 THEN concat(chr(92), 'frac{', 100 * a, '}{', b, '}', chr(92), '%') WHEN 3 THEN concat('-', chr(92), 'frac{', -a, '}{', b, '}') ELSE concat(chr(92), 'sqrt{', a * a * 3, '}') END AS boxed FROM a"""
+)
+def symbolic_answers(spark, d):
+    """Boxed fractions, quotients, percentages, signs and roots against fractions
+    and roots that are equal or off."""
+    a, b, k = F.col("l_quantity").cast("long"), F.col("l_linenumber"), F.col("l_suppkey") % 5
+    off = F.col("l_partkey") % 3
+    frac = lambda x, y: F.concat(F.lit("\\frac{"), x.cast("string"), F.lit("}{"), y.cast("string"), F.lit("}"))
+    form = (
+        F.when(k == 0, frac(a, b)).when(k == 1, F.concat_ws("/", a, b)).when(k == 2, F.concat(frac(100 * a, b), F.lit("\\%")))
+        .when(k == 3, F.concat(F.lit("-"), frac(-a, b))).otherwise(F.concat(F.lit("\\sqrt{"), (a * a * 3).cast("string"), F.lit("}")))
+    )
+    target = F.when(k == 4, F.concat((a + off).cast("string"), F.lit("\\sqrt{3}"))).otherwise(frac(2 * a, 2 * b + off))
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.concat(F.lit("I take \\boxed{1}, no: \\boxed{"), form, F.lit("}.")).alias("response"), target.alias("target"))
+    return rows.select("l_orderkey", "l_linenumber", answers.answer_agrees("response", "target").alias("agrees"), answers.boxed("response").alias("boxed"))
