@@ -137,15 +137,27 @@ def exactly_one(df: DataFrame, condition: Column) -> DataFrame:
     return found
 
 
+def draw(*parts) -> Column:
+    """A draw's text, which any engine gives: the hexadecimal md5 of the parts, as
+    text, joined by commas."""
+    return F.md5(F.concat_ws(",", *[(F.col(p) if isinstance(p, str) else p).cast("string") for p in parts]))
+
+
+def draw_number(*parts) -> Column:
+    """The same as a number of 60 bits."""
+    return F.conv(F.substring(draw(*parts), 1, 15), 16, 10).cast("long")
+
+
 def seeded_order(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
-    """A fixed shuffle."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)
+    """A fixed shuffle: adds each row's position, from 0, by its draw of seed and
+    key; no task has all rows. Rows of one key follow one another."""
+    return numbered(df.withColumn("__draw", draw(F.lit(seed), F.col(key))), ["__draw", key], "position").drop("__draw")
 
 
 def seeded_subset(values: Column, n: int, *seed: Column) -> Column:
     """n entries of an array without replacement, in shuffled order; which ones
-    depends on the seeds alone."""
-    keyed = F.transform(values, lambda v, i: F.struct(F.xxhash64(*seed, i).alias("h"), v.alias("v")))
+    depends on the draws of the seeds and their places alone."""
+    keyed = F.transform(values, lambda v, i: F.struct(draw(*seed, i).alias("h"), v.alias("v")))
     return F.transform(F.slice(F.array_sort(keyed), 1, n), lambda x: x["v"])
 
 

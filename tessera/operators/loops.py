@@ -7,6 +7,7 @@ whole, and a run that is started again goes on from there."""
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from tessera.functions.text import close_interact, tail_in_frame
-from tessera.operators.datasets import seeded_rollouts, seeded_subset
+from tessera.operators.datasets import draw_number, seeded_rollouts, seeded_subset
 from tessera.operators.environment import acted, first_observation, step
 from tessera.operators.harness import scored
 from tessera.operators.scores import classified
@@ -26,15 +27,16 @@ from tessera.sources.tables import load_metadata, save_metadata
 Generator = Callable[[pd.Series, pd.Series], pd.Series]
 
 #: Settings in which a run may not differ from the one it goes on with.
-COMPARED = ("num_problems", "num_samples", "dataset", "model")
+COMPARED = ("num_problems", "num_samples", "dataset", "model", "max_turns", "population", "k", "attempts", "max_tokens")
 
 
 class Rounds:
     """Phases of a run, each a table below *root*; what is whole is in a
-    manifest that is written after the table."""
+    manifest that is written after the table. A run that goes on with other
+    settings (COMPARED) is warned, or refused if it is strict."""
 
-    def __init__(self, spark: SparkSession, root: str, **settings):
-        self.spark, self.root, self.settings = spark, root.rstrip("/"), settings
+    def __init__(self, spark: SparkSession, root: str, strict: bool = False, **settings):
+        self.spark, self.root, self.strict, self.settings = spark, root.rstrip("/"), strict, settings
 
     def done(self, phase: str) -> bool:
         try:
@@ -48,7 +50,12 @@ class Rounds:
     def table(self, phase: str, make: Callable[[], DataFrame]) -> DataFrame:
         """The phase's table: as it was written, or made and written now."""
         path = f"{self.root}/{phase}"
-        if not self.done(phase):
+        if self.done(phase):
+            for changed in self.drift(phase):
+                if self.strict:
+                    raise ValueError(f"{phase} was written with other settings: {changed}")
+                warnings.warn(f"{phase} was written with other settings: {changed}", stacklevel=3)
+        else:
             make().write.mode("overwrite").parquet(path)
             save_metadata(self.spark, f"{path}.manifest", phase=phase, **self.settings)
         return self.spark.read.parquet(path)
@@ -79,7 +86,7 @@ def multi_turn(spark: SparkSession, problems: DataFrame, root: str, generate: Ge
     state speak and takes one step; at the last turn the prompt says so. With *tail*
     long outputs keep their last tokens. A rollout ends when it is terminated or
     truncated."""
-    rounds = Rounds(spark, root, num_samples=samples)
+    rounds = Rounds(spark, root, num_samples=samples, max_turns=max_turns)
     keys = ["problem_id", "trajectory_id"]
     zero = F.lit(0).cast("long")
     seeds = seeded_rollouts(problems, samples).select("problem_id", F.col("sample_index").alias("trajectory_id"), first_observation(F.col("question"), system).alias("transcript"), "fn_name", "tests")
@@ -89,7 +96,7 @@ def multi_turn(spark: SparkSession, problems: DataFrame, root: str, generate: Ge
     finished = None
     for turn in range(1, max_turns + 1):
         prompt = F.concat("transcript", F.lit(f"\n\n{final_prompt}")) if turn == max_turns else F.col("transcript")
-        asked = states.withColumns({"prompt": prompt, "seed": F.xxhash64(*keys, F.lit(turn))})
+        asked = states.withColumns({"prompt": prompt, "seed": draw_number(*keys, F.lit(turn))})
         spoken = rounds.table(f"round={turn}-spoken", lambda asked=asked: acted(generated(asked, "prompt", "seed", generate).withColumn("action", close_interact("text")).drop("prompt", "seed", "text")))
 
         def executed(spoken=spoken):
@@ -123,6 +130,16 @@ def reevaluated(completed: DataFrame, active: DataFrame, keys: list[str], second
     return completed.withColumn("from_active", F.lit(False)).unionByName(late, allowMissingColumns=True)
 
 
+def by_harness(problems: DataFrame, keys: list[str], seconds: float = 1.0) -> Callable[[DataFrame], DataFrame]:
+    """A scorer of responses: runs each on its problem's tests (problem_id, tests)."""
+
+    def score(df: DataFrame) -> DataFrame:
+        rows = classified(df.join(problems.select("problem_id", "tests"), "problem_id").withColumn("fn_name", F.col("tests.fn_name")))
+        return df.join(scored(rows, keys, seconds).select(*keys, "final_reward"), keys)
+
+    return score
+
+
 def aggregated(spark: SparkSession, problems: DataFrame, root: str, generate: Generator, score: Callable[[DataFrame], DataFrame], population: int = 4, k: int = 2, steps: int = 3, seed: int = 42) -> DataFrame:
     """Candidates of every step: (problem_id, rsa_step, candidate_id, response,
     final_reward, aggregated_from). After the first step each candidate comes
@@ -140,7 +157,7 @@ def aggregated(spark: SparkSession, problems: DataFrame, root: str, generate: Ge
                 chosen = seeded_subset(F.sequence(F.lit(0), F.lit(population - 1)), k, F.lit(seed), F.col("problem_id"), F.lit(step), F.col("candidate_id"))
                 rows = cells.join(pool, "problem_id").withColumn("aggregated_from", chosen)
                 rows = rows.withColumn("prompt", aggregation_prompt("question", F.transform("aggregated_from", lambda i: F.get(F.col("pool"), i)))).drop("pool")
-            told = generated(rows.withColumn("seed", F.xxhash64("problem_id", "candidate_id", F.lit(step))), "prompt", "seed", generate, "response")
+            told = generated(rows.withColumn("seed", draw_number("problem_id", "candidate_id", F.lit(step))), "prompt", "seed", generate, "response")
             return score(told.drop("seed", "prompt")).withColumn("rsa_step", F.lit(step)).select("problem_id", "rsa_step", "candidate_id", "response", "final_reward", "aggregated_from")
 
         previous = rounds.table(f"step={step}", made)
@@ -152,13 +169,13 @@ def budget_forced(spark: SparkSession, problems: DataFrame, root: str, generate:
     """(problem_id, response, num_extensions, total_tokens): thoughts are extended
     by " Wait" between attempts. Each attempt has the whole budget, or all share
     it; num_extensions is the index of the last attempt."""
-    rounds = Rounds(spark, root, attempts=attempts)
+    rounds = Rounds(spark, root, attempts=attempts, max_tokens=max_tokens)
     states = rounds.table("attempt=start", lambda: problems.select("problem_id", F.col("question").alias("prompt"), F.lit("").alias("response"), F.lit(0).alias("num_extensions"), F.lit(0).cast("long").alias("total_tokens")))
     for i in range(attempts):
 
         def made(states=states, i=i):
             so_far = F.when(F.lit(i > 0), F.concat("response", F.lit(" Wait"))).otherwise(F.col("response"))
-            rows = states.withColumns({"response": so_far, "seed": F.xxhash64("problem_id", F.lit(i))}).withColumn("whole", F.concat("prompt", F.lit("\n"), "response"))
+            rows = states.withColumns({"response": so_far, "seed": draw_number("problem_id", F.lit(i))}).withColumn("whole", F.concat("prompt", F.lit("\n"), "response"))
             told = generated(rows, "whole", "seed", generate)
             tokens = F.split("text", " ", -1)
             left = F.greatest(F.lit(max_tokens) - F.col("total_tokens"), F.lit(0)) if shared_budget else F.lit(max_tokens)

@@ -32,23 +32,44 @@ def problems(spark: SparkSession, d: str, n: int | None = None) -> DataFrame:
     return p.select(F.col("p_partkey").alias("problem_id"), F.concat(F.lit("Add "), size.cast("string")).alias("question"), fn.alias("fn_name"), F.struct(inputs.alias("inputs"), outputs.alias("outputs"), fn.alias("fn_name")).cast(TESTS).alias("tests"))
 
 
+def _answer(size: str, seed: int) -> str:
+    wrong = 0 if seed % 3 else 1
+    body = f"class Solution:\n    def solve(self, x):\n        return x + {size} + {wrong}\nif __name__ == '__main__':\n    print(int(input()) + {size} + {wrong})"
+    return f"```python\n{body}\n```"
+
+
+def _size(prompt: str) -> str:
+    return prompt.split("Add ")[1].split()[0]
+
+
 def scripted(prompts: pd.Series, seeds: pd.Series) -> pd.Series:
-    """A generator for tests: interacts or answers first, interacts where it is told
-    to, then answers, rightly in two cases of three; the seed decides."""
+    """A generator for tests. At first it interacts, or answers too early, or says
+    nothing of use, by the seed; it interacts where it is told to, and else once
+    more in a case of five; then it answers, rightly in two cases of three."""
 
     def one(prompt: str, seed: int) -> str:
-        size = prompt.split("Add ")[1].split()[0]
-        if "You must interact at least once before" in prompt.rpartition("<output>")[2] or "<output>" not in prompt and seed % 2:
-            return f"<interact>print({size} + 1)"
-        wrong = 0 if seed % 3 else 1
-        body = f"class Solution:\n    def solve(self, x):\n        return x + {size} + {wrong}\nif __name__ == '__main__':\n    print(int(input()) + {size} + {wrong})"
-        return f"```python\n{body}\n```"
+        interact, seen = f"<interact>print({_size(prompt)} + 1)", prompt.rpartition("<output>")
+        if not seen[1]:
+            return [_answer(_size(prompt), seed), interact, interact, "I think."][seed % 4]
+        if "You must interact at least once" in seen[2] or "No valid code block found" in seen[2] or seed % 5 == 0:
+            return interact
+        return _answer(_size(prompt), seed)
 
     return pd.Series([one(p, s) for p, s in zip(prompts, seeds)], index=prompts.index)
 
 
+def answering(prompts: pd.Series, seeds: pd.Series) -> pd.Series:
+    """Answers at once, rightly in two cases of three."""
+    return pd.Series([_answer(_size(p), s) for p, s in zip(prompts, seeds)], index=prompts.index)
+
+
+def pondering(prompts: pd.Series, seeds: pd.Series) -> pd.Series:
+    """One to twenty words of thought."""
+    return pd.Series([" ".join([f"t{s % 7}"] * (s % 20 + 1)) for s in seeds], index=prompts.index)
+
+
 def _answers(spark: SparkSession, d: str) -> DataFrame:
-    told = loops.generated(problems(spark, d).withColumns({"prompt": F.concat("question", F.lit(" <output>")), "seed": F.xxhash64("problem_id")}), "prompt", "seed", scripted)
+    told = loops.generated(problems(spark, d).withColumns({"prompt": F.concat("question", F.lit(" <output>")), "seed": F.xxhash64("problem_id")}), "prompt", "seed", answering)
     return scores.classified(told, "text")
 
 
@@ -138,42 +159,79 @@ def run_latency(spark, d):
     return stats.select("kind", "n", (F.col("low") <= F.col("median")).alias("ordered") & (F.col("median") <= F.col("high")), "timeouts").toDF("kind", "n", "ordered", "timeouts")
 
 
-@query()
+#: The seed of a draw in DuckDB, from its parts.
+_SEED = "CAST(concat('0x', substr(md5(concat_ws(',', {})), 1, 15)) AS BIGINT)"
+#: Two rollouts of three turns of each part, by their seeds: s1 says whether the first
+#: turn interacts, s2 and s3 what follows.
+_ROLLOUTS = f"""WITH s AS (SELECT p_partkey AS problem_id, CAST(s AS INTEGER) AS trajectory_id, {_SEED.format("p_partkey, s, 1")} AS s1, {_SEED.format("p_partkey, s, 2")} AS s2, {_SEED.format("p_partkey, s, 3")} AS s3 FROM part, (SELECT unnest(range(2)) AS s)),
+    e AS (SELECT *, s1 % 4 IN (1, 2) AND s2 % 5 <> 0 AS second, s3 % 5 <> 0 AS third FROM s),
+    r AS (SELECT problem_id, trajectory_id, CAST(CASE WHEN second THEN 2 ELSE 3 END AS INTEGER) AS n_turns, CAST(CASE WHEN second THEN s2 % 3 <> 0 ELSE third AND s3 % 3 <> 0 END AS DOUBLE) AS final_reward,
+    second OR third AS terminated, NOT (second OR third) AS truncated, TRUE AS has_interacted, CAST(0 AS BIGINT) AS eval_timeouts, CAST(0 AS BIGINT) AS interaction_timeouts FROM e)"""
+
+
+@query(f"{_ROLLOUTS} SELECT * FROM r")
 def rollout_loop(spark, d):
+    """Rollouts with their rewards: answers too early, useless ones, more than one
+    interaction, and ends by answer and by turns."""
     return loops.multi_turn(spark, problems(spark, d), _workspace(spark, "rollout"), scripted, 2, 3).drop("transcript")
 
 
-@query("SELECT 2 * count(*) AS n, 2 * count(DISTINCT p_partkey) AS n_pairs, TRUE AS turns_fit, TRUE AS scored_ones_interacted, TRUE AS ended_once FROM part")
+@query(f"{_ROLLOUTS} SELECT count(*) AS n, count(DISTINCT (problem_id, trajectory_id)) AS n_pairs, TRUE AS turns_fit, TRUE AS scored_ones_interacted, TRUE AS ended_once, sum(final_reward) AS total_reward FROM r")
 def rollout_rules(spark, d):
     """Every rollout ends once, within its turns, and none is scored that hasn't
-    interacted."""
+    interacted; the rewards are what the answers earn."""
     r = loops.multi_turn(spark, problems(spark, d), _workspace(spark, "rules"), scripted, 2, 3)
     pair = F.struct("problem_id", "trajectory_id")
     return r.agg(
         F.count("*").alias("n"), F.countDistinct(pair).alias("n_pairs"), F.bool_and(F.col("n_turns").between(1, 3)).alias("turns_fit"),
         F.bool_and(~F.col("terminated") | F.col("has_interacted")).alias("scored_ones_interacted"), F.bool_and(F.col("terminated") | F.col("truncated")).alias("ended_once"),
-    )
+        F.sum("final_reward").alias("total_reward"),
+    )
 
 
-@query()
+@query(
+    f"""WITH c AS (SELECT p_partkey, CAST(step AS INTEGER) AS step, CAST(c AS INTEGER) AS c, {_SEED.format("p_partkey, c, step")} AS s FROM part, (SELECT unnest(range(1, 4)) AS step), (SELECT unnest(range(4)) AS c)),
+    f AS (SELECT p_partkey, step, c, i, row_number() OVER (PARTITION BY p_partkey, step, c ORDER BY md5(concat_ws(',', 42, p_partkey, step, c, i))) AS k FROM c, (SELECT unnest(range(4)) AS i) WHERE step > 1),
+    g AS (SELECT p_partkey, step, c, string_agg(i, ' ' ORDER BY k) AS aggregated_from FROM f WHERE k <= 2 GROUP BY ALL)
+    SELECT p_partkey AS problem_id, step AS rsa_step, c AS candidate_id, CAST(s % 3 <> 0 AS DOUBLE) AS final_reward, coalesce(aggregated_from, '') AS aggregated_from FROM c LEFT JOIN g USING (p_partkey, step, c)"""
+)
 def rsa_loop(spark, d):
-    def score(df: DataFrame) -> DataFrame:
-        return df.withColumn("final_reward", F.when(F.length("response") % 2 == 0, 1.0).otherwise(0.0))
-
-    return loops.aggregated(spark, problems(spark, d), _workspace(spark, "aggregation"), scripted, score).drop("response")
+    """Candidates of three steps, each scored by running it."""
+    p = problems(spark, d)
+    score = loops.by_harness(p, ["problem_id", "candidate_id"])
+    out = loops.aggregated(spark, p, _workspace(spark, "aggregation"), answering, score).drop("response")
+    return out.withColumn("aggregated_from", F.array_join("aggregated_from", " "))
 
 
-@query()
+@query(
+    f"""WITH a AS (SELECT p_partkey, CAST(i AS INTEGER) AS i, {_SEED.format("p_partkey, i")} AS s FROM part, (SELECT unnest(range(3)) AS i)),
+    k AS (SELECT p_partkey, i, least(s % 20 + 1, 12) AS n, concat('t', s % 7) AS w FROM a)
+    SELECT p_partkey AS problem_id, string_agg(concat(rtrim(repeat(concat(w, ' '), n)), CASE WHEN i < 2 THEN ' Wait' ELSE '' END), '' ORDER BY i) AS response, CAST(2 AS INTEGER) AS num_extensions, CAST(sum(n) AS BIGINT) AS total_tokens FROM k GROUP BY p_partkey"""
+)
 def budget_loop(spark, d):
-    return loops.budget_forced(spark, problems(spark, d), _workspace(spark, "budget"), scripted, 3, 12)
+    """Three attempts of at most twelve words each."""
+    return loops.budget_forced(spark, problems(spark, d), _workspace(spark, "budget"), pondering, 3, 12)
+
+
+@query(
+    f"""WITH a AS (SELECT p_partkey, CAST(i AS INTEGER) AS i, {_SEED.format("p_partkey, i")} AS s FROM part, (SELECT unnest(range(3)) AS i)),
+    k AS (SELECT p_partkey, i, s % 20 + 1 AS n, concat('t', s % 7) AS w, coalesce(sum(s % 20 + 1) OVER (PARTITION BY p_partkey ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM a),
+    l AS (SELECT *, CAST(greatest(least(n, 12 - before), 0) AS BIGINT) AS kept FROM k)
+    SELECT p_partkey AS problem_id, string_agg(concat(rtrim(repeat(concat(w, ' '), kept)), CASE WHEN i < 2 THEN ' Wait' ELSE '' END), '' ORDER BY i) AS response, CAST(2 AS INTEGER) AS num_extensions, CAST(sum(kept) AS BIGINT) AS total_tokens FROM l GROUP BY p_partkey"""
+)
+def shared_budget_loop(spark, d):
+    """The same, but all attempts share the twelve words."""
+    return loops.budget_forced(spark, problems(spark, d), _workspace(spark, "shared"), pondering, 3, 12, shared_budget=True)
 
 
-@query("SELECT 0 AS n_different")
+@query(f"{_ROLLOUTS} SELECT *, TRUE AS same FROM r")
 def resume_equal(spark, d):
     """A run that is started again on its own phases gives the same table."""
     root = _workspace(spark, "resume")
-    first, second = (loops.multi_turn(spark, problems(spark, d), root, scripted, 2, 3) for _ in range(2))
-    return first.exceptAll(second).unionByName(second.exceptAll(first)).agg(F.count("*").cast("int").alias("n_different"))
+    first, second = (loops.multi_turn(spark, problems(spark, d), root, scripted, 2, 3).drop("transcript") for _ in range(2))
+    again = second.select(F.struct("problem_id", "trajectory_id").alias("key"), F.struct(*[c for c in second.columns]).alias("row"))
+    key = F.struct("problem_id", "trajectory_id")
+    return first.withColumn("row", F.struct(*[F.col(c) for c in first.columns])).join(again.withColumnRenamed("row", "other"), key == F.col("key"), "left").withColumn("same", F.col("row").eqNullSafe(F.col("other"))).drop("row", "key", "other")
 
 
 @query("SELECT time_bucket(INTERVAL '1 day', ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")

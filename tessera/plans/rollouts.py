@@ -483,16 +483,15 @@ def reward_cube(spark, d):
     return trajectories(spark, d).cube("mode", "source").agg(F.count("*").alias("n"), rounded(F.avg("final_reward"), 8).alias("mean"))
 
 
-@query()
+@query("SELECT p_partkey, row_number() OVER (ORDER BY md5(concat_ws(',', 42, p_partkey)), p_partkey) - 1 AS position FROM part")
 def seeded_shuffle(spark, d):
-    """A fixed order by hash; SQL engines hash differently."""
     return datasets.seeded_order(table(spark, d, "part").select("p_partkey"), "p_partkey")
 
 
-@query()
+@query("SELECT p_partkey, string_agg(i, ' ' ORDER BY k) AS tests FROM (SELECT p_partkey, i, row_number() OVER (PARTITION BY p_partkey ORDER BY md5(concat_ws(',', 42, p_partkey, i))) AS k FROM part, (SELECT unnest(range(50)) AS i)) WHERE k <= 15 GROUP BY p_partkey")
 def seeded_test_subset(spark, d):
     subset = datasets.seeded_subset(F.sequence(F.lit(0), F.lit(49)), 15, F.lit(42), F.col("p_partkey"))
-    return table(spark, d, "part").select("p_partkey", subset.alias("tests"))
+    return table(spark, d, "part").select("p_partkey", F.array_join(subset, " ").alias("tests"))
 
 
 @query("SELECT p_partkey, (row_number() OVER (ORDER BY p_partkey) - 1) // 32 AS batch FROM part")
