@@ -18,7 +18,7 @@ def parsed(text, schema: str, on_error: str = "null", empty: Column | None = Non
     c = F.col(text) if isinstance(text, str) else text
     if on_error == "raise":
         return F.from_json(c, schema, {"mode": "FAILFAST"})
-    value = F.from_json(c, schema)
+    value = F.when(F.try_parse_json(c).isNotNull(), F.from_json(c, schema))  # else a struct of nulls
     return F.coalesce(value, empty) if on_error == "empty" else value
 
 

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.packed import unpacked_json
 from tessera.functions.text import fenced
 from tessera.operators.datasets import numbered, seeded_subset
 from tessera.schemas import TESTS
@@ -80,17 +81,18 @@ def with_instructions(question: Column, starter: Column) -> Column:
 
 
 def benchmark_problems(df: DataFrame, tag: str) -> DataFrame:
-    """(question, info) of contest rows: public and private cases together. Private
-    cases that are packed binary are refused: *refused* is true and they're left
-    out."""
-    public, private = F.from_json("public_test_cases", _CASES), F.from_json("private_test_cases", _CASES)
-    cases = F.concat(F.coalesce(public, F.array().cast(_CASES)), F.coalesce(private, F.array().cast(_CASES)))
+    """(question, info, refused) of contest rows: public and private cases together.
+    Private cases are JSON, or JSON packed as one pickled string, which is read
+    without unpickling; what is neither is refused and left out."""
+    private = unpacked_json("private_test_cases")
+    rows = df.withColumns({"__public": F.coalesce(F.from_json("public_test_cases", _CASES), F.array().cast(_CASES)), "__private": private})
+    cases = F.concat("__public", F.coalesce(F.from_json("__private.value", _CASES), F.array().cast(_CASES)))
     tests = F.struct(F.transform(cases, lambda x: x["input"]).alias("inputs"), F.transform(cases, lambda x: x["output"]).alias("outputs"), F.get_json_object("metadata", "$.func_name").alias("fn_name"))
-    refused = F.coalesce(F.length("private_test_cases") > 0, F.lit(False)) & ~F.coalesce(F.col("private_test_cases").startswith("["), F.lit(False))
-    return df.select(with_instructions(F.col("question_content"), F.col("starter_code")).alias("question"), F.struct(tests.alias("tests"), F.lit(tag).alias("source")).alias("info"), refused.alias("refused"))
+    info = F.struct(tests.alias("tests"), F.lit(tag).alias("source"))
+    return rows.select(with_instructions(F.col("question_content"), F.col("starter_code")).alias("question"), info.alias("info"), (F.col("__private.kind") == "refused").alias("refused"))
 
 
-def idle_devices(rows: DataFrame, utilisation: float = 5, memory: float = 500) -> DataFrame:
-    """(all_idle, n_idle) of device rows."""
+def idle_devices(rows: DataFrame, utilisation: float = 5, memory: float = 500, by: list[str] | None = None) -> DataFrame:
+    """(all_idle, n_idle) of device rows, or of each group of them."""
     idle = (F.col("utilisation") <= utilisation) & (F.col("memory") <= memory)
-    return rows.agg(F.bool_and(idle).alias("all_idle"), F.count_if(idle).alias("n_idle"))
+    return rows.groupBy(*(by or [])).agg(F.bool_and(idle).alias("all_idle"), F.count_if(idle).alias("n_idle"))

@@ -7,10 +7,11 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.schemas import normalised
+from tessera.storage import forget, written
 
 #: (pattern of a source's name, split to read); the first that matches holds. Programs
 #: differ: most read the train split of prefixed sets, the environment never a test
@@ -133,6 +134,61 @@ def save(df: DataFrame, path: str, by: str | None = None, rows_per_file: int = 0
     (writer.partitionBy(by) if by else writer).parquet(path)
 
 
+#: Bytes of a file, by what its rows are measured at.
+FILE_BYTES = 200_000_000
+
+
+def row_bytes(df: DataFrame) -> Column:
+    """What a row's values take in a file, or more: texts and bytes as they are, with
+    their length, eight or sixteen bytes for numbers, twice the JSON text of nested
+    values."""
+    sizes = []
+    for f in df.schema.fields:
+        c, kind = F.col(f"`{f.name}`"), f.dataType.typeName()
+        if kind in ("string", "binary", "varchar", "char"):
+            sizes.append(F.coalesce(F.octet_length(c).cast("long"), F.lit(0).cast("long")) + 8)
+        elif kind in ("array", "map", "struct"):
+            sizes.append(F.coalesce(2 * F.octet_length(F.to_json(F.struct(c.alias("v")))).cast("long"), F.lit(0).cast("long")) + 16)
+        else:
+            sizes.append(F.lit(16 if kind == "decimal" else 8).cast("long"))
+    return sum(sizes[1:], sizes[0]) if sizes else F.lit(1).cast("long")
+
+
+def save_by_bytes(df: DataFrame, path: str, limit: int = FILE_BYTES, order: list[str] | None = None) -> int:
+    """Writes a table to files of at most *limit* bytes, by the measure of their rows
+    (a row of over half of it has a file of its own); gives how many. Rows keep the
+    order of *order*, if stated, from file to file.
+
+    The rows are written once, each with its size. Within each part of that copy,
+    files are cut where the sizes pass the next stretch, a limit less the largest
+    row that isn't alone, and the parts' numbers of files, a row for each part,
+    number them all. Each file is then one task, that gets its rows by number."""
+    spark = df.sparkSession
+    room = max(limit - 64_000 - limit // 50, 1)  # a file has headers and a footer
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.repartitionByRange(n, *order).sortWithinPartitions(*order) if order else df
+    copy, copied = written(placed.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), row_bytes(df).alias("size"), F.monotonically_increasing_id().alias("at")), "rows")
+    alone = F.col("size") > room // 2
+    stretch = max(room - (copy.where(~alone).agg(F.max("size")).first()[0] or 0), 1)
+    before = lambda *keys: Window.partitionBy(*keys).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    # a row that is alone parts those before it from those after it
+    run = 2 * F.coalesce(F.sum(alone.cast("long")).over(before("part")), F.lit(0)) + alone.cast("long")
+    runs = copy.withColumn("part", F.shiftright("at", 33)).withColumn("run", run)
+    pieces = runs.withColumn("cut", F.floor(F.coalesce(F.sum("size").over(before("part", "run")), F.lit(0)) / stretch))
+    ranked, kept = written(pieces.withColumn("piece", F.dense_rank().over(Window.partitionBy("part").orderBy("run", "cut")) - 1).select("row", "at", "part", "piece"), "pieces")
+    counts = ranked.groupBy("part").agg((F.max("piece") + 1).alias("n"))
+    first = counts.select(F.col("part").alias("of"), (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("first"))
+    files = counts.agg(F.sum("n")).first()[0] or 0
+    if files:
+        placed = ranked.join(F.broadcast(first), F.col("part") == F.col("of")).withColumn("file", (F.col("first") + F.col("piece")).cast("int"))  # a row for each part
+        placed.repartitionById(files, "file").sortWithinPartitions("at").select("row.*").write.mode("overwrite").parquet(path)
+    else:
+        df.limit(0).write.mode("overwrite").parquet(path)
+    forget(copied)
+    forget(kept)
+    return files
+
+
 def save_metadata(spark: SparkSession, path: str, **values) -> None:
     """One row of JSON beside a table."""
     spark.createDataFrame([(json.dumps(values, default=str, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)

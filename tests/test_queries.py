@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from tessera.plans import programs, registry, rollouts, texts  # noqa: F401
+from tessera.plans import programs, registry, rollouts, sources, texts  # noqa: F401
 from tests.support import difference
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
