@@ -11,7 +11,7 @@ from tessera.plans.registry import query
 from tessera.schemas import TESTS
 from tessera.sources.tables import table
 from tessera.storage import cut, shared_path
-from tessera.streaming import events
+from tessera.streaming import events, rollouts
 
 
 def _workspace(spark: SparkSession, name: str) -> str:
@@ -234,6 +234,30 @@ def resume_equal(spark, d):
     return first.withColumn("row", F.struct(*[F.col(c) for c in first.columns])).join(again.withColumnRenamed("row", "other"), key == F.col("key"), "left").withColumn("same", F.col("row").eqNullSafe(F.col("other"))).drop("row", "key", "other")
 
 
+@query(
+    f"""{_ROLLOUTS}, l AS (SELECT *, problem_id % 50 = 9 AS lost FROM r)
+    SELECT r.problem_id, r.trajectory_id, CAST(CASE WHEN lost THEN 1 ELSE n_turns END AS INTEGER) AS n_turns, CASE WHEN lost THEN 0 ELSE final_reward END AS final_reward, terminated AND NOT lost AS terminated, truncated OR lost AS truncated,
+    CASE WHEN lost THEN s1 % 4 IN (1, 2) ELSE has_interacted END AS has_interacted, eval_timeouts, interaction_timeouts, NOT lost AS answered FROM l r JOIN s USING (problem_id, trajectory_id)"""
+)
+def rollout_stream(spark, d):
+    """The answers of a batch of rollouts as a stream, which ends them with the same
+    rewards; some second answers never come, and their timer ends the rollout."""
+    p = problems(spark, d)
+    loops.multi_turn(spark, p, root := _workspace(spark, "recorded"), scripted, 2, 3).count()
+    keys, hour = ["problem_id", "trajectory_id"], "timestamp '2026-01-01 00:00:00'"
+    fields = [*keys, F.col("turn"), F.col("action"), F.col("ts")]
+    folder = shared_path(spark, "answers")
+    # answers by turn, the later turns first in the first files, and one of the next day
+    begun = spark.read.parquet(f"{root}/round=0").withColumns({"turn": F.lit(0), "action": F.lit(None).cast("string"), "ts": F.expr(hour)})
+    begun.select(*fields).coalesce(2).write.parquet(folder)
+    for turn in (2, 1, 3):
+        told = spark.read.parquet(f"{root}/round={turn}-spoken").withColumns({"turn": F.lit(turn), "ts": F.expr(f"{hour} + interval 1 minute * {turn}")})
+        told.where("not (problem_id % 50 = 9 and turn > 1)").select(*fields).coalesce(2).write.mode("append").parquet(folder)
+    p.agg(F.min("problem_id").alias("problem_id")).select("problem_id", F.lit(-1).alias("trajectory_id"), F.lit(0).alias("turn"), F.lit(None).cast("string").alias("action"), F.expr(f"{hour} + interval 1 day").alias("ts")).write.mode("append").parquet(folder)
+    answers = spark.readStream.schema(spark.read.parquet(folder).schema).parquet(folder)
+    return events.drained(rollouts.ended_rollouts(answers, p, 3), "ended", "append")
+
+
 @query("SELECT time_bucket(INTERVAL '1 day', ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")
 def stream_window_counts(spark, d):
     counts = events.window_counts(events.stream(spark, d), late="3650 days")
@@ -249,7 +273,7 @@ def stream_dedup(spark, d):
 
 @query("SELECT user_id, count(*) AS n, max(value) AS best FROM events GROUP BY user_id")
 def stream_running_best(spark, d):
-    return events.drained(events.running_best(events.stream(spark, d)), "best")
+    return events.drained(events.running_best(events.stream(spark, d)), "best", "update", ["user_id"])
 
 
 @query(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tessera.storage import shared_path
 
@@ -37,18 +38,25 @@ def running_best(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id").agg(F.count("*").alias("n"), F.max("value").alias("best"))
 
 
-def drained(df: DataFrame, name: str, mode: str = "complete") -> DataFrame:
+def drained(df: DataFrame, name: str, mode: str = "complete", key: list[str] | None = None) -> DataFrame:
     """Runs a stream over all that is there and gives the result as a table.
 
     Batches are written to the shared folder, each replacing what an earlier
     attempt of it wrote. With mode complete the last batch is the table, with append
-    all of them are."""
+    all of them are. With update a batch holds the rows that changed, and the table
+    has the newest row of each *key*."""
+    if mode == "update" and not key:
+        raise ValueError("mode update needs a key")
     spark = df.sparkSession
     root = shared_path(spark, name)
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{root}/rows/batch={number if mode == 'append' else 0}")
+        batch.write.mode("overwrite").parquet(f"{root}/rows/batch={0 if mode == 'complete' else number}")
 
     query = df.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
+    if mode == "update":
+        rows = spark.read.schema(StructType([*df.schema.fields, StructField("batch", LongType())])).parquet(f"{root}/rows")
+        newest = rows.groupBy(*key).agg(F.max_by(F.struct(*df.columns), "batch").alias("row"))
+        return newest.select("row.*")
     return spark.read.schema(df.schema).parquet(f"{root}/rows").select(*df.columns)
