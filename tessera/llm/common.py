@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -62,6 +62,13 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def aside(df: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """(the frame with its columns that begin with two underscores under other names,
+    what gives them their names back), as operators make such columns."""
+    names = {c: f"aside_{i}_{uuid.uuid4().hex}" for i, c in enumerate(df.columns) if c.startswith("__")}
+    return df.withColumnsRenamed(names), lambda out: out.withColumnsRenamed({v: k for k, v in names.items()})
+
+
 def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", null_text: str | None = "") -> DataFrame:
     """Only (doc_id, text), under these names, so that no other column of the
     input can clash with what an operator makes. Null texts become *null_text*."""

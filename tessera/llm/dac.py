@@ -40,9 +40,12 @@ _POPCOUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 _CHUNK = {8: np.uint8, 16: np.uint16}
 
 
-def encode(ids: np.ndarray, doc_ids: np.ndarray, starts: np.ndarray, widths: tuple[int, ...] = WIDTHS) -> bytes:
-    """The bytes of one file: *starts* has an entry more than *doc_ids*."""
+def encode(ids: np.ndarray, doc_ids: np.ndarray, starts: np.ndarray, widths: tuple[int, ...] = WIDTHS, named: np.ndarray | None = None) -> bytes:
+    """The bytes of one file: *starts* has an entry more than *doc_ids*; *named*
+    says which documents have an id, if not all do."""
     sections: dict[str, np.ndarray] = {"doc_ids": np.asarray(doc_ids, "<i8"), "starts": np.asarray(starts, "<i8")}
+    if named is not None and not named.all():
+        sections["named"] = np.asarray(named, np.uint8)
     rest = np.asarray(ids, np.uint32)
     for level, width in enumerate(widths):
         sections[f"chunk{level}"] = (rest & np.uint32((1 << width) - 1)).astype(_CHUNK[width])
@@ -85,6 +88,8 @@ class Reader:
         section = lambda s: np.frombuffer(view, np.dtype(s[2]), s[1], 8 + size + s[0])
         self._at = {k: section(s) for k, s in head["sections"].items()}
         self.doc_ids, self.starts = self._at["doc_ids"], self._at["starts"]
+        #: Which documents have an id; an absent section says all.
+        self.named = self._at["named"].view(bool) if "named" in self._at else np.ones(self.n_docs, bool)
 
     def rank(self, level: int, i: int) -> int:
         """Set bits before bit i of a level's bitmap."""
@@ -168,8 +173,8 @@ def _commit(path: str, data: bytes) -> None:
 
 
 def write_tokens(docs: DataFrame, folder: str, end_id: int | None = END_ID, vocabulary_folder: str | None = None, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
-    """Encodes all documents and writes them in ascending doc_id order (rows of
-    one doc_id by text) to files below *folder*; gives the manifest, in which
+    """Encodes all documents and writes them in ascending doc_id order (rows
+    without one first, rows of one doc_id by text) to files below *folder*; gives the manifest, in which
     (part, shard) is the order. Null text is empty. Lazy: the files exist once
     the result has been computed; rows are dealt out by ranges of doc_id."""
     folder = qualified(docs.sparkSession, folder)
@@ -178,7 +183,7 @@ def write_tokens(docs: DataFrame, folder: str, end_id: int | None = END_ID, voca
         encoder = WordPairs(vocabulary_folder)
         part = TaskContext.get().partitionId()
         held: list[np.ndarray] = []
-        docs_held: list[np.ndarray] = []
+        docs_held: list[pa.Array] = []
         lengths: list[np.ndarray] = []
         count, shard = 0, 0
 
@@ -187,7 +192,8 @@ def write_tokens(docs: DataFrame, folder: str, end_id: int | None = END_ID, voca
             sizes = np.concatenate(lengths)
             starts = np.concatenate([[0], np.cumsum(sizes)])
             path = f"{folder}/part-{part:06d}-{shard:06d}.dac"
-            _commit(path, encode(np.concatenate(held), np.concatenate(docs_held), starts))
+            own = pa.concat_arrays(docs_held)  # nulls are kept apart: as floats, ids would lose digits
+            _commit(path, encode(np.concatenate(held), own.fill_null(0).to_numpy(), starts, named=own.is_valid().to_numpy(zero_copy_only=False)))
             row = pa.RecordBatch.from_pylist([{"part": part, "shard": shard, "path": path, "n_docs": len(sizes), "n_tokens": int(starts[-1])}], pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
             held.clear(), docs_held.clear(), lengths.clear()
             count, shard = 0, shard + 1
@@ -202,7 +208,7 @@ def write_tokens(docs: DataFrame, folder: str, end_id: int | None = END_ID, voca
                     out[ragged(ends[:-1] + np.arange(len(sizes)), sizes)] = ids
                     ids, sizes = out, sizes + 1
                 held.append(ids), lengths.append(sizes)
-                docs_held.append(piece.column("doc_id").to_numpy(zero_copy_only=False))
+                docs_held.append(piece.column("doc_id"))
                 count += len(ids)
                 if count >= shard_tokens:
                     yield flush()
@@ -216,10 +222,13 @@ def write_tokens(docs: DataFrame, folder: str, end_id: int | None = END_ID, voca
 def read_tokens(spark: SparkSession, manifest: DataFrame, with_ids: bool = False) -> DataFrame:
     """Reads the files of a manifest back, each document by direct access: doc_id,
     start (ids of all documents before it), n_tokens, ids_crc32 (and ids). The
-    sizes of files are summed in order over the manifest, a row for each file of
-    millions of tokens; none of it reaches the driver. No files, no rows."""
-    order = Window.orderBy("part", "shard")
-    files = manifest.select("path", (F.sum("n_tokens").over(order) - F.col("n_tokens")).alias("before"))
+    sizes of files are summed within each part, and those of the parts, a row for
+    each task that wrote, in their order; none of it reaches the driver. Documents
+    without a doc_id have none here. No files, no rows."""
+    parts = manifest.groupBy(F.col("part").alias("of")).agg(F.sum("n_tokens").alias("n"))
+    parts = parts.select("of", (F.sum("n").over(Window.orderBy("of")) - F.col("n")).alias("earlier"))
+    within = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("shard")) - F.col("n_tokens")
+    files = manifest.withColumn("within", within).join(parts, F.col("part") == F.col("of")).select("path", (F.col("earlier") + F.col("within")).alias("before"))
     names = ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: 4 + with_ids]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,7 +238,7 @@ def read_tokens(spark: SparkSession, manifest: DataFrame, with_ids: bool = False
                 with store.open_input_file(at) as f:
                     reader = Reader(f.read())
                 ids, starts = [reader.document(k).astype("<u4") for k in range(reader.n_docs)], reader.starts
-                cols = [pa.array(reader.doc_ids), pa.array(starts[:-1] + before), pa.array(np.diff(starts)), pa.array([zlib.crc32(x) for x in ids], pa.int64())]
+                cols = [pa.array(reader.doc_ids, mask=~reader.named), pa.array(starts[:-1] + before), pa.array(np.diff(starts)), pa.array([zlib.crc32(x) for x in ids], pa.int64())]
                 if with_ids:
                     cols.append(pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(cols, names)
@@ -239,7 +248,10 @@ def read_tokens(spark: SparkSession, manifest: DataFrame, with_ids: bool = False
 
 
 def token_output(docs: DataFrame, folder: str | None = None, **options) -> DataFrame:
-    """Writes and reads back: the whole round trip through the file format."""
+    """Writes and reads back: the whole round trip through the file format. Null
+    texts are empty; documents without a doc_id come first and keep none; repeated
+    rows are documents of their own; an empty table gives an empty one; other
+    columns don't matter."""
     spark = docs.sparkSession
     manifest = cut(write_tokens(docs, folder or shared_path(spark, "tokens"), **options), "manifest")
     return read_tokens(spark, manifest)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import TOKEN_STEP, cut, steps, texts_of
+from tessera.llm.common import aside, TOKEN_STEP, cut, steps, texts_of
 from tessera.llm.segments import BytePairs
 
 CAPACITY = 2048
@@ -194,7 +194,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, per_bucket: int = 200_000)
     one; extra columns pass through (sequence_id and offset are replaced).
     Pieces of one length are ranked in hashed buckets, so that a length which
     most pieces have (full ones, say) is never sorted in one task."""
-    pieces = pieces.drop("sequence_id", "offset")
+    pieces, back = aside(pieces.drop("sequence_id", "offset"))
     salt = "__bucket"
     n = int(pieces.agg(F.count("*")).first()[0])
     buckets = max(8, -(-n // per_bucket))
@@ -225,10 +225,12 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, per_bucket: int = 200_000)
                 sequence[at], offset[at] = rows[i, 1] + rank[at] - rows[i, 0], rows[i, 2]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(sequence), pa.array(offset)], [*keep, "sequence_id", "offset"])
 
-    return out.mapInArrow(place, schema)
+    return back(out.mapInArrow(place, schema))
 
 
 def best_fit_pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int | None = END_ID, folder: str | None = None, with_ids: bool = False) -> DataFrame:
     """Tokenises and packs all documents: doc_id, piece, start, length,
-    ids_crc32, sequence_id, offset (and ids)."""
+    ids_crc32, sequence_id, offset (and ids). Null and empty texts are a piece of the
+    end id alone; rows without a doc_id and repeated rows are documents of their own;
+    an empty table gives an empty one; other columns don't matter."""
     return pack(cut(tokenised_pieces(docs, capacity, end_id, folder, with_ids), "pieces"), capacity)

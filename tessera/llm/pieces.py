@@ -200,8 +200,9 @@ class Pieces(Segments):
         ids = np.asarray(ids)
         if not len(ids):
             return np.zeros((0, 2), np.int64)
-        if (ids == self.library.unk_id()).any():
-            raise ValueError("pieces outside the vocabulary have no fixed width here")
+        if (ids == self.library.unk_id()).any():  # such a piece has no width of its own: as the library aligns it
+            told = self.library.encode(text, return_type="proto").pieces
+            return np.array([(p.begin, p.end) for p in told], np.int64).reshape(-1, 2)
         if self.map.units is None and MARK not in text:  # a mark is a space: one byte for one byte
             ends = np.cumsum(self.width[ids]) - self.dummy_prefix
             return np.stack([np.concatenate([[0], ends[:-1]]), ends], 1)

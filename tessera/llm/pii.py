@@ -16,7 +16,7 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut
+from tessera.llm.common import aside, cut
 
 #: Kinds in the order of output; the first four have base spans.
 KINDS = ("email", "ip", "card", "phone", "id", "name")
@@ -264,7 +264,7 @@ def detect(docs: DataFrame, text_col: str = "text", threshold: float = 0.5, keep
     Null and empty texts have none. Rows that repeat are judged each; a column
     named spans is replaced; an empty table gives an empty one. Base spans are
     all in it; of the others those whose classifier score is beyond *threshold*."""
-    docs = docs.drop("spans")
+    docs, back = aside(docs.drop("spans"))
     found = candidates(docs, text_col)
     found = cut(found if keep_text else found.drop(text_col), "candidates")
     weights = classifier(found)
@@ -276,7 +276,7 @@ def detect(docs: DataFrame, text_col: str = "text", threshold: float = 0.5, keep
     else:
         kept = F.col("__cands")
     ordered = [F.array_sort(F.transform(F.filter(F.col("__kept"), _of(k)), lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind"), c["strict"].alias("base")))) for k in KINDS]
-    return found.withColumn("__kept", kept).withColumn("spans", F.concat(*ordered)).drop("__cands", "__kept")
+    return back(found.withColumn("__kept", kept).withColumn("spans", F.concat(*ordered)).drop("__cands", "__kept"))
 
 
 def written(spans: Column) -> Column:
@@ -295,6 +295,7 @@ def mask(found: DataFrame, text_col: str = "text") -> DataFrame:
     """Replaces every span of ``spans`` in the text by its kind in brackets; spans
     that overlap are replaced as a whole, by the kind of the first that starts.
     Drops ``spans``."""
+    found, back = aside(found)
     merged = F.array_sort(F.col("spans"))
     span = lambda s, end: F.struct(s["start"].alias("start"), end.alias("end"), s["kind"].alias("kind"))
     grown = lambda kept, s: F.concat(F.slice(kept, F.lit(1), F.size(kept) - 1), F.array(span(F.element_at(kept, -1), F.greatest(F.element_at(kept, -1)["end"], s["end"]))))
@@ -311,4 +312,4 @@ def mask(found: DataFrame, text_col: str = "text") -> DataFrame:
     piece = lambda s, i: F.concat(F.substring(t, F.when(i > 0, F.get(F.col("__apart"), i - 1)["end"]).otherwise(0) + 1, s["start"] - F.when(i > 0, F.get(F.col("__apart"), i - 1)["end"]).otherwise(0)), F.lit("["), F.upper(s["kind"]), F.lit("]"))
     last = F.get(F.col("__apart"), n - 1)["end"]
     masked = F.concat(F.array_join(F.transform(F.col("__apart"), piece), ""), F.substring(t, last + 1, F.length(t)))
-    return df.withColumn(text_col, F.when(n > 0, masked).otherwise(t)).drop("spans", "__apart")
+    return back(df.withColumn(text_col, F.when(n > 0, masked).otherwise(t)).drop("spans", "__apart"))

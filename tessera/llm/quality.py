@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import content_hashes, cut, steps
+from tessera.llm.common import content_hashes, cut, fresh, steps
 from tessera.llm.words import within, windows, words_of
 
 SYMBOLS = b"#*$%&|<>"
@@ -76,16 +76,17 @@ def with_measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     of anything."""
     keep = [c for c in docs.columns if c != text_col and c not in MEASURES]
     schema = docs.select(*[F.col(f"`{c}`") for c in keep]).schema
+    (text,) = fresh(docs, "__text")
     for m in MEASURES:
         schema = schema.add(m, "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in steps(batch, "__text"):
-                found = measure(part.column("__text"))
+            for part in steps(batch, text):
+                found = measure(part.column(text))
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + [pa.array(found[m].astype(np.int64)) for m in MEASURES], [*keep, *MEASURES])
 
-    return docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias(text)).mapInArrow(run, schema)
 
 
 def base_failed():

@@ -29,17 +29,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import BYTE_CODES, INVERSE, Placed, bytes_of, cut, dealt, int64, mix64, powers, prefix_hash, steps, texts_of
+from tessera.llm.common import BYTE_CODES, INVERSE, Placed, bytes_of, cut, dealt, int64, mix64, powers, prefix_hash, ragged, steps, texts_of
 
 LENGTH = 100
 GRAM = 32
 #: Symbols that one suffix sort takes, unless one anchor has more.
 BLOCK = 1_500_000
-#: Occurrences of an anchor beyond which its strings are dealt out in parts, so that
-#: no task gets them all, and beyond which in single windows, whose 128-bit names
-#: bring equal ones together without any group in memory.
-HOT, HOTTER = 20_000, 1_000_000
+#: Occurrences of an anchor beyond which its strings are dealt out in parts that
+#: fewer of them share, so that no task gets them all.
+HOT = 20_000
 PART = 16
+#: Symbols of the distinct strings of one anchor, or part, that are sorted together.
+#: Beyond that they are taken apart into single windows, whose 128-bit names bring
+#: equal ones together without any group in memory.
+GROUP = 4_000_000
 
 
 # --- anchors -----------------------------------------------------------------
@@ -259,7 +262,7 @@ def _strings(hit: DataFrame, length: int) -> DataFrame:
                     first, last, at, key, many = found.first[a:b][ok], found.last[a:b][ok], found.at[a:b][ok], own[ok], ns[i[ok]]
                     if (many > HOT).any():
                         # parts are blocks of distances from window to anchor, which a window alone decides
-                        step = np.where(many > HOTTER, 1, np.where(many > HOT, PART, 1 << 40))
+                        step = np.where(many > HOT, PART, 1 << 40)
                         pieces = (at - first) // step - (at - last) // step + 1
                         within = np.concatenate([np.arange(x) for x in pieces])
                         first, last, at, key, step = (np.repeat(x, pieces) for x in (first, last, at, key, step))
@@ -336,6 +339,30 @@ def _sorted_groups(strings: DataFrame, length: int) -> DataFrame:
     return rows.mapInArrow(run, _SPANS)
 
 
+def _named_windows(strings: DataFrame, length: int) -> DataFrame:
+    """The same for strings whose anchor has too many: each window has a name of 128
+    bits, and the first of each name is found by a minimum, combined before it is
+    moved. Windows in a row make one span."""
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in steps(batch, "content"):
+                data, offsets = bytes_of(part.column("content"))
+                view, sizes = memoryview(data), np.diff(offsets) - length + 1
+                at = ragged(offsets[:-1], sizes)
+                names = b"".join([xxhash.xxh3_128_digest(view[a : a + length]) for a in at.tolist()])
+                c, e = np.frombuffer(names, "<i8").reshape(-1, 2).T
+                which = np.repeat(np.arange(part.num_rows), sizes)
+                doc_id, tkey, start = (part.column(x).to_numpy()[which] for x in ("doc_id", "tkey", "start"))
+                cols = [c, e, doc_id, tkey, start + at - offsets[:-1][which]]
+                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in cols], ["c", "e", "doc_id", "tkey", "start"])
+
+    windows = cut(strings.mapInArrow(named, "c long, e long, doc_id long, tkey long, start long"), "windows")
+    firsts = cut(windows.groupBy("c", "e").agg(F.min(F.struct("doc_id", "start")).alias("f")), "first_windows")
+    again = windows.join(firsts, ["c", "e"]).where((F.col("doc_id") != F.col("f.doc_id")) | (F.col("start") != F.col("f.start")))
+    return again.select("doc_id", "tkey", "start", (F.col("start") + length).alias("end"))
+
+
 def _found(docs: DataFrame, length: int) -> tuple[DataFrame, Placed, DataFrame]:
     """(light, the texts, the merged spans of documents with repeats)."""
     base = texts_of(docs).withColumn("tkey", F.xxhash64("text"))
@@ -360,9 +387,12 @@ def _found(docs: DataFrame, length: int) -> tuple[DataFrame, Placed, DataFrame]:
     marked = cut(marked.select("key", *keys, "start", "windows", here.alias("here")), "marked")
     later = marked.where("not here").select(*keys, "start", (F.col("start") + F.col("windows") - 1 + length).alias("end"))
     distinct = marked.where("here")
-    several = cut(distinct.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key"), "several")
-    wanted = distinct.join(several, "key", "left_semi").groupBy(*keys).agg(F.collect_list(F.struct("key", "start", "windows")).alias("strings"))  # at most the anchors of one text
-    spans = later.union(_sorted_groups(_contents(texts.df.join(wanted, keys), length), length))
+    several = cut(distinct.groupBy("key").agg(F.count("*").alias("k"), F.sum(F.col("windows") + length - 1).alias("symbols")).where("k > 1").select("key", (F.col("symbols") > GROUP).alias("large")), "several")
+    compared = cut(distinct.join(several, "key").select("key", *keys, "start", "windows", "large"), "compared")
+    of = lambda large: compared.where("large" if large else "not large").groupBy(*keys).agg(F.collect_list(F.struct("key", "start", "windows")).alias("strings"))  # noqa: E731  at most the anchors of one text
+    spans = later.union(_sorted_groups(_contents(texts.df.join(of(False), keys), length), length))
+    if not several.where("large").isEmpty():
+        spans = spans.union(_named_windows(_contents(texts.df.join(of(True), keys), length), length))
     merged = spans.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))  # at most the anchors of one text
     return light, texts, cut(merged, "spans")
 

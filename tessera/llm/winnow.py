@@ -17,12 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import INVERSE, mix64, powers, prefix_hash, texts_of
+from tessera.llm.common import INVERSE, cut, mix64, powers, prefix_hash, texts_of
 
 GRAM = 20
 WINDOW = 21
-#: Bytes of text in one range of documents, about.
-RANGE_BYTES = 64 << 20
+#: Equal rows that are told together.
+CHUNK = 10_000
 LOWEST = -(2**63)
 
 
@@ -84,20 +84,13 @@ def fingerprints(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> Dat
     return texts_of(docs).mapInArrow(run, "doc_id long, n_chars long, hashes array<long>, positions array<long>")
 
 
-def ranges_for(base: DataFrame) -> int:
-    """Ranges of about RANGE_BYTES of text, and one for each shuffle partition at
-    least."""
-    total = base.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    return max(1, int(base.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // RANGE_BYTES))
-
-
 def with_neighbours(docs: DataFrame, ranges: int) -> DataFrame:
     """Numbers the rows' ranges (bucket) in the order of doc_id, then hash (which
-    parts the rows of a doc_id that has very many); the first rows of each range
-    also go to the range before it (those of the first to the last), marked *extra*.
-    What reaches the driver is a number for each range: the quantiles that set the
-    ranges, and where each begins."""
-    docs = docs.select("text", F.coalesce(F.col("doc_id"), F.lit(LOWEST)).alias("d"), F.xxhash64("text").alias("h"), "doc_id")
+    parts the rows of a doc_id that has very many); the first row of each range
+    also goes to the range before it (that of the first to the last), marked *extra*.
+    Rows are distinct. What reaches the driver and the tasks is two numbers for each
+    range, whose number is set, not the data's."""
+    docs = docs.select("text", F.coalesce(F.col("doc_id"), F.lit(LOWEST)).alias("d"), "h", "doc_id", "times")
     marks = np.sort(np.array(docs.stat.approxQuantile("d", [i / ranges for i in range(1, ranges)], 0.5 / ranges) if ranges > 1 else [], np.float64))
     marks = marks.clip(-(2.0**63), 2.0**63 - 1025).astype(np.int64)
 
@@ -111,7 +104,7 @@ def with_neighbours(docs: DataFrame, ranges: int) -> DataFrame:
     placed = docs.withColumn("own", bucket_of("d", "h"))
     begins = placed.groupBy("own").agg(F.min(F.struct("d", "h")).alias("f")).orderBy("own").collect()  # at most a row for each range
     if not begins:
-        return docs.select("doc_id", "h", "text", F.lit(0).alias("bucket"), F.lit(False).alias("extra"))
+        return docs.select("doc_id", "h", "text", "times", F.lit(0).alias("bucket"), F.lit(False).alias("extra"))
     at = np.array([(r["f"]["d"], r["f"]["h"]) for r in begins], [("d", np.int64), ("h", np.int64)])
     before = np.array([begins[i - 1]["own"] for i in range(len(begins))], np.int32)
     own_of = {int(r["own"]): i for i, r in enumerate(begins)}
@@ -125,7 +118,7 @@ def with_neighbours(docs: DataFrame, ranges: int) -> DataFrame:
     spread = placed.withColumn("prior", prior_of("own", "d", "h"))
     one = F.struct(F.col("own").alias("bucket"), F.lit(False).alias("extra"))
     rows = F.when(F.col("prior") < 0, F.array(one)).otherwise(F.array(one, F.struct(F.col("prior").alias("bucket"), F.lit(True).alias("extra"))))
-    return spread.select("doc_id", "h", "text", F.explode(rows).alias("r")).select("doc_id", "h", "text", "r.bucket", "r.extra")
+    return spread.select("doc_id", "h", "text", "times", F.explode(rows).alias("r")).select("doc_id", "h", "text", "times", "r.bucket", "r.extra")
 
 
 def edited_likeness(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, ranges: int | None = None) -> DataFrame:
@@ -134,44 +127,55 @@ def edited_likeness(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, ran
 
     The edited text has the last quarter (n_chars // 4 code points) replaced by
     the first as many of the next document in ascending doc_id; rows of one doc_id
-    go by a hash of their text, equal ones follow one another. The first follows
-    the last, a lone document itself. Null doc_ids come first, null texts are
-    empty; an empty table gives an empty one."""
-    base = texts_of(docs)
-    ranges = ranges or ranges_for(base)
+    go by a hash of their text, equal ones follow one another: all but the last are
+    followed by themselves. The first follows the last, a lone document itself. Null
+    doc_ids come first, null texts are empty; an empty table gives an empty one.
+    Other columns don't matter. Equal rows are one row with a count until they are
+    told, so that no task gets them all."""
+    base = texts_of(docs).withColumn("h", F.xxhash64("text"))
+    ranges = ranges or int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    again = cut(base.groupBy("doc_id", "h").agg(F.count("*").alias("times")).where("times > 1"), "again")
+    if again.isEmpty():
+        base = base.withColumn("times", F.lit(1).cast("long"))
+    else:
+        names = again.select(F.col("doc_id").alias("of"), F.col("h").alias("oh"), "times")
+        same = F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("h") == F.col("oh"))
+        base = base.dropDuplicates(["doc_id", "h"]).join(names, same, "left").select("doc_id", "text", "h", F.coalesce("times", F.lit(1)).cast("long").alias("times"))
     # a bucket is a task: its number is the partition's
-    dealt = with_neighbours(base, ranges).repartitionById(ranges, "bucket").sortWithinPartitions("bucket", "extra", F.col("doc_id").asc_nulls_first(), "h", "text")
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_kept long"
+    dealt = with_neighbours(base, ranges).repartitionById(ranges, "bucket").sortWithinPartitions("bucket", "extra", F.col("doc_id").asc_nulls_first(), "h")
+    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_kept long, times long"
     names = [x.split()[0] for x in schema.split(", ")]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64()]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             for batch in batches:
-                cols = [batch.column(c) for c in ("doc_id", "text", "bucket", "extra")]
+                cols = [batch.column(c) for c in ("doc_id", "text", "times", "bucket", "extra")]
                 for i in range(batch.num_rows):
                     yield tuple(c[i].as_py() for c in cols)
 
         def made():
             prior = None
             done = None  # the bucket whose last row has been followed
-            for doc, text, bucket, extra in rows():
+            for doc, text, times, bucket, extra in rows():
                 if extra and done == bucket:
                     continue
                 chars = code_points(text)
                 kept = fingerprint(chars, gram, window)
                 if prior is not None and prior[3] == bucket:
-                    yield compare(prior, chars, kept)
+                    yield compare(prior, chars, kept, 1)
+                if times > 1 and not extra:
+                    yield compare((doc, chars, kept, bucket), chars, kept, times - 1)
                 prior = None if extra else (doc, chars, kept, bucket)
                 done = bucket if extra else None
 
-        def compare(prior, after, after_kept):
+        def compare(prior, after, after_kept, times):
             doc, chars, kept, _ = prior
             n = len(chars) // 4
             new = np.concatenate([chars[: len(chars) - n], after[:n]])
             new_kept = fingerprint(new, gram, window)
             edited = new.astype("<u4").tobytes().decode("utf-32-le")
-            return doc, len(chars), hashlib.sha256(edited.encode()).hexdigest(), digest(*kept), digest(*new_kept), likeness(kept[0], new_kept[0]), likeness(kept[0], after_kept[0]), len(kept[0])
+            return doc, len(chars), hashlib.sha256(edited.encode()).hexdigest(), digest(*kept), digest(*new_kept), likeness(kept[0], new_kept[0]), likeness(kept[0], after_kept[0]), len(kept[0]), times
 
         held = []
         for row in made():
@@ -182,4 +186,10 @@ def edited_likeness(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, ran
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), kinds)], names)
 
-    return dealt.mapInArrow(run, schema)
+    told = dealt.mapInArrow(run, schema)
+    if again.isEmpty():
+        return told.drop("times")
+    # equal rows are told as often as they are; a chunk is a row until it has moved
+    chunks = told.withColumn("left", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("times") - 1) / CHUNK))))
+    spread = chunks.withColumn("times", F.least(F.lit(CHUNK), F.col("times") - F.col("left") * CHUNK)).drop("left").repartition(ranges)
+    return spread.withColumn("times", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).drop("times")

@@ -98,7 +98,8 @@ def test_held_out_accuracy_of_documents(spark):
 
 
 def test_predictions_do_not_depend_on_neighbours():
-    model = langid.Model(["a", "b"], langid.np.random.default_rng(0).integers(0, 9, (2, langid.BUCKETS * 3)).astype(float))
+    code = langid.codewords(2)
+    model = langid.Model(["a", "b"], code, np.random.default_rng(0).normal(size=(langid.BUCKETS * 3, code.shape[1])).astype(np.float32), np.ones(code.shape[1]))
     texts = ["some words", "", "más", "x"]
     together = model.predict(pa.array(texts))
     for i, t in enumerate(texts):
@@ -206,22 +207,58 @@ def test_rows_of_one_document_with_other_texts_are_one(spark):
 def test_languages_by_loss_to_every_codeword():
     """The choice, ties by order, against a plain loop over languages and bits."""
     rng = np.random.default_rng(3)
-    model = langid.Model(["a", "b", "c", "d"], rng.integers(0, 9, (4, langid.BUCKETS * 3)).astype(float))
+    code = langid.codewords(9)
+    model = langid.Model(list("abcdefghi"), code, rng.normal(size=(langid.BUCKETS * 3, code.shape[1])).astype(np.float32), rng.random(code.shape[1]))
     texts = ["some words here", "más über", "x", "ein zwei drei vier " * 20]
     names, score, _ = model.predict(pa.array(texts))
     for t, got, s in zip(texts, names, score):
         g, ends = langid.grams(pa.array([t]))
-        margin = model.weights[g].sum(0) * 4 / np.sqrt(len(g) / len(langid.ORDERS)) / len(langid.ORDERS) if ends[-1] == len(g) else None
         margin = model.weights[g[: ends[-1]]].sum(0) * 4 / np.sqrt(max(int(ends[-1]), 1) / len(langid.ORDERS)) / len(langid.ORDERS)
         loss = [sum(w * np.log1p(np.exp(-m * c)) for w, m, c in zip(model.loss_weight, margin, row)) for row in model.code]
         assert got == model.languages[int(np.argmin(loss))]
         assert s == pytest.approx(1 / np.exp(-(np.array(loss) - min(loss))).sum())
 
 
-def test_rare_labels_beyond_the_bound_are_not_learned(spark, monkeypatch):
-    monkeypatch.setattr(langid, "LABELS", 2)
-    rows = [(i, f"text {c} {c}{c} of {c}", c) for i, c in enumerate("aaabbbcc")]
-    assert langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string")).languages == ["a", "b"]
+def test_learned_weights_equal_brute_force(spark):
+    rows = [(i, t, k) for i, (t, k) in enumerate([("the cat and the dog", "en"), ("le chat et le chien", "fr"), ("der hund und die katze", "de"), ("the end", "en"), (None, "en"), ("nobody", None), ("", "de"), ("x", "lone")])]
+    model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == ["de", "en", "fr", "lone"]
+    width = langid.BUCKETS * 3
+    counts = np.zeros((4, width))
+    for _, t, k in rows:
+        if t is not None and k:
+            g, ends = langid.grams(pa.array([t]))
+            np.add.at(counts[model.languages.index(k)], g[: ends[-1]], 1)
+    share = counts + 0.5
+    for k in range(3):
+        own = slice(k * langid.BUCKETS, (k + 1) * langid.BUCKETS)
+        share[:, own] /= share[:, own].sum(1, keepdims=True)
+    for b in range(model.code.shape[1]):
+        w = np.log(share[model.code[:, b] > 0].mean(0)) - np.log(share[model.code[:, b] < 0].mean(0))
+        assert np.allclose(model.weights[:, b], w, atol=1e-5)
+        assert np.isclose(model.loss_weight[b] / model.loss_weight[0], max((share @ w / 3 * model.code[:, b]).min(), 1e-3) / max((share @ model.weights[:, 0] / 3 * model.code[:, 0]).min(), 1e-3), rtol=1e-3)
+
+
+def test_three_hundred_labels_are_learned(spark):
+    rng = np.random.default_rng(5)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyzäöüßéèñçåø"))
+    rows = []
+    for k in range(300):
+        own = ["".join(rng.choice(letters, rng.integers(3, 7))) for _ in range(25)]
+        rows += [(1000 * k + j, " ".join(rng.choice(own, 40)), f"l{k:03d}") for j in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.learn(docs.where("doc_id % 1000 < 3"))
+    assert len(model.languages) == 300 and len({x.tobytes() for x in model.code}) == 300 and model.distance > 0
+    got = langid.identify(docs.where("doc_id % 1000 = 3"), model).collect()
+    assert len(got) == 300 and sum(r["lang"] == r["lang_pred"] for r in got) > 285
+
+
+def test_clashing_names_of_columns(spark):
+    docs = spark.createDataFrame([(1, "me@home.org said hi", "a", 5, 6)], "doc_id long, text string, source string, __t int, __kept int")
+    assert pii.mask(pii.detect(docs)).first().asDict() == {"doc_id": 1, "text": "[EMAIL] said hi", "source": "a", "__t": 5, "__kept": 6}
+    told = quality.judge(docs.withColumnRenamed("__t", "__text")).first()
+    assert told["__text"] == 5 and told["n_words"] == 3
+    assert langid.identify(docs.withColumnRenamed("__t", "__text"), langid.learn(docs.withColumn("lang", F.lit("en")))).first()["__text"] == 5
 
 
 def test_tiers_are_planned_in_parts_and_waves(spark, tmp_path, monkeypatch):
@@ -234,3 +271,20 @@ def test_tiers_are_planned_in_parts_and_waves(spark, tmp_path, monkeypatch):
     assert table.manifest().count() < n and table.plan().count() == 0
     table.vacuum()
     assert table.read().exceptAll(docs).count() == 0 and table.read().count() == docs.count()
+
+
+def test_manifests_are_changes_and_folded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sharding, "FOLD", 3)
+    table = sharding.Shards(spark, str(tmp_path / "t"), target=60_000, fanout=2, wave=1)
+    seen = []
+    for i in range(5):
+        table.append(spark.range(10 * i, 10 * i + 10).coalesce(1), 5)
+        seen.append(sorted(r["path"] for r in table.manifest().collect()))
+    assert [len(x) for x in seen] == [2, 4, 6, 8, 10] and (tmp_path / "t/manifest/s00000003").exists()
+    assert [sorted(r["path"] for r in table.manifest(v).collect()) for v in range(1, 6)] == seen
+    table.compact()
+    assert table.manifest().count() < 10 and sorted(r["id"] for r in table.read().collect()) == list(range(50))
+    assert sorted(r["id"] for r in table.read(5).collect()) == list(range(50)) and table.read(2).count() == 20
+    table.vacuum()
+    assert sorted(r["id"] for r in table.read().collect()) == list(range(50))
+    assert len(list((tmp_path / "t/manifest").iterdir())) == 2

@@ -82,6 +82,43 @@ def test_files_hold_documents_in_order(spark, tmp_path):
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
 
 
+def test_ids_beside_a_null_keep_their_digits(spark, tmp_path):
+    rows = [(None, "a"), (2**60 + 1, "b"), (2**60, "c"), (None, "a b"), (-5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = dac.token_output(docs, str(tmp_path)).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == [None, None, -5, 2**60, 2**60 + 1] and [r["n_tokens"] for r in got] == [2, 3, 1, 2, 2]
+    assert [r["start"] for r in got] == [0, 2, 5, 6, 8]
+
+
+def test_columns_that_packing_makes_itself(spark):
+    rows = [(1, 0, 5, 7, 8), (2, 0, 5, 9, 10)]
+    out = packing.pack(spark.createDataFrame(rows, "doc_id long, piece int, length long, __rank int, __bucket int"), 10)
+    assert sorted(tuple(r) for r in out.select("doc_id", "__rank", "__bucket").collect()) == [(1, 7, 8), (2, 9, 10)]
+
+
+def test_pieces_outside_the_vocabulary(tmp_path):
+    """A model without byte fallback: the byte pieces are unused there."""
+    with open(segments.tokenizer_file("piece_bpe_32k.model"), "rb") as f:
+        data = f.read()
+    out = bytearray()
+    for field, kind, value, start, end in pieces._fields(data):
+        if field == 1 and any(f == 1 and v[:3] == b"<0x" for f, _, v, _, _ in pieces._fields(value)):
+            own = b"".join(value[a:b] for f, _, _, a, b in pieces._fields(value) if f != 3) + b"\x18\x05"
+            out += b"\x0a" + pieces._varint(len(own)) + own
+        elif field == 2:
+            own = b"".join(value[a:b] for f, _, _, a, b in pieces._fields(value) if f != 35) + b"\x98\x02\x00"
+            out += b"\x12" + pieces._varint(len(own)) + own
+        else:
+            out += data[start:end]
+    (tmp_path / "m.model").write_bytes(bytes(out))
+    model = pieces.Pieces(str(tmp_path), "m.model")
+    for text in ("a 𒀀𒀁 b", "𒀀", "plain"):
+        ids, _ = model.encode(pa.array([text]))
+        assert ids.tolist() == model.library.encode(text)
+        spans = model.spans(text, ids)
+        assert len(spans) == len(ids) and (spans[:, 0] <= spans[:, 1]).all() and spans[-1][1] == len(text.encode())
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 30), max_size=20))
 def test_plan_uses_every_piece_once(counts):
