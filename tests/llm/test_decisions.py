@@ -130,7 +130,7 @@ def test_shards(spark, tmp_path):
     table.vacuum()
     assert table.read().count() == 2 * docs.count() and table.version() == version
     with pytest.raises(RuntimeError):
-        table._commit(table.manifest(), version)
+        table._commit(table.manifest(), [], version)
 
 
 def test_shards_of_nothing(spark, tmp_path):
