@@ -10,13 +10,17 @@ INTERACT = r"(?is)<interact>(.*?)</interact>"
 INNER = r"(?is)```(?:python)?\n?(.*?)```"
 
 
+#: White space as Python's own text functions see it: Unicode's and the separators 1c to 1f.
+SPACE, VISIBLE = r"[\s\x1c-\x1f]", r"[^\s\x1c-\x1f]"
+
+
 def _col(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
 def strip(x) -> Column:
     """Without Unicode white space at either end."""
-    return F.regexp_replace(_col(x), r"(?U)^\s++|(?<!\s)\s++$", "")  # each run of white space is read once
+    return F.regexp_replace(_col(x), rf"(?U)^{SPACE}++|(?<!{SPACE}){SPACE}++$", "")  # each run of white space is read once
 
 
 def _last(x: Column, pattern: str) -> Column:
@@ -171,11 +175,11 @@ def has_no_comma(x) -> Column:
 
 
 def word_count(x) -> Column:
-    return F.size(F.filter(F.split(_col(x), r"(?U)\s+"), lambda w: w != ""))
+    return F.size(F.filter(F.split(_col(x), rf"(?U){SPACE}+"), lambda w: w != ""))
 
 
 def sentence_count(x) -> Column:
-    return F.size(F.filter(F.split(_col(x), "[.!?]+"), lambda s: s.rlike(r"(?U)\S")))
+    return F.size(F.filter(F.split(_col(x), "[.!?]+"), lambda s: s.rlike(rf"(?U){VISIBLE}")))
 
 
 def compared(n: Column, relation: Column, bound: Column) -> Column:
@@ -236,6 +240,6 @@ def match_tier(expected, actual) -> Column:
     are left to the scorer."""
     a, b = _col(expected), _col(actual)
     one = F.array(F.struct(a.alias("a"), b.alias("b"), _lines(a).alias("x"), _lines(b).alias("y")))  # each side once
-    tokens = lambda lines: F.transform(lines, lambda line: F.split(line, r"(?U)\s+"))
+    tokens = lambda lines: F.transform(lines, lambda line: F.split(line, rf"(?U){SPACE}+"))
     tier = lambda r: F.when(strip(r["a"]) == strip(r["b"]), "trimmed").when(r["x"] == r["y"], "lines").when(tokens(r["x"]) == tokens(r["y"]), "tokens")
-    return F.get(F.transform(one, tier), F.lit(0))
+    return F.when(strip(a) == strip(b), "trimmed").otherwise(F.get(F.transform(one, tier), F.lit(0)))  # lines only if they are needed

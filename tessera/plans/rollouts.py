@@ -268,23 +268,25 @@ def interaction_rollup(spark, d):
     return scores.interaction_rollup(runs.select("problem_id", "trajectory_id", (F.col("k") != 1).alias("ok"), (F.col("final_reward") + F.col("k")).alias("duration_ms")))
 
 
-@query(f"{T} SELECT problem_id, trajectory_id, CAST(k AS INTEGER) AS pos, 'print(' || k || ')' AS code FROM t, (SELECT unnest([0, 2]) AS k) WHERE problem_id < 50")
+@query(f"{T} SELECT problem_id, trajectory_id, CAST(k AS INTEGER) AS pos, 'print(' || k || ')' AS code FROM t, (SELECT unnest([0, 2]) AS k)")
 def interaction_codes(spark, d):
-    """Of three interactions the middle one is blank; problems below 50 alone, as
-    the operator takes the first ones."""
+    """Of three interactions the middle one is blank."""
     made = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: F.struct(F.when(k == 1, " \n\t").otherwise(F.concat(F.lit("print("), k.cast("string"), F.lit(")"))).alias("code")))
-    t = datasets.first_problems(trajectories(spark, d), 50).withColumn("interactions", made)
-    return datasets.interaction_codes(t)
+    return datasets.interaction_codes(trajectories(spark, d).withColumn("interactions", made))
 
 
-@query(f"{T} SELECT problem_id, list_aggregate(list(event_id ORDER BY trajectory_id)[1:4], 'string_agg', ',') AS answers FROM (SELECT * FROM t WHERE trajectory_id < 4) GROUP BY problem_id HAVING count(*) = 4")
+@query(f"{T} SELECT problem_id, trajectory_id, final_reward FROM t WHERE problem_id < 50")
+def first_problems(spark, d):
+    """All samples of the first fifty problems: the operator is that limit."""
+    return datasets.first_problems(trajectories(spark, d), 50).select("problem_id", "trajectory_id", "final_reward")
+
+
+@query(f"{T}, n AS (SELECT event_id, row_number() OVER (ORDER BY problem_id, trajectory_id) - 1 AS i FROM t) SELECT i // 4 AS prompt_index, string_agg(event_id, ',' ORDER BY i) AS answers FROM n GROUP BY i // 4")
 def choices_by_prompt(spark, d):
-    """Answers numbered through, four for each prompt, by prompt in order."""
-    t = trajectories(spark, d).where("trajectory_id < 4")
-    full = t.groupBy("problem_id").agg(F.count("*").alias("n")).where("n = 4").select("problem_id")
-    rows = t.join(full, "problem_id", "left_semi").select((F.col("problem_id") * 4 + F.col("trajectory_id")).alias("index"), "event_id")
+    """All samples as answers numbered through, four for each prompt in order."""
+    rows = datasets.numbered(trajectories(spark, d), ["problem_id", "trajectory_id"], "index").select("index", "event_id")
     out = datasets.choices_by_prompt(rows, 4)
-    return out.select(F.col("prompt_index").alias("problem_id"), F.array_join(F.transform("sequences", lambda x: x["event_id"].cast("string")), ",").alias("answers"))
+    return out.select("prompt_index", F.array_join(F.transform("sequences", lambda x: x["event_id"].cast("string")), ",").alias("answers"))
 
 
 @query("SELECT event_id, CAST(event_id % 3 AS INTEGER) AS client, value * 2 AS answer FROM events")

@@ -135,3 +135,13 @@ def test_templates(spark):
     ).first()
     assert row["a"] == "<<system>>S|<<user>>|?" and row["b"] == "<<system>>S|<<user>>|" and row["f"] == "seen"
     assert [row[k][-1]["content"] for k in "cde"] == ["seen\n\nEND", "END", "seen"]
+
+
+def test_white_space_is_pythons(spark):
+    from tessera.functions import text
+
+    texts = ["a \x1c", "\x1d\u2003a\x1f", "a\x1fb", "  ", "a\x85"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = df.select("i", text.strip("t"), text.word_count("t"), text.match_tier("t", F.lit("a b"))).orderBy("i").collect()
+    assert [r[1] for r in got] == [t.strip() for t in texts] and [r[2] for r in got] == [len(t.split()) for t in texts]
+    assert got[2][3] == "tokens"
