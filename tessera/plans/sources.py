@@ -9,6 +9,7 @@ import zlib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tessera.functions import nested, packed, text
 from tessera.operators import loops, problems
@@ -23,7 +24,7 @@ from tessera.sources.tables import table
 from tessera.storage import shared_path
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _packed(texts: pd.Series, hostile: pd.Series) -> pd.Series:
     return pd.Series([base64.b64encode(zlib.compress(pickle.dumps([t] if h else t))).decode() for t, h in zip(texts, hostile)], index=texts.index)
 
