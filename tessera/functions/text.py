@@ -12,6 +12,7 @@ INNER = r"(?is)```(?:python)?\n?(.*?)```"
 
 #: White space as Python's own text functions see it: Unicode's and the separators 1c to 1f.
 SPACE, VISIBLE = r"[\s\x1c-\x1f]", r"[^\s\x1c-\x1f]"
+_BLANK_CHARS = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
 
 
 def _col(x) -> Column:
@@ -20,7 +21,7 @@ def _col(x) -> Column:
 
 def strip(x) -> Column:
     """Without Unicode white space at either end."""
-    return F.regexp_replace(_col(x), rf"(?U)^{SPACE}++|(?<!{SPACE}){SPACE}++$", "")  # each run of white space is read once
+    return F.btrim(_col(x), F.lit(_BLANK_CHARS))
 
 
 def _last(x: Column, pattern: str) -> Column:
@@ -197,19 +198,24 @@ def keyword_count(x, keyword) -> Column:
     return F.when(word == "", F.length(_col(x)) + 1).otherwise(F.regexp_count(F.lower(_col(x)), quoted))
 
 
-def instruction_score(x, name: Column, settings: Column) -> Column:
+WORDS, SENTENCES = "length_constraints:number_words", "length_constraints:number_sentences"
+
+
+def instruction_score(x, name: Column, settings: Column, counted: tuple[Column, Column] | None = None) -> Column:
     """1 or 0; 0.5 for an instruction that isn't known or can't be judged. *settings*
     is a map of texts: what is absent takes its default ('at least', 100 words, 3
     sentences, the empty keyword, once); a null relation is none, another null
-    setting, or null settings, can't be judged."""
+    setting, or null settings, can't be judged. *counted* has the text's words and
+    sentences, if they are known."""
     x = _col(x)
+    words, sentences = counted or (word_count(x), sentence_count(x))
     of = lambda key, default: F.when(F.map_contains_key(settings, F.lit(key)), F.try_element_at(settings, F.lit(key))).otherwise(F.lit(default))
     relation = of("relation", "at least")
     number = lambda key, default: of(key, default).try_cast("double")
     seen = keyword_count(x, of("keyword", "")) >= number("frequency", "1")
     score = (
-        F.when(name == "length_constraints:number_words", compared(word_count(x), relation, number("num_words", "100")))
-        .when(name == "length_constraints:number_sentences", compared(sentence_count(x), relation, number("num_sentences", "3")))
+        F.when(name == WORDS, compared(words, relation, number("num_words", "100")))
+        .when(name == SENTENCES, compared(sentences, relation, number("num_sentences", "3")))
         .when(name == "keywords:frequency", F.when(seen, 1.0).when(seen.isNotNull(), 0.0))
     )
     return F.when(name == "punctuation:no_comma", F.when(has_no_comma(x), 1.0).otherwise(0.0)).otherwise(F.coalesce(F.when(settings.isNotNull(), score), F.lit(0.5)))
@@ -219,7 +225,10 @@ def instruction_reward(x, names: Column, settings: Column) -> Column:
     """Mean score of arrays of names and settings: pairs up to the shorter array,
     over the number of names; 1 without names."""
     pairs = F.slice(F.arrays_zip(names.alias("n"), settings.alias("s")), F.lit(1), F.least(F.size(names), F.size(settings)))
-    total = F.aggregate(pairs, F.lit(0.0), lambda acc, p: acc + instruction_score(x, p["n"], p["s"]))
+    asked = lambda name, count: F.when(F.array_contains(names, name), count(x))
+    counts = F.array(F.struct(asked(WORDS, word_count).alias("words"), asked(SENTENCES, sentence_count).alias("sentences")))  # each once a text
+    score = lambda p, c: instruction_score(x, p["n"], p["s"], (c["words"], c["sentences"]))
+    total = F.get(F.transform(counts, lambda c: F.aggregate(pairs, F.lit(0.0), lambda acc, p: acc + score(p, c))), F.lit(0))
     return F.when(F.coalesce(F.size(names), F.lit(0)) <= 0, 1.0).otherwise(total / F.size(names))
 
 
