@@ -2,7 +2,9 @@
 
 Each task of Spark has one child interpreter (``candidate``), which forks for every
 program; the Python worker itself runs none of it, and no source is ever spliced.
-Rows travel with their keys, and a task's failure is retried by Spark."""
+Rows travel with their keys, and a task's failure is retried by Spark.  Rows of the
+same program, with the same tests, are brought together and share one run, unless
+each is to have its own."""
 
 from __future__ import annotations
 
@@ -101,38 +103,63 @@ def dealt(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *keys)
 
 
-def scored(df: DataFrame, keys: list[str], seconds: float | None = 1.0, max_tests: int = 15, late_tests: int = 0) -> DataFrame:
+def together(df: DataFrame, program: list[str]) -> DataFrame:
+    """The same, but by program: rows of equal ones follow each other in a task."""
+    name = F.xxhash64(*program)
+    return dealt(df, [name]).sortWithinPartitions(name)
+
+
+class Last:
+    """What was made of the last arguments, made anew when others come."""
+
+    def __init__(self, share: bool = True):
+        self.share, self.of, self.made = share, None, None
+
+    def get(self, of: tuple, make):
+        if not self.share or self.of != of:
+            self.made, self.of = make(), of
+        return self.made
+
+
+def scored(df: DataFrame, keys: list[str], seconds: float | None = 1.0, max_tests: int = 15, late_tests: int = 0, share: bool = True) -> DataFrame:
     """(keys, final_reward, n_passed, n_tests, n_timeouts, late_tests) of rows with
     verdict, code, fn_name and tests. Only rows to execute reach Python; the others
-    have reward 0 at once. Rows are dealt out evenly, as their cost is in the run.
-    late_tests are the indices of the first late tests, as many as are asked for."""
+    have reward 0 at once. Programs are dealt out evenly, as their cost is in the run;
+    equal ones with equal tests share a run, unless *share* is false (for programs
+    whose runs differ). late_tests are the indices of the first late tests, as many as are asked for."""
     made = "final_reward double, n_passed long, n_tests long, n_timeouts long, late_tests array<int>"
     schema = StructType([*df.select(*keys).schema.fields, *StructType.fromDDL(made).fields])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last = Last(share)
         with Child() as child:
             for f in frames:
                 rows = []
                 for r in f.to_dict("records"):
                     inputs, outputs = ([] if r[c] is None else list(r[c]) for c in ("inputs", "outputs"))
-                    passed, total, late = run_cases(child, r["code"], inputs, outputs, r["fn_name"] or None, seconds, max_tests)
+                    program = r["code"], inputs, outputs, r["fn_name"] or None
+                    passed, total, late = last.get(program, lambda program=program: run_cases(child, *program, seconds, max_tests))
                     rows.append([*(r[k] for k in keys), passed / total if total else 0.0, passed, total, len(late), late[:late_tests]])
                 yield pd.DataFrame(rows, columns=schema.fieldNames())
 
     todo = df.where(F.col("verdict") == "execute").select(*keys, "code", "fn_name", F.col("tests.inputs").alias("inputs"), F.col("tests.outputs").alias("outputs"))
     zero = F.lit(0).cast("long")
     rest = df.where(F.col("verdict") != "execute").select(*keys, F.lit(0.0).alias("final_reward"), zero.alias("n_passed"), zero.alias("n_tests"), zero.alias("n_timeouts"), F.array().cast("array<int>").alias("late_tests"))
-    return dealt(todo, keys).mapInPandas(run, schema).unionByName(rest)
+    spread = together(todo, ["code", "fn_name", "inputs", "outputs"]) if share else dealt(todo, keys)
+    return spread.mapInPandas(run, schema).unionByName(rest)
 
 
-def interacted(df: DataFrame, keys: list[str], code: str = "interact_code", seconds: float | None = 5.0) -> DataFrame:
-    """(keys, ok, stdout, stderr) of each row's snippet."""
+def interacted(df: DataFrame, keys: list[str], code: str = "interact_code", seconds: float | None = 5.0, share: bool = True) -> DataFrame:
+    """(keys, ok, stdout, stderr) of each row's snippet; equal ones share a run,
+    unless *share* is false."""
     schema = df.select(*keys).schema.add("ok", "boolean").add("stdout", "string").add("stderr", "string")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last = Last(share)
         with Child() as child:
             for f in frames:
-                rows = [[*(r[k] for k in keys), *run_snippet(child, r[code], seconds)] for r in f.to_dict("records")]
+                rows = [[*(r[k] for k in keys), *last.get((r[code],), lambda r=r: run_snippet(child, r[code], seconds))] for r in f.to_dict("records")]
                 yield pd.DataFrame(rows, columns=schema.fieldNames())
 
-    return dealt(df.select(*keys, code), keys).mapInPandas(run, schema)
+    snippets = df.select(*keys, code)
+    return (together(snippets, [code]) if share else dealt(snippets, keys)).mapInPandas(run, schema)

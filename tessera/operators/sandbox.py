@@ -4,7 +4,8 @@ Every test of a program runs in a process of its own, so many at a time in a tas
 A verdict is true, false (wrong, failed or late) or null: nothing can be said, as
 the sandbox, which is the child interpreter, went away under the test.  A program
 none of whose tests has a verdict is tried again in a new sandbox; other errors are
-final.  The function gives a row a test; means take the verdicts that there are."""
+final.  The function gives a row a test; means take the verdicts that there are.
+Equal programs with equal tests that follow each other share their runs."""
 
 from __future__ import annotations
 
@@ -13,7 +14,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators.harness import Child, dealt
+from tessera.operators.harness import Child, Last, dealt, together
 
 #: Processes of a task at a time, and sandboxes that a program is tried in.
 PARALLEL, ATTEMPTS = 32, 3
@@ -39,16 +40,21 @@ class TestRuns:
     """The table function: a program's code, tests and limits to a row a test."""
 
     __test__ = False  # no test of the library's own
+    share = True  # equal rows that follow each other are run once
 
     def __init__(self):
-        self.child = Child()
+        self.child, self.last = Child(), Last(self.share)
 
     def eval(self, code: str, inputs: list, outputs: list, fn_name: str, seconds: float, max_tests: int, parallel: int, attempts: int, memory: int) -> Iterator[tuple]:
         given, wanted = ([x or "" for x in (v or [])[:max_tests]] for v in (inputs, outputs))
         n = min(len(given), len(wanted))
         if not n or code is None:
             return
-        task = {"kind": "cases", "code": code, "inputs": given[:n], "outputs": wanted[:n], "fn_name": fn_name or None, "seconds": seconds, "parallel": parallel, "memory": memory}
+        yield from self.last.get((code, given[:n], wanted[:n], fn_name or None, seconds, parallel, attempts, memory), lambda: self.runs(code, given[:n], wanted[:n], fn_name or None, seconds, parallel, attempts, memory))
+
+    def runs(self, code: str, given: list, wanted: list, fn_name: str | None, seconds: float, parallel: int, attempts: int, memory: int) -> list[tuple]:
+        """A row for each test."""
+        task = {"kind": "cases", "code": code, "inputs": given, "outputs": wanted, "fn_name": fn_name, "seconds": seconds, "parallel": parallel, "memory": memory}
         for attempt in range(1, attempts + 1):
             found, error = {}, "sandbox"
             for said in self.child.lines(task):
@@ -61,32 +67,39 @@ class TestRuns:
             if error != "sandbox" or any(x["verdict"] is not None for x in found.values()):
                 break
             self.terminate()  # the next attempt has a new one
-        for i in range(n):
-            x = found.get(i, {"verdict": None, "late": False, "ms": None, "error": error})
-            yield i, x["verdict"], x["late"], x["ms"], x["error"], attempt
+        rows = [found.get(i, {"verdict": None, "late": False, "ms": None, "error": error}) for i in range(len(given))]
+        return [(i, x["verdict"], x["late"], x["ms"], x["error"], attempt) for i, x in enumerate(rows)]
 
     def terminate(self):
         self.child.__exit__()
 
 
+class EachRun(TestRuns):
+    """The same, but every row has its own runs."""
+
+    share = False
+
+
 def register(spark: SparkSession, name: str = "test_runs") -> None:
     """Makes the function known to SQL: ``FROM programs, LATERAL test_runs(code,
     inputs, outputs, fn_name, seconds, max_tests, parallel, attempts, memory)``."""
     spark.udtf.register(name, F.udtf(TestRuns, returnType=RUN))
 
 
-def test_runs(df: DataFrame, keys: list[str], seconds: float = SECONDS, max_tests: int = 15, parallel: int = PARALLEL, attempts: int = ATTEMPTS, memory: int | None = None) -> DataFrame:
+def test_runs(df: DataFrame, keys: list[str], seconds: float = SECONDS, max_tests: int = 15, parallel: int = PARALLEL, attempts: int = ATTEMPTS, memory: int | None = None, share: bool = True) -> DataFrame:
     """(keys, test, verdict, late, milliseconds, error, attempts) of rows with code
     and tests (inputs, outputs, fn_name), by a lateral join with the table function.
 
     The first *max_tests* tests are taken. Rows without code or tests have no row.
     error says why a verdict is null: ``sandbox`` (it went away, in *attempts* of
     them), ``fork: ...`` (no process could be made) or ``inputs`` (a function's
-    arguments that aren't literals; never tried again). A program is dealt out by
-    its key, as its cost is in its run, whatever its size."""
+    arguments that aren't literals; never tried again). Programs are dealt out
+    evenly, as their cost is in the run, whatever their size; equal ones with equal
+    tests share their runs, milliseconds included, unless *share* is false."""
     memory = memory or memory_share(df.sparkSession)
-    runs = F.udtf(TestRuns, returnType=RUN)
-    rows = dealt(df.select(*keys, "code", F.col("tests.inputs").alias("inputs"), F.col("tests.outputs").alias("outputs"), F.col("tests.fn_name").alias("fn_name")), keys)
+    runs = F.udtf(TestRuns if share else EachRun, returnType=RUN)
+    rows = df.select(*keys, "code", F.col("tests.inputs").alias("inputs"), F.col("tests.outputs").alias("outputs"), F.col("tests.fn_name").alias("fn_name"))
+    rows = together(rows, ["code", "inputs", "outputs", "fn_name"]) if share else dealt(rows, keys)
     args = [F.col(c).outer() for c in ("code", "inputs", "outputs", "fn_name")]
     limits = [F.lit(float(seconds)), F.lit(max_tests), F.lit(parallel), F.lit(attempts), F.lit(memory).cast("long")]
     made = [x.split()[0] for x in RUN.split(", ")]

@@ -5,7 +5,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import sandbox
+from tessera.operators import harness, sandbox
 from tessera.schemas import TESTS
 
 LIMITS = (1.0, 15, 4, 3, 8 << 30)
@@ -101,3 +101,42 @@ def test_sql_form(spark):
 
 def test_memory_is_a_share_of_the_executor(spark):
     assert sandbox.LEAST_MEMORY <= sandbox.memory_share(spark) <= sandbox.MOST_MEMORY
+
+
+@pytest.fixture
+def counted(tmp_path):
+    """(a program that notes each of its runs, what gives their number)."""
+    notes = tmp_path / "notes"
+    notes.touch()
+    return f"open({str(notes)!r}, 'a').write('x')\nprint(1)", lambda: len(notes.read_text())
+
+
+@pytest.mark.parametrize("share, runs", [(True, 1), (False, 6)])
+def test_equal_programs_share_a_run(spark, counted, share, runs):
+    code, noted = counted
+    df = spark.range(6, numPartitions=3).select("id", F.lit(code).alias("code"), F.lit(code).alias("interact_code"), F.lit("execute").alias("verdict"), F.lit(None).cast("string").alias("fn_name"))
+    df = df.withColumn("tests", F.struct(F.array(F.lit("")).alias("inputs"), F.array(F.lit("1")).alias("outputs"), "fn_name").cast(TESTS))
+    assert {(r["id"], r["final_reward"]) for r in harness.scored(df, ["id"], share=share).collect()} == {(i, 1.0) for i in range(6)}
+    assert noted() == runs
+    assert {(r["id"], r["stdout"]) for r in harness.interacted(df, ["id"], share=share).collect()} == {(i, "1\n") for i in range(6)}
+    assert noted() == 2 * runs
+    assert {(r["id"], r["verdict"]) for r in sandbox.test_runs(df, ["id"], 5.0, share=share).collect()} == {(i, True) for i in range(6)}
+    assert noted() == 3 * runs
+
+
+def test_other_tests_have_runs_of_their_own(spark, counted):
+    code, noted = counted
+    df = spark.range(4).select("id", F.lit(code).alias("code"), F.lit("execute").alias("verdict"), F.lit(None).cast("string").alias("fn_name"))
+    df = df.withColumn("tests", F.struct(F.array(F.lit("")).alias("inputs"), F.array((F.col("id") % 2).cast("string")).alias("outputs"), "fn_name").cast(TESTS))
+    assert {(r["id"], r["n_passed"]) for r in harness.scored(df, ["id"]).collect()} == {(i, i % 2) for i in range(4)}
+    assert {(r["id"], r["verdict"]) for r in sandbox.test_runs(df, ["id"], 5.0).collect()} == {(i, i % 2 == 1) for i in range(4)}
+    assert noted() == 4
+
+
+def test_array_libraries_are_loaded_for_programs_that_name_them():
+    with harness.Child() as child:
+        shown = lambda code: harness.run_snippet(child, code, 20.0)[:2]
+        assert shown("import sys\nprint('num' + 'py' in sys.modules)") == (True, "False\n")
+        assert shown("print(globals()['n' + 'p'].arange(3).sum())") == (True, "3\n")
+        assert shown("print(np.arange(3).sum(), pd.Series([1, 2]).sum())") == (True, "3 3\n")
+        assert shown("from numpy import arange\nprint(len(arange(4)))") == (True, "4\n")
