@@ -1,13 +1,16 @@
 """Rollouts as keyed state: answers come as a stream, each moves its rollout on.
 
 The state of a rollout (problem, sample) is its turn, whether it has interacted and
-its late runs; answers that come before their turn wait.  A timer of event time ends
+its late runs; answers that come before their turn wait there, those of a batch that are
+in turn move it on at once.  A timer of event time ends
 a rollout whose next answer doesn't come.  The rules are the batch environment's, and
 so are the programs' limits; a rollout that is over leaves a mark, so that a repeated
 answer doesn't begin it anew."""
 
 from __future__ import annotations
 
+import hashlib
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -25,8 +28,11 @@ ENDED = "problem_id long, trajectory_id int, n_turns int, final_reward double, t
 _NAMES = [x.split()[0] for x in ENDED.split(", ")]
 # types of a worker's state are spelled out: it has no session that could read them
 _TURN = StructType([StructField("turn", IntegerType())])
-_STATE = StructType([StructField("current_turn", IntegerType()), StructField("has_interacted", BooleanType()), StructField("eval_timeouts", LongType()), StructField("interaction_timeouts", LongType()), StructField("over", BooleanType()), StructField("timer", LongType())])
+_STATE = StructType([StructField("current_turn", IntegerType()), StructField("has_interacted", BooleanType()), StructField("eval_timeouts", LongType()), StructField("interaction_timeouts", LongType()), StructField("over", BooleanType()), StructField("timer", LongType()), StructField("n_waiting", IntegerType())])
 _WAITING = StructType([*[StructField(c, StringType()) for c in ("interact_code", "code", "verdict", "fn_name")], *[StructField(c, ArrayType(StringType())) for c in ("inputs", "outputs")]])
+_BEGUN = (0, False, 0, 0, False, 0, 0)
+#: Results of programs that a task keeps, the last used of them.
+KEPT = 1000
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -41,27 +47,27 @@ class Rollout(StatefulProcessor):
         self.handle = handle
         self.state = handle.getValueState("state", _STATE)
         self.waiting = handle.getMapState("waiting", _TURN, _WAITING)
-        self.child = Child()
+        self.child, self.results = Child(), OrderedDict()
 
     def close(self) -> None:
         self.child.__exit__()
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        state = list(self.state.get()) if self.state.exists() else [0, False, 0, 0, False, 0]
-        newest = 0
+        state = list(self.state.get() or _BEGUN)
+        newest, come = 0, {}
         for frame in rows:
             for r in frame.sort_values("turn").to_dict("records"):
                 newest = max(newest, int(r["ts"].timestamp() * 1000))
-                if r["turn"] > state[0] and not state[4] and not self.waiting.containsKey((int(r["turn"]),)):
+                if state[0] < r["turn"] <= self.max_turns and not state[4] and int(r["turn"]) not in come:
                     lists = [None if r[c] is None else [None if x is None else str(x) for x in r[c]] for c in ("inputs", "outputs")]
-                    self.waiting.updateValue((int(r["turn"]),), (*(r[c] for c in ("interact_code", "code", "verdict", "fn_name")), *lists))
+                    come[int(r["turn"])] = (*(r[c] for c in ("interact_code", "code", "verdict", "fn_name")), *lists)
         if state[4]:
             return
+        early = {k[0]: v for k, v in self.waiting.iterator()} if state[6] else {}
+        come.update(early)  # the first of a turn counts
         ended = None
-        while ended is None and self.waiting.containsKey((state[0] + 1,)):
-            turn = (state[0] + 1,)
-            ended = self._step(state, *self.waiting.getValue(turn))
-            self.waiting.removeKey(turn)
+        while ended is None and (answer := come.pop(state[0] + 1, None)) is not None:
+            ended = self._step(state, *answer)
         if state[5]:
             self.handle.deleteTimer(state[5])
         if ended is not None:
@@ -69,34 +75,50 @@ class Rollout(StatefulProcessor):
             return
         state[5] = max(newest, timerValues.getCurrentWatermarkInMs(), state[5] - self.patience) + self.patience
         self.handle.registerTimer(state[5])
+        for turn in early.keys() - come.keys():
+            self.waiting.removeKey((turn,))
+        for turn in come.keys() - early.keys():
+            self.waiting.updateValue((turn,), come[turn])
+        state[6] = len(come)
         self.state.update(tuple(state))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.state.exists():
-            state = list(self.state.get())
+        state = self.state.get()
+        if state is not None:
+            state = list(state)
             if not state[4]:
                 yield self._over(key, state, 0.0, False, True, False)
 
+    def _result(self, run, *program):
+        """What a program gives; equal ones share a run while a task keeps its result."""
+        name = hashlib.sha256(repr(program).encode()).digest()
+        if name not in self.results:
+            self.results[name] = run(self.child, *program)
+        self.results.move_to_end(name)
+        if len(self.results) > KEPT:
+            self.results.popitem(last=False)
+        return self.results[name]
+
     def _step(self, state: list, interact_code, code, verdict, fn_name, inputs, outputs) -> tuple[float, bool, bool] | None:
         """(reward, terminated, truncated) if the rollout ends with this answer."""
         state[0] += 1
         last = state[0] >= self.max_turns
         if interact_code:
-            _, _, errors = run_snippet(self.child, interact_code, self.seconds)
+            _, _, errors = self._result(run_snippet, interact_code, self.seconds)
             state[1], state[3] = True, state[3] + ("timed out" in (errors or "").lower())
         elif code and state[1]:
             if verdict != "execute":
                 return 0.0, True, True
-            passed, total, late = run_cases(self.child, code, inputs or [], outputs or [], fn_name or None, self.seconds, self.max_tests)
+            passed, total, late = self._result(run_cases, code, list(inputs or []), list(outputs or []), fn_name or None, self.seconds, self.max_tests)
             state[2] += len(late)
             return (passed / total if total else 0.0), True, False
         return (0.0, False, True) if last else None
 
     def _over(self, key, state: list, reward: float, terminated: bool, truncated: bool, answered: bool) -> pd.DataFrame:
-        state[4] = True
+        if state[6]:
+            self.waiting.clear()
+        state[4], state[6] = True, 0
         self.state.update(tuple(state))
-        for turn in list(self.waiting.keys()):
-            self.waiting.removeKey(turn)
         row = [key[0], key[1], state[0], reward, terminated, truncated, state[1], state[2], state[3], answered]
         return pd.DataFrame([row], columns=_NAMES)
 

@@ -1,9 +1,11 @@
 """Streams: rollouts as keyed state, late rows."""
 
+from collections import OrderedDict
+
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import loops
+from tessera.operators import harness, loops
 from tessera.plans.programs import problems, scripted
 from tessera.storage import shared_path
 from tessera.streaming import events, rollouts
@@ -71,3 +73,16 @@ def test_rows_behind_the_watermark_are_dropped(spark):
 def test_update_mode_needs_a_key(spark):
     with pytest.raises(ValueError):
         events.drained(spark.range(1), "x", "update")
+
+
+def test_equal_programs_of_a_task_share_a_run(tmp_path):
+    notes = tmp_path / "notes"
+    notes.touch()
+    rollout = rollouts.Rollout(3, 5.0, 1000)
+    rollout.child, rollout.results = harness.Child(), OrderedDict()
+    code = f"open({str(notes)!r}, 'a').write('x')\nprint(input())"
+    state = [1, True, 0, 0, False, 0, 0]
+    with rollout.child:
+        for given, reward in (("1", 1.0), ("1", 1.0), ("2", 0.0)):
+            assert rollout._step(list(state), None, code, "execute", None, [given], ["1"]) == (reward, True, False)
+    assert len(notes.read_text()) == 2
