@@ -24,6 +24,11 @@ _MESSAGE = rf"(?s)^(.*?){MESSAGE}(.*?)(?:{OVER}(.*))?$"
 _FROM, _ROLE = "\ue000", "\ue001"
 
 
+def _with(value: Column, made) -> Column:
+    """What *made* gives for a value that is worked out once, however often it's used."""
+    return F.get(F.transform(F.array(value), made), F.lit(0))
+
+
 def _chunks(x: Column) -> Column:
     """One text for each message: role, _ROLE, rest."""
     marked = F.regexp_replace(x, rf"{START}([^<]*){CHANNEL}", f"{_FROM}$1{_ROLE}")
@@ -41,10 +46,16 @@ def parsed_markup(x) -> Column:
     x = F.col(x) if isinstance(x, str) else x
     safe = F.regexp_replace(x, f"[{_FROM}{_ROLE}]", "")
 
-    def one(chunk: Column) -> Column:
-        chunk = F.when(chunk.contains(_ROLE), chunk).otherwise(F.concat(F.lit(f"assistant{_ROLE}"), chunk))
-        role_part, rest = F.split_part(chunk, F.lit(_ROLE), F.lit(1)), F.regexp_replace(chunk, f"(?s)^.*?{_ROLE}", "")
-        head = F.regexp_extract(rest, _MESSAGE, 1)
+    def parted(chunk: Column) -> Column:
+        at = F.instr(chunk, _ROLE)
+        return F.when(at > 0, F.struct(F.substring(chunk, F.lit(1), at - 1).alias("role_part"), F.substring(chunk, at + 1, F.length(chunk)).alias("rest"))).otherwise(F.struct(F.lit("assistant").alias("role_part"), chunk.alias("rest")))
+
+    def matched(p: Column) -> Column:
+        rest = p["rest"]
+        return F.struct(p["role_part"].alias("role_part"), F.regexp_extract(rest, _MESSAGE, 1).alias("head"), F.regexp_extract(rest, _MESSAGE, 2).alias("content"), (rest.contains("<|message|>") & F.regexp_extract(rest, _MESSAGE, 3).rlike(r"^\s*$")).alias("whole"))
+
+    def one(p: Column) -> Column:
+        role_part, head = p["role_part"], p["head"]
         word = F.regexp_extract(role_part, r"^\s*(\S*)", 1)
         name = F.regexp_extract(head, r"^\s*([^\s<]*)", 1)
         to = F.regexp_extract(F.concat(role_part, F.lit(" "), head), r"\bto=([^\s<]+)", 1)
@@ -52,14 +63,17 @@ def parsed_markup(x) -> Column:
             F.when(word.isin(*ROLES), word).otherwise("assistant").alias("role"),
             F.when(~name.startswith("to="), F.nullif(name, F.lit(""))).alias("channel"),
             F.nullif(to, F.lit("")).alias("recipient"),
-            F.regexp_extract(rest, _MESSAGE, 2).alias("content"),
-            (rest.rlike(f"(?s){MESSAGE}") & F.regexp_extract(rest, _MESSAGE, 3).rlike(r"^\s*$")).alias("whole"),
+            p["content"].alias("content"),
+            p["whole"].alias("whole"),
         )
 
-    read = F.transform(_chunks(safe), one)
-    error = (F.size(read) == 0) | F.exists(read, lambda m: ~m["whole"])
-    messages = F.transform(read, lambda m: F.struct(m["role"], m["channel"], m["recipient"], m["content"]))
-    return F.when(x.isNotNull(), F.struct(F.when(error, F.slice(messages, 1, 0)).otherwise(messages).alias("messages"), error.alias("parse_error")))
+    def told(read: Column) -> Column:
+        error = (F.size(read) == 0) | F.exists(read, lambda m: ~m["whole"])
+        messages = F.transform(read, lambda m: F.struct(m["role"], m["channel"], m["recipient"], m["content"]))
+        return F.struct(F.when(error, F.slice(messages, 1, 0)).otherwise(messages).alias("messages"), error.alias("parse_error"))
+
+    read = F.transform(F.transform(F.transform(_chunks(safe), parted), matched), one)
+    return F.when(x.isNotNull(), _with(read, told))
 
 
 def read_answer(x) -> Column:
@@ -67,6 +81,11 @@ def read_answer(x) -> Column:
     text, else commentary, else analysis, else the whole text as unknown; the whole
     text as parse_error where it can't be read."""
     x = F.col(x) if isinstance(x, str) else x
-    read = parsed_markup(x)
+    return _with(parsed_markup(x), lambda read: answer_of(read, x))
+
+
+def answer_of(read, x) -> Column:
+    """The same, of a text that has been parsed already."""
+    read, x = (F.col(c) if isinstance(c, str) else c for c in (read, x))
     failed = F.struct(x.alias("content"), F.lit("parse_error").alias("channel"), F.lit(None).cast("string").alias("analysis"))
     return F.when(read["parse_error"], failed).when(x.isNotNull(), resolved_channel(read["messages"], x))

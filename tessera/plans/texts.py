@@ -347,8 +347,8 @@ def channel_markup(spark, d):
     ]
     marked = F.get(F.array(*forms), k)
     rows = table(spark, d, "conversations").select("conv_id", "turn", marked.alias("marked"))
-    read, answer = channels.parsed_markup("marked"), channels.read_answer("marked")
-    return rows.select("conv_id", "turn", read.alias("r"), answer.alias("a")).select("conv_id", "turn", "r.parse_error", F.size("r.messages").alias("n_messages"), "a.content", "a.channel", "a.analysis", F.get("r.messages", F.lit(0))["recipient"].alias("recipient"))
+    read = rows.select("conv_id", "turn", "marked", channels.parsed_markup("marked").alias("r"))
+    return read.select("conv_id", "turn", "r", channels.answer_of("r", "marked").alias("a")).select("conv_id", "turn", "r.parse_error", F.size("r.messages").alias("n_messages"), "a.content", "a.channel", "a.analysis", F.get("r.messages", F.lit(0))["recipient"].alias("recipient"))
 
 
 @query(

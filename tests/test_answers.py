@@ -145,3 +145,11 @@ def test_white_space_is_pythons(spark):
     got = df.select("i", text.strip("t"), text.word_count("t"), text.match_tier("t", F.lit("a b"))).orderBy("i").collect()
     assert [r[1] for r in got] == [t.strip() for t in texts] and [r[2] for r in got] == [len(t.split()) for t in texts]
     assert got[2][3] == "tokens"
+
+
+def test_a_marked_up_answer_is_parsed_once(spark):
+    df = spark.createDataFrame([("<|channel|>final<|message|>a\ue001b<|end|>",)], "t string")
+    plan = df.select(channels.parsed_markup("t").alias("p"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(?s)^(.*?)") == 3
+    plan = df.select(channels.read_answer("t").alias("a"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(?s)^(.*?)") == 3
