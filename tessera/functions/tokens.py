@@ -90,13 +90,29 @@ def _col(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+#: Characters (or ids) that are encoded (or decoded) at a time, unless one text has more.
+STEP = 200_000
+
+
 def _each(texts: pd.Series, made) -> pd.Series:
-    """What *made* gives for the texts that aren't null."""
-    some = texts.notna()
-    out = pd.Series([None] * len(texts), index=texts.index, dtype=object)
-    if some.any():
-        out[some] = pd.Series(made(texts[some].tolist()), index=texts.index[some], dtype=object)
-    return out
+    """What *made* gives for the texts that aren't null, some of them at a time:
+    their ids take many times their room."""
+    out, some, size = [None] * len(texts), [], 0
+
+    def settle():
+        for i, x in zip(some, made([texts.iat[i] for i in some])):
+            out[i] = x
+
+    for i in texts.notna().to_numpy().nonzero()[0].tolist():
+        n = len(texts.iat[i])
+        if some and size + n > STEP:
+            settle()
+            some, size = [], 0
+        some.append(i)
+        size += n
+    if some:
+        settle()
+    return pd.Series(out, index=texts.index, dtype=object)
 
 
 def token_ids(x, vocabulary: Vocabulary = Vocabulary()) -> Column:

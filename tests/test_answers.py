@@ -153,3 +153,14 @@ def test_a_marked_up_answer_is_parsed_once(spark):
     assert plan.count("(?s)^(.*?)") == 3
     plan = df.select(channels.read_answer("t").alias("a"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("(?s)^(.*?)") == 3
+
+
+def test_texts_are_encoded_some_at_a_time(monkeypatch):
+    import pandas as pd
+
+    seen = []
+    monkeypatch.setattr(tokens, "STEP", 10)
+    texts = pd.Series(["a" * 4, None, "b" * 4, "c" * 30, "", "d" * 4], index=range(5, 11))
+    got = tokens._each(texts, lambda some: seen.append(sum(map(len, some))) or [x.upper() for x in some])
+    assert got.tolist() == [None if t is None else t.upper() for t in texts] and list(got.index) == list(texts.index)
+    assert seen == [8, 30, 4]
