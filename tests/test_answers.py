@@ -147,6 +147,16 @@ def test_white_space_is_pythons(spark):
     assert got[2][3] == "tokens"
 
 
+def test_short_forms_are_kept_and_braces_may_be_escaped():
+    answers._kept.cache_clear()
+    for _ in range(50):
+        assert answers.answers_agree("so \\boxed{\\frac{1}{2}}", "0.5") and not answers.answers_agree("\\boxed{2}", "0.5")
+    assert answers._kept.cache_info().misses == 3
+    assert answers.answers_agree("1" * 150, "1" * 150) and answers._kept.cache_info().misses == 3  # too long to keep
+    assert answers.last_boxed("\\boxed {a\\}b{c}\\{} \\boxed{open") == "a\\}b{c}\\{"
+    assert answers.last_boxed("\\boxed{") is None and answers.last_boxed("\\boxedx") is None
+
+
 def test_a_marked_up_answer_is_parsed_once(spark):
     df = spark.createDataFrame([("<|channel|>final<|message|>a\ue001b<|end|>",)], "t string")
     plan = df.select(channels.parsed_markup("t").alias("p"))._jdf.queryExecution().optimizedPlan().toString()
