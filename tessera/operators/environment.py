@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import framed_output, interact_last_open, timed_out
-from tessera.operators.harness import interacted, scored
+from tessera.operators.harness import SCORE, with_outputs, with_scores
 from tessera.operators.scores import classified
 
 # What the environment says.
@@ -54,15 +54,16 @@ def acted(df: DataFrame, action: str = "action") -> DataFrame:
     return rows.withColumns({"observation": told, "terminated": final, "truncated": F.when(final, F.col("verdict") != "execute").otherwise(last)})
 
 
-def step(rows: DataFrame, keys: list[str], seconds: float | None = 1.0, interact_seconds: float | None = None, max_tests: int = 15) -> DataFrame:
+def step(rows: DataFrame, seconds: float | None = 1.0, interact_seconds: float | None = None, max_tests: int = 15) -> DataFrame:
     """Runs what acted() has found: observation and has_interacted of interactions,
     final_reward and eval_timeout_count of answers, interaction_timed_out. Rows of
-    other kinds never reach a program."""
+    other kinds never reach a program. *rows* are read more than once, and have to be
+    the same each time."""
     kinds = lambda *k: rows.where(F.col("kind").isin(*k))
     none = {"final_reward": F.lit(0.0), "eval_timeout_count": F.lit(0).cast("long"), "interaction_timed_out": F.lit(False)}
-    runs = interacted(kinds("interact"), keys, seconds=interact_seconds or seconds).select(*keys, framed_output("stdout", "stderr", "ok").alias("__seen"), timed_out("stderr").alias("__late"))
-    ran = kinds("interact").join(runs, keys).withColumns({**none, "observation": F.col("__seen"), "interaction_timed_out": F.col("__late"), "has_interacted": F.lit(True)}).drop("__seen", "__late")
-    rewards = scored(kinds("final"), keys, seconds, max_tests).select(*keys, F.col("final_reward").alias("__reward"), F.col("n_timeouts").alias("__late"))
-    ended = kinds("final").join(rewards, keys).withColumns({**none, "observation": F.lit(""), "final_reward": F.col("__reward"), "eval_timeout_count": F.col("__late")}).drop("__reward", "__late")
+    ran = with_outputs(kinds("interact"), seconds=interact_seconds or seconds)
+    ran = ran.withColumns({**none, "observation": framed_output("stdout", "stderr", "ok"), "interaction_timed_out": timed_out("stderr"), "has_interacted": F.lit(True)}).drop("ok", "stdout", "stderr")
+    ended = with_scores(kinds("final"), seconds, max_tests).withColumns({"observation": F.lit(""), "eval_timeout_count": F.col("n_timeouts"), "interaction_timed_out": F.lit(False)})
+    ended = ended.drop(*(c for c in SCORE if c != "final_reward"))
     told = kinds("must_interact", "no_interaction", "invalid").withColumns(none)
     return ran.unionByName(ended).unionByName(told)

@@ -2,9 +2,9 @@
 
 Each task of Spark has one child interpreter (``candidate``), which forks for every
 program; the Python worker itself runs none of it, and no source is ever spliced.
-Rows travel with their keys, and a task's failure is retried by Spark.  Rows of the
-same program, with the same tests, are brought together and share one run, unless
-each is to have its own."""
+A task's failure is retried by Spark.  Rows of the same program, with the same tests,
+share one run, unless each is to have its own: only distinct programs travel to a run,
+and the rows are joined with what it gave."""
 
 from __future__ import annotations
 
@@ -12,15 +12,16 @@ import json
 import os
 import subprocess
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from importlib.util import find_spec
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tessera.operators.candidate import outputs_match, results_match  # noqa: F401
+from tessera.storage import cut
 
 MEMORY = 10 << 30
 #: Seconds of a program as a whole where its tests have no limit, and beyond theirs.
@@ -121,45 +122,89 @@ class Last:
         return self.made
 
 
+#: What a score adds to a row.
+SCORE = ["final_reward", "n_passed", "n_tests", "n_timeouts", "late_tests"]
+_RAN, _SAID = "passed long, total long, late array<int>", "ok boolean, stdout string, stderr string"
+
+#: (child, row) to what a run gives
+Run = Callable[[Child, dict], tuple]
+
+
+def _each(df: DataFrame, ids: list[str], run: Run, made: str) -> DataFrame:
+    """(ids, what *run* makes) of each row, by one child interpreter a task."""
+    schema = StructType([*df.select(*ids).schema.fields, *StructType.fromDDL(made).fields])
+
+    def runs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with Child() as child:
+            for f in frames:
+                yield pd.DataFrame([[*(r[k] for k in ids), *run(child, r)] for r in f.to_dict("records")], columns=schema.fieldNames())
+
+    return df.mapInPandas(runs, schema)
+
+
+def shared(df: DataFrame, program: dict[str, Column], run: Run, made: str) -> DataFrame:
+    """Adds to each row what *run* makes of its program, a struct __ran. Equal programs
+    are run once, at once, and their results are written; rows find theirs by the 256
+    bits of the program's name and stay where they are if Spark broadcasts the results,
+    as it does few. *df* is read twice and has to give the same rows."""
+    name = F.unhex(F.sha2(F.to_json(F.struct(*[c.alias(k) for k, c in program.items()])), 256))
+    programs = df.select(name.alias("__program"), *[c.alias(k) for k, c in program.items()]).distinct()
+    results = _each(dealt(programs, ["__program"]), ["__program"], run, made)
+    results = cut(results.select("__program", F.struct(*StructType.fromDDL(made).fieldNames()).alias("__ran")), "results")
+    return df.withColumn("__program", name).join(results, "__program").drop("__program")
+
+
+def _tests(seconds: float | None, max_tests: int) -> Run:
+    def run(child: Child, r: dict) -> tuple:
+        inputs, outputs = ([] if r[c] is None else list(r[c]) for c in ("inputs", "outputs"))
+        return run_cases(child, r["code"], inputs, outputs, r["fn_name"] or None, seconds, max_tests)
+
+    return run
+
+
+def _score(ran: Column, late_tests: int) -> dict[str, Column]:
+    passed, total, late = ran["passed"], ran["total"], ran["late"]
+    return dict(zip(SCORE, [F.when(total > 0, passed / total).otherwise(0.0), passed, total, F.size(late).cast("long"), F.slice(late, 1, late_tests)]))
+
+
+def with_scores(df: DataFrame, seconds: float | None = 1.0, max_tests: int = 15, late_tests: int = 0) -> DataFrame:
+    """Adds SCORE to rows with verdict, code, fn_name and tests, as *scored* does;
+    equal programs with equal tests share a run (see *shared*)."""
+    df = df.drop(*SCORE)
+    program = {"code": F.col("code"), "fn_name": F.col("fn_name"), "inputs": F.col("tests.inputs"), "outputs": F.col("tests.outputs")}
+    ran = shared(df.where("verdict = 'execute'"), program, _tests(seconds, max_tests), _RAN).withColumns(_score(F.col("__ran"), late_tests)).drop("__ran")
+    zero = F.lit(0).cast("long")
+    rest = df.where("verdict <> 'execute'").withColumns(dict(zip(SCORE, [F.lit(0.0), zero, zero, zero, F.array().cast("array<int>")])))
+    return ran.unionByName(rest)
+
+
 def scored(df: DataFrame, keys: list[str], seconds: float | None = 1.0, max_tests: int = 15, late_tests: int = 0, share: bool = True) -> DataFrame:
     """(keys, final_reward, n_passed, n_tests, n_timeouts, late_tests) of rows with
     verdict, code, fn_name and tests. Only rows to execute reach Python; the others
     have reward 0 at once. Programs are dealt out evenly, as their cost is in the run;
     equal ones with equal tests share a run, unless *share* is false (for programs
     whose runs differ). late_tests are the indices of the first late tests, as many as are asked for."""
-    made = "final_reward double, n_passed long, n_tests long, n_timeouts long, late_tests array<int>"
-    schema = StructType([*df.select(*keys).schema.fields, *StructType.fromDDL(made).fields])
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last = Last(share)
-        with Child() as child:
-            for f in frames:
-                rows = []
-                for r in f.to_dict("records"):
-                    inputs, outputs = ([] if r[c] is None else list(r[c]) for c in ("inputs", "outputs"))
-                    program = r["code"], inputs, outputs, r["fn_name"] or None
-                    passed, total, late = last.get(program, lambda program=program: run_cases(child, *program, seconds, max_tests))
-                    rows.append([*(r[k] for k in keys), passed / total if total else 0.0, passed, total, len(late), late[:late_tests]])
-                yield pd.DataFrame(rows, columns=schema.fieldNames())
-
-    todo = df.where(F.col("verdict") == "execute").select(*keys, "code", "fn_name", F.col("tests.inputs").alias("inputs"), F.col("tests.outputs").alias("outputs"))
+    if share:
+        return with_scores(df.select(*keys, "verdict", "code", "fn_name", "tests"), seconds, max_tests, late_tests).select(*keys, *SCORE)
+    todo = df.where("verdict = 'execute'").select(*keys, "code", "fn_name", F.col("tests.inputs").alias("inputs"), F.col("tests.outputs").alias("outputs"))
+    ran = _each(dealt(todo, keys), keys, _tests(seconds, max_tests), _RAN)
+    made = _score(F.struct("passed", "total", "late"), late_tests)
     zero = F.lit(0).cast("long")
-    rest = df.where(F.col("verdict") != "execute").select(*keys, F.lit(0.0).alias("final_reward"), zero.alias("n_passed"), zero.alias("n_tests"), zero.alias("n_timeouts"), F.array().cast("array<int>").alias("late_tests"))
-    spread = together(todo, ["code", "fn_name", "inputs", "outputs"]) if share else dealt(todo, keys)
-    return spread.mapInPandas(run, schema).unionByName(rest)
+    rest = df.where("verdict <> 'execute'").select(*keys, F.lit(0.0).alias("final_reward"), zero.alias("n_passed"), zero.alias("n_tests"), zero.alias("n_timeouts"), F.array().cast("array<int>").alias("late_tests"))
+    return ran.select(*keys, *[c.alias(k) for k, c in made.items()]).unionByName(rest)
+
+
+def with_outputs(df: DataFrame, code: str = "interact_code", seconds: float | None = 5.0) -> DataFrame:
+    """Adds ok, stdout and stderr of each row's snippet; equal ones share a run (see
+    *shared*)."""
+    ran = shared(df, {"code": F.col(code)}, lambda child, r: run_snippet(child, r["code"], seconds), _SAID)
+    return ran.withColumns({k: F.col("__ran")[k] for k in ("ok", "stdout", "stderr")}).drop("__ran")
 
 
 def interacted(df: DataFrame, keys: list[str], code: str = "interact_code", seconds: float | None = 5.0, share: bool = True) -> DataFrame:
     """(keys, ok, stdout, stderr) of each row's snippet; equal ones share a run,
     unless *share* is false."""
-    schema = df.select(*keys).schema.add("ok", "boolean").add("stdout", "string").add("stderr", "string")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last = Last(share)
-        with Child() as child:
-            for f in frames:
-                rows = [[*(r[k] for k in keys), *last.get((r[code],), lambda r=r: run_snippet(child, r[code], seconds))] for r in f.to_dict("records")]
-                yield pd.DataFrame(rows, columns=schema.fieldNames())
-
     snippets = df.select(*keys, code)
-    return (together(snippets, [code]) if share else dealt(snippets, keys)).mapInPandas(run, schema)
+    if share:
+        return with_outputs(snippets, code, seconds).select(*keys, "ok", "stdout", "stderr")
+    return _each(dealt(snippets, keys), keys, lambda child, r: run_snippet(child, r[code], seconds), _SAID)

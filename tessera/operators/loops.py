@@ -8,20 +8,21 @@ whole, and a run that is started again goes on from there."""
 from __future__ import annotations
 
 import warnings
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import StringType
 
 from tessera.functions.text import close_interact, tail_in_frame
 from tessera.operators.datasets import draw_number, seeded_rollouts, seeded_subset
 from tessera.operators.environment import acted, first_observation, step
-from tessera.operators.harness import scored
+from tessera.operators.harness import dealt, with_scores
 from tessera.operators.scores import classified
 from tessera.operators.turns import aggregation_prompt, last_assistant
 from tessera.sources.tables import load_metadata, save_metadata
+from tessera.storage import cut
 
 #: prompts and seeds to texts
 Generator = Callable[[pd.Series, pd.Series], pd.Series]
@@ -67,14 +68,13 @@ class Rounds:
 
 
 def generated(df: DataFrame, prompt: str, seed: str, generate: Generator, out: str = "text") -> DataFrame:
-    """Adds the generator's text for each row."""
-    schema = StructType([*df.schema.fields, StructField(out, StringType())])
+    """Adds the generator's text for each row; only prompts and seeds reach Python."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield f.assign(**{out: generate(f[prompt], f[seed])})
+    @F.pandas_udf(StringType())
+    def texts(prompts: pd.Series, seeds: pd.Series) -> pd.Series:
+        return generate(prompts, seeds)
 
-    return df.mapInPandas(run, schema)
+    return df.withColumn(out, texts.asNondeterministic()(prompt, seed))
 
 
 def multi_turn(spark: SparkSession, problems: DataFrame, root: str, generate: Generator, samples: int, max_turns: int = 5, seconds: float = 1.0, system: str = "", final_prompt: str = "This is the last turn.", tail: int = 0) -> DataFrame:
@@ -89,7 +89,7 @@ def multi_turn(spark: SparkSession, problems: DataFrame, root: str, generate: Ge
     rounds = Rounds(spark, root, num_samples=samples, max_turns=max_turns)
     keys = ["problem_id", "trajectory_id"]
     zero = F.lit(0).cast("long")
-    seeds = seeded_rollouts(problems, samples).select("problem_id", F.col("sample_index").alias("trajectory_id"), first_observation(F.col("question"), system).alias("transcript"), "fn_name", "tests")
+    seeds = seeded_rollouts(dealt(problems, ["problem_id"]), samples).select("problem_id", F.col("sample_index").alias("trajectory_id"), first_observation(F.col("question"), system).alias("transcript"), "fn_name", "tests")
     start = {"current_turn": F.lit(0), "max_turns": F.lit(max_turns), "has_interacted": F.lit(False), "eval_timeouts": zero, "interaction_timeouts": zero}
     states = rounds.table("round=0", lambda: seeds.withColumns(start))
     carried = states.columns
@@ -100,7 +100,7 @@ def multi_turn(spark: SparkSession, problems: DataFrame, root: str, generate: Ge
         spoken = rounds.table(f"round={turn}-spoken", lambda asked=asked: acted(generated(asked, "prompt", "seed", generate).withColumn("action", close_interact("text")).drop("prompt", "seed", "text")))
 
         def executed(spoken=spoken):
-            done = step(spoken, keys, seconds)
+            done = step(spoken, seconds)
             seen = tail_in_frame("observation", tail) if tail else F.col("observation")
             return done.withColumns(
                 {
@@ -122,20 +122,25 @@ def multi_turn(spark: SparkSession, problems: DataFrame, root: str, generate: Ge
 def reevaluated(completed: DataFrame, active: DataFrame, keys: list[str], seconds: float = 1.0, max_tests: int = 100, require_class: bool = True) -> DataFrame:
     """A checkpoint's rollouts with rewards: completed ones keep theirs, active ones
     are scored on their last assistant message and count as cut short; those
-    without such a message go. from_active tells them apart."""
-    told = active.withColumn("response", last_assistant()).where(F.coalesce(F.col("response"), F.lit("")) != "")
-    rows = classified(told.withColumn("fn_name", F.col("tests.fn_name")), require_class=require_class)
-    rewards = scored(rows, keys, seconds, max_tests).select(*keys, "final_reward")
-    late = active.drop("final_reward").join(rewards, keys).withColumns({"terminated": F.lit(False), "truncated": F.lit(True), "from_active": F.lit(True)})
+    without such a message go. from_active tells them apart. Rows are dealt
+    out by *keys*, which needn't be unique."""
+    row = F.struct(*[F.col(f"`{c}`") for c in active.columns]).alias("row")
+    told = dealt(active, keys).select(row, F.col("tests.fn_name").alias("fn_name"), last_assistant().alias("response")).where(F.coalesce(F.col("response"), F.lit("")) != "")
+    rows = cut(classified(told, require_class=require_class).select("row", "verdict", "code", "fn_name"), "active").withColumn("tests", F.col("row.tests"))
+    late = with_scores(rows, seconds, max_tests).select("row.*", F.col("final_reward").alias("__reward")).drop("final_reward").withColumnRenamed("__reward", "final_reward")
+    late = late.withColumns({"terminated": F.lit(False), "truncated": F.lit(True), "from_active": F.lit(True)})
     return completed.withColumn("from_active", F.lit(False)).unionByName(late, allowMissingColumns=True)
 
 
-def by_harness(problems: DataFrame, keys: list[str], seconds: float = 1.0) -> Callable[[DataFrame], DataFrame]:
-    """A scorer of responses: runs each on its problem's tests (problem_id, tests)."""
+def by_harness(problems: DataFrame, seconds: float = 1.0) -> Callable[[DataFrame], DataFrame]:
+    """A scorer of responses: runs each on its problem's tests, its own column or
+    from *problems* (problem_id, tests)."""
 
     def score(df: DataFrame) -> DataFrame:
-        rows = classified(df.join(problems.select("problem_id", "tests"), "problem_id").withColumn("fn_name", F.col("tests.fn_name")))
-        return df.join(scored(rows, keys, seconds).select(*keys, "final_reward"), keys)
+        rows = df if "tests" in df.columns else df.join(problems.select("problem_id", "tests"), "problem_id")
+        # written, as a generator may say something else when it is asked again
+        rows = cut(classified(rows.withColumn("fn_name", F.col("tests.fn_name"))), "responses")
+        return with_scores(rows, seconds).select(*df.columns, "final_reward")
 
     return score
 
@@ -143,19 +148,24 @@ def by_harness(problems: DataFrame, keys: list[str], seconds: float = 1.0) -> Ca
 def aggregated(spark: SparkSession, problems: DataFrame, root: str, generate: Generator, score: Callable[[DataFrame], DataFrame], population: int = 4, k: int = 2, steps: int = 3, seed: int = 42) -> DataFrame:
     """Candidates of every step: (problem_id, rsa_step, candidate_id, response,
     final_reward, aggregated_from). After the first step each candidate comes
-    from k of the step before, drawn by seed, problem, step and candidate."""
+    from k of the step before, drawn by seed, problem, step and candidate. *score* gets
+    the problems' tests, too, if they have any, and has to read its rows once."""
     rounds = Rounds(spark, root, population=population, k=k)
+    carried = [c for c in ("problem_id", "question", "tests") if c in problems.columns]
     everything = previous = None
     for step in range(1, steps + 1):
 
         def made(previous=previous, step=step):
-            cells = problems.select("problem_id", "question").withColumn("candidate_id", F.explode(F.sequence(F.lit(0), F.lit(population - 1))))
+            cells = dealt(problems.select(*carried), ["problem_id"])
+            if previous is not None:
+                pool = F.transform(F.array_sort(F.collect_list(F.struct("candidate_id", "response"))), lambda x: x["response"])
+                cells = cells.join(dealt(previous.select("problem_id", "candidate_id", "response"), ["problem_id"]).groupBy("problem_id").agg(pool.alias("pool")), "problem_id")
+            rows = cells.withColumn("candidate_id", F.explode(F.sequence(F.lit(0), F.lit(population - 1))))
             if previous is None:
-                rows = cells.withColumns({"aggregated_from": F.array().cast("array<int>"), "prompt": F.col("question")})
+                rows = rows.withColumns({"aggregated_from": F.array().cast("array<int>"), "prompt": F.col("question")})
             else:
-                pool = previous.groupBy("problem_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("candidate_id", "response"))), lambda x: x["response"]).alias("pool"))
                 chosen = seeded_subset(F.sequence(F.lit(0), F.lit(population - 1)), k, F.lit(seed), F.col("problem_id"), F.lit(step), F.col("candidate_id"))
-                rows = cells.join(pool, "problem_id").withColumn("aggregated_from", chosen)
+                rows = rows.withColumn("aggregated_from", chosen)
                 rows = rows.withColumn("prompt", aggregation_prompt("question", F.transform("aggregated_from", lambda i: F.get(F.col("pool"), i)))).drop("pool")
             told = generated(rows.withColumn("seed", draw_number("problem_id", "candidate_id", F.lit(step))), "prompt", "seed", generate, "response")
             return score(told.drop("seed", "prompt")).withColumn("rsa_step", F.lit(step)).select("problem_id", "rsa_step", "candidate_id", "response", "final_reward", "aggregated_from")

@@ -198,7 +198,7 @@ def rollout_rules(spark, d):
 def rsa_loop(spark, d):
     """Candidates of three steps, each scored by running it."""
     p = problems(spark, d)
-    score = loops.by_harness(p, ["problem_id", "candidate_id"])
+    score = loops.by_harness(p)
     out = loops.aggregated(spark, p, _workspace(spark, "aggregation"), answering, score).drop("response")
     return out.withColumn("aggregated_from", F.array_join("aggregated_from", " "))
 

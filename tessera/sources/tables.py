@@ -191,7 +191,7 @@ def save_by_bytes(df: DataFrame, path: str, limit: int = FILE_BYTES, order: list
 
 def save_metadata(spark: SparkSession, path: str, **values) -> None:
     """One row of JSON beside a table."""
-    spark.createDataFrame([(json.dumps(values, default=str, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    spark.range(0, 1, 1, 1).select(F.lit(json.dumps(values, default=str, sort_keys=True)).alias("value")).write.mode("overwrite").text(path)
 
 
 def load_metadata(spark: SparkSession, path: str) -> dict:

@@ -140,3 +140,10 @@ def test_array_libraries_are_loaded_for_programs_that_name_them():
         assert shown("print(globals()['n' + 'p'].arange(3).sum())") == (True, "3\n")
         assert shown("print(np.arange(3).sum(), pd.Series([1, 2]).sum())") == (True, "3 3\n")
         assert shown("from numpy import arange\nprint(len(arange(4)))") == (True, "4\n")
+
+
+def test_rows_of_one_program_stay_spread(spark):
+    df = spark.range(400, numPartitions=4).select("id", F.lit("print(1)").alias("code"), F.lit("print(1)").alias("interact_code"), F.lit("execute").alias("verdict"), F.lit(None).cast("string").alias("fn_name"))
+    df = df.withColumn("tests", F.struct(F.array(F.lit("")).alias("inputs"), F.array(F.lit("1")).alias("outputs"), "fn_name").cast(TESTS))
+    for out in (harness.scored(df, ["id"]), harness.interacted(df, ["id"])):
+        assert out.select(F.spark_partition_id()).distinct().count() == 4 and out.count() == 400
