@@ -14,6 +14,7 @@ from pyspark.sql.types import StringType
 from tessera.functions import nested, packed, text
 from tessera.operators import loops, problems
 from tessera.operators.datasets import draw_number
+from tessera.operators.harness import dealt
 from tessera.plans.programs import answering
 from tessera.plans.programs import problems as programs
 from tessera.plans.registry import query
@@ -132,7 +133,7 @@ def checkpoint_reevaluated(spark, d):
     answer, and go if they have none."""
     p = programs(spark, d)
     completed = p.where("problem_id % 2 = 0").select("problem_id", F.lit(0.25).alias("final_reward"), F.lit(True).alias("terminated"), F.lit(False).alias("truncated"))
-    told = loops.generated(p.where("problem_id % 2 = 1").withColumn("seed", draw_number("problem_id", F.lit(9))), "question", "seed", answering, "said")
+    told = loops.generated(dealt(p.where("problem_id % 2 = 1"), ["problem_id"]).withColumn("seed", draw_number("problem_id", F.lit(9))), "question", "seed", answering, "said")
     said = lambda r, c: F.struct(F.lit(r).alias("role"), c.alias("content"))
     talk = F.when(F.col("problem_id") % 5 == 0, F.array(said("user", F.col("question")))).otherwise(F.array(said("user", F.col("question")), said("assistant", F.lit("hm")), said("user", F.lit("go on")), said("assistant", F.col("said"))))
     active = told.select("problem_id", talk.alias("messages"), F.col("tests").cast(TESTS).alias("tests"), F.lit(None).cast("double").alias("final_reward"), F.lit(False).alias("terminated"), F.lit(False).alias("truncated"))

@@ -363,3 +363,37 @@ def test_positions_of_many_rows_as_written(spark, tmp_path):
     sizes = datasets.batches(rows.select("k", "text"), "k", 32).groupBy("batch").count()
     assert sizes.where("count != 32").count() == 0 and sizes.count() == 12_500
     assert datasets.numbered(rows.limit(0), ["k"], "pos").count() == 0
+
+
+SUMS = "problem_id long, question string, fn_name string, tests struct<inputs: array<string>, outputs: array<string>, fn_name: string>"
+
+
+def test_rollouts_of_one_file_are_dealt_out(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"q{i}", None, (["1"], ["1"], None)) for i in range(40)], SUMS).coalesce(1)
+    r = loops.multi_turn(spark, df, str(tmp_path), lambda p, s: p.map(lambda _: "<interact>print(1)"), 2, 1)
+    assert r.count() == 80 and r.where("has_interacted").count() == 80
+    assert spark.read.parquet(str(tmp_path / "round=0")).select(F.input_file_name()).distinct().count() > 1
+
+
+def test_candidates_are_asked_for_once(spark, tmp_path):
+    (notes := tmp_path / "notes").touch()
+    path = str(notes)
+
+    def speak(prompts, seeds):
+        with open(path, "a") as f:
+            f.write("x" * len(prompts))
+        return prompts.map(lambda _: "```python\nprint(1)\n```")
+
+    df = spark.createDataFrame([(i, f"q{i}", None, (["1"], ["1"], None)) for i in range(3)], SUMS)
+    out = loops.aggregated(spark, df, str(tmp_path / "run"), speak, loops.by_harness(df), 4, 2, 2)
+    assert out.count() == 24 and out.where("final_reward = 1").count() == 24
+    assert len(notes.read_text()) == 24
+
+
+def test_reevaluation_of_repeated_keys(spark):
+    schema = "problem_id long, messages array<struct<role: string, content: string>>, tests struct<inputs: array<string>, outputs: array<string>, fn_name: string>, final_reward double, terminated boolean, truncated boolean"
+    said = lambda x: [("user", "q"), ("assistant", f"```python\nprint({x})\n```")]
+    active = spark.createDataFrame([(7, said(x), (["1"], ["1"], None), None, False, False) for x in (1, 2)], schema)
+    done = spark.createDataFrame([(1, 0.5, True, False)], "problem_id long, final_reward double, terminated boolean, truncated boolean")
+    got = loops.reevaluated(done, active, ["problem_id"]).collect()
+    assert sorted((r["problem_id"], r["final_reward"], r["from_active"]) for r in got) == [(1, 0.5, False), (7, 0.0, True), (7, 1.0, True)]
