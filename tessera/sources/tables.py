@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.schemas import normalised
-from tessera.storage import forget, written
+from tessera.storage import forget, hadoop_path, written
 
 #: (pattern of a source's name, split to read); the first that matches holds. Programs
 #: differ: most read the train split of prefixed sets, the environment never a test
@@ -136,6 +137,8 @@ def save(df: DataFrame, path: str, by: str | None = None, rows_per_file: int = 0
 
 #: Bytes of a file, by what its rows are measured at.
 FILE_BYTES = 200_000_000
+#: Bytes of the files that one task writes, where there are more tasks than usual.
+TASK_BYTES = 256_000_000
 
 
 def row_bytes(df: DataFrame) -> Column:
@@ -154,6 +157,27 @@ def row_bytes(df: DataFrame) -> Column:
     return sum(sizes[1:], sizes[0]) if sizes else F.lit(1).cast("long")
 
 
+def _files_of(df: DataFrame, path: str) -> None:
+    """Writes rows, in order of their numbers __file within a task, to a file for each
+    number: to folders at first, from which the files are then moved to *path*."""
+    spark = df.sparkSession
+    fs, target = hadoop_path(spark, path)
+    fs.delete(target, True)
+    df.write.partitionBy("__file").parquet(f"{path}/_files")
+    make = spark._jvm.org.apache.hadoop.fs.Path
+
+    def move(status) -> None:
+        file = status.getPath()
+        number, name = int(file.getParent().getName().rpartition("=")[2]), file.getName().split("-", 2)[2]
+        if not fs.rename(file, make(target, f"part-{number:05d}-{name}")):
+            raise OSError(f"{file} can't be moved to {path}")
+
+    with ThreadPoolExecutor(8) as pool:
+        list(pool.map(move, fs.globStatus(make(f"{path}/_files/__file=*/part-*"))))
+    fs.delete(make(f"{path}/_files"), True)
+    fs.create(make(target, "_SUCCESS"), True).close()
+
+
 def save_by_bytes(df: DataFrame, path: str, limit: int = FILE_BYTES, order: list[str] | None = None) -> int:
     """Writes a table to files of at most *limit* bytes, by the measure of their rows
     (a row of over half of it has a file of its own); gives how many. Rows keep the
@@ -162,7 +186,7 @@ def save_by_bytes(df: DataFrame, path: str, limit: int = FILE_BYTES, order: list
     The rows are written once, each with its size. Within each part of that copy,
     files are cut where the sizes pass the next stretch, a limit less the largest
     row that isn't alone, and the parts' numbers of files, a row for each part,
-    number them all. Each file is then one task, that gets its rows by number."""
+    number them all. Files are then dealt out in their order, many to a task."""
     spark = df.sparkSession
     room = max(limit - 64_000 - limit // 50, 1)  # a file has headers and a footer
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -181,7 +205,9 @@ def save_by_bytes(df: DataFrame, path: str, limit: int = FILE_BYTES, order: list
     files = counts.agg(F.sum("n")).first()[0] or 0
     if files:
         placed = ranked.join(F.broadcast(first), F.col("part") == F.col("of")).withColumn("file", (F.col("first") + F.col("piece")).cast("int"))  # a row for each part
-        placed.repartitionById(files, "file").sortWithinPartitions("at").select("row.*").write.mode("overwrite").parquet(path)
+        tasks = min(files, max(n, spark.sparkContext.defaultParallelism, files * limit // TASK_BYTES))
+        dealt = placed.repartitionById(tasks, F.floor(F.col("file").cast("long") * tasks / files).cast("int")).sortWithinPartitions("file", "at")
+        _files_of(dealt.select("row.*", F.col("file").alias("__file")), path)
     else:
         df.limit(0).write.mode("overwrite").parquet(path)
     forget(copied)

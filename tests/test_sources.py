@@ -112,6 +112,18 @@ def test_files_by_bytes_of_odd_tables(spark, tmp_path):
     assert [r["id"] for r in spark.read.parquet(str(tmp_path / "huge")).orderBy("id").collect()] == [1, 2, 3]
 
 
+def test_a_task_writes_many_files(spark, tmp_path):
+    df = spark.range(3000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("file"))
+    began = set(spark.sparkContext.statusTracker().getJobIdsForGroup())
+    n = tables.save_by_bytes(df, str(tmp_path / "t"), 67_000, ["id"])
+    tracker = spark.sparkContext.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in set(tracker.getJobIdsForGroup()) - began for s in tracker.getJobInfo(j).stageIds]
+    assert n > 50 and len(sizes(tmp_path / "t")) == n and max(s.numTasks for s in stages if s) < n
+    back = spark.read.parquet(str(tmp_path / "t"))
+    assert back.columns == ["id", "file"] and back.count() == 3000 and back.exceptAll(df).count() == 0
+    assert not (tmp_path / "t" / "_files").exists() and (tmp_path / "t" / "_SUCCESS").exists()
+
+
 def pack(value, protocol=4):
     return base64.b64encode(zlib.compress(pickle.dumps(value, protocol))).decode()
 
