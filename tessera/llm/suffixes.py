@@ -11,7 +11,8 @@ each task sorts the suffixes of its strings with a difference cover of period
 three: triples at positions 1 and 2 modulo 3 are sorted and named, the names are
 sorted by recursion until they span LENGTH bytes, the remaining suffixes are
 sorted by their first byte and the name that follows, the two orders are
-merged, and neighbours are compared over LENGTH bytes.
+merged, and neighbours are compared over LENGTH bytes.  Only suffixes that begin
+a whole window are put in order, and of the names those that this asks for.
 
 Exact copies of documents (by SHA-256), and of strings around one anchor (by 128
 bits of their content), are reduced to their first occurrence before that.  Strings of an anchor with very many
@@ -34,7 +35,9 @@ from tessera.llm.common import BYTE_CODES, INVERSE, Placed, bytes_of, cut, dealt
 LENGTH = 100
 GRAM = 32
 #: Symbols that one suffix sort takes, unless one anchor has more.
-BLOCK = 1_500_000
+BLOCK = 400_000
+#: Bytes of text whose anchors are found together: what that takes stays in a core's cache.
+STEP = 200_000
 #: Occurrences of an anchor beyond which its strings are dealt out in parts that
 #: fewer of them share, so that no task gets them all.
 HOT = 20_000
@@ -84,12 +87,12 @@ class Anchors:
         self.doc = np.searchsorted(offsets, self.first, side="right") - 1
 
 
-def anchor_hashes(base: DataFrame, length: int) -> DataFrame:
+def anchor_hashes(texts: DataFrame, length: int) -> DataFrame:
     """(hash, tkey, times) for each text and anchor hash in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in steps(batch):
+            for part in steps(batch, limit=STEP):
                 found = Anchors(*bytes_of(part.column("text")), length)
                 tkey = part.column("tkey").to_numpy(zero_copy_only=False)
                 order = np.lexsort((found.hash, found.doc))
@@ -99,126 +102,176 @@ def anchor_hashes(base: DataFrame, length: int) -> DataFrame:
                 at = np.flatnonzero(new)
                 yield pa.RecordBatch.from_arrays([pa.array(int64(h[at])), pa.array(tkey[d[at]]), pa.array(np.diff(np.append(at, len(h))))], ["hash", "tkey", "times"])
 
-    return base.select("tkey", "text").mapInArrow(run, "hash long, tkey long, times long")
+    return texts.select("tkey", "text").mapInArrow(run, "hash long, tkey long, times long")
 
 
 # --- difference-cover suffix sort --------------------------------------------
 
 
-def _names(*columns: np.ndarray) -> tuple[np.ndarray, int]:
-    """Dense ranks, from 1, of tuples given by columns of small integers."""
-    key = columns[0].astype(np.int64)
-    size = int(key.max()) + 1
-    for c in columns[1:]:
-        top = int(c.max()) + 1
-        if size * top >= 1 << 62:
-            _, key = np.unique(key, return_inverse=True)
-            size = int(key.max()) + 1
-        key = key * top + c
-        size *= top
-    values, rank = np.unique(key, return_inverse=True)
-    return rank.astype(np.int64) + 1, len(values)
-
-
-def suffix_names(text: np.ndarray, length: int) -> np.ndarray:
-    """Order of all suffixes of *text* (integers from 1) by their first *length*
-    symbols at least: positions in ascending order; ties in any order."""
+def _order(key: np.ndarray, top: int) -> np.ndarray:
+    """Positions in ascending order of their keys (0 to top - 1); of equal keys, the
+    smaller position first. Key and position are sorted as one number, if they fit."""
+    bits = len(key).bit_length()
+    if top > 1 << 63 - bits:
+        return np.argsort(key, kind="stable")
+    both = key << bits | np.arange(len(key))
+    both.sort()
+    return both & (1 << bits) - 1
+
+
+def _ranks(key: np.ndarray, top: int) -> tuple[np.ndarray, int]:
+    """Dense ranks, from 1, of keys (0 to top - 1), and how many there are."""
+    if top <= 4 * len(key):  # a table of all keys is cheaper than a sort
+        seen = np.zeros(top, bool)
+        seen[key] = True
+        rank = np.cumsum(seen)
+        return rank[key], int(rank[-1])
+    order = _order(key, top)
+    new = np.ones(len(key), np.int64)
+    ascending = key[order]
+    new[1:] = ascending[1:] != ascending[:-1]
+    rank = np.empty(len(key), np.int64)
+    rank[order] = np.cumsum(new)
+    return rank, int(new.sum())
+
+
+def _key(*columns: tuple[np.ndarray, int]) -> tuple[np.ndarray, int]:
+    """(integers in the order of tuples, their bound); a column is given with its bound.
+    What would be too large to be sorted with a position is replaced by ranks."""
+    key, size = columns[0]
+    for c, top in columns[1:]:
+        if size * top > 1 << 63 - len(key).bit_length():
+            key, size = _ranks(key, size)
+            size += 1
+        key, size = key * top + c, size * top
+    return key, size
+
+
+def suffix_names(text: np.ndarray, length: int, wanted: np.ndarray | None = None) -> np.ndarray:
+    """Order of all suffixes of *text* (integers from 1), or of those at the *wanted*
+    positions (a mask), by their first *length* symbols at least: positions in
+    ascending order; ties in any order."""
     n = len(text)
     if n < 3:
-        return np.array(sorted(range(n), key=lambda i: text[i:].tolist()), np.int64)
-    rank, _ = _sample_ranks(text, length)
+        at = range(n) if wanted is None else np.flatnonzero(wanted).tolist()
+        return np.array(sorted(at, key=lambda i: text[i:].tolist()), np.int64)
+    rank, base = _sample_ranks(text, length, wanted)
     s = np.append(text, [0, 0, 0])
     r = np.append(rank, [0, 0, 0])
-    zero = np.arange(0, n, 3)
-    one, two = np.arange(1, n, 3), np.arange(2, n, 3)
+    top = int(s.max()) + 1
+    zero, one, two = (np.arange(k, n, 3) if wanted is None else np.flatnonzero(wanted[k::3]) * 3 + k for k in range(3))
     # a symbol, then the name of the sampled suffix after it; or two symbols and
     # the name after them. Where names are cut off, each kind is put in the order
     # of its own keys, so that they ascend
-    base = int(r.max()) + 1
-    single = lambda at: s[at] * base + r[at + 1]
-    pair, _ = _names(np.concatenate([s[two], s[zero]]), np.concatenate([s[two + 1], s[zero + 1]]))
-    double = pair * base + np.concatenate([r[two + 2], r[zero + 2]])
+    both = np.concatenate([one, zero])
+    single, size = _key((s[both], top), (r[both + 1], base))
+    of_one, one_of_zero = single[: len(one)], single[len(one) :]
+    by = _order(of_one, size)
+    one, of_one = one[by], of_one[by]
+    both = np.concatenate([two, zero])
+    double, size = _key((s[both], top), (s[both + 1], top), (r[both + 2], base))
     of_two, of_zero = double[: len(two)], double[len(two) :]
-    by = np.argsort(of_zero, kind="stable")
-    zero, of_zero = zero[by], of_zero[by]
-    by = np.argsort(of_two, kind="stable")
+    by = _order(of_zero, size)
+    zero, of_zero, one_of_zero = zero[by], of_zero[by], one_of_zero[by]
+    by = _order(of_two, size)
     two, of_two = two[by], of_two[by]
-    one = one[np.argsort(single(one), kind="stable")]
     sample = np.concatenate([one, two])
-    sample = sample[np.argsort(r[sample], kind="stable")]
+    sample = sample[_order(r[sample], base)]
     # merge: where each remaining suffix stands among the samples of either kind
-    before = np.searchsorted(single(one), single(zero)) + np.searchsorted(of_two, of_zero)
-    out = np.empty(n, np.int64)
+    before = np.searchsorted(of_one, one_of_zero) + np.searchsorted(of_two, of_zero)
+    out = np.empty(len(zero) + len(sample), np.int64)
     place = before + np.arange(len(zero))
     out[place] = zero
-    rest = np.ones(n, bool)
+    rest = np.ones(len(out), bool)
     rest[place] = False
     out[rest] = sample
     return out
 
 
-def _sample_ranks(text: np.ndarray, length: int) -> tuple[np.ndarray, int]:
-    """Ranks of the suffixes at 1 and 2 modulo 3 by their first *length* symbols
-    at least (0 elsewhere)."""
+def _sample_ranks(text: np.ndarray, length: int, wanted: np.ndarray | None = None) -> tuple[np.ndarray, int]:
+    """(ranks of the suffixes at 1 and 2 modulo 3 by their first *length* symbols at
+    least, a bound of them): those that the order of the wanted suffixes asks for,
+    which are at most two symbols behind them (0 elsewhere)."""
     n = len(text)
     s = np.append(text, [0, 0, 0])
-    one, two = np.arange(1, n, 3), np.arange(2, n, 3)
-    at = np.concatenate([one, two])
-    names, distinct = _names(s[at], s[at + 1], s[at + 2])
-    rank = np.zeros(n, np.int64)
-    if distinct < len(at) and length > 3:
+    top = int(s.max()) + 1
+    ones = len(range(1, n, 3))
+    triple = lambda j: np.concatenate([s[1 + j : n + j : 3], s[2 + j : n + j : 3]])
+    names, distinct = _ranks(*_key((triple(0), top), (triple(1), top), (triple(2), top)))
+    if distinct < len(names) and length > 3:
         # the names of one kind, an end mark below all names, those of the other
-        deeper = np.concatenate([names[: len(one)] + 1, [1], names[len(one) :] + 1])
-        order = suffix_names(deeper, -(-length // 3))
-        place = np.empty(len(deeper), np.int64)
+        deeper = np.concatenate([names[:ones] + 1, [1], names[ones:] + 1])
+        asked = None
+        if wanted is not None:
+            near = wanted.copy()
+            near[1:] |= wanted[:-1]
+            near[2:] |= wanted[:-2]
+            asked = np.concatenate([near[1::3], [False], near[2::3]])
+        order = suffix_names(deeper, -(-length // 3), asked)
+        place = np.zeros(len(deeper), np.int64)
         place[order] = _tied(deeper, order, -(-length // 3))
-        names = np.concatenate([place[: len(one)], place[len(one) + 1 :]])
-    rank[at] = names
-    return rank, distinct
+        names = np.concatenate([place[:ones], place[ones + 1 :]])
+        distinct = int(names.max())
+    rank = np.zeros(n, np.int64)
+    rank[1::3], rank[2::3] = names[:ones], names[ones:]
+    return rank, distinct + 1
 
 
 def _tied(text: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
     """Ranks in order, equal where neighbours agree over *length* symbols."""
     s = np.append(text, np.zeros(length, text.dtype))
     differ = np.zeros(len(order), bool)
-    differ[0] = True
+    differ[:1] = True
     open_ = np.arange(1, len(order))
+    left, right = order[:-1], order[1:]
     for j in range(length):
         if not len(open_):
             break
-        d = s[order[open_] + j] != s[order[open_ - 1] + j]
-        differ[open_[d]] = True
-        open_ = open_[~d]
+        d = s[right + j] != s[left + j]
+        if d.any():
+            differ[open_[d]] = True
+            same = ~d
+            open_, left, right = open_[same], left[same], right[same]
     return np.cumsum(differ)
 
 
-def equal_windows(strings: list[np.ndarray], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(class, string, start) of every window of *length* bytes of the strings;
-    windows with equal bytes have one class."""
-    sizes = np.array([len(x) for x in strings], np.int64)
-    starts = np.concatenate([[0], np.cumsum(sizes + 1)])[:-1]
-    text = np.empty(int(sizes.sum()) + len(sizes), np.int64)
-    owner = np.repeat(np.arange(len(sizes)), sizes + 1)
-    text[starts + sizes] = 257 + np.arange(len(sizes))  # an end mark of its own for each
-    for x, a in zip(strings, starts):
-        text[a : a + len(x)] = x.astype(np.int64) + 1
-    order = suffix_names(text, length)
-    inside = (starts + sizes)[owner[order]] - order >= length
-    order = order[inside]
+def window_classes(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(class, position in *data*) of every window of *length* bytes of the strings
+    that the offsets bound; windows with equal bytes have one class, numbered from 0
+    in ascending order."""
+    sizes = np.diff(offsets)
+    seen = np.zeros(256, bool)
+    seen[data] = True
+    # bytes in their order from 2 on, and a mark (1) behind each string: what stands
+    # there decides nothing, as only windows that lie in a string are asked for
+    codes = np.cumsum(seen) + 1
+    behind = np.repeat(np.arange(len(sizes)), sizes + 1)  # marks before each symbol
+    within = np.ones(len(behind), bool)
+    within[offsets[1:] + np.arange(len(sizes))] = False
+    text = np.ones(len(behind), np.int64)
+    text[within] = codes[data]
+    wanted = np.zeros(len(text), bool)
+    wanted[ragged(offsets[:-1] + np.arange(len(sizes)), np.maximum(sizes - length + 1, 0))] = True
+    order = suffix_names(text, length, wanted)
+    order -= behind[order]
     if not len(order):
-        return order, order, order
+        return order, order
     # neighbours are compared over the whole length, eight bytes at a time
-    raw = np.append((text - 1).astype(np.uint8), np.zeros(8, np.uint8))
+    raw = np.append(data, np.zeros(8, np.uint8))
     words = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
     same = np.ones(len(order) - 1, bool)
-    for j in [*range(0, max(length - 7, 1), 8), max(length - 8, 0)]:
-        if length >= 8:
-            same &= words[order[1:] + j] == words[order[:-1] + j]
-    if length < 8:
-        for j in range(length):
-            same &= raw[order[1:] + j] == raw[order[:-1] + j]
-    group = np.concatenate([[0], np.cumsum(~same)])
-    return group, owner[order], order - starts[owner[order]]
+    for j in [*range(0, length - 7, 8), length - 8] if length >= 8 else range(length):
+        here = (words if length >= 8 else raw)[order + j]
+        same &= here[1:] == here[:-1]
+    return np.concatenate([[0], np.cumsum(~same)]), order
+
+
+def equal_windows(strings: list[np.ndarray], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same of a list of strings: (class, string, start in it)."""
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in strings], dtype=np.int64)])
+    group, at = window_classes(np.concatenate(strings), offsets, length)
+    which = np.searchsorted(offsets, at, side="right") - 1
+    return group, which, at - offsets[which]
 
 
 # --- the operator ------------------------------------------------------------
@@ -233,54 +286,49 @@ def spans_of(starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     return a, starts[np.concatenate([gap - 1, [len(starts) - 1]])] + length
 
 
-_STRINGS = "key long, c long, e long, doc_id long, tkey long, start long, windows long"
+_STRINGS = "key long, c long, e long, doc_id long, tkey long, start long, windows long, lead boolean"
 _SPANS = "doc_id long, tkey long, start long, end long"
 
 
 def _strings(hit: DataFrame, length: int) -> DataFrame:
-    """The strings around repeated anchors: where they lie, and their name (key,
-    and c and e: 128 bits of their content)."""
+    """The strings around repeated anchors: where they lie, their name (c and e: 128
+    bits of their content, which decides the key) and whether the name is new in the
+    text (lead)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in steps(batch):
+            for part in steps(batch, limit=STEP):
                 data, offsets = bytes_of(part.column("text"))
                 found, view = Anchors(data, offsets, length), memoryview(data)
-                doc_id = part.column("doc_id").to_numpy(zero_copy_only=False)
-                tkey = part.column("tkey").to_numpy(zero_copy_only=False)
-                bounds = np.searchsorted(found.doc, np.arange(part.num_rows + 1))
-                hashes, counts = part.column("hashes"), part.column("counts")
-                rows = []
-                for d in range(part.num_rows):
-                    hs, ns = hashes[d].values.to_numpy(), counts[d].values.to_numpy()
-                    o = np.argsort(hs)
-                    hs, ns = hs[o], ns[o]
-                    a, b = bounds[d], bounds[d + 1]
-                    own = found.hash[a:b].view(np.int64)
-                    i = np.minimum(np.searchsorted(hs, own), len(hs) - 1)
-                    ok = hs[i] == own
-                    first, last, at, key, many = found.first[a:b][ok], found.last[a:b][ok], found.at[a:b][ok], own[ok], ns[i[ok]]
-                    if (many > HOT).any():
-                        # parts are blocks of distances from window to anchor, which a window alone decides
-                        step = np.where(many > HOT, PART, 1 << 40)
-                        pieces = (at - first) // step - (at - last) // step + 1
-                        within = np.concatenate([np.arange(x) for x in pieces])
-                        first, last, at, key, step = (np.repeat(x, pieces) for x in (first, last, at, key, step))
-                        block = (at - first) // step - within
-                        near, far = block * step, block * step + step - 1
-                        first, last = np.maximum(first, at - far), np.minimum(last, at - near)
-                        # the bytes that all windows of the block would share, and the block, name it
-                        split = np.flatnonzero(step < 1 << 40)
-                        a, b = (at - near)[split], (at - np.minimum(far, length - found.gram) + length)[split]
-                        core = np.fromiter((xxhash.xxh3_64_intdigest(view[x:y]) for x, y in zip(a.tolist(), b.tolist())), np.uint64, len(split))
-                        key = key.copy()
-                        key[split] = mix64(core ^ key[split].view(np.uint64) + block[split].astype(np.uint64)).view(np.int64)
-                    rows.append((np.full(len(first), d), key, first, last))
-                d, key, first, last = (np.concatenate(x) for x in zip(*rows))
-                named = b"".join(xxhash.xxh3_128_digest(view[a:b]) for a, b in zip(first.tolist(), (last + length).tolist()))
+                # an anchor that is repeated is so in every text that has it
+                hashes, one = np.unique(part.column("hashes").flatten().to_numpy(), return_index=True)
+                counts = part.column("counts").flatten().to_numpy()[one]
+                own = found.hash.view(np.int64)
+                i = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
+                ok = hashes[i] == own
+                d, first, last, at, key, many = (x[ok] for x in (found.doc, found.first, found.last, found.at, own, counts[i]))
+                if (many > HOT).any():
+                    # parts are blocks of distances from window to anchor, which a window alone decides
+                    step = np.where(many > HOT, PART, 1 << 40)
+                    pieces = (at - first) // step - (at - last) // step + 1
+                    within = ragged(np.zeros(len(pieces), np.int64), pieces)
+                    d, first, last, at, key, step = (np.repeat(x, pieces) for x in (d, first, last, at, key, step))
+                    block = (at - first) // step - within
+                    near, far = block * step, block * step + step - 1
+                    first, last = np.maximum(first, at - far), np.minimum(last, at - near)
+                    # the bytes that all windows of the block would share, and the block, name it
+                    split = np.flatnonzero(step < 1 << 40)
+                    a, b = (at - near)[split], (at - np.minimum(far, length - found.gram) + length)[split]
+                    core = np.fromiter((xxhash.xxh3_64_intdigest(view[x:y]) for x, y in zip(a.tolist(), b.tolist())), np.uint64, len(split))
+                    key[split] = mix64(core ^ key[split].view(np.uint64) + block[split].astype(np.uint64)).view(np.int64)
+                named = b"".join([xxhash.xxh3_128_digest(view[a:b]) for a, b in zip(first.tolist(), (last + length).tolist())])
                 c, e = np.frombuffer(named, "<i8").reshape(-1, 2).T
-                cols = [key, c, e, doc_id[d], tkey[d], first - offsets[d], last - first + 1]
-                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in cols], [x.split()[0] for x in _STRINGS.split(", ")])
+                order = np.lexsort((c, d))
+                lead = np.ones(len(d), bool)
+                lead[order[1:]] = (d[order[1:]] != d[order[:-1]]) | (c[order[1:]] != c[order[:-1]]) | (e[order[1:]] != e[order[:-1]])
+                doc_id, tkey = (part.column(x).to_numpy()[d] for x in ("doc_id", "tkey"))
+                cols = [key, c, e, doc_id, tkey, first - offsets[d], last - first + 1]
+                yield pa.RecordBatch.from_arrays([*(pa.array(x.astype(np.int64)) for x in cols), pa.array(lead)], [x.split()[0] for x in _STRINGS.split(", ")])
 
     return hit.mapInArrow(run, _STRINGS)
 
@@ -290,13 +338,19 @@ def _contents(wanted: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for doc, tkey, text, strings in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "tkey", "text", "strings"))):
-                data = text.encode()
-                rows += [(s["key"], doc, tkey, s["start"], data[s["start"] : s["start"] + s["windows"] - 1 + length]) for s in strings]
-            cols = list(zip(*rows)) or [()] * 5
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["key", "doc_id", "tkey", "start", "content"])
+            for part in steps(batch):
+                data, offsets = bytes_of(part.column("text"))
+                strings = part.column("strings")
+                of = np.repeat(np.arange(part.num_rows), strings.value_lengths().to_numpy())
+                key, start, windows = (x.to_numpy() for x in strings.flatten().flatten())
+                doc_id, tkey = (part.column(x).to_numpy()[of] for x in ("doc_id", "tkey"))
+                sizes = windows - 1 + length
+                cuts = np.flatnonzero(np.diff(np.cumsum(sizes) >> 25, prepend=0, append=-1))
+                for a, b in zip(np.append(0, cuts[:-1]), cuts):  # 32 MB at most, as a text may have some times its size in strings
+                    bytes_ = data[ragged(offsets[of[a:b]] + start[a:b], sizes[a:b])]
+                    ends = np.append(0, np.cumsum(sizes[a:b])).astype(np.int32)
+                    content = pa.Array.from_buffers(pa.binary(), int(b - a), [None, pa.py_buffer(ends), pa.py_buffer(bytes_)])
+                    yield pa.RecordBatch.from_arrays([*(pa.array(x[a:b]) for x in (key, doc_id, tkey, start)), content], ["key", "doc_id", "tkey", "start", "content"])
 
     return wanted.mapInArrow(run, "key long, doc_id long, tkey long, start long, content binary")
 
@@ -305,35 +359,44 @@ def _sorted_groups(strings: DataFrame, length: int) -> DataFrame:
     """Spans of the windows of distinct strings that start earlier elsewhere."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(rows):
-            group, which, start = equal_windows([np.frombuffer(r[4], np.uint8) for r in rows], length)
-            doc_id, tkey, at = (np.array([r[i] for r in rows], np.int64) for i in (1, 2, 3))
-            doc, pos = doc_id[which], at[which] + start
-            order = np.lexsort((pos, doc, group))
-            group, doc, pos, which = group[order], doc[order], pos[order], which[order]
-            head = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1]) if len(group) else group
-            of = np.repeat(head, np.diff(np.append(head, len(group))))
-            dup = (doc != doc[of]) | (pos != pos[of])
-            which, pos = which[dup], pos[dup]
-            order = np.lexsort((pos, which))
-            which, pos = which[order], pos[order]
+        def flush(held):
+            rows = pa.Table.from_batches(held)
+            data, offsets = bytes_of(rows.column("content"))
+            doc_id, tkey, at = (rows.column(c).to_numpy() for c in ("doc_id", "tkey", "start"))
+            group, pos = window_classes(data, offsets, length)
+            repeated = np.zeros(len(data), bool)
+            if len(group):
+                # the first of each class by document and place in it
+                which = np.repeat(np.arange(len(doc_id)), np.diff(offsets))[pos]
+                place = np.unique(doc_id, return_inverse=True)[1][which] << 40 | at[which] + pos - offsets[which]
+                first = np.minimum.reduceat(place, np.flatnonzero(np.diff(group, prepend=-1)))
+                repeated[pos[place != first[group]]] = True
+            pos = np.flatnonzero(repeated)
+            which = np.searchsorted(offsets, pos, side="right") - 1
             new = np.ones(len(pos), bool)
             new[1:] = (which[1:] != which[:-1]) | (pos[1:] != pos[:-1] + 1)
             a = np.flatnonzero(new)
             b = np.append(a[1:], len(pos))[: len(a)] - 1  # none if no window is repeated
-            return pa.RecordBatch.from_arrays([pa.array(doc_id[which[a]]), pa.array(tkey[which[a]]), pa.array(pos[a]), pa.array(pos[b] + length)], ["doc_id", "tkey", "start", "end"])
+            which, shift = which[a], (at - offsets[:-1])[which[a]]
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (doc_id[which], tkey[which], pos[a] + shift, pos[b] + shift + length)], ["doc_id", "tkey", "start", "end"])
 
-        rows, size, key = [], 0, None
+        held, size, last = [], 0, None
         for batch in batches:
-            for r in zip(*(batch.column(c).to_pylist() for c in ("key", "doc_id", "tkey", "start", "content"))):
-                if r[0] != key and size > BLOCK:
-                    yield flush(rows)
-                    rows, size = [], 0
-                key = r[0]
-                rows.append(r)
-                size += len(r[4])
-        if rows:
-            yield flush(rows)
+            if not batch.num_rows:
+                continue
+            key = batch.column("key").to_numpy()
+            before = bytes_of(batch.column("content"))[1]
+            begins = np.flatnonzero(np.append(last is not None and key[0] != last, key[1:] != key[:-1]))
+            a = 0
+            for b in begins.tolist():
+                if size + before[b] - before[a] > BLOCK:
+                    yield flush([*held, batch.slice(a, b - a)])
+                    held, size, a = [], 0, b
+            held.append(batch.slice(a))
+            size += before[-1] - before[a]
+            last = key[-1]
+        if held:
+            yield flush(held)
 
     rows = dealt(strings.select("key", "doc_id", "tkey", "start", "content"), "key").sortWithinPartitions("key", "doc_id", "start")
     return rows.mapInArrow(run, _SPANS)
@@ -373,27 +436,31 @@ def _found(docs: DataFrame, length: int) -> tuple[DataFrame, Placed, DataFrame]:
     # its stage can be split where one key has very many rows
     first = cut(light.groupBy("sha256").agg(F.min("doc_id").alias("first_id")), "first")
     light = cut(light.join(first, "sha256").withColumn("is_copy", F.coalesce(F.col("doc_id") > F.col("first_id"), F.lit(False))), "light")
-    anchors = cut(anchor_hashes(base, length), "anchors")
-    repeated = cut(anchors.groupBy("hash").agg(F.count("*").alias("n"), F.min("tkey").alias("a"), F.max("tkey").alias("b"), F.max("times").alias("t")).where("a != b or t > 1").select("hash", "n"), "repeated")
-    originals = light.where("not is_copy").select("doc_id", "tkey").distinct()
-    hits = anchors.join(repeated, "hash").select("tkey", "hash", "n").distinct().groupBy("tkey").agg(F.collect_list("hash").alias("hashes"), F.collect_list("n").alias("counts"))  # at most the anchors of one text
-    hits = cut(hits, "hits").join(originals, "tkey")
     keys = ["doc_id", "tkey"]
-    strings = cut(_strings(texts.df.join(hits, keys), length), "strings")
-    name = ["key", "c", "e"]
-    firsts = cut(strings.groupBy(*name).agg(F.min(F.struct("doc_id", "start")).alias("f")), "firsts")
-    marked = strings.join(firsts, name)
-    here = (F.col("doc_id") == F.col("f.doc_id")) & (F.col("start") == F.col("f.start"))
+    # the smaller side, which has a key once, is looked up: the larger isn't sorted
+    found_in = lambda df: df.hint("shuffle_hash")
+    originals = light.where("not is_copy").select(*keys).distinct()
+    anchors = cut(anchor_hashes(texts.df.join(found_in(originals), keys), length), "anchors")
+    repeated = cut(anchors.groupBy("hash").agg(F.sum("times").alias("n")).where("n > 1"), "repeated")
+    hits = anchors.join(found_in(repeated), "hash").select("tkey", "hash", "n").repartition("tkey")
+    hits = hits.groupBy("tkey").agg(F.collect_list("hash").alias("hashes"), F.collect_list("n").alias("counts"))  # at most the anchors of one text
+    hits = cut(hits, "hits").join(originals, "tkey")
+    strings = cut(_strings(texts.df.join(found_in(hits), keys), length), "strings")
+    name = ["c", "e"]
+    firsts = cut(strings.groupBy(*name).agg(F.min("doc_id").alias("first_id")), "firsts")
+    marked = strings.join(found_in(firsts), name)
+    # several texts of one doc_id may each have such a string: they are compared
+    here = (F.col("doc_id") == F.col("first_id")) & F.col("lead")
     marked = cut(marked.select("key", *keys, "start", "windows", here.alias("here")), "marked")
     later = marked.where("not here").select(*keys, "start", (F.col("start") + F.col("windows") - 1 + length).alias("end"))
     distinct = marked.where("here")
     several = cut(distinct.groupBy("key").agg(F.count("*").alias("k"), F.sum(F.col("windows") + length - 1).alias("symbols")).where("k > 1").select("key", (F.col("symbols") > GROUP).alias("large")), "several")
-    compared = cut(distinct.join(several, "key").select("key", *keys, "start", "windows", "large"), "compared")
-    of = lambda large: compared.where("large" if large else "not large").groupBy(*keys).agg(F.collect_list(F.struct("key", "start", "windows")).alias("strings"))  # noqa: E731  at most the anchors of one text
+    compared = cut(distinct.join(found_in(several), "key").select("key", *keys, "start", "windows", "large"), "compared")
+    of = lambda large: found_in(compared.where("large" if large else "not large").groupBy(*keys).agg(F.collect_list(F.struct("key", "start", "windows")).alias("strings")))  # noqa: E731  at most the anchors of one text
     spans = later.union(_sorted_groups(_contents(texts.df.join(of(False), keys), length), length))
     if not several.where("large").isEmpty():
         spans = spans.union(_named_windows(_contents(texts.df.join(of(True), keys), length), length))
-    merged = spans.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))  # at most the anchors of one text
+    merged = spans.repartition(*keys).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))  # at most the anchors of one text
     return light, texts, cut(merged, "spans")
 
 
@@ -402,22 +469,22 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Da
     every row; *changed* has doc_id, tkey, text and spans (merged, of bytes) of
     the documents with repeats that are not exact copies of earlier ones."""
     light, texts, spans = _found(docs, length)
-    return light, texts.df.join(spans, ["doc_id", "tkey"])
+    return light, texts.df.join(spans.hint("shuffle_hash"), ["doc_id", "tkey"])
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = True) -> tuple[DataFrame, DataFrame]:
     """(light, removed), both written: as repeated_spans and remove_spans give them;
     the table of texts that they came from is gone."""
     light, texts, spans = _found(docs, length)
-    removed = remove_spans(texts.df.join(spans, ["doc_id", "tkey"]))
-    removed = cut(removed if with_text else removed.drop("kept_text"), "removed")
+    removed = cut(remove_spans(texts.df.join(spans.hint("shuffle_hash"), ["doc_id", "tkey"]), with_text), "removed")
     texts.drop()
     return light, removed
 
 
-def remove_spans(changed: DataFrame) -> DataFrame:
-    """doc_id, tkey, n_removed, n_spans, kept_sha256 and the kept bytes as text
-    (kept_text; bytes of characters cut in two are dropped there)."""
+def remove_spans(changed: DataFrame, with_text: bool = True) -> DataFrame:
+    """doc_id, tkey, n_removed, n_spans, kept_sha256 and, with *with_text*, the kept
+    bytes as text (kept_text; bytes of characters cut in two are dropped there)."""
+    schema = "doc_id long, tkey long, n_removed long, n_spans long, kept_sha256 string" + (", kept_text string" if with_text else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -435,12 +502,12 @@ def remove_spans(changed: DataFrame) -> DataFrame:
                         end = at = b
                 kept.append(data[at:])
                 kept = b"".join(kept)
-                rows.append((doc, tkey, removed, runs, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            cols = list(zip(*rows)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "tkey", "n_removed", "n_spans", "kept_sha256", "kept_text"])
+                rows.append((doc, tkey, removed, runs, hashlib.sha256(kept).hexdigest(), *([kept.decode("utf-8", "ignore")] if with_text else [])))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), *([pa.string()] if with_text else [])]
+            cols = list(zip(*rows)) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], [x.split()[0] for x in schema.split(", ")])
 
-    return changed.mapInArrow(run, "doc_id long, tkey long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
+    return changed.mapInArrow(run, schema)
 
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, with_text: bool = True) -> DataFrame:

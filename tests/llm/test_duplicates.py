@@ -33,6 +33,65 @@ def test_equal_windows():
         assert len(group) == sum(max(0, len(x) - length + 1) for x in strings)
 
 
+@pytest.mark.parametrize("n", [2, 5, 60, 400])
+@pytest.mark.parametrize("letters", [1, 2, 20])
+def test_only_wanted_suffixes_are_ordered(n, letters):
+    rng = np.random.default_rng(n)
+    t = rng.integers(1, letters + 1, n)
+    for share in (0.0, 0.1, 0.7):
+        wanted = rng.random(n) < share
+        order = suffixes.suffix_names(t, 20, wanted)
+        prefixes = [tuple(t[i : i + 20].tolist()) for i in order]
+        assert sorted(order.tolist()) == np.flatnonzero(wanted).tolist() and prefixes == sorted(prefixes)
+
+
+def test_large_keys_keep_the_order():
+    rng = np.random.default_rng(3)
+    columns = [rng.integers(0, 5, 300) + (1 << 30) - 5 for _ in range(3)]
+    key, top = suffixes._key(*((c, 1 << 30) for c in columns))
+    rank, n = suffixes._ranks(key, top)
+    tuples = list(zip(*(c.tolist() for c in columns)))
+    assert [sorted(set(tuples)).index(x) + 1 for x in tuples] == rank.tolist() and n == len(set(tuples))
+    assert suffixes._order(key, 1 << 63).tolist() == suffixes._order(key, top).tolist() == np.argsort(key, kind="stable").tolist()
+
+
+def test_copies_and_windows_that_nobody_asks_for_cost_no_sort(spark, monkeypatch):
+    rows, keys, write = {}, [], suffixes.cut
+    monkeypatch.setattr(suffixes, "cut", lambda df, what: rows.update({what: write(df, what)}) or rows[what])
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(700)) for _ in range(3)]
+    docs = [(i, texts[i % 3]) for i in range(30)] + [(40, texts[0][:300] + "#" + texts[0][301:])]
+    assert removed(spark.createDataFrame(docs, "doc_id long, text string"), 100) == cases.without_repeats(docs, 100)
+    assert rows["anchors"].select("tkey").distinct().count() == 4
+    assert rows["anchors"].count() == rows["anchors"].distinct().count()  # a text's anchors once, however many copies it has
+    # of strings of 104 bytes, five windows each are ordered: fewer keys than symbols
+    order = suffixes._order
+    monkeypatch.setattr(suffixes, "_order", lambda key, top: keys.append(len(key)) or order(key, top))
+    data = np.frombuffer("".join(texts).encode()[:2080], np.uint8)
+    group, at = suffixes.window_classes(data, np.arange(0, 2081, 104), 100)
+    assert len(group) == 100 and keys[-1] <= 100
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_texts_of_one_doc_id_are_judged_by_their_place(spark, monkeypatch, hot):
+    if hot:
+        for name, value in (("HOT", 3), ("PART", 4), ("GROUP", 300), ("BLOCK", 500)):
+            monkeypatch.setattr(suffixes, name, value)
+    passage = "".join(random.Random(4).choice("abcdefgh") for _ in range(60))
+    docs = [(1, "x" * 5 + passage + "y"), (1, passage + "z" + passage), (2, "q" + passage), (2, "r" + passage + passage)]
+    first = {}
+    for doc, text in docs:
+        for p in range(len(text) - 19):
+            w = text[p : p + 20]
+            first[w] = min(first.get(w, (doc, p)), (doc, p))
+    want = set()
+    for doc, text in docs:
+        gone = {i for p in range(len(text) - 19) if first[text[p : p + 20]] != (doc, p) for i in range(p, p + 20)}
+        want.add((doc, len(text), len(gone), hashlib.sha256("".join(x for i, x in enumerate(text) if i not in gone).encode()).hexdigest()))
+    got = suffixes.suffix_dedup(spark.createDataFrame(docs, "doc_id long, text string"), 20)
+    assert {tuple(r) for r in got.select("doc_id", "n_bytes", "n_removed", "kept_sha256").collect()} == want
+
+
 def removed(df, length):
     return {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffixes.suffix_dedup(df, length).collect()}
 
