@@ -249,10 +249,10 @@ def rollout_stream(spark, d):
     folder = shared_path(spark, "answers")
     # answers by turn, the later turns first in the first files, and one of the next day
     begun = spark.read.parquet(f"{root}/round=0").withColumns({"turn": F.lit(0), "action": F.lit(None).cast("string"), "ts": F.expr(hour)})
-    begun.select(*fields).coalesce(2).write.parquet(folder)
+    begun.select(*fields).write.parquet(folder)
     for turn in (2, 1, 3):
         told = spark.read.parquet(f"{root}/round={turn}-spoken").withColumns({"turn": F.lit(turn), "ts": F.expr(f"{hour} + interval 1 minute * {turn}")})
-        told.where("not (problem_id % 50 = 9 and turn > 1)").select(*fields).coalesce(2).write.mode("append").parquet(folder)
+        told.where("not (problem_id % 50 = 9 and turn > 1)").select(*fields).write.mode("append").parquet(folder)
     p.agg(F.min("problem_id").alias("problem_id")).select("problem_id", F.lit(-1).alias("trajectory_id"), F.lit(0).alias("turn"), F.lit(None).cast("string").alias("action"), F.expr(f"{hour} + interval 1 day").alias("ts")).write.mode("append").parquet(folder)
     answers = spark.readStream.schema(spark.read.parquet(folder).schema).parquet(folder)
     return events.drained(rollouts.ended_rollouts(answers, p, 3), "ended", "append")

@@ -2,6 +2,7 @@
 
 from collections import OrderedDict
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,3 +87,71 @@ def test_equal_programs_of_a_task_share_a_run(tmp_path):
         for given, reward in (("1", 1.0), ("1", 1.0), ("2", 0.0)):
             assert rollout._step(list(state), None, code, "execute", None, [given], ["1"]) == (reward, True, False)
     assert len(notes.read_text()) == 2
+
+
+class Store:
+    """A state store of one key, and a handle to it; counts its calls."""
+
+    def __init__(self):
+        self.calls, self.value, self.map, self.timers = 0, None, {}, set()
+
+    def _called(self, x=None):
+        self.calls += 1
+        return x
+
+    getValueState = getMapState = lambda self, *_: self
+    get = lambda self: self._called(self.value)
+    update = lambda self, x: self._called(setattr(self, "value", x))
+    getValue = lambda self, k: self._called(self.map[k])
+    updateValue = lambda self, k, v: self._called(self.map.update({k: v}))
+    removeKey = lambda self, k: self._called(self.map.pop(k))
+    registerTimer = lambda self, t: self._called(self.timers.add(t))
+    deleteTimer = lambda self, t: self._called(self.timers.remove(t))
+
+
+class Time:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+    getExpiryTimeInMs = getCurrentWatermarkInMs
+
+
+def test_a_batch_calls_the_store_once_a_bucket():
+    store, rollout = Store(), rollouts.Rollout(3, 5.0, 1000)
+    rollout.init(store)
+    ts = lambda ms: pd.Timestamp(ms, unit="ms", tz="UTC")
+    row = lambda p, s, turn, ms: {"problem_id": p, "trajectory_id": s, "turn": turn, "ts": ts(ms), "interact_code": None, "code": "", "verdict": "no_code", "fn_name": None, "inputs": None, "outputs": None}
+    batch = lambda rows, now: [r for f in rollout.handleInputRows((0,), iter([pd.DataFrame(rows)]), Time(now)) for r in f.itertuples(index=False, name=None)]
+    # 500 rollouts of three useless answers, the others have one, and their next one waits for those with an even number
+    many = [row(p, s, t, 5000 + p) for p in range(500) for s in range(2) for t in ((1, 2, 3) if s else (1,))]
+    assert sorted(batch(many, 0)) == [(p, 1, 3, 0.0, False, True, False, 0, 0, True) for p in range(500)]
+    assert store.calls <= 4 and store.timers == {6000}
+    store.calls = 0
+    assert batch([row(p, 1, 1, 9000) for p in range(500)], 0) == [] and store.calls == 1  # they are over
+    assert batch([row(2, 0, 3, 5002)], 0) == [] and list(store.map) == [(2, 0, 3)]
+    store.calls = 0
+    timed = [r for f in rollout.handleExpiredTimer((0,), Time(6249), Time(6000)) for r in f.itertuples(index=False, name=None)]
+    assert sorted(timed) == [(p, 0, 1, 0.0, False, True, False, 0, 0, False) for p in range(250)]
+    assert store.calls <= 4 and not store.map and 6250 in store.timers
+    assert batch([row(250, 0, 2, 5000), row(250, 0, 3, 5000)], 6249) == [(250, 0, 3, 0.0, False, True, False, 0, 0, True)]
+
+
+def test_rollouts_of_one_bucket_end_by_themselves(spark):
+    p = problems(spark, DATA, 4)
+    look, at = "<interact>print(1)</interact>", lambda m: START.format(m)
+    first = [(0, 0, 1, look, at(0)), (1, 0, 1, look, at(1)), (2, 0, 3, look, at(1)), (3, 0, 3, "nothing", at(1)), (3, 0, 2, look, at(1))]
+    second = [(0, 0, 2, look, at(2)), (2, 0, 1, look, at(2)), (3, 0, 1, look, at(2)), (3, 0, 3, look, at(2))]
+    third = [(0, 0, 3, look, at(3)), (3, 0, 1, look, at(3))]
+    # a watermark between what the last two rollouts are due, then one beyond both
+    later = [[(1, 7, 0, None, "2026-01-01 00:12:30")], [(1, 7, 0, None, "2026-01-01 00:13:30")], [(1, 7, 0, None, "2026-01-02 00:00:00")]]
+    out = events.drained(rollouts.ended_rollouts(streamed(spark, first, second, third, *later), p, 3, buckets=1), "ended", "append")
+    got = sorted(tuple(r) for r in out.collect())
+    assert got == [
+        (0, 0, 3, 0.0, False, True, True, 0, 0, True),
+        (1, 0, 1, 0.0, False, True, True, 0, 0, False),
+        (2, 0, 1, 0.0, False, True, True, 0, 0, False),  # its third answer waited for the second
+        (3, 0, 3, 0.0, False, True, True, 0, 0, True),
+    ]
