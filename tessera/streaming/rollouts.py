@@ -69,7 +69,7 @@ class Rollout(StatefulProcessor):
                 continue
             newest[pair] = max(newest.get(pair, 0), ms)
             state = active.setdefault(pair, [0, False, 0, 0, 0, []])
-            if answer is not None and state[0] < turn <= self.max_turns and turn not in state[5]:
+            if state[0] < turn <= self.max_turns and turn not in state[5]:
                 come.setdefault(pair, {}).setdefault(turn, answer)  # the first of a turn counts
         watermark, ended = timerValues.getCurrentWatermarkInMs(), []
         for pair, ms in newest.items():
@@ -112,16 +112,15 @@ class Rollout(StatefulProcessor):
         """(key, turn, ms, answer) of the rows; the tests of a problem are kept once."""
         tests: dict = {}
         for frame in rows:
-            for r in frame.to_dict("records"):
-                pair = int(r["problem_id"]), None if pd.isna(r["trajectory_id"]) else int(r["trajectory_id"])
-                ms, turn = int(r["ts"].timestamp() * 1000), 0 if pd.isna(r["turn"]) else int(r["turn"])
-                answer = None
-                if turn > 0:
-                    lists = tuple(None if r[c] is None else [None if x is None else str(x) for x in r[c]] for c in ("inputs", "outputs"))
-                    if lists == (known := tests.setdefault((pair[0], r["inputs"] is None), lists)):
-                        lists = known
-                    answer = (*(r[c] for c in ("interact_code", "code", "verdict", "fn_name")), *lists)
-                yield pair, turn, ms, answer
+            numbers = [frame[c].fillna(0).astype("int64").tolist() for c in ("problem_id", "turn", "ms")]
+            samples = frame["trajectory_id"]
+            samples = [None if x != x else int(x) for x in samples.tolist()] if samples.hasnans else samples.tolist()
+            for problem, turn, ms, sample, *answer in zip(*numbers, samples, *(frame[c].tolist() for c in _WAITING.fieldNames())):
+                if answer[4] is not None or answer[5] is not None:
+                    lists = [None if v is None else [None if x is None else str(x) for x in v] for v in answer[4:]]
+                    known = tests.setdefault(problem, lists)
+                    answer[4:] = known if known == lists else lists
+                yield (problem, sample), turn, ms, tuple(answer)
 
     def _moved(self, pair: tuple, state: list, come: dict) -> tuple[float, bool, bool] | None:
         """Takes the answers that are in turn, and keeps the others until they are:
@@ -192,7 +191,7 @@ def ended_rollouts(answers: DataFrame, problems: DataFrame, max_turns: int = 5,
     told = classified(answers.withWatermark("ts", late).join(fields, "problem_id"), "action").withColumn("interact_code", F.nullif(interact_last_open("action"), F.lit("")))
     scored = F.col("interact_code").isNull() & (F.col("verdict") == "execute")  # only these are run on tests
     keys = [F.col("problem_id").cast("long").alias("problem_id"), F.col("trajectory_id").cast("int").alias("trajectory_id")]
-    rows = told.select(*keys, F.col("turn").cast("int").alias("turn"), "ts", "interact_code", "code", "verdict", "fn_name", *[F.when(scored, F.col(c)).alias(c) for c in ("inputs", "outputs")])
+    rows = told.select(*keys, F.col("turn").cast("int").alias("turn"), "ts", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), "interact_code", "code", "verdict", "fn_name", *[F.when(scored, F.col(c)).alias(c) for c in ("inputs", "outputs")])
     dealt = rows.withColumn("bucket", F.pmod(F.xxhash64(*KEYS), F.lit(buckets)).cast("int"))
     ms = int(pd.Timedelta(patience).total_seconds() * 1000)
     answers.sparkSession.conf.set(_PROVIDER, _ROCKS)  # what keyed state with timers needs

@@ -122,8 +122,7 @@ class Time:
 def test_a_batch_calls_the_store_once_a_bucket():
     store, rollout = Store(), rollouts.Rollout(3, 5.0, 1000)
     rollout.init(store)
-    ts = lambda ms: pd.Timestamp(ms, unit="ms", tz="UTC")
-    row = lambda p, s, turn, ms: {"problem_id": p, "trajectory_id": s, "turn": turn, "ts": ts(ms), "interact_code": None, "code": "", "verdict": "no_code", "fn_name": None, "inputs": None, "outputs": None}
+    row = lambda p, s, turn, ms: {"problem_id": p, "trajectory_id": s, "turn": turn, "ms": ms, "interact_code": None, "code": "", "verdict": "no_code", "fn_name": None, "inputs": None, "outputs": None}
     batch = lambda rows, now: [r for f in rollout.handleInputRows((0,), iter([pd.DataFrame(rows)]), Time(now)) for r in f.itertuples(index=False, name=None)]
     # 500 rollouts of three useless answers, the others have one, and their next one waits for those with an even number
     many = [row(p, s, t, 5000 + p) for p in range(500) for s in range(2) for t in ((1, 2, 3) if s else (1,))]
