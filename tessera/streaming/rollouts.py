@@ -6,9 +6,9 @@ in turn move it on at once.  Event time ends a rollout whose next answer doesn't
 The rules are the batch environment's, and so are the programs' limits; a rollout that
 is over leaves a mark, so that a repeated answer doesn't begin it anew.
 
-Rollouts are dealt out to buckets, and a bucket is the key of the state: each call of the
-state store takes far longer than a turn, and so a batch reads, writes and times a bucket
-once, however many of its rollouts move on.  A bucket's rollouts, its marks (12 bytes each)
+Rollouts are dealt out to buckets, and a bucket is the key of the state: a batch reads,
+writes and times a bucket once, however many of its rollouts move on, where a rollout as a
+key would cost several calls of the state store and frames of its own.  A bucket's rollouts, its marks (12 bytes each)
 and its answers of a batch are in memory at once."""
 
 from __future__ import annotations
